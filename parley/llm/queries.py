@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from parley.llm import bpe, chat, html, packing, pii, quality, scratch, urls
+from parley.llm import bpe, chat, html, packing, pii, quality, scratch, urls, vectors
 
 # Rules by host and path prefix, and sites whose pages are blocked where no rule fits.
 URL_RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "block", "example.net/de/8": "block", "org/es/": "block"}
@@ -33,6 +33,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents, quality.fit(documents, table(spark, sf_dir, "labels")))
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Query] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_html_main_text": op3_html_main_text,
     "op4_quality_rules": op4_quality_rules,
+    "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_pii_pseudonyms": op6_pii_pseudonyms,
     "op7_chat_format": op7_chat_format,
     "op8_best_fit_packing": op8_best_fit_packing,
