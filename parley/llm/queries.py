@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from parley.llm import bpe, chat, html, packing, pii, quality, scratch, urls, vectors
+from parley.llm import bpe, chat, html, jaccard, packing, pii, quality, scratch, urls, vectors
 
 # Rules by host and path prefix, and sites whose pages are blocked where no rule fits.
 URL_RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "block", "example.net/de/8": "block", "org/es/": "block"}
@@ -24,6 +24,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar(table(spark, sf_dir, "documents"))
+
+
 def op3_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
@@ -59,6 +63,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_html_main_text": op3_html_main_text,
     "op4_quality_rules": op4_quality_rules,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
