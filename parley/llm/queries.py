@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from parley.llm import bpe, chat, html, jaccard, packing, pii, quality, scratch, urls, vectors
+from parley.llm import bpe, chat, html, jaccard, packing, pii, quality, repeats, scratch, urls, vectors
 
 # Rules by host and path prefix, and sites whose pages are blocked where no rule fits.
 URL_RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "block", "example.net/de/8": "block", "org/es/": "block"}
@@ -57,6 +57,10 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(scratch.settled(cut))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), URL_RULES, BLOCKED_SITES)
 
@@ -70,6 +74,7 @@ QUERIES: dict[str, Query] = {
     "op6_pii_pseudonyms": op6_pii_pseudonyms,
     "op7_chat_format": op7_chat_format,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_url_filter": op10_url_filter,
 }
 
