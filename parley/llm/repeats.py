@@ -187,8 +187,8 @@ def _unpack_slices(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(bytes_)
 
 
-def deduplicate(df: DataFrame, finish: Callable[[bytes, np.ndarray], tuple], names: list[str], types: list[pa.DataType], ddl: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, *names)`` of each row, with what ``finish(bytes, spans)`` makes of a text and its ``(start, end)`` to remove."""
+def deduplicate(df: DataFrame, finish: Callable[[bytes, np.ndarray], tuple], names: list[str], types: list[pa.DataType], ddl: str, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """``(id, *carry, *names)`` of each row, with what ``finish(bytes, spans)`` makes of a text and its ``(start, end)`` to remove."""
     spark = df.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     blocks, shards = max(8, 2 * parts), max(8, parts)
@@ -299,6 +299,11 @@ def deduplicate(df: DataFrame, finish: Callable[[bytes, np.ndarray], tuple], nam
     between = cut.filter("shard >= 0").select("shard", "slices").groupBy("shard").applyInArrow(order, schema)
     spans = written(between.unionAll(cut.filter("shard < 0").select("spans").mapInArrow(local, schema)), "repeated-spans")
 
+    # What a row carries along goes in one struct.
+    along = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carry or [])))
+    source = df.select(F.col(id_col).cast("bigint").alias("doc"), text.alias("text"), F.pmod(F.xxhash64(F.col(id_col).cast("bigint")), F.lit(1 << FILTER_BITS)).cast("int").alias("s"), along.alias("along"))
+    along_ddl = source.schema["along"].dataType.simpleString()
+
     # Copies of whole texts, and documents with spans, are dealt out; the rest is finished where it is read.
     span_bits = spark.sparkContext.broadcast(_bitmap(spans.select(F.explode("docs").alias("doc")), "doc"))
     copied = equal.join(classes.filter("size > 1"), ["digest", "n"]).filter("doc <> rep").select("doc", "n")
@@ -315,34 +320,38 @@ def deduplicate(df: DataFrame, finish: Callable[[bytes, np.ndarray], tuple], nam
             ids = own.column(0)
             for lo, hi, data, offsets in texts_of(own.column(1)):
                 made = [finish(data[offsets[k] : offsets[k + 1]].tobytes(), empty) for k in range(hi - lo)]
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), *(pa.array([m[c] for m in made], t) for c, t in enumerate(types))], names=["doc", *names])
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), own.column(3).slice(lo, hi - lo), *(pa.array([m[c] for m in made], t) for c, t in enumerate(types))], names=["doc", "along", *names])
 
     def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = batch.column(2).to_numpy()
             own = batch.filter(pa.array(_has(span_bits.value, s) | _has(copy_bits.value, s)))
-            yield pa.RecordBatch.from_arrays([pa.array(_doc_block(own.column(0).to_numpy().copy(), blocks).astype(np.int32)), own.column(0), own.column(1)], names=["block", "doc", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(_doc_block(own.column(0).to_numpy().copy(), blocks).astype(np.int32)), own.column(0), own.column(1), own.column(3)], names=["block", "doc", "text", "along"])
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
         found = merged(unpacked(right.column("rows"), SPAN)) if right.num_rows else np.zeros(0, SPAN)
         out: list[pa.RecordBatch] = []
         if left.num_rows:
+            left = left.combine_chunks()
+            lo = 0
             for ids, data, offsets in _texts(left):
                 a, b = np.searchsorted(found["doc"], ids, "left"), np.searchsorted(found["doc"], ids, "right")
                 made = []
                 for k in range(len(ids)):
                     own = found[a[k] : b[k]]
                     made.append(finish(data[offsets[k] : offsets[k + 1]].tobytes(), np.stack([own["start"], own["end"]], axis=1)))
-                out.append(pa.RecordBatch.from_arrays([pa.array(ids), *(pa.array([m[c] for m in made], t) for c, t in enumerate(types))], names=["doc", *names]))
-        return pa.Table.from_batches(out, pa.schema([("doc", pa.int64()), *zip(names, types, strict=True)]))
+                carried = left.column("along").slice(lo, len(ids)).combine_chunks()
+                lo += len(ids)
+                out.append(pa.RecordBatch.from_arrays([pa.array(ids), carried.chunk(0) if isinstance(carried, pa.ChunkedArray) else carried, *(pa.array([m[c] for m in made], t) for c, t in enumerate(types))], names=["doc", "along", *names]))
+        return pa.Table.from_batches(out, pa.schema([("doc", pa.int64()), left.schema.field("along").with_nullable(True), *zip(names, types, strict=True)]))
 
-    out_ddl = f"doc bigint, {ddl}"
-    source = texts.select("doc", "text", spot)
+    out_ddl = f"doc bigint, along {along_ddl}, {ddl}"
     rest = source.mapInArrow(alone, out_ddl)
     gone = spans.unionAll(whole).select("block", "rows")
-    dealt_out = source.mapInArrow(touched, "block int, doc bigint, text string")
+    dealt_out = source.mapInArrow(touched, f"block int, doc bigint, text string, along {along_ddl}")
     changed = dealt_out.groupBy("block").cogroup(gone.groupBy("block")).applyInArrow(remove, out_ddl)
-    return rest.unionAll(changed).select(F.col("doc").cast(kind).alias(id_col), *names)
+    carried = (F.col(f"along.c{k}").alias(c) for k, c in enumerate(carry or []))
+    return rest.unionAll(changed).select(F.col("doc").cast(kind).alias(id_col), *carried, *names)
 
 
 def _with_docs(rows: np.ndarray, blocks: int) -> pa.Table:
@@ -385,5 +394,7 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def kept_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, text)`` of each row without its repeats; characters cut in two by a repeat's bounds go with it."""
-    return deduplicate(df, lambda text, spans: (cut_out(text, spans).decode("utf-8", "ignore"),), ["text"], [pa.string()], "text string", id_col, text_col)
+    """``df`` without its repeats; characters cut in two by a repeat's bounds go with it, a null text becomes empty."""
+    others = [c for c in df.columns if c not in (id_col, text_col)]
+    made = deduplicate(df, lambda text, spans: (cut_out(text, spans).decode("utf-8", "ignore"),), ["kept text"], [pa.string()], "`kept text` string", id_col, text_col, others)
+    return made.select(*(F.col("`kept text`").alias(text_col) if c == text_col else F.col(f"`{c}`") for c in df.columns))
