@@ -20,10 +20,10 @@ PATTERNS = {
     "status": r"(?i)\b(?:http|status)(?: code)? ([45]\d\d)\b",
     "dependency": r"(?i)\b(?:pip|npm|cargo|brew|go) (?:install|add|get) ([\w@./-]+(?:==[\w.]+)?)",
     "environment": r"(?i)\b((?:python|node|java|postgres|redis|ubuntu|go|rust) v?\d+(?:\.\d+)*)\b",
-    "task_done": r"(?i)\b(?:i|we|just|have|has)(?: have| has| just)? (?:added|fixed|implemented|finished|completed|created|updated|removed|wrote|migrated) ((?:the |a |an )?[\w ./-]{3,60})",
-    "task_todo": r"(?i)\b(?:need to|needs to|have to|todo:?|next(?: step)?:?|should|must|remember to) ((?:add|fix|implement|finish|create|update|remove|write|migrate|test|refactor|document|deploy)\b[\w ./-]{2,60})",
-    "decision": r"(?i)\b(?:decided (?:to use|on|to)|we will use|we'll use|let's use|going with|switch(?:ed|ing)? to|chose|settled on) ([\w .+#/-]{2,50})",
-    "goal": r"(?i)\b(?:goal is to|i want to|we want to|trying to|help me) ([\w ./-]{4,80})",
+    "task_done": r"(?i)\b(?:i|we|just|have|has)(?: have| has| just)? (?:added|fixed|implemented|finished|completed|created|updated|removed|wrote|migrated) ((?:the |a |an )?(?:[\w /-]|\.(?=\w)){3,60})",
+    "task_todo": r"(?i)\b(?:need to|needs to|have to|todo:?|next(?: step)?:?|should|must|remember to) ((?:add|fix|implement|finish|create|update|remove|write|migrate|test|refactor|document|deploy)\b(?:[\w /-]|\.(?=\w)){2,60})",
+    "decision": r"(?i)\b(?:decided (?:to use|on|to)|we will use|we'll use|let's use|going with|switch(?:ed|ing)? to|chose|settled on) ((?:[\w +#/-]|\.(?=\w)){2,50})",
+    "goal": r"(?i)\b(?:goal is to|i want to|we want to|trying to|help me) ((?:[\w /-]|\.(?=\w)){4,80})",
 }
 PACKS = {
     "ops": {"incident": r"(?i)\b(sev ?[0-4]|outage|rollback|incident \d+)\b"},
