@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm.components import components
+from parley.llm.packed import bitmap, dealt, has, spot, unpacked
 from parley.llm.scratch import settled, written
 from parley.llm.textio import byte_values, lower_ascii, mix64, span_hashes, texts_of, window_hashes, words
 
@@ -46,7 +47,6 @@ FREQUENT = 1 << 17  # frequent shingles that go last in the order; a bound of wh
 LOCAL_WINDOW, LOCAL_COUNT = 4_000_000, 3  # a shingle is frequent if that many documents of a window have it
 BANDS = 4  # pairs of min-hashes
 CELL = 200
-FILTER_BITS = 24  # bitmap of the documents in cells; a fixed size, false hits cost only a shuffled text
 MU = 0.0085  # weight of the long lists in DivideSkip
 _TOP = np.uint64(1 << 63)
 
@@ -260,17 +260,13 @@ def cell_links(owned: list[np.ndarray], percent: int = PERCENT) -> list[tuple[in
 def verified(df: DataFrame, cells: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Links ``(a, b)`` within cells ``(cell, doc)``."""
     spark = df.sparkSession
-    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS)).cast("int")
-    words_ = cells.select(spot("doc").alias("s")).groupBy(F.shiftright("s", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, s & 31)")).alias("bits")).toArrow()
-    bits = np.zeros(1 << FILTER_BITS - 5, np.uint32)
-    bits[words_.column("w").to_numpy()] = words_.column("bits").to_numpy().astype(np.uint32)
+    bits = bitmap(cells, "doc")
     shared = spark.sparkContext.broadcast(bits)
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for batch in batches:
-            s = batch.column(2).to_numpy()
-            yield batch.filter(pa.array((bits[s >> 5] >> (s & 31).astype(np.uint32) & np.uint32(1)).astype(bool)))
+            yield batch.filter(pa.array(has(bits, batch.column(2).to_numpy())))
 
     texts = df.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text"))
     sifted = texts.withColumn("s", spot("doc")).mapInArrow(sift, "doc bigint, text string, s int").drop("s")
@@ -317,19 +313,6 @@ POSTING = np.dtype([("key", "<u8"), ("doc", "<i8"), ("part", "<i8"), ("n", "<u4"
 PAIR = np.dtype([("a", "<i8"), ("b", "<i8"), ("c", "<u4"), ("na", "<u4"), ("nb", "<u4"), ("ea", "<u2"), ("eb", "<u2")])
 
 
-def _dealt(rows: np.ndarray, by: np.ndarray, blocks: int) -> pa.RecordBatch:
-    """Rows packed into one binary value for each block that has any."""
-    order = np.argsort(by, kind="stable")
-    rows, by = rows[order], by[order]
-    at = np.searchsorted(by, np.arange(blocks + 1))
-    some = np.flatnonzero(np.diff(at))
-    return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([rows[at[b] : at[b + 1]].tobytes() for b in some.tolist()], pa.binary())], names=["block", "rows"])
-
-
-def _unpacked(table: pa.Table, kind: np.dtype) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column("rows").to_pylist()), kind)
-
-
 def list_pairs(p: np.ndarray, percent: int = PERCENT, chunk: int = 1_000_000) -> Iterator[np.ndarray]:
     """Pairs from the inverted lists of a block of postings: different components, sizes that can link.
 
@@ -409,7 +392,7 @@ def candidates(prefixes: DataFrame) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             rows = np.concatenate(held)
-            return _dealt(rows, (mix64(rows["key"]) % np.uint64(blocks)).astype(np.int64), blocks)
+            return dealt(rows, (mix64(rows["key"]) % np.uint64(blocks)).astype(np.int64), blocks)
 
         for batch in batches:
             columns = [batch.column(k).to_pylist() for k in range(5)]
@@ -427,18 +410,18 @@ def candidates(prefixes: DataFrame) -> DataFrame:
 
     def pair(table: pa.Table) -> pa.Table:
         held, size = [], 0
-        for rows in list_pairs(_unpacked(table, POSTING)):
+        for rows in list_pairs(unpacked(table.column("rows"), POSTING)):
             held.append(rows)
             size += len(rows)
             if size >= 2_000_000:
                 held = [summed(np.concatenate(held))]
                 size = len(held[0])
         rows = summed(np.concatenate(held)) if held else np.zeros(0, PAIR)
-        out = _dealt(rows, (mix64(rows["a"].view(np.uint64) * np.uint64(31) + rows["b"].view(np.uint64)) % np.uint64(blocks)).astype(np.int64), blocks)
+        out = dealt(rows, (mix64(rows["a"].view(np.uint64) * np.uint64(31) + rows["b"].view(np.uint64)) % np.uint64(blocks)).astype(np.int64), blocks)
         return pa.Table.from_batches([out])
 
     def decide(table: pa.Table) -> pa.Table:
-        p = summed(_unpacked(table, PAIR))
+        p = summed(unpacked(table.column("rows"), PAIR))
         p = p[reachable(p)]
         return pa.table({"a": pa.array(p["a"]), "b": pa.array(p["b"])})
 

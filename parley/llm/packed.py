@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+FILTER_BITS = 24  # bitmaps of documents; a fixed size, false hits cost only work
 
 
 def dealt(rows: np.ndarray, by: np.ndarray, blocks: int) -> pa.RecordBatch:
@@ -23,3 +27,20 @@ def gathered(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
     """``data[start:start + length]`` of many spans, laid end to end."""
     before = np.cumsum(lengths) - lengths
     return data[np.arange(int(lengths.sum())) + np.repeat(starts - before, lengths)]
+
+
+def spot(column: str):
+    """Where a bitmap has an id."""
+    return F.pmod(F.xxhash64(column), F.lit(1 << FILTER_BITS)).cast("int")
+
+
+def bitmap(df: DataFrame, column: str) -> np.ndarray:
+    """A bitmap of hashed ids; at most 2**FILTER_BITS / 32 rows come to the driver, however many ids there are."""
+    found = df.select(spot(column).alias("s")).groupBy(F.shiftright("s", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, s & 31)")).alias("bits")).toArrow()
+    bits = np.zeros(1 << FILTER_BITS - 5, np.uint32)
+    bits[found.column("w").to_numpy()] = found.column("bits").to_numpy().astype(np.uint32)
+    return bits
+
+
+def has(bits: np.ndarray, spots: np.ndarray) -> np.ndarray:
+    return (bits[spots >> 5] >> (spots & 31).astype(np.uint32) & np.uint32(1)).astype(bool)

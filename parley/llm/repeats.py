@@ -29,14 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.packed import dealt, gathered, unpacked
+from parley.llm.packed import bitmap, dealt, gathered, has, spot, unpacked
 from parley.llm.scratch import settled, written
 from parley.llm.suffixes import equal_prefixes
 from parley.llm.textio import byte_values, mix64, powers, span_hashes, texts_of
 
 LENGTH = 100
 GRAM = 50
-FILTER_BITS = 24  # bitmaps of documents; a fixed size, false hits cost only work
 ANCHOR = np.dtype([("h", "<u8"), ("doc", "<i8")])
 SLICE = np.dtype([("h", "<u8"), ("own", "<u8"), ("doc", "<i8"), ("at", "<i8"), ("anchor", "<u2"), ("size", "<u2")])
 SPAN = np.dtype([("doc", "<i8"), ("start", "<i8"), ("end", "<i8")])
@@ -151,19 +150,6 @@ def merged(spans: np.ndarray) -> np.ndarray:
     return out
 
 
-def _bitmap(df: DataFrame, column: str) -> np.ndarray:
-    """A fixed-size bitmap of hashed ids; at most 2**FILTER_BITS / 32 rows come to the driver."""
-    spot = F.pmod(F.xxhash64(column), F.lit(1 << FILTER_BITS)).cast("int")
-    found = df.select(spot.alias("s")).groupBy(F.shiftright("s", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, s & 31)")).alias("bits")).toArrow()
-    bits = np.zeros(1 << FILTER_BITS - 5, np.uint32)
-    bits[found.column("w").to_numpy()] = found.column("bits").to_numpy().astype(np.uint32)
-    return bits
-
-
-def _has(bits: np.ndarray, spots: np.ndarray) -> np.ndarray:
-    return (bits[spots >> 5] >> (spots & 31).astype(np.uint32) & np.uint32(1)).astype(bool)
-
-
 def _doc_block(doc: np.ndarray, blocks: int) -> np.ndarray:
     return (mix64(doc.view(np.uint64)) % np.uint64(blocks)).astype(np.int64)
 
@@ -193,14 +179,13 @@ def deduplicate(df: DataFrame, finish: Callable[[bytes, np.ndarray], tuple], nam
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     blocks, shards = max(8, 2 * parts), max(8, parts)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    spot = F.pmod(F.xxhash64("doc"), F.lit(1 << FILTER_BITS)).cast("int").alias("s")
     texts = df.select(F.col(id_col).cast("bigint").alias("doc"), text.alias("text"))
 
     # Equal texts: the least document stands for all.
     equal = texts.select("doc", F.md5("text").alias("digest"), F.octet_length("text").alias("n"))
     classes = equal.groupBy("digest", "n").agg(F.min("doc").alias("rep"), F.count("*").alias("size"))
     reps = settled(classes.select("rep"))
-    rep_bits = spark.sparkContext.broadcast(_bitmap(reps, "rep"))
+    rep_bits = spark.sparkContext.broadcast(bitmap(reps, "rep"))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -210,7 +195,7 @@ def deduplicate(df: DataFrame, finish: Callable[[bytes, np.ndarray], tuple], nam
             return dealt(rows, (mix64(rows["h"]) % np.uint64(blocks)).astype(np.int64), blocks)
 
         for batch in batches:
-            batch = batch.filter(pa.array(_has(rep_bits.value, batch.column(2).to_numpy())))
+            batch = batch.filter(pa.array(has(rep_bits.value, batch.column(2).to_numpy())))
             ids = batch.column(0).to_numpy()
             for lo, _, data, offsets in texts_of(batch.column(1)):
                 of, _, _, at = anchors(data, offsets)
@@ -239,13 +224,13 @@ def deduplicate(df: DataFrame, finish: Callable[[bytes, np.ndarray], tuple], nam
         rows = np.unique(rows[again])
         return _with_docs(rows, blocks)
 
-    posted = texts.select("doc", "text", spot).mapInArrow(post, "block int, rows binary")
+    posted = texts.select("doc", "text", spot("doc").alias("s")).mapInArrow(post, "block int, rows binary")
     flagged = written(posted.groupBy("block").applyInArrow(repeated, "block int, rows binary, docs array<bigint>"), "repeated-anchors")
-    bits = spark.sparkContext.broadcast(_bitmap(flagged.select(F.explode("docs").alias("doc")), "doc"))
+    bits = spark.sparkContext.broadcast(bitmap(flagged.select(F.explode("docs").alias("doc")), "doc"))
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = _has(bits.value, batch.column(2).to_numpy()) & _has(rep_bits.value, batch.column(2).to_numpy())
+            keep = has(bits.value, batch.column(2).to_numpy()) & has(rep_bits.value, batch.column(2).to_numpy())
             own = batch.filter(pa.array(keep))
             yield pa.RecordBatch.from_arrays([pa.array(_doc_block(own.column(0).to_numpy().copy(), blocks).astype(np.int32)), own.column(0), own.column(1)], names=["block", "doc", "text"])
 
@@ -282,7 +267,7 @@ def deduplicate(df: DataFrame, finish: Callable[[bytes, np.ndarray], tuple], nam
                     out.append(pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.nulls(1, pa.binary()), pa.array([merged(spans).tobytes()], pa.binary())], names=["shard", "slices", "spans"]))
         return pa.Table.from_batches(out, pa.schema([("shard", pa.int32()), ("slices", pa.binary()), ("spans", pa.binary())]))
 
-    sifted = texts.select("doc", "text", spot).mapInArrow(sift, "block int, doc bigint, text string")
+    sifted = texts.select("doc", "text", spot("doc").alias("s")).mapInArrow(sift, "block int, doc bigint, text string")
     cut = sifted.groupBy("block").cogroup(flagged.select("block", "rows").groupBy("block")).applyInArrow(slices, "shard int, slices binary, spans binary")
     cut = written(cut, "repeated-slices")
 
@@ -301,22 +286,22 @@ def deduplicate(df: DataFrame, finish: Callable[[bytes, np.ndarray], tuple], nam
 
     # What a row carries along goes in one struct.
     along = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carry or [])))
-    source = df.select(F.col(id_col).cast("bigint").alias("doc"), text.alias("text"), F.pmod(F.xxhash64(F.col(id_col).cast("bigint")), F.lit(1 << FILTER_BITS)).cast("int").alias("s"), along.alias("along"))
+    source = df.select(F.col(id_col).cast("bigint").alias("doc"), text.alias("text"), spot(F.col(id_col).cast("bigint")).alias("s"), along.alias("along"))
     along_ddl = source.schema["along"].dataType.simpleString()
 
     # Copies of whole texts, and documents with spans, are dealt out; the rest is finished where it is read.
-    span_bits = spark.sparkContext.broadcast(_bitmap(spans.select(F.explode("docs").alias("doc")), "doc"))
+    span_bits = spark.sparkContext.broadcast(bitmap(spans.select(F.explode("docs").alias("doc")), "doc"))
     copied = equal.join(classes.filter("size > 1"), ["digest", "n"]).filter("doc <> rep").select("doc", "n")
     copies = copied.select(F.col("doc"), F.col("n")).distinct()
     whole = written(copies.mapInArrow(_whole(blocks), schema), "repeated-texts")
-    copy_bits = spark.sparkContext.broadcast(_bitmap(whole.select(F.explode("docs").alias("doc")), "doc"))
+    copy_bits = spark.sparkContext.broadcast(bitmap(whole.select(F.explode("docs").alias("doc")), "doc"))
     kind = df.schema[id_col].dataType.simpleString()
     empty = np.zeros((0, 2), np.int64)
 
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = batch.column(2).to_numpy()
-            own = batch.filter(pa.array(~(_has(span_bits.value, s) | _has(copy_bits.value, s))))
+            own = batch.filter(pa.array(~(has(span_bits.value, s) | has(copy_bits.value, s))))
             ids = own.column(0)
             for lo, hi, data, offsets in texts_of(own.column(1)):
                 made = [finish(data[offsets[k] : offsets[k + 1]].tobytes(), empty) for k in range(hi - lo)]
@@ -325,7 +310,7 @@ def deduplicate(df: DataFrame, finish: Callable[[bytes, np.ndarray], tuple], nam
     def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = batch.column(2).to_numpy()
-            own = batch.filter(pa.array(_has(span_bits.value, s) | _has(copy_bits.value, s)))
+            own = batch.filter(pa.array(has(span_bits.value, s) | has(copy_bits.value, s)))
             yield pa.RecordBatch.from_arrays([pa.array(_doc_block(own.column(0).to_numpy().copy(), blocks).astype(np.int32)), own.column(0), own.column(1), own.column(3)], names=["block", "doc", "text", "along"])
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
