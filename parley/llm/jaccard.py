@@ -44,7 +44,7 @@ from parley.llm.textio import byte_values, lower_ascii, mix64, span_hashes, text
 SIZE = 5
 PERCENT = 80
 FREQUENT = 1 << 17  # frequent shingles that go last in the order; a bound of what is broadcast
-LOCAL_WINDOW, LOCAL_COUNT = 4_000_000, 3  # a shingle is frequent if that many documents of a window have it
+LOCAL_WINDOW, LOCAL_COUNT = 2_000_000, 3  # a shingle is frequent if that many documents of a window have it
 BANDS = 4  # pairs of min-hashes
 CELL = 200
 MU = 0.0085  # weight of the long lists in DivideSkip
@@ -402,7 +402,7 @@ def candidates(prefixes: DataFrame) -> DataFrame:
                 rows["key"], rows["doc"], rows["part"], rows["n"], rows["ends"] = keys, doc, part, n, ends
                 held.append(rows)
                 size += len(rows)
-                if size >= 1_000_000:
+                if size >= 500_000:
                     yield flush()
                     held, size = [], 0
         if held:
