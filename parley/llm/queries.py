@@ -78,4 +78,32 @@ QUERIES: dict[str, Query] = {
     "op10_url_filter": op10_url_filter,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_RULES = ", ".join(f"('{r}', '{r[: r.index('/')]}', '{r[r.index('/') :]}', '{v}')" for r, v in URL_RULES.items())
+_SITES = " OR ".join(f"host = '{s}' OR ends_with(host, '.{s}')" for s in BLOCKED_SITES)
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_REACH = """links AS (SELECT a, b FROM half UNION ALL SELECT b, a FROM half),
+reach AS (SELECT a AS node, b AS other FROM links UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.other = l.a)"""
+
+# Where SQL can say it at all: tokenisers, page extraction, the learned verdict, ciphers, packing and suffix order are
+# tested against brute force instead.
+ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_jaccard_join": rf"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), {_LOWER}), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+      s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh FROM w),
+      e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
+      half AS (SELECT p.doc_id AS a, q.doc_id AS b FROM e p JOIN e q ON p.x = q.x AND p.doc_id < q.doc_id GROUP BY p.doc_id, q.doc_id, p.n, q.n HAVING 100 * count(*) >= 80 * (p.n + q.n - count(*))), {_REACH}
+      SELECT doc_id, len(sh)::BIGINT AS n_shingles, least(doc_id, coalesce((SELECT min(other) FROM reach WHERE node = doc_id), doc_id)) AS component_id FROM s""",
+    "op5_embedding_near_dedup": f"""WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings), u AS (SELECT vec_id, x, sqrt(list_dot_product(x, x)) AS n FROM v),
+      half AS (SELECT p.vec_id AS a, q.vec_id AS b FROM u p JOIN u q ON p.vec_id < q.vec_id AND list_dot_product(p.x, q.x) >= 0.9::DOUBLE * p.n * q.n), {_REACH},
+      c AS (SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, least(vec_id, coalesce((SELECT min(other) FROM reach WHERE node = vec_id), vec_id)) AS component_id FROM u)
+      SELECT vec_id, n_links, component_id, vec_id = component_id AS kept FROM c""",
+    "op7_chat_format": r"""WITH m AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, turn, role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) t(turn, role)),
+      k AS (SELECT *, len(regexp_extract_all(text, '</?s>|\[/?INST\]|<</?SYS>>|<</?ROLE|<<ESC')) AS n FROM m)
+      SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+        length(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), ''))::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+        (sum(length(text) + n + CASE role WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 WHEN 'system' THEN 15 END) + CASE WHEN sum(n) > 0 THEN 9 ELSE 0 END)::BIGINT AS formatted_chars
+      FROM k GROUP BY conv_id""",
+    "op10_url_filter": rf"""WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), {_LOWER}) AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*(/[^?#]*)', 1) AS path FROM pages),
+      rules(rule, h, p, v) AS (VALUES {_RULES}),
+      best AS (SELECT u.*, rule, v FROM u LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC) = 1)
+      SELECT page_id, host, path, rule, coalesce(v, CASE WHEN {_SITES} THEN 'block' ELSE 'allow' END) AS verdict FROM best""",
+}
