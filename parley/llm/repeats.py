@@ -291,7 +291,9 @@ def deduplicate(df: DataFrame, finish: Callable[[bytes, np.ndarray], tuple], nam
 
     # Copies of whole texts, and documents with spans, are dealt out; the rest is finished where it is read.
     span_bits = spark.sparkContext.broadcast(bitmap(spans.select(F.explode("docs").alias("doc")), "doc"))
-    copied = equal.join(classes.filter("size > 1"), ["digest", "n"]).filter("doc <> rep").select("doc", "n")
+    # The classes are a table of their own: then the join's large groups can be split.
+    several = written(classes.filter("size > 1").select("digest", "n", "rep"), "equal-texts")
+    copied = equal.join(several, ["digest", "n"]).filter("doc <> rep").select("doc", "n")
     copies = copied.select(F.col("doc"), F.col("n")).distinct()
     whole = written(copies.mapInArrow(_whole(blocks), schema), "repeated-texts")
     copy_bits = spark.sparkContext.broadcast(bitmap(whole.select(F.explode("docs").alias("doc")), "doc"))
