@@ -102,7 +102,8 @@ def test_repeats(spark):
 
 
 def test_repeats_repeated_and_no_rows(spark):
-    text = "".join(random.Random(9).choice("abcdefghijklmnop") for _ in range(300))
+    rng = random.Random(9)
+    text = "".join(rng.choice("abcdefghijklmnop") for _ in range(300))
     df = spark.createDataFrame([(1, text), (1, text), (2, text)], "doc_id bigint, text string")
     assert sorted((r.doc_id, r.n_removed) for r in repeats.digests(df).collect()) == [(1, 0), (1, 0), (2, 300)]
     assert repeats.digests(df.limit(0)).collect() == []
