@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parley.functions import text as T
-from parley.operators import analytics, cache, extract, graph, messages, profile, stores
+from parley.operators import analytics, cache, digest, extract, fold, graph, messages, profile, stores
 from parley.plans.oracle import SQL
 from parley.sources import tables as S
 from parley.sources.tables import DAY_US
@@ -328,6 +328,18 @@ def extracted_facts(spark, d):
     return extract.drop_shadowed_paths(extract.session_facts(m.unionByName(n)))
 
 
+@query
+def folded_graph(spark, d):
+    n = S.nodes(spark, d).select("session_id", F.col("node_id").alias("turn"), F.lit("user").alias("role"), F.concat(F.lit("We decided to use "), F.element_at(F.array(F.lit("postgres"), F.lit("mysql"), F.lit("redis")), (F.col("node_id") % 3 + 1).cast("int")), F.lit(" for "), F.element_at(F.split("label", " "), 2), F.lit(". I fixed src/app/"), F.element_at(F.split("label", " "), 2), F.lit(".py after a ValueError.")).alias("text"))
+    return fold.fold_sessions(extract.facts(n))
+
+
+@query
+def file_digests(spark, d):
+    files = S.read(spark, d, "documents").select(F.concat("doc_id", F.element_at(F.array(F.lit(".log"), F.lit(".txt"), F.lit(".py"), F.lit(".csv")), (F.col("doc_id") % 4 + 1).cast("int"))).alias("name"), F.col("text").alias("content"))
+    return digest.analyze(files, 400).select("name", "kind", "tokens", "digest_tokens", "was_digested")
+
+
 # --- texts -----------------------------------------------------------------------------------------------------------
 
 
