@@ -5,6 +5,8 @@ from __future__ import annotations
 from parley.functions.text import FUNCTION_WORDS
 from parley.operators.analytics import PRICES
 from parley.operators.graph import STATUS_MOVES
+from parley.operators.relations import ALIASES
+from parley.operators.relations import TOPICS as NODE_TOPICS
 from parley.sources.tables import DAY_US, MODELS, NOUNS, STATUSES, TOPICS, TYPES, VERBS
 
 AT = 1_705_320_000_000_000
@@ -222,4 +224,21 @@ SQL: dict[str, str] = {
     "gone_elsewhere": _with(NODES) + "SELECT node_id FROM nodes WHERE node_id % 13 = 0",
     "recall_across_sessions": _with(NODES, _scored(), REQUESTS, CLAIMS, "pool AS (SELECT session_id FROM (SELECT * FROM owners WHERE owner = 3 AND session_id <> 1 ORDER BY since DESC, session_id LIMIT 5) UNION ALL SELECT 1)") + "SELECT session_id, node_id, score FROM scored WHERE session_id IN (SELECT session_id FROM pool) ORDER BY score DESC, node_id LIMIT 10",
     "expired_sessions": _with(REQUESTS) + f"SELECT session_id, max(ts_us) AS last_at FROM requests GROUP BY session_id HAVING max(ts_us) < {AT + 10 * DAY_US}",
+    "part_of_links": _with(NODES, "g AS (SELECT session_id, arg_max(node_id, (valid_from, node_id)) AS goal_id FROM nodes WHERE type = 'goal' GROUP BY session_id)") + "SELECT n.session_id, node_id AS task_id, goal_id FROM nodes n JOIN g ON n.session_id = g.session_id WHERE type = 'task'",
+    "related_links": _with(NODES, f"al(w, s) AS (VALUES {', '.join(f"('{a}', '{s}')" for s, own in ALIASES.items() for a in own)})", "w0 AS (SELECT session_id, type, node_id, unnest(list_filter(string_split(label, ' '), lambda x: length(x) >= 4)) AS w FROM nodes WHERE type IN ('task', 'decision'))", "w1 AS (SELECT * FROM w0 UNION SELECT session_id, type, node_id, s FROM w0 JOIN al ON al.w = w0.w)") + "SELECT d.session_id, d.node_id AS decision_id, t.node_id AS task_id, count(DISTINCT d.w) AS shared FROM w1 d JOIN w1 t ON d.session_id = t.session_id AND d.w = t.w WHERE d.type = 'decision' AND t.type = 'task' GROUP BY 1, 2, 3",
+    "current_decisions": _with(NODES) + f"SELECT session_id, topic, arg_max(node_id, (valid_from, node_id)) AS current_id, arg_max(label, (valid_from, node_id)) AS label, count(*) - 1 AS superseded FROM nodes WHERE type = 'decision' AND status NOT IN {INACTIVE} GROUP BY session_id, topic",
+    "node_topics": _with(NODES, f"tp(t, w) AS (VALUES {', '.join(f"('{t}', '{w}')" for t, ws in NODE_TOPICS.items() for w in ws)})", "x AS (SELECT DISTINCT node_id, t FROM nodes JOIN tp ON list_contains(string_split(label, ' '), w))", "y AS (SELECT * FROM x UNION ALL SELECT node_id, '(unclassified)' FROM nodes WHERE node_id NOT IN (SELECT node_id FROM x))") + "SELECT t AS topic, count(*) AS n, min(node_id) AS first_id FROM y GROUP BY t",
+    "nodes_not_in_payload": _with(NODES, MESSAGES, "sets AS (SELECT session_id, string_split_regex(lower(text), '[^\\p{L}\\p{N}_]+') AS ws FROM messages UNION ALL SELECT session_id, string_split('as said ' || label, ' ') FROM nodes WHERE node_id % 3 = 0)") + "SELECT session_id, node_id FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM sets s WHERE s.session_id = n.session_id AND list_has_all(s.ws, string_split(n.label, ' ')))",
+    "preferences_said": _with(MESSAGES) + "SELECT session_id, turn FROM messages WHERE role = 'user' AND session_id % 4 = 0",
+    "longest_error_runs": _with(NODES, "r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY valid_from, node_id) AS place, row_number() OVER (PARTITION BY session_id, type IN ('error', 'task') ORDER BY valid_from, node_id) AS own FROM nodes)", "g AS (SELECT session_id, place - own AS island, count(*) AS length, min(place) AS start, arg_min(node_id, place) AS first_id FROM r WHERE type IN ('error', 'task') GROUP BY 1, 2)") + "SELECT session_id, length, first_id FROM g QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY length DESC, start) = 1",
+    "new_messages": _with(MESSAGES) + "SELECT session_id, turn, substr(sha1(text), 1, 16) AS hash FROM messages m WHERE NOT EXISTS (SELECT 1 FROM messages k WHERE k.session_id = m.session_id AND k.turn % 3 <> 2 AND k.text = m.text)",
+    "prompt_cache_billing": _with(MESSAGES, f"u AS (SELECT *, sum({TOK.format('text')} + 4) OVER (PARTITION BY session_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS upto FROM messages)", "s AS (SELECT *, coalesce(lag(upto) OVER (PARTITION BY session_id ORDER BY turn), 0) AS before FROM u WHERE role = 'user')", "b AS (SELECT *, CASE WHEN before >= 64 THEN before ELSE 0 END AS rd FROM s)") + "SELECT session_id, count(*) AS requests, CAST(sum(upto) AS BIGINT) AS uncached, round(sum(0.1::DOUBLE * rd + 1.25::DOUBLE * (upto - rd)), 4) AS cached FROM b GROUP BY session_id",
+    "word_retention": _with(MESSAGES, TOKENS, SPLIT, "o AS (SELECT session_id, sum(tokens) + 2 > 400 AS over FROM tok GROUP BY 1)", "k AS (SELECT m.session_id, m.text FROM messages m JOIN split s ON m.session_id = s.session_id JOIN o ON o.session_id = m.session_id WHERE NOT over OR role = 'system' OR turn >= split_turn)",
+        *(f"{n} AS (SELECT DISTINCT session_id, w FROM (SELECT session_id, unnest(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}_]+')) AS w FROM {t}) WHERE length(w) >= 3)" for n, t in (("aw", "messages"), ("kw", "k")))) + "SELECT a.session_id, count(*) AS needed, count(kw.w) AS kept, round(count(kw.w) / count(*)::DOUBLE, 6) AS retention FROM aw a LEFT JOIN kw ON kw.session_id = a.session_id AND kw.w = a.w GROUP BY a.session_id",
+    "recall_at_six": _with(NODES, _scored(), "top AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY score DESC, node_id) <= 6)", "c AS (SELECT session_id, unnest(['database', 'cache', 'billing']) AS expected FROM (SELECT DISTINCT session_id FROM nodes))", "h AS (SELECT c.session_id, expected, bool_or(coalesce(contains(label, expected), false)) AS hit FROM c LEFT JOIN top ON top.session_id = c.session_id GROUP BY 1, 2)") + "SELECT expected, count(*) AS cases, count(*) FILTER (hit) AS hits, round(avg(hit::INT), 6) AS recall FROM h GROUP BY expected",
+    "label_quality": _with(NODES) + "SELECT type, count(*) AS n, round(avg(length(label)), 4) AS mean_chars, count(*) FILTER (length(label) >= 20) AS truncated, count(DISTINCT label) AS distinct_labels FROM nodes GROUP BY type",
+    "graph_counts": _with(NODES, EDGES, "l AS (SELECT source_id AS node_id FROM edges UNION SELECT target_id FROM edges)") + "SELECT session_id, count(*) AS n, count(*) FILTER (type = 'error' AND status = 'completed') AS resolved, count(*) FILTER (type = 'error' AND status <> 'completed') AS open, count(*) FILTER (node_id NOT IN (SELECT node_id FROM l)) AS unlinked FROM nodes GROUP BY session_id",
+    "relevant_texts": r"WITH x AS (SELECT doc_id, len(list_intersect(['and', 'for', 'the', 'version', 'license', 'public'], string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}_]+')))::BIGINT AS shared FROM documents) SELECT doc_id, shared FROM x WHERE shared > 0 ORDER BY shared DESC, doc_id DESC LIMIT 5",
+    "table_lines": "WITH x AS (SELECT doc_id, list_transform(string_split(coalesce(text, ''), chr(10)), lambda l: len(string_split(l, '|')) >= 3) AS w FROM documents) SELECT doc_id, len(list_filter(w, lambda b: b))::BIGINT AS n_table_lines, coalesce(list_position(w[1:4], true), 0)::BIGINT AS table_start FROM x",
+    "content_texts": _with(MESSAGES) + "SELECT session_id, turn, md5(CASE WHEN turn % 3 IN (0, 1) THEN text ELSE '' END) AS text_md5 FROM messages",
 }

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parley.functions import text as T
-from parley.operators import analytics, cache, digest, extract, fold, graph, messages, profile, stores
+from parley.operators import analytics, cache, digest, extract, fold, graph, messages, profile, relations, stores
 from parley.plans.oracle import SQL
 from parley.sources import tables as S
 from parley.sources.tables import DAY_US
@@ -570,3 +570,99 @@ def recall_across_sessions(spark, d):
 @query
 def expired_sessions(spark, d):
     return stores.expired_sessions(S.requests(spark, d), AT + 13 * DAY_US, 3 * DAY_US)
+
+
+# --- relations -------------------------------------------------------------------------------------------------------
+
+
+@query
+def part_of_links(spark, d):
+    return relations.part_of(S.nodes(spark, d))
+
+
+@query
+def related_links(spark, d):
+    return relations.related(S.nodes(spark, d))
+
+
+@query
+def current_decisions(spark, d):
+    return relations.slot_supersede(S.nodes(spark, d))
+
+
+@query
+def node_topics(spark, d):
+    return relations.topics(S.nodes(spark, d))
+
+
+@query
+def nodes_not_in_payload(spark, d):
+    m = S.messages(spark, d)
+    # Texts are invented words; every third session repeats one of its labels.
+    n = S.nodes(spark, d)
+    said = n.filter("node_id % 3 = 0").select("session_id", F.col("node_id").alias("turn"), F.lit("user").alias("role"), F.concat(F.lit("as said: "), "label").alias("text"))
+    return relations.not_in_payload(n, m.unionByName(said))
+
+
+@query
+def preferences_said(spark, d):
+    m = S.messages(spark, d)
+    said = m.filter("role = 'user'").withColumn("text", F.when(F.col("session_id") % 4 == 0, "I prefer tabs").when(F.col("session_id") % 4 == 1, "Why do I never get tabs").otherwise(F.col("text")))
+    return relations.preferences_said(said)
+
+
+@query
+def longest_error_runs(spark, d):
+    return relations.longest_runs(S.nodes(spark, d), F.col("type").isin("error", "task"))
+
+
+@query
+def new_messages(spark, d):
+    m = S.messages(spark, d)
+    return relations.new_messages(m.filter("turn % 3 <> 2"), m)
+
+
+@query
+def prompt_cache_billing(spark, d):
+    return relations.cache_billing(S.messages(spark, d))
+
+
+@query
+def word_retention(spark, d):
+    m = S.messages(spark, d)
+    return relations.retention(m, messages.windowed(m, 400))
+
+
+@query
+def recall_at_six(spark, d):
+    n = S.nodes(spark, d)
+    cases = n.select("session_id").distinct().select("session_id", F.explode(F.array(F.lit("database"), F.lit("cache"), F.lit("billing"))).alias("expected"))
+    return relations.recall_at(graph.score_nodes(n, QUESTION, S.latest(n, "valid_from")), cases)
+
+
+@query
+def label_quality(spark, d):
+    return relations.label_quality(S.nodes(spark, d))
+
+
+@query
+def graph_counts(spark, d):
+    return relations.counts(S.nodes(spark, d), S.edges(spark, d))
+
+
+@query
+def relevant_texts(spark, d):
+    return relations.relevant_texts(S.read(spark, d, "documents"), ["and", "for", "the", "version", "license", "public"])
+
+
+@query
+def table_lines(spark, d):
+    return relations.fences(S.read(spark, d, "documents"))
+
+
+@query
+def content_texts(spark, d):
+    m = S.messages(spark, d)
+    block = F.to_json(F.array(F.struct(F.lit("text").alias("type"), F.col("text")), F.struct(F.lit("tool_use").alias("type"), F.lit("x").alias("text"))))
+    content = F.when(F.col("turn") % 3 == 0, F.col("text")).when(F.col("turn") % 3 == 1, block)
+    return m.select("session_id", "turn", F.md5(relations.flatten_content(content)).alias("text_md5"))
