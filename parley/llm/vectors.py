@@ -173,36 +173,45 @@ def _joined(blocks: DataFrame, axes: np.ndarray, least: float) -> DataFrame:
     near = F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g * g) <= epsilon * epsilon
     later = (F.col("first") > F.col("l_first")) | ((F.col("first") == F.col("l_first")) & (F.col("block") >= F.col("l_block")))
     pairs = left.join(right, "cell").filter((F.col("l_bytes") == F.col("bytes")) & later & near).select(F.col("l_block").alias("x"), F.col("block").alias("y"))
-    data = lambda k: blocks.select(F.col("block").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in ("reps", "weights", "raw")))
-    work = pairs.join(data("x"), "x").join(data("y"), "y")
-    # A pair of blocks is much work in one row: deal the pairs out one by one.
+    # Each side of a pair fetches its block, and the two meet once: a block's bytes move once a pair.
+    sides = pairs.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+    data = blocks.select("block", "reps", "weights", "raw")
     parts = max(1, int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    work = work.repartition(parts, "x", "y")
+    work = sides.join(data, "block").repartition(parts, "x", "y").sortWithinPartitions("x", "y", "block")
     size = axes.shape[0]
 
+    def compare(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        reps, weights, vectors = [], [], []
+        same = len(rows) == 1
+        for row in (rows[0], rows[-1]):
+            reps.append(np.frombuffer(row["reps"], np.int64))
+            weights.append(np.frombuffer(row["weights"], np.int64))
+            vectors.append(unit(np.frombuffer(row["raw"], "<f4").reshape(len(reps[-1]), -1)))
+        project = axes if vectors[0].shape[1] == size else np.zeros((vectors[0].shape[1], 1))
+        counts = [np.zeros(len(r), np.int64) for r in reps]
+        a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for i, j in join_blocks(vectors[0], vectors[0] @ project, vectors[1], vectors[1] @ project, same, least):
+            counts[0] += np.bincount(i, weights[1][j], len(reps[0])).astype(np.int64)
+            counts[1] += np.bincount(j, weights[0][i], len(reps[1])).astype(np.int64)
+            a, b = np.concatenate([a, reps[0][i]]), np.concatenate([b, reps[1][j]])
+            if len(a) > 500_000:
+                a, b = forest(a, b)
+        a, b = forest(a, b)
+        for r, c in zip(reps, counts, strict=True):
+            at = np.flatnonzero(c)
+            yield pa.RecordBatch.from_arrays([pa.array(r[at]), pa.nulls(len(at), pa.int64()), pa.array(c[at])], names=["a", "b", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(len(a), pa.int64())], names=["a", "b", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
         for batch in batches:
             for row in batch.to_pylist():
-                reps, weights, vectors = [], [], []
-                for k in ("x", "y"):
-                    reps.append(np.frombuffer(row[f"{k}_reps"], np.int64))
-                    weights.append(np.frombuffer(row[f"{k}_weights"], np.int64))
-                    vectors.append(unit(np.frombuffer(row[f"{k}_raw"], "<f4").reshape(len(reps[-1]), -1)))
-                same = row["x"] == row["y"]
-                project = axes if vectors[0].shape[1] == size else np.zeros((vectors[0].shape[1], 1))
-                counts = [np.zeros(len(r), np.int64) for r in reps]
-                a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
-                for i, j in join_blocks(vectors[0], vectors[0] @ project, vectors[1], vectors[1] @ project, same, least):
-                    counts[0] += np.bincount(i, weights[1][j], len(reps[0])).astype(np.int64)
-                    counts[1] += np.bincount(j, weights[0][i], len(reps[1])).astype(np.int64)
-                    a, b = np.concatenate([a, reps[0][i]]), np.concatenate([b, reps[1][j]])
-                    if len(a) > 500_000:
-                        a, b = forest(a, b)
-                a, b = forest(a, b)
-                for r, c in zip(reps, counts, strict=True):
-                    at = np.flatnonzero(c)
-                    yield pa.RecordBatch.from_arrays([pa.array(r[at]), pa.nulls(len(at), pa.int64()), pa.array(c[at])], names=["a", "b", "n"])
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(len(a), pa.int64())], names=["a", "b", "n"])
+                if held and (held[0]["x"], held[0]["y"]) != (row["x"], row["y"]):
+                    yield from compare(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield from compare(held)
 
     return work.mapInArrow(run, "a bigint, b bigint, n bigint")
 
