@@ -10,22 +10,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import jaccard, packing, pii, quality, repeats, scratch
+from parley.llm import jaccard, packing, pii, quality, repeats, scratch, textio
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
+    textio.short_batches(spark)
     return quality.keep(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents, the one with the smallest id stays."""
+    textio.short_batches(spark)
     gone = jaccard.similar(docs).filter("doc_id <> component_id").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 100 bytes that start earlier, too, are cut out."""
+    textio.short_batches(spark)
     return repeats.kept_texts(docs).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
@@ -36,6 +39,7 @@ def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as pieces of sequences of at most 2048 tokens."""
+    textio.short_batches(spark)
     return packing.pack(scratch.settled(packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"))))
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm.pretokens import Memo
-from parley.llm.textio import texts_of
+from parley.llm.textio import released, texts_of
 
 UNKNOWN = "⁇"
 
@@ -96,6 +96,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     """``(id, ids array<int>)`` for each row; ``path`` is the rank file, present on every executor."""
     kind = df.schema[id_col].dataType.simpleString()
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
@@ -111,6 +112,7 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids
     """``(id, bytes binary)`` of each row of ids; null ids decode to nothing."""
     kind = df.schema[id_col].dataType.simpleString()
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
@@ -124,6 +126,7 @@ def digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     """Encode, decode and digest in one pass, so neither the ids nor the bytes leave the task that made them."""
     kind = df.schema[id_col].dataType.simpleString()
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:

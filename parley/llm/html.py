@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parley.llm.textio import released
+
 # Tags and words that rule out what stands in them, tags that end a block, tags without content.
 OUTSIDE_TAGS = frozenset("nav footer aside form head noscript template svg iframe object button select menu dialog canvas audio video datalist fieldset".split())
 OUTSIDE_WORDS = frozenset(
@@ -221,6 +223,7 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     """``(id, url, text, n_chars)`` of each row."""
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, len(batch), 256):

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from parley.llm.components import components
 from parley.llm.packed import bitmap, dealt, has, spot, unpacked
 from parley.llm.scratch import settled, written
-from parley.llm.textio import byte_values, lower_ascii, mix64, span_hashes, texts_of, window_hashes, words
+from parley.llm.textio import byte_values, lower_ascii, mix64, released, span_hashes, texts_of, window_hashes, words
 
 SIZE = 5
 PERCENT = 80
@@ -85,9 +85,10 @@ def links(overlap, n, m, percent: int = PERCENT):
     return 100 * overlap >= percent * (n + m - overlap)
 
 
-def frequent(df: DataFrame, id_col: str, text_col: str) -> np.ndarray:
+def frequent(df: DataFrame, text_col: str) -> np.ndarray:
     """At most ``FREQUENT`` hashes, the most frequent first."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
@@ -120,6 +121,7 @@ def sets(df: DataFrame, last: np.ndarray, id_col: str, text_col: str) -> DataFra
     shared = df.sparkSession.sparkContext.broadcast((known, rank))
     odd = [np.uint64(2 * int(x) + 1) for x in mix64(np.arange(1, 2 * BANDS + 1, dtype=np.uint64)) >> np.uint64(1)]
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rank = shared.value
         for batch in batches:
@@ -263,6 +265,7 @@ def verified(df: DataFrame, cells: DataFrame, id_col: str, text_col: str) -> Dat
     bits = bitmap(cells, "doc")
     shared = spark.sparkContext.broadcast(bits)
 
+    @released
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for batch in batches:
@@ -273,6 +276,7 @@ def verified(df: DataFrame, cells: DataFrame, id_col: str, text_col: str) -> Dat
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     shipped = cells.join(sifted, "doc").select("cell", "doc", "text").repartition(parts, "cell").sortWithinPartitions("cell", "doc")
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, docs, owned = None, [], []
 
@@ -387,6 +391,7 @@ def candidates(prefixes: DataFrame) -> DataFrame:
     spark = prefixes.sparkSession
     blocks = max(8, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
+    @released
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
@@ -433,7 +438,7 @@ def candidates(prefixes: DataFrame) -> DataFrame:
 def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, n_shingles, component_id)`` of each row."""
     kind = df.schema[id_col].dataType.simpleString()
-    all_sets = written(sets(df, frequent(df, id_col, text_col), id_col, text_col), "shingle-sets")
+    all_sets = written(sets(df, frequent(df, text_col), id_col, text_col), "shingle-sets")
     classes = written(all_sets.filter("n > 0").groupBy("key").agg(F.min("doc").alias("rep")), "shingle-classes")
     own = all_sets.filter("n > 0").join(classes.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi")
 

@@ -26,12 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm.pretokens import Memo
-from parley.llm.textio import texts_of
+from parley.llm.textio import released, texts_of
 
 CAPACITY = 2048
 END_ID = 0
 PER_SHARD = 200_000
-SPECIAL = b"<|endoftext|>"
 
 
 class Tokens:
@@ -72,10 +71,11 @@ def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
     kind = df.schema[id_col].dataType.simpleString()
     names = [id_col, "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens(path)
         for batch in batches:
-            for lo, _, data, offsets in texts_of(batch.column(1), 4 << 20):
+            for lo, _, data, offsets in texts_of(batch.column(1), 2 << 20):
                 rows, numbers, starts, lengths, sums, held = [], [], [], [], [], []
                 for k, ids in enumerate(encode(data, offsets)):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from parley.llm import bpe, chat, html, jaccard, packing, pii, quality, repeats, scratch, urls, vectors
+from parley.llm import bpe, chat, html, jaccard, packing, pii, quality, repeats, scratch, textio, urls, vectors
 
 # Rules by host and path prefix, and sites whose pages are blocked where no rule fits.
 URL_RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "block", "example.net/de/8": "block", "org/es/": "block"}
@@ -17,6 +17,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    textio.short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from parley.llm.packed import bitmap, dealt, gathered, has, spot, unpacked
 from parley.llm.scratch import settled, written
 from parley.llm.suffixes import equal_prefixes
-from parley.llm.textio import byte_values, mix64, powers, span_hashes, texts_of
+from parley.llm.textio import byte_values, mix64, powers, released, span_hashes, texts_of
 
 LENGTH = 100
 GRAM = 50
@@ -187,6 +187,7 @@ def deduplicate(df: DataFrame, finish: Callable[[bytes, np.ndarray], tuple], nam
     reps = settled(classes.select("rep"))
     rep_bits = spark.sparkContext.broadcast(bitmap(reps, "rep"))
 
+    @released
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
@@ -228,6 +229,7 @@ def deduplicate(df: DataFrame, finish: Callable[[bytes, np.ndarray], tuple], nam
     flagged = written(posted.groupBy("block").applyInArrow(repeated, "block int, rows binary, docs array<bigint>"), "repeated-anchors")
     bits = spark.sparkContext.broadcast(bitmap(flagged.select(F.explode("docs").alias("doc")), "doc"))
 
+    @released
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = has(bits.value, batch.column(2).to_numpy()) & has(rep_bits.value, batch.column(2).to_numpy())
@@ -275,6 +277,7 @@ def deduplicate(df: DataFrame, finish: Callable[[bytes, np.ndarray], tuple], nam
         spans = merged(repeated_windows(*_unpack_slices(table.column("slices").to_pylist())))
         return _with_docs(spans, blocks)
 
+    @released
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob in batch.column(0).to_pylist():
@@ -300,6 +303,7 @@ def deduplicate(df: DataFrame, finish: Callable[[bytes, np.ndarray], tuple], nam
     kind = df.schema[id_col].dataType.simpleString()
     empty = np.zeros((0, 2), np.int64)
 
+    @released
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = batch.column(2).to_numpy()
@@ -309,6 +313,7 @@ def deduplicate(df: DataFrame, finish: Callable[[bytes, np.ndarray], tuple], nam
                 made = [finish(data[offsets[k] : offsets[k + 1]].tobytes(), empty) for k in range(hi - lo)]
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), own.column(3).slice(lo, hi - lo), *(pa.array([m[c] for m in made], t) for c, t in enumerate(types))], names=["doc", "along", *names])
 
+    @released
     def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = batch.column(2).to_numpy()
@@ -349,6 +354,7 @@ def _with_docs(rows: np.ndarray, blocks: int) -> pa.Table:
 
 
 def _whole(blocks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()

@@ -6,13 +6,37 @@ on the number of rows that Arrow puts in a batch. A single text longer than that
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
 
 CHUNK = 1 << 20
+ROWS_PER_BATCH = 1000
+
+
+def short_batches(spark) -> None:
+    """Texts are long: 10,000 of them in one Arrow batch take tens of MB, several times over, in the JVM and in Python."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_PER_BATCH)
+
+
+def released(run: Callable) -> Callable:
+    """A task's function that gives freed memory back when it ends: Spark keeps the worker for the next task."""
+
+    @wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # not glibc
+                pass
+
+    return wrapped
 
 
 def texts_of(column: pa.Array | pa.ChunkedArray, chunk: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from parley.llm.components import components, forest
 from parley.llm.scratch import written
+from parley.llm.textio import released
 
 SAMPLE = 10_000  # vectors that the principal directions are fitted on
 DIRECTIONS = 8
@@ -87,6 +88,7 @@ def near_duplicates(df: DataFrame, least: float = 0.9, id_col: str = "vec_id", v
     sound = F.coalesce((squares > 0) & (squares < float("inf")) & ~F.isnan(squares), F.lit(False))
     marked = df.select(F.col(id_col).cast("bigint").alias("i"), F.when(sound, vector).alias("vector"))
 
+    @released
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(1)
@@ -120,6 +122,7 @@ def _blocks(classes: DataFrame, axes: np.ndarray, epsilon: float) -> DataFrame:
     """The classes in epsilon grid order, cut into blocks with the box of their projections."""
     size, k = axes.shape
 
+    @released
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = batch.column(2).to_pylist()
@@ -135,6 +138,7 @@ def _blocks(classes: DataFrame, axes: np.ndarray, epsilon: float) -> DataFrame:
     order = ["bytes", "cells", "rep"]
     parts = max(1, int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
+    @released
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -202,6 +206,7 @@ def _joined(blocks: DataFrame, axes: np.ndarray, least: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(r[at]), pa.nulls(len(at), pa.int64()), pa.array(c[at])], names=["a", "b", "n"])
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(len(a), pa.int64())], names=["a", "b", "n"])
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
         for batch in batches:
