@@ -26,8 +26,7 @@ CONTROL = r"(</?s>|\[/?INST\]|<</?SYS>>|<</?ROLE|<<ESC)"
 OPEN = {"user": "[INST]", "assistant": "<s>", "system": "<<SYS>>"}
 CLOSE = {"user": "[/INST]", "assistant": "</s>", "system": "<</SYS>>"}
 TURN = (
-    r"(?s)\G(?:(\[INST\])(.*?)(?<!\\)\[/INST\]|(<s>)(.*?)(?<!\\)</s>|(<<SYS>>)(.*?)(?<!\\)<</SYS>>"
-    r"|(<<ROLE [0-9A-F]*>>)(.*?)(?<!\\)<</ROLE>>)"
+    r"(?s)\G(?:\[INST\].*?(?<!\\)\[/INST\]|<s>.*?(?<!\\)</s>|<<SYS>>.*?(?<!\\)<</SYS>>|<<ROLE [0-9A-F]*>>.*?(?<!\\)<</ROLE>>)"
 )
 HEADER = {0: "", 1: "<<ESC 1>>", 2: "<<ESC 2>>"}
 
@@ -66,18 +65,17 @@ def render(turns: Column, level: int) -> Column:
 def parse(formatted: Column, level: int) -> Column:
     """``array<struct<role, text>>`` as the grammar reads it, up to the first place that is no turn."""
     body = F.substring(formatted, len(HEADER[level]) + 1, 2**31 - 1)
-    pick = lambda k: F.regexp_extract_all(body, F.lit(TURN), F.lit(k))
-    heads = [pick(k) for k in (1, 3, 5, 7)]
-    texts = [pick(k) for k in (2, 4, 6, 8)]
-    zipped = F.arrays_zip(*(h.alias(f"h{k}") for k, h in enumerate(heads)), *(t.alias(f"t{k}") for k, t in enumerate(texts)))
-
-    def turn(x: Column) -> Column:
-        known = [F.when(x[f"h{k}"] != "", F.lit(r)) for k, r in enumerate(OPEN)]
-        other = F.decode(F.unhex(F.regexp_extract(x["h3"], r"([0-9A-F]*)>>$", 1)), "UTF-8")
-        text = F.concat(*(x[f"t{k}"] for k in range(4)))
+
+    def turn(piece: Column) -> Column:
+        known = [F.when(piece.startswith(mark), F.lit(role)) for role, mark in OPEN.items()]
+        other = F.decode(F.unhex(F.regexp_extract(piece, r"^<<ROLE ([0-9A-F]*)>>", 1)), "UTF-8")
+        marks = [F.when(piece.startswith(mark), F.lit(len(mark))) for mark in OPEN.values()]
+        start = F.coalesce(*marks, F.instr(piece, ">>") + 1)
+        closes = [F.when(piece.startswith(mark), F.lit(len(CLOSE[role]))) for role, mark in OPEN.items()]
+        text = piece.substr(start + 1, F.length(piece) - start - F.coalesce(*closes, F.lit(len("<</ROLE>>"))))
         return F.struct(F.coalesce(*known, other).alias("role"), unescape(text, level).alias("text"))
 
-    return F.transform(zipped, turn)
+    return F.transform(F.regexp_extract_all(body, F.lit(TURN), F.lit(0)), turn)
 
 
 def _spans(turns: Column, level: int) -> Column:
@@ -103,9 +101,12 @@ def format_conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn
     sorted_rows = F.sort_array(F.collect_list(row))
     turns = F.transform(sorted_rows, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
     out = df.groupBy(F.col(conv)).agg(turns.alias("turns"))
-    identical = lambda k: parse(render(F.col("turns"), k), k) == F.col("turns")
-    out = out.withColumn("level", F.when(identical(0), 0).when(identical(1), 1).otherwise(2))
-    out = out.withColumn("formatted", _by_level(lambda k: render(F.col("turns"), k)))
+    # What most conversations need is made once and referred to; the other levels are made where they are needed.
+    out = out.withColumn("plain", render(F.col("turns"), 0))
+    identical = lambda text, k: parse(text, k) == F.col("turns")
+    escaped = F.when(identical(render(F.col("turns"), 1), 1), 1).otherwise(2)
+    out = out.withColumn("level", F.when(identical(F.col("plain"), 0), 0).otherwise(escaped))
+    out = out.withColumn("formatted", F.when(F.col("level") == 0, F.col("plain")).when(F.col("level") == 1, render(F.col("turns"), 1)).otherwise(render(F.col("turns"), 2))).drop("plain")
     spans = _by_level(lambda k: _spans(F.col("turns"), k))
     return out.withColumn("loss_spans", F.filter(spans, lambda s: s["role"] == "assistant"))
 
