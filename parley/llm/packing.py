@@ -31,6 +31,7 @@ from parley.llm.textio import released, texts_of
 CAPACITY = 2048
 END_ID = 0
 PER_SHARD = 200_000
+SLICE = 4096
 
 
 class Tokens:
@@ -44,7 +45,8 @@ class Tokens:
         self.memo = Memo(self.encode)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        # The library's encodings are large next to their ids: a slice at a time.
+        return [e.ids for lo in range(0, len(texts), SLICE) for e in self.tokenizer.encode_batch_fast(texts[lo : lo + SLICE], add_special_tokens=False)]
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         raw = data.tobytes()
