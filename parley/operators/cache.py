@@ -21,11 +21,12 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """The ``k`` nearest vectors of each of a bounded set of queries ``(query_id, query)``.
+    """The ``k`` nearest vectors of each of any number of queries ``(query_id, query)``.
 
-    The queries are few by contract and go to every task; each task keeps its best before the shuffle.
+    Spark sends the queries to every task only where they are small (``spark.sql.autoBroadcastJoinThreshold``); otherwise
+    each task pairs one partition of vectors with one of queries. Either way a task keeps its best before the shuffle.
     """
-    scored = vectors.join(F.broadcast(queries), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(cosine(F.col("query"), F.col("embedding")), 6).alias("similarity"))
+    scored = vectors.join(queries, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(cosine(F.col("query"), F.col("embedding")), 6).alias("similarity"))
     near = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
     # A window limit below its own filter is a partial top-k per task (WindowGroupLimit).
     return scored.withColumn("rank", near).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("bigint").alias("rank"), "vec_id", "similarity")
@@ -36,12 +37,13 @@ def hits(vectors: DataFrame, queries: DataFrame, threshold: float = THRESHOLD) -
     return best.select("query_id", F.col("vec_id").alias("best_id"), "similarity", (F.col("similarity") >= threshold).alias("hit"))
 
 
-def blended(vectors: DataFrame, query: DataFrame, labels: DataFrame, weight: float = 0.4, k: int = 4) -> DataFrame:
-    """Keyword scores with the best ``k`` by similarity raised: ``weight * similarity / best``."""
-    near = nearest(vectors, query, k)
+def blended(vectors: DataFrame, queries: DataFrame, labels: DataFrame, weight: float = 0.4, k: int = 4) -> DataFrame:
+    """Keyword scores, for each query, with its best ``k`` by similarity raised: ``weight * similarity / best``."""
+    near = nearest(vectors, queries, k)
     top = near.groupBy("query_id").agg(F.max("similarity").alias("best"))
-    raised = near.join(top, "query_id").select("vec_id", F.round(weight * F.col("similarity") / F.col("best"), 6).alias("raise"))
-    return labels.join(raised, "vec_id", "left").select("vec_id", F.round(F.col("score") + F.coalesce("raise", F.lit(0.0)), 6).alias("score"))
+    raised = near.join(top, "query_id").select("query_id", "vec_id", F.round(weight * F.col("similarity") / F.col("best"), 6).alias("raise"))
+    pairs = labels.crossJoin(queries.select("query_id"))
+    return pairs.join(raised, ["query_id", "vec_id"], "left").select("query_id", "vec_id", F.round(F.col("score") + F.coalesce("raise", F.lit(0.0)), 6).alias("score"))
 
 
 def decisive_profile(text: Column) -> list[Column]:

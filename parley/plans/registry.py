@@ -465,7 +465,30 @@ def similar_hits(spark, d):
 def blended_scores(spark, d):
     v = _vectors(spark, d)
     q = v.filter(F.col("vec_id").isin(7)).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return cache.blended(v, q, v.select("vec_id", (F.col("vec_id") % 10 / 10).alias("score")))
+    return cache.blended(v, q, v.select("vec_id", (F.col("vec_id") % 10 / 10).alias("score"))).drop("query_id")
+
+
+def _every_twentieth(v):
+    """The search query set as a whole: every id that 20 divides, against all vectors."""
+    return v.filter(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+
+
+@query
+def nearest_vectors_all(spark, d):
+    v = _vectors(spark, d)
+    return cache.nearest(v, _every_twentieth(v))
+
+
+@query
+def similar_hits_all(spark, d):
+    v = _vectors(spark, d)
+    return cache.hits(v, _every_twentieth(v))
+
+
+@query
+def blended_scores_all(spark, d):
+    v = _vectors(spark, d)
+    return cache.blended(v, _every_twentieth(v), v.select("vec_id", (F.col("vec_id") % 10 / 10).alias("score")))
 
 
 @query
