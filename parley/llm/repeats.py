@@ -12,7 +12,10 @@ the same one. Texts are UTF-8 bytes; strings never cross documents and are judge
 3. The spans to remove go back to their documents.
 
 Anchors decide only what is compared. Documents whose whole text is equal to a smaller one's are left out of all this:
-each of their strings starts earlier. Strings that repeat in one document are reduced to the first where they are found.
+each of their strings starts earlier. Slices that repeat in a block of documents are reduced to the first before they are
+dealt out, so a shard gets each form at most once a block, however many documents share it. The slices of an anchor that
+over ``HOT`` documents have may still all differ (at the edges of a shared passage): their strings are dealt out one by
+one, by their own hashes, so no shard gets them all.
 
 Defined cases: null and empty texts have no bytes; texts shorter than ``LENGTH`` lose none; texts of any length are used
 whole; rows with equal ids and equal texts are one document (ids are expected to be distinct); an empty table gives no
@@ -36,7 +39,11 @@ from parley.llm.textio import byte_values, mix64, powers, released, span_hashes,
 
 LENGTH = 100
 GRAM = 50
+HOT = 10_000
 ANCHOR = np.dtype([("h", "<u8"), ("doc", "<i8")])
+FLAGGED = np.dtype([("h", "<u8"), ("doc", "<i8"), ("hot", "u1")])
+FORM = np.dtype([("h", "<u8"), ("own", "<u8")])
+WINDOW = np.dtype([("h", "<u8"), ("own", "<u8"), ("doc", "<i8"), ("at", "<i8")])
 SLICE = np.dtype([("h", "<u8"), ("own", "<u8"), ("doc", "<i8"), ("at", "<i8"), ("anchor", "<u2"), ("size", "<u2")])
 SPAN = np.dtype([("doc", "<i8"), ("start", "<i8"), ("end", "<i8")])
 
@@ -74,13 +81,28 @@ def gram_hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return span_hashes(byte_values()[data], at, at + GRAM)
 
 
-def first_of_document(text: np.ndarray, h: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """Whether no earlier slice of the same document has the same anchor and bytes; slices are in page order."""
-    by = np.lexsort((own, h, text))
-    again = np.zeros(len(by), bool)
-    again[1:] = (own[by][1:] == own[by][:-1]) & (h[by][1:] == h[by][:-1]) & (text[by][1:] == text[by][:-1])
-    out = np.ones(len(by), bool)
-    out[by[again]] = False
+def first_of_block(seen: np.ndarray, h: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether neither ``seen`` nor an earlier entry has the same form, and ``seen`` with the new forms."""
+    both = np.empty(len(seen) + len(h), FORM)
+    both[: len(seen)] = seen
+    both["h"][len(seen) :], both["own"][len(seen) :] = h, own
+    by = np.lexsort((both["own"], both["h"]))
+    new = np.ones(len(both), bool)
+    new[by[1:]] = both[by[1:]] != both[by[:-1]]
+    return new[len(seen) :], both[new]
+
+
+def repeated_hashes(w: np.ndarray) -> np.ndarray:
+    """Spans to remove, from strings of hot anchors, each with its own hash."""
+    w = w[np.lexsort((w["at"], w["doc"], w["own"], w["h"]))]
+    again = np.zeros(len(w), bool)
+    again[1:] = (w["own"][1:] == w["own"][:-1]) & (w["h"][1:] == w["h"][:-1])
+    return _spans(w["doc"][again], w["at"][again], LENGTH)
+
+
+def _spans(doc: np.ndarray, start: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+    out = np.empty(len(doc), SPAN)
+    out["doc"], out["start"], out["end"] = doc, start, start + size
     return out
 
 
@@ -173,7 +195,7 @@ def _unpack_slices(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(bytes_)
 
 
-def deduplicate(df: DataFrame, finish: Callable[[bytes, np.ndarray], tuple], names: list[str], types: list[pa.DataType], ddl: str, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+def deduplicate(df: DataFrame, finish: Callable[[bytes, np.ndarray], tuple], names: list[str], types: list[pa.DataType], ddl: str, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, hot: int = HOT) -> DataFrame:
     """``(id, *carry, *names)`` of each row, with what ``finish(bytes, spans)`` makes of a text and its ``(start, end)`` to remove."""
     spark = df.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -223,7 +245,10 @@ def deduplicate(df: DataFrame, finish: Callable[[bytes, np.ndarray], tuple], nam
         again[1:] |= same
         again[:-1] |= same
         rows = np.unique(rows[again])
-        return _with_docs(rows, blocks)
+        _, of, count = np.unique(rows["h"], return_inverse=True, return_counts=True)
+        marked = np.empty(len(rows), FLAGGED)
+        marked["h"], marked["doc"], marked["hot"] = rows["h"], rows["doc"], count[of] > hot
+        return _with_docs(marked, blocks)
 
     posted = texts.select("doc", "text", spot("doc").alias("s")).mapInArrow(post, "block int, rows binary")
     flagged = written(posted.groupBy("block").applyInArrow(repeated, "block int, rows binary, docs array<bigint>"), "repeated-anchors")
@@ -237,7 +262,9 @@ def deduplicate(df: DataFrame, finish: Callable[[bytes, np.ndarray], tuple], nam
             yield pa.RecordBatch.from_arrays([pa.array(_doc_block(own.column(0).to_numpy().copy(), blocks).astype(np.int32)), own.column(0), own.column(1)], names=["block", "doc", "text"])
 
     def slices(left: pa.Table, right: pa.Table) -> pa.Table:
-        wanted = unpacked(right.column("rows"), ANCHOR) if right.num_rows else np.zeros(0, ANCHOR)
+        wanted = unpacked(right.column("rows"), FLAGGED) if right.num_rows else np.zeros(0, FLAGGED)
+        hot_anchors = np.unique(wanted["h"][wanted["hot"] > 0])
+        seen, seen_windows = np.zeros(0, FORM), np.zeros(0, FORM)
         pairs = np.unique(mix64(wanted["h"] ^ mix64(wanted["doc"].view(np.uint64))))
         out: list[pa.RecordBatch] = []
         if left.num_rows:
@@ -252,19 +279,35 @@ def deduplicate(df: DataFrame, finish: Callable[[bytes, np.ndarray], tuple], nam
                 form = span_hashes(byte_values()[data], first, first + size)
                 # The anchor's place in the slice is part of its form.
                 form = mix64(form ^ (at - first).astype(np.uint64))
-                new = first_of_document(of, h, form)
-                spans = np.empty(int((~new).sum()), SPAN)
-                start = (first - offsets[of])[~new]
-                spans["doc"], spans["start"], spans["end"] = doc[~new], start, start + size[~new]
-                s = np.empty(int(new.sum()), SLICE)
-                s["h"], s["own"], s["doc"], s["at"], s["anchor"], s["size"] = h[new], form[new], doc[new], (first - offsets[of])[new], (at - first)[new], size[new]
+                # Texts come in the order of their documents: what a form's first slice has, the later ones repeat.
+                new, seen = first_of_block(seen, h, form)
+                spans = [_spans(doc[~new], (first - offsets[of])[~new], size[~new])]
+                warm = new & ~np.isin(h, hot_anchors)
+                s = np.empty(int(warm.sum()), SLICE)
+                s["h"], s["own"], s["doc"], s["at"], s["anchor"], s["size"] = h[warm], form[warm], doc[warm], (first - offsets[of])[warm], (at - first)[warm], size[warm]
                 shard = (mix64(s["h"]) % np.uint64(shards)).astype(np.int64)
                 by = np.argsort(shard, kind="stable")
-                s, begin, length, shard = s[by], first[new][by], size[new][by], shard[by]
+                s, begin, length, shard = s[by], first[warm][by], size[warm][by], shard[by]
                 cut = np.searchsorted(shard, np.arange(shards + 1))
                 some = np.flatnonzero(np.diff(cut)).tolist()
                 packs = [_pack_slices(s[cut[k] : cut[k + 1]], gathered(data, begin[cut[k] : cut[k + 1]], length[cut[k] : cut[k + 1]])) for k in some]
                 out.append(pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(packs, pa.binary()), pa.nulls(len(some), pa.binary())], names=["shard", "slices", "spans"]))
+                row = np.flatnonzero(new & ~warm)
+                if len(row):
+                    count = size[row] - LENGTH + 1
+                    start = np.arange(int(count.sum())) + np.repeat(first[row] - (np.cumsum(count) - count), count)
+                    row = np.repeat(row, count)
+                    w = np.empty(len(row), WINDOW)
+                    w["h"], w["doc"], w["at"] = h[row], doc[row], start - offsets[of[row]]
+                    w["own"] = mix64(span_hashes(byte_values()[data], start, start + LENGTH) ^ (at[row] - start).astype(np.uint64))
+                    new, seen_windows = first_of_block(seen_windows, w["h"], w["own"])
+                    spans.append(_spans(w["doc"][~new], w["at"][~new], LENGTH))
+                    w = w[new]
+                    # Shards of their own, after those of the slices.
+                    packed = dealt(w, (mix64(w["own"] ^ mix64(w["h"])) % np.uint64(shards)).astype(np.int64), shards)
+                    some = pa.array(packed.column(0).to_numpy() + np.int32(shards), pa.int32())
+                    out.append(pa.RecordBatch.from_arrays([some, packed.column(1), pa.nulls(len(some), pa.binary())], names=["shard", "slices", "spans"]))
+                spans = np.concatenate(spans)
                 if len(spans):
                     out.append(pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.nulls(1, pa.binary()), pa.array([merged(spans).tobytes()], pa.binary())], names=["shard", "slices", "spans"]))
         return pa.Table.from_batches(out, pa.schema([("shard", pa.int32()), ("slices", pa.binary()), ("spans", pa.binary())]))
@@ -274,8 +317,11 @@ def deduplicate(df: DataFrame, finish: Callable[[bytes, np.ndarray], tuple], nam
     cut = written(cut, "repeated-slices")
 
     def order(table: pa.Table) -> pa.Table:
-        spans = merged(repeated_windows(*_unpack_slices(table.column("slices").to_pylist())))
-        return _with_docs(spans, blocks)
+        if table.column("shard")[0].as_py() >= shards:
+            found = repeated_hashes(unpacked(table.column("slices"), WINDOW))
+        else:
+            found = repeated_windows(*_unpack_slices(table.column("slices").to_pylist()))
+        return _with_docs(merged(found), blocks)
 
     @released
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,11 +424,11 @@ def _digest(text: bytes, spans: np.ndarray) -> tuple:
     return len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()
 
 
-def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """``(id, n_bytes, n_removed, n_spans, kept_sha256)`` of each row."""
     return deduplicate(
         df, _digest, ["n_bytes", "n_removed", "n_spans", "kept_sha256"], [pa.int64(), pa.int64(), pa.int64(), pa.string()],
-        "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string", id_col, text_col,
+        "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string", id_col, text_col, hot=hot,
     )
 
 

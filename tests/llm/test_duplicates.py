@@ -101,6 +101,49 @@ def test_repeats(spark):
     assert {r.doc_id: r.text for r in kept.select("doc_id", "text").collect()} == {i: v[4].decode("utf-8", "ignore") for i, v in expected.items()}
 
 
+def shared_passage(n=600):
+    """A passage in every document, between text of its own: its inner slices are equal, those at its edges all differ."""
+    rng = random.Random(11)
+    passage = "".join(rng.choice("abcdefghijklmnop") for _ in range(400))
+    own = lambda: "".join(rng.choice("qrstuvwxyz é") for _ in range(130))
+    return [(k * 7 % 1009, own() + passage + own()) for k in range(n)]
+
+
+@pytest.mark.parametrize("hot", [0, 5])
+def test_repeats_of_hot_anchors(spark, hot):
+    docs = repeated_texts(6) + [(20_000 + i, text) for i, text in shared_passage(60)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert {r.doc_id: tuple(r)[1:] for r in repeats.digests(df, hot=hot).collect()} == {i: v[:4] for i, v in brute_repeats(docs).items()}
+
+
+def test_shared_passage_is_split(spark, monkeypatch):
+    """What is dealt out is bounded by forms and blocks, and no shard gets a share of every document."""
+    kept = {}
+    real = repeats.written
+    monkeypatch.setattr(repeats, "written", lambda df, what: kept.setdefault(what, real(df, what)))
+    docs = shared_passage()
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert {r.doc_id: tuple(r)[1:] for r in repeats.digests(df, hot=100).collect()} == {i: v[:4] for i, v in brute_repeats(docs).items()}
+    inner, edges = [], {}
+    for shard, packed in kept["repeated-slices"].filter("shard >= 0").select("shard", "slices").collect():
+        if shard < 8:
+            inner += repeats._unpack_slices([bytes(packed)])[0].tolist()
+        else:
+            edges[shard] = edges.get(shard, 0) + len(packed) // repeats.WINDOW.itemsize
+    of_anchor = {}
+    for h, *_ in inner:
+        of_anchor[h] = of_anchor.get(h, 0) + 1
+    assert max(of_anchor.values(), default=0) <= 100
+    assert len(edges) == 8 and max(edges.values()) < 2 * sum(edges.values()) / len(edges)
+    kept.clear()
+    repeats.digests(df, hot=10**6).collect()
+    slices = [x for (packed,) in kept["repeated-slices"].filter("shard >= 0").select("slices").collect() for x in repeats._unpack_slices([bytes(packed)])[0].tolist()]
+    forms = {}
+    for h, own, *_ in slices:
+        forms[h, own] = forms.get((h, own), 0) + 1
+    assert max(forms.values()) <= 8  # once a block, before: 600
+
+
 def test_repeats_repeated_and_no_rows(spark):
     rng = random.Random(9)
     text = "".join(rng.choice("abcdefghijklmnop") for _ in range(300))
