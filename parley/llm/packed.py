@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FILTER_BITS = 24  # bitmaps of documents; a fixed size, false hits cost only work
@@ -29,6 +29,11 @@ def gathered(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
     return data[np.arange(int(lengths.sum())) + np.repeat(starts - before, lengths)]
 
 
+def stand_in(column: Column) -> Column:
+    """A number from 2**62 on that stands for a null id, from a hash of the row's content."""
+    return F.lit(1 << 62) + F.pmod(F.xxhash64(column), F.lit(1 << 62))
+
+
 def spot(column: str):
     """Where a bitmap has an id."""
     return F.pmod(F.xxhash64(column), F.lit(1 << FILTER_BITS)).cast("int")

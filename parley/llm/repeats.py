@@ -18,7 +18,8 @@ over ``HOT`` documents have may still all differ (at the edges of a shared passa
 one, by their own hashes, so no shard gets them all.
 
 Defined cases: null and empty texts have no bytes; texts shorter than ``LENGTH`` lose none; texts of any length are used
-whole; rows with equal ids and equal texts are one document (ids are expected to be distinct); an empty table gives no
+whole; rows with equal ids and equal texts are one document (ids are expected to be distinct); rows with null ids are
+documents too, at numbers from 2**62 on by their texts' hashes, so after smaller ids, and keep their null; an empty table gives no
 rows; other columns are left alone.
 """
 
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.packed import bitmap, dealt, gathered, has, spot, unpacked
+from parley.llm.packed import bitmap, dealt, gathered, has, spot, stand_in, unpacked
 from parley.llm.scratch import settled, written
 from parley.llm.suffixes import equal_prefixes
 from parley.llm.textio import byte_values, mix64, powers, released, span_hashes, texts_of
@@ -201,7 +202,8 @@ def deduplicate(df: DataFrame, finish: Callable[[bytes, np.ndarray], tuple], nam
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     blocks, shards = max(8, 2 * parts), max(8, parts)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    texts = df.select(F.col(id_col).cast("bigint").alias("doc"), text.alias("text"))
+    doc = F.coalesce(F.col(id_col).cast("bigint"), stand_in(text))
+    texts = df.select(doc.alias("doc"), text.alias("text"))
 
     # Equal texts: the least document stands for all.
     equal = texts.select("doc", F.md5("text").alias("digest"), F.octet_length("text").alias("n"))
@@ -333,9 +335,9 @@ def deduplicate(df: DataFrame, finish: Callable[[bytes, np.ndarray], tuple], nam
     between = cut.filter("shard >= 0").select("shard", "slices").groupBy("shard").applyInArrow(order, schema)
     spans = written(between.unionAll(cut.filter("shard < 0").select("spans").mapInArrow(local, schema)), "repeated-spans")
 
-    # What a row carries along goes in one struct.
-    along = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carry or [])))
-    source = df.select(F.col(id_col).cast("bigint").alias("doc"), text.alias("text"), spot(F.col(id_col).cast("bigint")).alias("s"), along.alias("along"))
+    # What a row carries along goes in one struct, with its own id, which may be null.
+    along = F.struct(F.col(id_col).alias("_"), *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carry or [])))
+    source = df.select(doc.alias("doc"), text.alias("text"), spot(doc).alias("s"), along.alias("along"))
     along_ddl = source.schema["along"].dataType.simpleString()
 
     # Copies of whole texts, and documents with spans, are dealt out; the rest is finished where it is read.
@@ -346,7 +348,6 @@ def deduplicate(df: DataFrame, finish: Callable[[bytes, np.ndarray], tuple], nam
     copies = copied.select(F.col("doc"), F.col("n")).distinct()
     whole = written(copies.mapInArrow(_whole(blocks), schema), "repeated-texts")
     copy_bits = spark.sparkContext.broadcast(bitmap(whole.select(F.explode("docs").alias("doc")), "doc"))
-    kind = df.schema[id_col].dataType.simpleString()
     empty = np.zeros((0, 2), np.int64)
 
     @released
@@ -389,7 +390,7 @@ def deduplicate(df: DataFrame, finish: Callable[[bytes, np.ndarray], tuple], nam
     dealt_out = source.mapInArrow(touched, f"block int, doc bigint, text string, along {along_ddl}")
     changed = dealt_out.groupBy("block").cogroup(gone.groupBy("block")).applyInArrow(remove, out_ddl)
     carried = (F.col(f"along.c{k}").alias(c) for k, c in enumerate(carry or []))
-    return rest.unionAll(changed).select(F.col("doc").cast(kind).alias(id_col), *carried, *names)
+    return rest.unionAll(changed).select(F.col("along._").alias(id_col), *carried, *names)
 
 
 def _with_docs(rows: np.ndarray, blocks: int) -> pa.Table:

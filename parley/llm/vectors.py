@@ -11,7 +11,9 @@ of its classes and a spanning forest of the links, never the links.
 
 Defined cases: null and zero vectors and those with null or non-finite components link with nothing, whatever their
 length; vectors of other lengths than the most frequent one link only among their own length; repeated rows are copies;
-a vector id that occurs twice gives two rows with the same id; an empty table gives no rows; other columns are left alone.
+a vector id that occurs twice gives two rows with the same id; rows with null ids and equal vectors are like one id that
+occurs often, at a number from 2**62 on by the vector's hash, so they are kept where no smaller id links with them, and a
+component whose least number is such a one has a null ``component_id``; an empty table gives no rows; other columns are left alone.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm.components import components, forest
+from parley.llm.packed import stand_in
 from parley.llm.scratch import written
 from parley.llm.textio import released
 
@@ -97,7 +100,7 @@ def near_duplicates(df: DataFrame, least: float = 0.9, id_col: str = "vec_id", v
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["i", "raw"])
 
     rows = written(marked.mapInArrow(pack, "i bigint, raw binary"), "vectors")
-    classes = written(rows.filter("raw IS NOT NULL").groupBy("raw").agg(F.min("i").alias("rep"), F.count("*").alias("weight")), "vector-classes")
+    classes = written(rows.filter("raw IS NOT NULL").groupBy("raw").agg(F.coalesce(F.min("i"), stand_in(F.col("raw"))).alias("rep"), F.count("*").alias("weight"), F.min("i").isNull().alias("nameless")), "vector-classes")
     sizes = [r.n // 4 for r in classes.groupBy(F.length("raw").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()]
     if not sizes:
         return rows.select(F.col("i").alias(id_col), F.lit(0).cast("bigint").alias("n_links"), F.col("i").alias("component_id"), F.lit(True).alias("kept"))
@@ -110,12 +113,19 @@ def near_duplicates(df: DataFrame, least: float = 0.9, id_col: str = "vec_id", v
     known = (
         classes.join(links, "rep", "left")
         .join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("raw", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+        .select("raw", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("least"), F.when(F.col("nameless"), F.col("rep")).alias("own"))
     )
-    out = rows.join(known, "raw", "left").select(
-        F.col("i").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("component_id", "i").alias("component_id")
-    )
-    return out.withColumn("kept", F.col(id_col) == F.col("component_id"))
+    named = F.col("least")
+    nameless = classes.filter("nameless").select(F.col("rep").alias("least"), F.lit(True).alias("unnamed"))
+    if not nameless.isEmpty():
+        known = known.join(nameless, "least", "left")
+        named = F.when(F.col("unnamed").isNull(), F.col("least"))
+    # Without a sound vector a row is alone; a null id stands at its class's number where no id does.
+    alone = F.col("least").isNull()
+    return rows.join(known, "raw", "left").select(
+        F.col("i").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.when(alone, F.col("i")).otherwise(named).alias("component_id"),
+        (alone | F.coalesce(F.coalesce("i", "own") == F.col("least"), F.lit(False))).alias("kept"),
+    )
 
 
 def _blocks(classes: DataFrame, axes: np.ndarray, epsilon: float) -> DataFrame:

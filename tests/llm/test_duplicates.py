@@ -164,6 +164,31 @@ def test_vectors(spark):
     assert vectors.near_duplicates(df.filter("vec_id IN (502, 503)")).count() == 2
 
 
+def test_repeats_null_ids(spark):
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    shared, alone = text(300), text(250)
+    df = spark.createDataFrame([(4, shared), (None, alone), (None, alone[:120] + shared), (None, None), (None, "short"), (5, shared)], "doc_id bigint, text string")
+    # Alone, or with what only other nulls have: by the text's hash one of both keeps the 120 bytes they share.
+    found = sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in repeats.digests(df).collect())
+    assert [x for x in found if x[1] not in (250, 420)] == [(0, 0, 0), (0, 5, 0), (4, 300, 0), (5, 300, 300)]
+    assert [x for x in found if x[1] in (250, 420)] in ([(0, 250, 0), (0, 420, 420)], [(0, 250, 120), (0, 420, 300)])
+    assert repeats.kept_texts(df).filter("doc_id IS NULL").count() == 4
+
+
+def test_vectors_null_ids(spark):
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    rows = [(None, a), (3, a), (None, b), (None, b), (None, [0.0, 1.0, 0.1]), (9, c), (None, None), (None, [0.0, 0.5, 2.0]), (7, None)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    found = [(r.vec_id, r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(df).collect()]
+    near = [x for x in found if x[0] is None and x[2] is None and x[1]]
+    assert sorted((n, kept) for _, n, _, kept in near) in ([(2, False), (2, True), (2, True)], [(2, False), (2, False), (2, True)])
+    rest = [x for x in found if x not in near]
+    assert sorted(rest, key=repr) == sorted([(None, 1, 3, False), (3, 1, 3, True), (9, 1, 9, True), (None, 0, None, True), (None, 1, 9, False), (7, 0, 7, True)], key=repr)
+    unsound = vectors.near_duplicates(df.filter("embedding IS NULL")).collect()
+    assert sorted(((r.vec_id, r.component_id, r.kept) for r in unsound), key=repr) == [(7, 7, True), (None, None, True)]
+
+
 def test_components(spark):
     rng = random.Random(1)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + k, 1001 + k) for k in range(60)]
