@@ -19,6 +19,8 @@ are left alone.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,7 @@ CLOSE = {"user": "[/INST]", "assistant": "</s>", "system": "<</SYS>>"}
 TURN = (
     r"(?s)\G(?:\[INST\].*?(?<!\\)\[/INST\]|<s>.*?(?<!\\)</s>|<<SYS>>.*?(?<!\\)<</SYS>>|<<ROLE [0-9A-F]*>>.*?(?<!\\)<</ROLE>>)"
 )
+RUN = 64
 HEADER = {0: "", 1: "<<ESC 1>>", 2: "<<ESC 2>>"}
 
 
@@ -62,8 +65,13 @@ def render(turns: Column, level: int) -> Column:
     return F.concat(F.lit(HEADER[level]), F.array_join(shown, ""))
 
 
+def level_of(formatted: Column) -> Column:
+    """The level that the header of a formatted text names."""
+    return F.when(formatted.startswith(HEADER[1]), 1).when(formatted.startswith(HEADER[2]), 2).otherwise(0)
+
+
 def parse(formatted: Column, level: int) -> Column:
-    """``array<struct<role, text>>`` as the grammar reads it, up to the first place that is no turn."""
+    """``array<struct<role, text>>`` as the grammar reads it after the level's header, up to the first place that is no turn."""
     body = F.substring(formatted, len(HEADER[level]) + 1, 2**31 - 1)
 
     def turn(piece: Column) -> Column:
@@ -80,19 +88,39 @@ def parse(formatted: Column, level: int) -> Column:
 
 def _spans(turns: Column, level: int) -> Column:
     """``array<struct<role, start, size>>``: where each turn's text stands in the formatted text, from 1."""
-    zero = F.struct(F.lit(len(HEADER[level]) + 1).alias("at"), F.array().cast("array<struct<role:string,start:int,size:int>>").alias("spans"))
+    sizes = F.transform(
+        turns,
+        lambda t: F.struct(
+            t["role"].alias("role"), F.length(_opening(t["role"])).alias("lead"), F.length(escape(t["text"], level)).alias("size"), F.length(_closing(t["role"])).alias("tail")
+        ),
+    )
+    # Running totals from the start would be quadratic in the turns: sums of runs of RUN turns come first.
+    return _let(sizes, lambda own: _placed(own, len(HEADER[level]) + 1))
+
+
+def _placed(own: Column, first: int) -> Column:
+    whole = lambda t: t["lead"] + t["size"] + t["tail"]
+    total = lambda part: F.aggregate(part, F.lit(0), lambda s, t: s + whole(t))
+    runs = F.transform(F.sequence(F.lit(0), F.floor(F.size(own) / RUN).cast("int")), lambda k: total(F.slice(own, k * RUN + 1, RUN)))
+
+    def placed(runs: Column) -> Column:
+        before = F.transform(runs, lambda _, k: F.aggregate(F.slice(runs, 1, k), F.lit(first), lambda s, n: s + n))
+        return _let(before, lambda at: F.transform(own, lambda t, i: F.struct(
+            t["role"].alias("role"),
+            (F.get(at, F.floor(i / RUN).cast("int")) + total(F.slice(own, F.floor(i / RUN).cast("int") * RUN + 1, i % RUN)) + t["lead"]).alias("start"),
+            t["size"].alias("size"),
+        )))
+
+    return _let(runs, placed)
 
-    def step(acc: Column, t: Column) -> Column:
-        start = acc["at"] + F.length(_opening(t["role"]))
-        size = F.length(escape(t["text"], level))
-        span = F.struct(t["role"].alias("role"), start.alias("start"), size.alias("size"))
-        return F.struct((start + size + F.length(_closing(t["role"]))).alias("at"), F.array_append(acc["spans"], span).alias("spans"))
 
-    return F.aggregate(turns, zero, step, lambda acc: acc["spans"])
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), body)[0]
 
 
-def _by_level(make) -> Column:
-    return F.when(F.col("level") == 0, make(0)).when(F.col("level") == 1, make(1)).otherwise(make(2))
+def _by_level(level: Column, make: Callable[[int], Column]) -> Column:
+    return F.when(level == 0, make(0)).when(level == 1, make(1)).otherwise(make(2))
 
 
 def format_conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -107,14 +135,15 @@ def format_conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn
     escaped = F.when(identical(render(F.col("turns"), 1), 1), 1).otherwise(2)
     out = out.withColumn("level", F.when(identical(F.col("plain"), 0), 0).otherwise(escaped))
     out = out.withColumn("formatted", F.when(F.col("level") == 0, F.col("plain")).when(F.col("level") == 1, render(F.col("turns"), 1)).otherwise(render(F.col("turns"), 2))).drop("plain")
-    spans = _by_level(lambda k: _spans(F.col("turns"), k))
+    spans = _by_level(F.col("level"), lambda k: _spans(F.col("turns"), k))
     return out.withColumn("loss_spans", F.filter(spans, lambda s: s["role"] == "assistant"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Add ``parsed`` turns and the unescaped ``loss_text``, both from the formatted text alone."""
-    parsed = _by_level(lambda k: parse(F.col("formatted"), k))
-    loss = _by_level(lambda k: F.array_join(F.transform("loss_spans", lambda s: unescape(F.col("formatted").substr(s["start"], s["size"]), k)), ""))
+    """Add ``parsed`` turns, read from the formatted text alone, and the unescaped ``loss_text`` under the loss spans."""
+    level = level_of(F.col("formatted"))
+    parsed = _by_level(level, lambda k: parse(F.col("formatted"), k))
+    loss = _by_level(level, lambda k: F.array_join(F.transform("loss_spans", lambda s: unescape(F.col("formatted").substr(s["start"], s["size"]), k)), ""))
     return formatted.withColumn("parsed", parsed).withColumn("loss_text", loss)
 
 

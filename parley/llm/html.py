@@ -1,23 +1,32 @@
 """Main text of web pages by block rules in two passes.
 
-A page is cut into blocks at block-level tags. Pass 1 decides a block by its surroundings (menus, footers, sidebars,
-forms, adverts, notices and reader comments are out), its link density, its length and the share of stop words; short
-blocks without links stay open. Pass 2 gives each open block the label of the nearest decided block, of two equally near
-ones the following for a heading and the preceding otherwise. A marked article (``article``, ``main``) vouches for its own
-blocks: in it only surroundings and links can speak against a block, and open blocks look no further than its bounds.
+A page is cut into blocks at block-level tags. Pass 1 decides blocks by link density, length and the share of stop words;
+short blocks, headings and middling ones stay open. Pass 2 gives each open block the label of the nearest block that pass
+1 decided, of two equally near ones the following for a heading and the preceding otherwise; where none was decided, open
+blocks in marked-up text are kept. A marked article (``article``, ``main``) vouches for its own blocks: in it length or
+stop words are enough, and open blocks look no further than its bounds.
+
+What is no text of the page at all is left out beforehand: menus, footers, forms and the like by their tags and roles, and
+containers whose class or id names an advert, a notice, reader comments and so on (``OUTSIDE_WORDS``; a word after "has",
+"no" or "with" names nothing). An article clears what only a wrapper's class or a form says; on headings, paragraphs and
+list items a class counts outside of articles only. Blocks left out this way are no neighbours in pass 2.
+
+Stop words are those of eleven languages; on a page where hardly any occurs, so in another language, length and links
+decide alone. A character of a script that is written without spaces counts as three.
 
 Character references are decoded, white space in a block becomes one space, kept blocks are joined by a newline in page
 order.
 
-Defined cases: a null or empty page gives an empty text; unclosed and crossed tags are closed by what follows; a page that
-breaks off ends its last block; texts of any length are used whole; repeated rows give a row each; an empty table gives
-no rows; other columns are left alone.
+Defined cases: a null or empty page gives an empty text; unclosed and crossed tags are closed by what follows, closing tags
+of nothing are ignored; a page that breaks off ends its last block; texts of any length are used whole; repeated rows give
+a row each, null ids too; an empty table gives no rows; other columns are left alone.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,12 +50,21 @@ BLOCK_TAGS = frozenset(
 )
 RAW_TAGS = frozenset("script style textarea title xmp noembed noframes".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-# Frequent function words of English, German, French and Spanish.
+# Words before which such a word names nothing.
+NEGATIONS = frozenset("has have no non not with without".split())
+# Frequent function words of English, German, French, Spanish, Italian, Portuguese, Dutch, Swedish, Polish, Turkish and Russian.
 STOP_WORDS = frozenset(
     "the of and to in a is that it for on with as was are be this by at from or an have not but they you which we he she his her "
     "der die das und ist nicht ein eine zu den von mit auf für sich des dem im es an als auch wird bei aus "
     "le la les de des du et en un une est que qui dans pour pas sur par plus au avec ce il elle ne se "
-    "el los las y del por con su para como más pero sus al lo una no o si este entre ser".split()
+    "el los las y del por con su para como más pero sus al lo una no o si este entre ser "
+    "il di che è per sono della dei delle nel alla gli anche più ma questo "
+    "os da do em um uma não mais dos das foi ao pela seu sua "
+    "het een van dat niet zijn voor met aan ook naar bij maar deze "
+    "och att det som på är av för inte den till ett har men om "
+    "w na z do się jest nie że to jak ale przez od po "
+    "ve bir bu için ile da daha çok gibi olarak olan ne ama "
+    "и в не на что с по это как но он из за у его для от".split()
 )
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -54,13 +72,19 @@ TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",
     re.S,
 )
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 WORD = re.compile(r"[^\W\d_]+")
 NAME = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 SHORT, LONG = 70, 200  # characters
 LINKS_HIGH = 0.4
 STOPS_LOW, STOPS_HIGH = 0.15, 0.3
+STOPS_FOREIGN = 0.03  # a page with a smaller share is in another language
+UNSPACED = re.compile(r"[\u0e00-\u0eff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7a3]")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+TEXT_TAGS = HEADINGS | frozenset("p li dt dd td th pre blockquote figcaption caption".split())
+UNSTACKED = frozenset("p li dt dd tr td th option thead tbody tfoot".split())
+CLEAR, BY_NAME, BY_TAG = 0, 1, 2  # whether a container is left out, and by what
 GOOD, BAD, OPEN = 1, -1, 0
 
 
@@ -74,52 +98,96 @@ class Block:
     label: int = OPEN
 
 
-def _outside(tag: str, attributes: str) -> bool:
+def _names_outside(value: str) -> bool:
+    words = [w.lower() for w in NAME.findall(value)]
+    return any(w in OUTSIDE_WORDS and (not k or words[k - 1] not in NEGATIONS) for k, w in enumerate(words))
+
+
+def _outside(tag: str, attributes: str) -> int:
     if tag in OUTSIDE_TAGS:
-        return True
+        return BY_NAME if tag == "form" else BY_TAG
+    out = CLEAR
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return out
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
-            if not OUTSIDE_WORDS.isdisjoint(w.lower() for w in NAME.findall(value)):
-                return True
+            if _names_outside(value):
+                out = max(out, BY_NAME)
         elif name == "role":
             if value.lower() in OUTSIDE_ROLES:
-                return True
+                return BY_TAG
         elif name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
+                return BY_TAG
         elif name == "hidden" or value.lower() == "true":
-            return True
-    return False
+            return BY_TAG
+    return out
 
 
-def blocks(page: str) -> list[Block]:
-    out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # tag, outside, article
-    parts: list[str] = []
-    links, in_link, tag, articles = 0, False, "", 0
-
-    def end() -> None:
-        nonlocal links, in_link
-        if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
+class _Page:
+    """Blocks of a page, made tag by tag."""
+
+    def __init__(self):
+        self.blocks: list[Block] = []
+        self.stack: list[tuple[str, int, int]] = []  # tag, whether left out, article
+        self.open: Counter = Counter()  # tags on the stack
+        self.parts: list[str] = []
+        self.links, self.in_link, self.tag, self.own, self.articles = 0, False, "", CLEAR, 0
+
+    def text(self, piece: str) -> None:
+        self.parts.append(piece)
+        if self.in_link:
+            self.links += len(piece)
+
+    def end(self) -> None:
+        if self.parts:
+            text = " ".join(html.unescape("".join(self.parts)).split())
             if text:
-                _, outside, article = stack[-1] if stack else ("", False, 0)
-                out.append(Block(text, links, tag, outside, article))
-            parts.clear()
-        links, in_link = 0, False
+                _, out, article = self.stack[-1] if self.stack else ("", CLEAR, 0)
+                self.blocks.append(Block(text, self.links, self.tag, bool(max(out, self.own)), article))
+            self.parts.clear()
+        self.links, self.in_link, self.own = 0, False, CLEAR
+
+    def opened(self, name: str, attributes: str) -> None:
+        self.end()
+        self.tag = name
+        if name in VOID_TAGS:
+            return
+        _, out, article = self.stack[-1] if self.stack else ("", CLEAR, 0)
+        own = _outside(name, attributes)
+        if name in TEXT_TAGS and article and own == BY_NAME:
+            own = CLEAR
+        if name in UNSTACKED:
+            self.own = own
+            return
+        if name in ("article", "main"):
+            out = CLEAR if out == BY_NAME else out
+            if not article:
+                self.articles += 1
+                article = self.articles
+        elif name == "header" and not article:
+            own = BY_TAG
+        self.stack.append((name, max(out, own), article))
+        self.open[name] += 1
+
+    def closed(self, name: str) -> None:
+        self.end()
+        self.tag = ""
+        while self.open[name]:
+            top = self.stack.pop()[0]
+            self.open[top] -= 1
+            if top == name:
+                break
 
-    at = 0
+
+def blocks(page: str) -> list[Block]:
+    out, at = _Page(), 0
     while at < len(page):
         m = TOKEN.search(page, at)
         stop = m.start() if m else len(page)
         if stop > at:
-            piece = page[at:stop]
-            parts.append(piece)
-            if in_link:
-                links += len(piece)
+            out.text(page[at:stop])
         if not m:
             break
         at = m.end()
@@ -131,90 +199,77 @@ def blocks(page: str) -> list[Block]:
             if not closing:
                 close = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
                 at = close.end() if close else len(page)
-            continue
-        if name == "a":
-            in_link = not closing
+        elif name == "a":
+            out.in_link = not closing
         elif name == "br":
-            parts.append(" ")
+            out.parts.append(" ")
         elif name in BLOCK_TAGS or name in OUTSIDE_TAGS:
-            end()
-            tag = "" if closing else name
-            if name in VOID_TAGS:
-                continue
             if closing:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
-                        break
-            elif name not in ("p", "li", "dt", "dd", "tr", "td", "th", "option", "thead", "tbody", "tfoot"):
-                _, outside, article = stack[-1] if stack else ("", False, 0)
-                attributes = m.group(3) if m.group(2) else m.group(6)
-                own = _outside(name, attributes)
-                if name in ("article", "main") and not article:
-                    articles += 1
-                    article = articles
-                elif name == "header" and not article:
-                    own = True
-                stack.append((name, outside or own, article))
-            elif name == "p" or name == "li":
-                attributes = m.group(3) if m.group(2) else m.group(6)
-                if attributes and _outside(name, attributes):  # its text goes up to where the next block begins
-                    close = re.compile(rf"</{name}\b|<(?:p|li|div|section|article|/article|/div|/ul|/ol)\b", re.I).search(page, at)
-                    at = close.start() if close else len(page)
-    end()
-    return out
+                out.closed(name)
+            else:
+                out.opened(name, m.group(3) if m.group(2) else m.group(6))
+    out.end()
+    return out.blocks
+
 
+def _weight(text: str) -> int:
+    return len(text) if text.isascii() else len(text) + 2 * len(UNSPACED.findall(text))
 
-def first_pass(block: Block) -> int:
-    if block.outside:
-        return BAD
-    density = block.links / max(1, len(block.text))
-    if density > LINKS_HIGH:
-        return BAD
-    n = len(block.text)
-    words = WORD.findall(block.text.lower())
-    stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-    if block.article:
-        return GOOD if n >= SHORT or stops >= STOPS_LOW else OPEN
-    if n < SHORT or block.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-        return BAD if block.links else OPEN
-    if stops >= STOPS_HIGH:
-        return GOOD if n >= LONG else OPEN
-    if stops >= STOPS_LOW:
-        return GOOD if n >= LONG and not block.links else OPEN
-    return BAD
+
+def _stops(text: str) -> tuple[int, int]:
+    words = WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words), len(words)
+
+
+def first_pass(found: list[Block]) -> None:
+    inside = [b for b in found if not b.outside]
+    counted = [_stops(b.text) for b in inside]
+    foreign = sum(s for s, _ in counted) < STOPS_FOREIGN * sum(n for _, n in counted)
+    for b in found:
+        b.label = BAD
+    for b, (stops, words) in zip(inside, counted, strict=True):
+        n, dense = _weight(b.text), b.links > LINKS_HIGH * len(b.text)
+        share = STOPS_HIGH if foreign and n >= SHORT else stops / max(1, words)
+        if b.article:
+            linked = b.tag == "li" and share < STOPS_LOW
+            b.label = (BAD if linked else OPEN) if dense else GOOD if n >= SHORT or share >= STOPS_LOW else OPEN
+        elif dense:
+            b.label = BAD
+        elif n < SHORT or b.tag in HEADINGS:
+            b.label = BAD if b.links else OPEN
+        elif share >= STOPS_HIGH:
+            b.label = GOOD if n >= LONG else OPEN
+        elif share >= STOPS_LOW:
+            b.label = GOOD if n >= LONG and not b.links else OPEN
 
 
 def second_pass(found: list[Block]) -> None:
-    """Open blocks take the label of the nearest block decided in pass 1; in an article, of its own blocks, else good."""
-    n = len(found)
+    """Open blocks take the label of the nearest block decided in pass 1, in an article of its own blocks; else they are
+    good, but for text without any tags."""
+    rest = [b for b in found if not b.outside]
+    n, labels = len(rest), []
     before, after = [-1] * n, [n] * n
-    last = -1
-    for k in range(n):
-        before[k] = last
-        if found[k].label != OPEN and not (found[k].article and found[k].outside):
-            last = k
-    last = n
-    for k in range(n - 1, -1, -1):
-        after[k] = last
-        if found[k].label != OPEN and not (found[k].article and found[k].outside):
-            last = k
-    labels = []
-    for k, b in enumerate(found):
+    for side, order, none in ((before, range(n), -1), (after, range(n - 1, -1, -1), n)):
+        last = none
+        for k in order:
+            side[k] = last
+            if rest[k].label != OPEN:
+                last = k
+    for k, b in enumerate(rest):
         if b.label != OPEN:
             labels.append(b.label)
             continue
-        sides = [(k - before[k], not b.tag.startswith("h"), before[k]), (after[k] - k, b.tag.startswith("h"), after[k])]
-        near = [(d, not first, j) for d, first, j in sides if 0 <= j < n and found[j].article == b.article]
-        labels.append(found[min(near)[2]].label if near else GOOD if b.article else BAD)
-    for b, label in zip(found, labels, strict=True):
+        heading = b.tag in HEADINGS
+        sides = [(k - before[k], heading, before[k]), (after[k] - k, not heading, after[k])]
+        near = [side for side in sides if 0 <= side[2] < n and rest[side[2]].article == b.article]
+        labels.append(rest[min(near)[2]].label if near else GOOD if b.article or any(x.tag for x in rest) else BAD)
+    for b, label in zip(rest, labels, strict=True):
         b.label = label
 
 
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
-    for b in found:
-        b.label = first_pass(b)
+    first_pass(found)
     second_pass(found)
     return "\n".join(b.text for b in found if b.label == GOOD)
 

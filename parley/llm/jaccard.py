@@ -19,9 +19,14 @@ How documents come into one cell:
 Step 3 is complete whatever step 2 found, and every link is verified on the whole sets. Which shingles are frequent
 (at most ``FREQUENT``, found by local counts) only decides the order and thereby the cost.
 
+Pairs of a list that would be many are dealt out to tasks of their own, a part of the documents that ask with the whole
+list; the list itself (38 bytes a document) is in one task.
+
 Defined cases: null and empty texts and texts without words have no shingles and link with nothing; fewer words than a
 shingle's are one shingle; texts of any length are used whole; rows with equal ids are one document (they are expected
-to be distinct); an empty table gives no rows; other columns are left alone.
+to be distinct); rows with null ids are documents, too, and ``component_id`` is the smallest id that there is, null where
+a component has none (inside they stand at numbers from 2**62 on, so ids must be smaller); an empty table gives no rows;
+other columns are left alone.
 """
 
 from __future__ import annotations
@@ -29,17 +34,18 @@ from __future__ import annotations
 import heapq
 from bisect import bisect_left
 from collections.abc import Iterator
+from dataclasses import dataclass
 from math import log2
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm.components import components
-from parley.llm.packed import bitmap, dealt, has, spot, unpacked
+from parley.llm.packed import bitmap, dealt, has, spot, stand_in, unpacked
 from parley.llm.scratch import settled, written
-from parley.llm.textio import byte_values, lower_ascii, mix64, released, span_hashes, texts_of, window_hashes, words
+from parley.llm.textio import lower_ascii, mix64, released, span_hashes, texts_of, window_hashes, words
 
 SIZE = 5
 PERCENT = 80
@@ -48,6 +54,9 @@ LOCAL_WINDOW, LOCAL_COUNT = 2_000_000, 3  # a shingle is frequent if that many d
 BANDS = 4  # pairs of min-hashes
 CELL = 200
 MU = 0.0085  # weight of the long lists in DivideSkip
+BLOCK_POSTINGS = 500_000  # postings that a block has on average, at most
+MANY_PAIRS = 4_000_000  # pairs that one task makes of one list; what is above is dealt out
+NAMELESS = 1 << 62  # stand-ins for null ids begin here
 _TOP = np.uint64(1 << 63)
 
 
@@ -55,7 +64,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int = SIZE) -> tuple[n
     """Distinct shingle hashes, ascending within each text, and the number before each text."""
     data = lower_ascii()[data]
     starts, ends, before = words(data, offsets)
-    h = span_hashes(byte_values()[data], starts, ends)
+    h = span_hashes(data, starts, ends)
     n = len(offsets) - 1
     count = np.diff(before)
     owner = np.repeat(np.arange(n), count)
@@ -76,6 +85,10 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int = SIZE) -> tuple[n
     return value, np.searchsorted(of, np.arange(n + 1))
 
 
+def number_of(id_col: str, text_col: str) -> Column:
+    return F.coalesce(F.col(id_col).cast("bigint"), stand_in(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+
+
 def needed(n: int, percent: int = PERCENT) -> int:
     """The least overlap of a set of ``n`` with any partner."""
     return -(-percent * n // 100)
@@ -153,7 +166,7 @@ def sets(df: DataFrame, last: np.ndarray, id_col: str, text_col: str) -> DataFra
                     names=["doc", "n", "key", "bands", "prefix", "ends"],
                 )
 
-    return df.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col)).mapInArrow(run, "doc bigint, n bigint, key binary, bands array<bigint>, prefix binary, ends int")
+    return df.select(number_of(id_col, text_col).alias("doc"), F.col(text_col)).mapInArrow(run, "doc bigint, n bigint, key binary, bands array<bigint>, prefix binary, ends int")
 
 
 def merge_skip(lists: list[list[int]], least: int) -> list[tuple[int, int]]:
@@ -271,7 +284,7 @@ def verified(df: DataFrame, cells: DataFrame, id_col: str, text_col: str) -> Dat
         for batch in batches:
             yield batch.filter(pa.array(has(bits, batch.column(2).to_numpy())))
 
-    texts = df.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    texts = df.select(number_of(id_col, text_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
     sifted = texts.withColumn("s", spot("doc")).mapInArrow(sift, "doc bigint, text string, s int").drop("s")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     shipped = cells.join(sifted, "doc").select("cell", "doc", "text").repartition(parts, "cell").sortWithinPartitions("cell", "doc")
@@ -317,39 +330,53 @@ POSTING = np.dtype([("key", "<u8"), ("doc", "<i8"), ("part", "<i8"), ("n", "<u4"
 PAIR = np.dtype([("a", "<i8"), ("b", "<i8"), ("c", "<u4"), ("na", "<u4"), ("nb", "<u4"), ("ea", "<u2"), ("eb", "<u2")])
 
 
-def list_pairs(p: np.ndarray, percent: int = PERCENT, chunk: int = 1_000_000) -> Iterator[np.ndarray]:
-    """Pairs from the inverted lists of a block of postings: different components, sizes that can link.
+@dataclass
+class Lists:
+    """The inverted lists of a block of postings, sorted by key and component; ``asks`` are paired with their lists.
 
-    Of each list, only postings outside its most frequent component are paired with the rest, so a list whose
-    documents are all connected costs nothing.
+    Of each list, only postings outside its most frequent component ask, so a list whose documents are all connected
+    costs nothing.
     """
-    p = p[np.lexsort((p["part"], p["key"]))]
-    new_key = np.append(True, p["key"][1:] != p["key"][:-1]) if len(p) else np.zeros(0, bool)
-    new_part = new_key | np.append(True, p["part"][1:] != p["part"][:-1]) if len(p) else new_key
-    runs, groups = np.flatnonzero(new_key), np.flatnonzero(new_part)
-    if len(runs) == len(p):
-        return
-    ends = np.append(runs[1:], len(p))
-    run_of = np.cumsum(new_key) - 1
-    group_of = np.cumsum(new_part) - 1
-    sizes = np.diff(np.append(groups, len(p)))
-    largest = np.zeros(len(runs), np.int64)
-    np.maximum.at(largest, run_of[groups], sizes)
-    # Of groups of equal size the first one is the main one.
-    is_main = sizes == largest[run_of[groups]]
-    main = np.full(len(runs), len(groups))
-    np.minimum.at(main, run_of[groups][is_main], np.flatnonzero(is_main))
-    asks = np.flatnonzero(group_of != main[run_of])
-    width = (ends - runs)[run_of[asks]]
-    done = 0
+
+    rows: np.ndarray
+    group: np.ndarray  # (key, component) of each posting
+    is_main: np.ndarray  # whether that is the list's main one
+    asks: np.ndarray
+    start: np.ndarray  # of each asking posting, the list
+    width: np.ndarray
+
+    @classmethod
+    def of(cls, p: np.ndarray) -> Lists:
+        p = p[np.lexsort((p["part"], p["key"]))]
+        new_key = np.append(True, p["key"][1:] != p["key"][:-1]) if len(p) else np.zeros(0, bool)
+        new_part = new_key | np.append(True, p["part"][1:] != p["part"][:-1]) if len(p) else new_key
+        runs, groups = np.flatnonzero(new_key), np.flatnonzero(new_part)
+        ends = np.append(runs[1:], len(p))
+        run_of, group_of = np.cumsum(new_key) - 1, np.cumsum(new_part) - 1
+        sizes = np.diff(np.append(groups, len(p)))
+        largest = np.zeros(len(runs), np.int64)
+        np.maximum.at(largest, run_of[groups], sizes)
+        # Of groups of equal size the first one is the main one.
+        at_most = np.flatnonzero(sizes == largest[run_of[groups]])
+        main = np.full(len(runs), len(groups))
+        np.minimum.at(main, run_of[groups[at_most]], at_most)
+        is_main = group_of == main[run_of] if len(p) else np.zeros(0, bool)
+        asks = np.flatnonzero(~is_main)
+        return cls(p, group_of, is_main, asks, runs[run_of[asks]], (ends - runs)[run_of[asks]])
+
+
+def list_pairs(lists: Lists, own: np.ndarray, percent: int = PERCENT, chunk: int = 1_000_000) -> Iterator[np.ndarray]:
+    """Pairs of the ``own`` among the asking postings: different components, sizes that can link."""
+    p, done = lists.rows, 0
+    asks, start, width = lists.asks[own], lists.start[own], lists.width[own]
     total = np.cumsum(width)
     while done < len(asks):
         stop = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + chunk, "right")))
-        own, w = asks[done:stop], width[done:stop]
-        i = np.repeat(own, w)
-        j = np.arange(len(i)) - np.repeat(np.cumsum(w) - w, w) + np.repeat(runs[run_of[own]], w)
+        w = width[done:stop]
+        i = np.repeat(asks[done:stop], w)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(w) - w, w) + np.repeat(start[done:stop], w)
         # Two that both ask are taken once.
-        once = (group_of[i] != group_of[j]) & ((group_of[j] == main[run_of[j]]) | (i < j))
+        once = (lists.group[i] != lists.group[j]) & (lists.is_main[j] | (i < j))
         i, j = i[once], j[once]
         n, m = p["n"][i].astype(np.int64), p["n"][j].astype(np.int64)
         fit = percent * np.maximum(n, m) <= 100 * np.minimum(n, m)
@@ -365,6 +392,22 @@ def list_pairs(p: np.ndarray, percent: int = PERCENT, chunk: int = 1_000_000) ->
         done = stop
 
 
+def parcels(lists: Lists, many: int = MANY_PAIRS) -> tuple[np.ndarray, list[bytes]]:
+    """The asking postings to pair at once, and parcels of long lists: which of them ask, from where to where, and the list."""
+    here = lists.width * 0 == 0
+    out = []
+    if len(lists.asks):
+        for a in np.flatnonzero(np.append(True, lists.start[1:] != lists.start[:-1])).tolist():
+            start, width = int(lists.start[a]), int(lists.width[a])
+            b = int(np.searchsorted(lists.start, start, "right"))
+            if (b - a) * width > many:
+                here[a:b] = False
+                step = max(1, many // width)
+                rows = lists.rows[start : start + width].tobytes()
+                out += [np.array([k, min(b - a, k + step)], np.int64).tobytes() + rows for k in range(0, b - a, step)]
+    return np.flatnonzero(here), out
+
+
 def summed(pairs: np.ndarray) -> np.ndarray:
     pairs = pairs[np.lexsort((pairs["b"], pairs["a"]))]
     starts = np.flatnonzero(np.append(True, (pairs["a"][1:] != pairs["a"][:-1]) | (pairs["b"][1:] != pairs["b"][:-1]))) if len(pairs) else np.zeros(0, int)
@@ -389,7 +432,10 @@ def reachable(p: np.ndarray, percent: int = PERCENT) -> np.ndarray:
 def candidates(prefixes: DataFrame) -> DataFrame:
     """Pairs ``(a, b)`` from ``(doc, n, prefix, ends, part)`` that may link across components."""
     spark = prefixes.sparkSession
-    blocks = max(8, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
+    postings = prefixes.agg(F.sum(size).cast("bigint")).first()[0] or 0
+    blocks = max(8, 4 * parts, -(-postings // BLOCK_POSTINGS))
 
     @released
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -413,17 +459,32 @@ def candidates(prefixes: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    def pair(table: pa.Table) -> pa.Table:
+    def packed_pairs(lists: Lists, own: np.ndarray) -> pa.RecordBatch:
         held, size = [], 0
-        for rows in list_pairs(unpacked(table.column("rows"), POSTING)):
+        for rows in list_pairs(lists, own):
             held.append(rows)
             size += len(rows)
             if size >= 2_000_000:
                 held = [summed(np.concatenate(held))]
                 size = len(held[0])
         rows = summed(np.concatenate(held)) if held else np.zeros(0, PAIR)
-        out = dealt(rows, (mix64(rows["a"].view(np.uint64) * np.uint64(31) + rows["b"].view(np.uint64)) % np.uint64(blocks)).astype(np.int64), blocks)
-        return pa.Table.from_batches([out])
+        return dealt(rows, (mix64(rows["a"].view(np.uint64) * np.uint64(31) + rows["b"].view(np.uint64)) % np.uint64(blocks)).astype(np.int64), blocks)
+
+    def pair(table: pa.Table) -> pa.Table:
+        lists = Lists.of(unpacked(table.column("rows"), POSTING))
+        own, long_ = parcels(lists)
+        # A parcel has block -1 - k; it goes to a task of its own.
+        sent = pa.RecordBatch.from_arrays([pa.array(-1 - np.arange(len(long_)), pa.int32()), pa.array(long_, pa.binary())], names=["block", "rows"])
+        return pa.Table.from_batches([packed_pairs(lists, own), sent])
+
+    @released
+    def unwrap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for parcel in batch.column(0):
+                parcel = parcel.as_py()
+                first, stop = np.frombuffer(parcel, np.int64, 2).tolist()
+                lists = Lists.of(np.frombuffer(parcel, POSTING, offset=16))
+                yield packed_pairs(lists, np.arange(first, stop))
 
     def decide(table: pa.Table) -> pa.Table:
         p = summed(unpacked(table.column("rows"), PAIR))
@@ -431,13 +492,13 @@ def candidates(prefixes: DataFrame) -> DataFrame:
         return pa.table({"a": pa.array(p["a"]), "b": pa.array(p["b"])})
 
     posted = prefixes.select("doc", "n", "prefix", "ends", "part").mapInArrow(post, "block int, rows binary")
-    paired = posted.groupBy("block").applyInArrow(pair, "block int, rows binary")
-    return paired.groupBy("block").applyInArrow(decide, "a bigint, b bigint")
+    paired = written(posted.groupBy("block").applyInArrow(pair, "block int, rows binary"), "shingle-pairs")
+    apart = paired.filter("block < 0").select("rows").repartition(4 * parts).mapInArrow(unwrap, "block int, rows binary")
+    return paired.filter("block >= 0").unionAll(apart).groupBy("block").applyInArrow(decide, "a bigint, b bigint")
 
 
-def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, n_shingles, component_id)`` of each row."""
-    kind = df.schema[id_col].dataType.simpleString()
+def _numbered(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(doc, n, component)`` of each row, null ids by their numbers."""
     all_sets = written(sets(df, frequent(df, text_col), id_col, text_col), "shingle-sets")
     classes = written(all_sets.filter("n > 0").groupBy("key").agg(F.min("doc").alias("rep")), "shingle-classes")
     own = all_sets.filter("n > 0").join(classes.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi")
@@ -451,6 +512,22 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     second = settled(verified(df, settled(_chunked(pairs.select(F.col("a").alias("g"), F.col("b").alias("doc")).unionAll(pairs.select(F.col("a").alias("g"), F.col("a").alias("doc"))).distinct())), id_col, text_col))
     whole = components(first.unionAll(second))
 
-    reps = classes.join(whole.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
+    reps = classes.join(whole.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
     out = all_sets.select("doc", "n", "key").join(reps, "key", "left")
-    return out.select(F.col("doc").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
+    return out.select("doc", "n", F.coalesce("component", "doc").alias("component"))
+
+
+def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, n_shingles, component_id)`` of each row."""
+    kind = df.schema[id_col].dataType.simpleString()
+    named = lambda c: F.when(F.col(c) < NAMELESS, F.col(c))
+    return _numbered(df, id_col, text_col).select(named("doc").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), named("component").alias("component_id"))
+
+
+def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` but for those linked with a smaller id; of rows without ids that have one text, one stays."""
+    gone = _numbered(df, id_col, text_col).filter("doc <> component").select("doc").distinct()
+    rows = df.select(number_of(id_col, text_col).alias("doc"), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
+    named = rows.filter(F.col(f"row.`{id_col}`").isNotNull()).join(gone, "doc", "left_anti")
+    nameless = rows.filter(F.col(f"row.`{id_col}`").isNull()).join(gone, "doc", "left_anti").dropDuplicates(["doc"])
+    return named.unionAll(nameless).select("row.*")

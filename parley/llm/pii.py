@@ -8,20 +8,30 @@ onto valid values only:
 * card numbers (Luhn): all digits but the last are permuted, the check digit is recomputed; invalid numbers stay;
 * IPv4 addresses (octets up to 255): the eight hexadecimal digits are permuted;
 * US social security numbers: area, group and serial are permuted within their valid ranges by a network of mixed radix;
-* dates from 1900 to 2099 (``yyyy-MM-dd`` or ``dd/MM/yyyy``): the day's number is permuted within these two centuries;
-* phone numbers keep the country code; mail addresses keep the top-level domain; hexadecimal secrets of 32 to 64 digits
-  stay hexadecimal.
+* dates from 1900 to 2099 (``yyyy-MM-dd``, ``dd/MM/yyyy``, ``d/M/yyyy``, ``d.M.yyyy``, each with one or two digits): the
+  day's number is permuted within these two centuries; a date with slashes whose second number is over 12 is read month
+  first, and its month and day of the month (up to 28) are permuted among such dates, of later days the year;
+* phone numbers keep the country code (``+`` and 8 to 15 digits with or without separators) or are national
+  (``(ddd) ddd-dddd``, ``ddd-ddd-dddd``); mail addresses keep the top-level domain; hexadecimal secrets of 32 to 64
+  digits stay hexadecimal.
+
+Other formats of numbers, names and postal addresses stay. Dots in a mail address's domain are at most 127 (the DNS bound).
+The key is the caller's: who knows it can take the pseudonyms back.
 
 Defined cases: null texts stay null, empty ones empty; texts of any length are treated whole; other columns are kept,
-whatever their names; repeated rows are treated alike; an empty table stays empty.
+whatever their names, null ids too; repeated rows are treated alike; an empty table stays empty.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KEY = "parley-pseudonyms-1"
+KEY_SETTING = "spark.parley.pseudonym.key"
+
 ROUNDS = 8
 # What the characters of found values are permuted within.
 DIGITS = "0123456789"
@@ -34,19 +44,38 @@ HEX_LOWER = ("0123456789abcdef",)
 HEX_UPPER = ("0123456789ABCDEF",)
 
 # The formats looked for.
-MAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)*\.\p{L}{2,}"
+MAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]++(?:\.[\p{L}\p{N}\-]+){0,126}\.\p{L}{2,}"
 IPV4 = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)"
-PHONE = r"(?<![\w+])\+\d{1,3}[ .\-]?\(?\d{3}\)?[ .\-]?\d{3}[ .\-]\d{4}(?!\d)"
+PHONE = (
+    r"(?<![\w+])\+\d{1,3}[ .\-]?\(?\d{1,4}\)?(?:[ .\-]?\d{2,4}){1,4}(?![\d\-])"
+    r"|(?<![\w+(])(?:\(\d{3}\) ?|\d{3}-)\d{3}-\d{4}(?![\d\-])"
+)
 SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
-DATE = r"(?<![\d/\-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4})(?![\d/\-])"
-CARD = r"(?<![\d.])(?:\d{13,19}|\d{4}([ \-])\d{4}\1\d{4}\1\d{1,7})(?!\d)"
+DATE = r"(?<![\d/.\-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\d/\-]|\.\d)"
+CARD = r"(?<![\d.])(?:\d{13,19}|\d{4}([ \-])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ \-])\d{6}\2\d{5})(?!\d)"
 SECRET = r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])"
 FIRST_DAY, CENTURIES = "1900-01-01", (17, 4297)  # 73,049 days
+LATE_DAYS, YEARS, LEAP_YEARS = (2400, 16), (20, 10), (7, 7)  # days 13 to 28 of each month, and the years
 SSN_RADIX = (898 * 99, 9999)
-# The card number comes first: its separator is the first group.
-ANY = "|".join((CARD, SECRET, IPV4, PHONE, SSN, DATE, MAIL))
-#: Every format has a digit or an at sign, and this test is cheap.
-MAYBE = r"[0-9@]|[A-F]{32}|[a-f]{32}"
+# The card number comes first: its separators are the first groups. All but mail addresses begin with few characters.
+NUMBERS = r"(?=[0-9+(A-Fa-f])(?:" + "|".join((CARD, SECRET, IPV4, PHONE, SSN, DATE)) + ")"
+ANY = f"{NUMBERS}|{MAIL}"
+#: Every format but a mail address has two digits in a row or with a dot between, or is hexadecimal; this test is cheap.
+MAYBE = r"[0-9]\.?[0-9]|[A-F]{32}|[a-f]{32}"
+
+
+def key_of(spark: SparkSession) -> str:
+    """The key that the session names; else one that lives as long as the application, so nobody can take it back."""
+    named = spark.conf.get(KEY_SETTING, None)
+    if not named:
+        named = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, named)
+    return named
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), body)[0]
 
 
 def _stream(key: str, label: Column, seed: Column) -> Column:
@@ -57,35 +86,42 @@ def _stream(key: str, label: Column, seed: Column) -> Column:
 def _shifted(half: Column, stream: Column, alphabets: tuple[str, ...], sign: int) -> Column:
     """Each character moved within its alphabet by the stream's bytes, which repeat after 32 characters."""
 
-    def one(c: Column, i: Column) -> Column:
-        by = F.conv(stream.substr(F.pmod(i, F.lit(32)) * 2 + 1, F.lit(2)), 16, 10).cast("int") * sign
-        moved = c
-        for letters in reversed(alphabets):
-            n = len(letters)
-            at = F.instr(F.lit(letters), c)
-            moved = F.when(at > 0, F.lit(letters).substr(F.pmod(at - 1 + by, F.lit(n)) + 1, F.lit(1))).otherwise(moved)
-        return moved
+    letters = F.lit("".join(alphabets))
+    # Of each letter's alphabet, where it starts and how many letters it has.
+    starts = F.expr(f"array({', '.join(str(len(''.join(alphabets[:k]))) for k, a in enumerate(alphabets) for _ in a)})")
+    sizes = F.expr(f"array({', '.join(str(len(a)) for a in alphabets for _ in a)})")
+
+    def moved_by(stream: Column) -> Column:
+        def one(c: Column, i: Column) -> Column:
+            at, by = F.instr(letters, c), F.conv(stream.substr(i % 32 * 2 + 1, F.lit(2)), 16, 10).cast("int")
+            start = F.get(starts, at - 1)
+            return F.when(at > 0, letters.substr(start + F.pmod(at - 1 - start + by * sign, F.get(sizes, at - 1)) + 1, F.lit(1))).otherwise(c)
+
+        return F.array_join(F.transform(F.split(half, ""), one), "")
 
-    return F.array_join(F.transform(F.split(half, ""), one), "")
+    return _let(stream, moved_by)
 
 
-def permute_text(value: Column, key: str = KEY, alphabets: tuple[str, ...] = PLAIN, inverse: bool = False) -> Column:
+def permute_text(value: Column, key: str, alphabets: tuple[str, ...] = PLAIN, inverse: bool = False) -> Column:
     """A keyed bijection of strings onto strings of the same shape. Values of one character are only shifted by the key."""
-    cut = F.floor(F.length(value) / 2).cast("int")
-    start = F.struct(value.substr(F.lit(1), cut).alias("a"), value.substr(cut + 1, F.length(value)).alias("b"))
     rounds = F.sequence(F.lit(0), F.lit(ROUNDS - 1))
     sign = -1 if inverse else 1
 
     def step(acc: Column, r: Column) -> Column:
-        left = _shifted(acc["a"], _stream(key, r, acc["b"]), alphabets, sign)
-        right = _shifted(acc["b"], _stream(key, r, acc["a"]), alphabets, sign)
         even = F.pmod(r, F.lit(2)) == 0
-        return F.struct(F.when(even, left).otherwise(acc["a"]).alias("a"), F.when(even, acc["b"]).otherwise(right).alias("b"))
+        return F.when(even, F.struct(_shifted(acc["a"], _stream(key, r, acc["b"]), alphabets, sign).alias("a"), acc["b"].alias("b"))).otherwise(
+            F.struct(acc["a"].alias("a"), _shifted(acc["b"], _stream(key, r, acc["a"]), alphabets, sign).alias("b"))
+        )
+
+    def permuted(value: Column) -> Column:
+        cut = F.floor(F.length(value) / 2).cast("int")
+        start = F.struct(value.substr(F.lit(1), cut).alias("a"), value.substr(cut + 1, F.length(value)).alias("b"))
+        return F.aggregate(F.reverse(rounds) if inverse else rounds, start, step, lambda acc: F.concat(acc["a"], acc["b"]))
 
-    return F.aggregate(F.reverse(rounds) if inverse else rounds, start, step, lambda acc: F.concat(acc["a"], acc["b"]))
+    return _let(value, permuted)
 
 
-def permute_index(value: Column, radix: tuple[int, int], key: str = KEY) -> Column:
+def permute_index(value: Column, radix: tuple[int, int], key: str) -> Column:
     """A keyed permutation of ``0 .. a * b - 1``."""
     a, b = radix
     start = F.struct(F.pmod(value, F.lit(a)).cast("bigint").alias("a"), F.floor(value / a).cast("bigint").alias("b"))
@@ -124,10 +160,12 @@ def _luhn(digits: Column) -> Column:
 
 
 def _card(value: Column, key: str) -> Column:
-    plain = _digits(value)
-    body = permute_text(plain.substr(F.lit(1), F.length(plain) - 1), f"{key}|card")
-    full = F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.concat(body, d.cast("string"))), _luhn)
-    return F.when(_luhn(plain), _refill(value, full[0])).otherwise(value)
+    def made(plain: Column) -> Column:
+        body = permute_text(plain.substr(F.lit(1), F.length(plain) - 1), f"{key}|card")
+        full = _let(body, lambda b: F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.concat(b, d.cast("string"))), _luhn)[0])
+        return F.when(_luhn(plain), _refill(value, full)).otherwise(value)
+
+    return _let(_digits(value), made)
 
 
 def _ipv4(value: Column, key: str) -> Column:
@@ -150,33 +188,58 @@ def _ssn(value: Column, key: str) -> Column:
     return F.when(valid, shown).otherwise(value)
 
 
-def _date(value: Column, key: str) -> Column:
-    iso = value.substr(5, 1) == "-"
-    text = F.when(iso, value).otherwise(F.concat_ws("-", value.substr(7, 4), value.substr(4, 2), value.substr(1, 2)))
-    day = F.try_to_date(text, "yyyy-MM-dd")
+def _day_first(value: Column, day: Column, key: str) -> Column:
+    """The date permuted among all days, written as ``value`` is: order, separator, and two digits if it has them."""
     index = F.date_diff(day, F.lit(FIRST_DAY).cast("date"))
     moved = F.date_add(F.lit(FIRST_DAY).cast("date"), permute_index(index.cast("bigint"), CENTURIES, f"{key}|date").cast("int"))
-    valid = day.isNotNull() & index.between(0, CENTURIES[0] * CENTURIES[1] - 1)
-    return F.when(valid, F.when(iso, F.date_format(moved, "yyyy-MM-dd")).otherwise(F.date_format(moved, "dd/MM/yyyy"))).otherwise(value)
+    dots, full = value.contains("."), F.length(value) == 10
+
+    def shown(day: Column) -> Column:
+        wide = F.when(dots, F.date_format(day, "dd.MM.yyyy")).otherwise(F.date_format(day, "dd/MM/yyyy"))
+        short = F.when(dots, F.date_format(day, "d.M.yyyy")).otherwise(F.date_format(day, "d/M/yyyy"))
+        return F.when(value.substr(5, 1) == "-", F.date_format(day, "yyyy-MM-dd")).when(full, wide).otherwise(short)
+
+    return F.when(index.between(0, CENTURIES[0] * CENTURIES[1] - 1), _let(moved, shown)).otherwise(value)
+
+
+def _month_first(value: Column, day: Column, key: str) -> Column:
+    """A date that can only be read month first, permuted among those."""
+    year, month, of_month = F.year(day), F.month(day), F.dayofmonth(day)
+    index = (year - 1900) * 12 + month - 1 + (of_month - 13) * LATE_DAYS[0]
+    moved = permute_index(index.cast("bigint"), LATE_DAYS, f"{key}|month first")
+    usual = _let(moved, lambda m: F.make_date(1900 + F.floor(F.pmod(m, F.lit(LATE_DAYS[0])) / 12).cast("int"), (F.pmod(F.pmod(m, F.lit(LATE_DAYS[0])), F.lit(12)) + 1).cast("int"), (13 + F.floor(m / LATE_DAYS[0])).cast("int")))
+    leap = F.make_date((1904 + 4 * permute_index(((year - 1904) / 4).cast("bigint"), LEAP_YEARS, f"{key}|leap")).cast("int"), month, of_month)
+    late = F.make_date((1900 + permute_index((year - 1900).cast("bigint"), YEARS, f"{key}|year")).cast("int"), month, of_month)
+    new = F.when(of_month <= 28, usual).when(month == 2, leap).otherwise(late)
+    shown = _let(new, lambda d: F.when(F.length(value) == 10, F.date_format(d, "MM/dd/yyyy")).otherwise(F.date_format(d, "M/d/yyyy")))
+    return F.when(year.between(1900, 2099), shown).otherwise(value)
+
+
+def _date(value: Column, key: str) -> Column:
+    parts = F.split(value, "[./-]")
+    iso = value.substr(5, 1) == "-"
+    day = F.try_to_date(F.when(iso, value).otherwise(F.concat_ws("-", parts[2], F.lpad(parts[1], 2, "0"), F.lpad(parts[0], 2, "0"))), "yyyy-MM-dd")
+    other = F.when(value.contains("/"), F.try_to_date(F.concat_ws("-", parts[2], F.lpad(parts[0], 2, "0"), F.lpad(parts[1], 2, "0")), "yyyy-MM-dd"))
+    return F.when(day.isNotNull(), _let(day, lambda d: _day_first(value, d, key))).when(other.isNotNull(), _let(other, lambda d: _month_first(value, d, key))).otherwise(value)
 
 
 def _phone(value: Column, key: str) -> Column:
-    head = F.regexp_extract(value, r"^\+\d{1,3}?(?=[^\d]|\d{10}$|\d{3}[ .\-])", 0)
+    """The country code is what stands before the first separator, or the first two digits of an unbroken number."""
+    head = F.regexp_extract(value, r"^(?:\+\d{1,3}(?=[ .\-(])|\+\d\d)?", 0)
     rest = value.substr(F.length(head) + 1, F.length(value))
-    return F.concat(head, permute_text(rest, f"{key}|phone"))
+    return F.when(F.length(_digits(value)).between(8, 15), F.concat(head, permute_text(rest, f"{key}|phone"))).otherwise(value)
 
 
 def _mail(value: Column, key: str) -> Column:
-    tld = F.regexp_extract(value, r"\.\p{L}+$", 0)
-    return F.concat(permute_text(value.substr(F.lit(1), F.length(value) - F.length(tld)), f"{key}|mail"), tld)
+    return _let(F.regexp_extract(value, r"\.\p{L}+$", 0), lambda tld: F.concat(permute_text(value.substr(F.lit(1), F.length(value) - F.length(tld)), f"{key}|mail"), tld))
 
 
-def pseudonym(value: Column, key: str = KEY) -> Column:
+def pseudonym(value: Column, key: str) -> Column:
     """The pseudonym of one found value; values that turn out not to be valid stay."""
     return (
         F.when(value.contains("@"), _mail(value, key))
-        .when(value.rlike(r"^\+"), _phone(value, key))
         .when(value.rlike(f"^(?:{SSN})$"), _ssn(value, key))
+        .when(value.rlike(r"^\+|^\(|^\d{3}-\d{3}-"), _phone(value, key))
         .when(value.rlike(f"^(?:{DATE})$"), _date(value, key))
         .when(value.rlike(f"^(?:{IPV4})$"), _ipv4(value, key))
         .when(value.rlike(r"^[0-9a-f]{32,64}$"), permute_text(value, f"{key}|secret", HEX_LOWER))
@@ -185,12 +248,13 @@ def pseudonym(value: Column, key: str = KEY) -> Column:
     )
 
 
-def pseudonymise(df: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
+def pseudonymise(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``df`` with the found values of ``text_col`` replaced; every other column as it was."""
     text = df[f"`{text_col}`"]
-    between = F.split(text, ANY, -1)
-    found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
+    mail = text.contains("@")
+    between = F.when(mail, F.split(text, ANY, -1)).otherwise(F.split(text, NUMBERS, -1))
+    found = F.when(mail, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.regexp_extract_all(text, F.lit(NUMBERS), F.lit(0)))
     # split() gives one piece more than there are matches.
-    woven = F.zip_with(between, found, lambda piece, hit: F.concat(piece, F.coalesce(pseudonym(hit, key), F.lit(""))))
-    new = F.when(text.rlike(MAYBE), F.array_join(woven, "")).otherwise(text)
-    return df.withColumn(text_col, new)
+    woven = F.zip_with(between, found, lambda piece, hit: F.concat(piece, F.when(hit.isNull(), "").otherwise(pseudonym(hit, key))))
+    some = F.when(mail, text.rlike(ANY)).otherwise(text.rlike(MAYBE) & text.rlike(NUMBERS))
+    return df.withColumn(text_col, F.when(some, F.array_join(woven, "")).otherwise(text))

@@ -12,7 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from parley.llm.textio import mix64, span_hashes
+from parley.llm.textio import distinct_spans
 
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 # Code points with the White_Space property.
@@ -70,37 +70,43 @@ def split(points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Memo:
-    """Ids of whole texts, by pre-token. ``encode`` maps a list of pre-tokens to lists of ids."""
+    """Ids of whole texts, by the bytes of each pre-token. ``encode`` maps a list of pre-tokens to lists of ids."""
 
-    LIMIT = 400_000  # entries; memory stays bounded whatever the corpus holds
+    LIMIT, LONG = 400_000, 256  # entries, and bytes of one that is kept; memory stays bounded whatever the corpus holds
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]]):
         self.encode, self.known = encode, {}
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """``(ids, ids before each text)`` of the texts in ``data``."""
-        text = data.tobytes().decode("utf-8", "replace")
-        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        lead = np.zeros(len(data) + 1, np.int64)
-        np.cumsum((data & 0xC0) != 0x80, out=lead[1:])
-        bounds = lead[offsets]
-        starts = split(points, bounds)
+        """``(ids, ids before each text)`` of the texts in ``data``. Pre-tokens are the same if all their bytes are."""
+        raw = data.tobytes()
+        try:
+            shown = raw.decode("utf-8")
+        except UnicodeDecodeError:  # a column of bytes that was called text
+            texts = [raw[a:b].decode("utf-8", "replace").encode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            offsets = np.cumsum([0, *map(len, texts)])
+            raw = b"".join(texts)
+            data, shown = np.frombuffer(raw, np.uint8), raw.decode("utf-8")
+        points = np.frombuffer(shown.encode("utf-32-le"), np.uint32)
+        place = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # where each code point begins
+        starts = place[split(points, np.searchsorted(place, offsets))]
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        ends = np.append(starts[1:], len(points))
-        h = span_hashes(mix64(points.astype(np.uint64) + np.uint64(1)), starts, ends)
-        distinct, at, back = np.unique(h, return_index=True, return_inverse=True)
-        keys = distinct.tolist()
-        new = [k for k, x in enumerate(keys) if x not in self.known]
+        ends = np.append(starts[1:], len(data))
+        first, number = distinct_spans(data, starts, ends)
+        keys = [raw[i:j] for i, j in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        new = [k for k in keys if k not in self.known]
         if len(self.known) + len(new) > self.LIMIT:
-            self.known, new = {}, list(range(len(keys)))
+            self.known, new = {}, keys
         if new:
-            at = at[new]
-            found = self.encode([text[i:j] for i, j in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-            self.known.update((keys[k], array("I", ids).tobytes()) for k, ids in zip(new, found, strict=True))
-        blobs = [self.known[x] for x in keys]
+            found = self.encode([k.decode("utf-8") for k in new])
+            self.known.update((k, array("I", ids).tobytes()) for k, ids in zip(new, found, strict=True))
+        blobs = [self.known[k] for k in keys]
+        for k in new:
+            if len(k) > self.LONG:
+                del self.known[k]
         sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) >> 2
-        ids = np.frombuffer(b"".join([blobs[i] for i in back.tolist()]), np.uint32)
+        ids = np.frombuffer(b"".join([blobs[i] for i in number.tolist()]), np.uint32)
         before = np.zeros(len(starts) + 1, np.int64)
-        np.cumsum(sizes[back], out=before[1:])
-        return ids, before[np.searchsorted(starts, bounds)]
+        np.cumsum(sizes[number], out=before[1:])
+        return ids, before[np.searchsorted(starts, offsets)]

@@ -79,7 +79,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def gram_hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return span_hashes(byte_values()[data], at, at + GRAM)
+    return span_hashes(data, at, at + GRAM)
 
 
 def first_of_block(seen: np.ndarray, h: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -278,7 +278,7 @@ def deduplicate(df: DataFrame, finish: Callable[[bytes, np.ndarray], tuple], nam
                 own = np.isin(mix64(h ^ mix64(doc.view(np.uint64))), pairs)
                 of, first, last, at, h, doc = (x[own] for x in (of, first, last, at, h, doc))
                 size = last - first + LENGTH
-                form = span_hashes(byte_values()[data], first, first + size)
+                form = span_hashes(data, first, first + size)
                 # The anchor's place in the slice is part of its form.
                 form = mix64(form ^ (at - first).astype(np.uint64))
                 # Texts come in the order of their documents: what a form's first slice has, the later ones repeat.
@@ -301,7 +301,7 @@ def deduplicate(df: DataFrame, finish: Callable[[bytes, np.ndarray], tuple], nam
                     row = np.repeat(row, count)
                     w = np.empty(len(row), WINDOW)
                     w["h"], w["doc"], w["at"] = h[row], doc[row], start - offsets[of[row]]
-                    w["own"] = mix64(span_hashes(byte_values()[data], start, start + LENGTH) ^ (at[row] - start).astype(np.uint64))
+                    w["own"] = mix64(span_hashes(data, start, start + LENGTH) ^ (at[row] - start).astype(np.uint64))
                     new, seen_windows = first_of_block(seen_windows, w["h"], w["own"])
                     spans.append(_spans(w["doc"][~new], w["at"][~new], LENGTH))
                     w = w[new]
@@ -390,7 +390,7 @@ def deduplicate(df: DataFrame, finish: Callable[[bytes, np.ndarray], tuple], nam
     dealt_out = source.mapInArrow(touched, f"block int, doc bigint, text string, along {along_ddl}")
     changed = dealt_out.groupBy("block").cogroup(gone.groupBy("block")).applyInArrow(remove, out_ddl)
     carried = (F.col(f"along.c{k}").alias(c) for k, c in enumerate(carry or []))
-    return rest.unionAll(changed).select(F.col("along._").alias(id_col), *carried, *names)
+    return rest.unionAll(changed).select(F.col("along._").alias(id_col), *carried, *(F.col(f"`{n}`") for n in names))
 
 
 def _with_docs(rows: np.ndarray, blocks: int) -> pa.Table:
@@ -435,6 +435,8 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot:
 
 def kept_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` without its repeats; characters cut in two by a repeat's bounds go with it, a null text becomes empty."""
-    others = [c for c in df.columns if c not in (id_col, text_col)]
-    made = deduplicate(df, lambda text, spans: (cut_out(text, spans).decode("utf-8", "ignore"),), ["kept text"], [pa.string()], "`kept text` string", id_col, text_col, others)
-    return made.select(*(F.col("`kept text`").alias(text_col) if c == text_col else F.col(f"`{c}`") for c in df.columns))
+    others, name = [c for c in df.columns if c not in (id_col, text_col)], "kept text"
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    made = deduplicate(df, lambda text, spans: (cut_out(text, spans).decode("utf-8", "ignore"),), [name], [pa.string()], f"`{name}` string", id_col, text_col, others)
+    return made.select(*(F.col(f"`{name}`").alias(text_col) if c == text_col else F.col(f"`{c}`") for c in df.columns))

@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset (tests, a single machine), one of our own."""
+    """``spark.checkpoint.dir`` of the session; where it is unset on a single machine (tests), one of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not named:
         named = context.getCheckpointDir()
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: what is written between steps must outlive an executor")
         if not named:
             named = os.path.join(tempfile.gettempdir(), "parley-checkpoints")
             context.setCheckpointDir(named)
@@ -24,7 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept by ``checkpoint()``; Spark's cleaner removes the files after the last use."""
+    """``df`` computed once and kept by ``checkpoint()``. Spark's cleaner removes the files after the last use only where
+    the application was started with ``spark.cleaner.referenceTracking.cleanCheckpoints=true``."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 

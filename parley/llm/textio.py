@@ -12,6 +12,7 @@ from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 CHUNK = 1 << 20
 ROWS_PER_BATCH = 1000
@@ -83,19 +84,78 @@ def _powers(base: int, blocks: int) -> np.ndarray:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse, for hashes of windows of up to some hundred bytes at every place."""
     blocks = 1
     while blocks * _STEP < n:
         blocks *= 2
     return _powers(_BASE, blocks), _powers(pow(_BASE, -1, 1 << 64), blocks)
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of ``values[start:end]`` for many spans at once: a polynomial modulo 2**64, then mixed."""
-    up, down = powers(len(values) + 1)
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=total[1:])
-    h = (total[ends] - total[starts]) * down[starts]
-    return mix64(h ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_FOLDS = 64  # words of eight bytes that are folded for all spans at once; longer spans are hashed one by one
+
+
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number; what lies behind the end is 0."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of ``data[start:end]`` (bytes) of many spans at once.
+
+    Words of eight bytes are folded in turn, each by a bijection that is not linear, so no structure of a text makes
+    collisions; the length goes in first. Where equality must be certain, ``equal_spans`` compares the bytes.
+    """
+    left = (ends - starts).astype(np.int64)
+    h = mix64(left.astype(np.uint64) + np.uint64(_BASE))
+    eights, open_, at = _eights(data), np.arange(len(left)), starts
+    for _ in range(_FOLDS):
+        if not len(open_):
+            return h
+        x = (h[open_] ^ (eights[at] & _MASKS[np.minimum(left, 8)])) * np.uint64(0x9FB21C651E98DF25)
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        h[open_] = x ^ (x >> np.uint64(29))
+        more = left > 8
+        open_, at, left = open_[more], at[more] + 8, left[more] - 8
+    for k, a, n in zip(open_.tolist(), at.tolist(), left.tolist(), strict=True):
+        h[k] ^= np.uint64(xxhash.xxh3_64_intdigest(data[a : a + n].data, seed=int(h[k])))
+    return mix64(h) if len(open_) else h
+
+
+def equal_spans(data: np.ndarray, a: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_size: np.ndarray) -> np.ndarray:
+    """Whether the bytes of two spans each, ``data[a:a + a_size]`` and ``data[b:b + b_size]``, are the same."""
+    out = a_size == b_size
+    open_ = np.flatnonzero(out & (a != b))
+    a, b, left = a[open_], b[open_], a_size[open_]
+    eights = _eights(data)
+    for _ in range(_FOLDS):
+        if not len(open_):
+            return out
+        same = ((eights[a] ^ eights[b]) & _MASKS[np.minimum(left, 8)]) == 0
+        out[open_[~same]] = False
+        more = same & (left > 8)
+        open_, a, b, left = open_[more], a[more] + 8, b[more] + 8, left[more] - 8
+    for k, i, j, n in zip(open_.tolist(), a.tolist(), b.tolist(), left.tolist(), strict=True):
+        out[k] = bool((data[i : i + n] == data[j : j + n]).all())
+    return out
+
+
+def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A span of each distinct content, and the number of its content for every span. Hashes sort, bytes decide."""
+    _, first, number = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    size, rep = ends - starts, first[number]
+    odd = np.flatnonzero(~equal_spans(data, starts, size, starts[rep], size[rep]))
+    own: dict[bytes, int] = {}
+    more: list[int] = []
+    for k in odd.tolist():
+        key = data[starts[k] : ends[k]].tobytes()
+        if key not in own:
+            own[key] = len(first) + len(more)
+            more.append(k)
+        number[k] = own[key]
+    return (np.append(first, more) if more else first), number
 
 
 @lru_cache(maxsize=1)

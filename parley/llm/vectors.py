@@ -6,6 +6,8 @@ Cosine >= c is distance <= epsilon = sqrt(2 - 2 c), so two blocks whose boxes of
 links. The blocks left are joined recursively: intervals are halved, halves that are provably distant are skipped, and
 small ones are compared in full. Cosines are taken in single precision and, within rounding of the threshold, in double.
 
+Vectors of single precision are kept as they are, all others as double.
+
 Equal vectors are one class with a weight: they are counted, not paired. A task sends back the number of links of each
 of its classes and a spanning forest of the links, never the links.
 
@@ -39,14 +41,15 @@ MARGIN = 1e-4
 
 def unit(raw: np.ndarray) -> np.ndarray:
     x = raw.astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # else the squares of very large or small numbers are lost
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def directions(classes: DataFrame, size: int, sample: int = SAMPLE) -> np.ndarray:
-    rows = classes.filter(F.length("raw") == 4 * size).orderBy(F.xxhash64("raw"), "raw").limit(sample).select("raw").toArrow()
+def directions(classes: DataFrame, size: int, kind: str, sample: int = SAMPLE) -> np.ndarray:
+    rows = classes.filter(F.length("raw") == np.dtype(kind).itemsize * size).orderBy(F.xxhash64("raw"), "raw").limit(sample).select("raw").toArrow()
     if not rows.num_rows:
         return np.zeros((size, min(DIRECTIONS, size)))
-    x = unit(np.frombuffer(b"".join(rows.column(0).to_pylist()), "<f4").reshape(-1, size))
+    x = unit(np.frombuffer(b"".join(rows.column(0).to_pylist()), kind).reshape(-1, size))
     _, vectors = np.linalg.eigh(x.T @ x - len(x) * np.outer(x.mean(axis=0), x.mean(axis=0)))
     return vectors[:, ::-1][:, :DIRECTIONS].copy()
 
@@ -85,28 +88,29 @@ def join_blocks(x: np.ndarray, px: np.ndarray, y: np.ndarray, py: np.ndarray, sa
 
 def near_duplicates(df: DataFrame, least: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``(id, n_links, component_id, kept)`` for each row."""
-    vector = F.col(vector_col).cast("array<float>")
-    squares = F.aggregate(vector, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
-    # A null or NaN component makes the sum null or NaN; infinities make it infinite.
-    sound = F.coalesce((squares > 0) & (squares < float("inf")) & ~F.isnan(squares), F.lit(False))
+    single = df.schema[vector_col].dataType.simpleString() == "array<float>"
+    kind = "<f4" if single else "<f8"
+    vector = F.col(vector_col) if single else F.col(vector_col).cast("array<double>")
+    finite = F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    sound = F.coalesce(finite & F.exists(vector, lambda v: v != 0), F.lit(False))
     marked = df.select(F.col(id_col).cast("bigint").alias("i"), F.when(sound, vector).alias("vector"))
 
     @released
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(1)
-            ends, flat = lists.offsets.to_numpy(), lists.values.fill_null(0).to_numpy().astype("<f4") + np.float32(0)  # -0.0 is 0.0
+            ends, flat = lists.offsets.to_numpy(), lists.values.fill_null(0).to_numpy().astype(kind) + np.dtype(kind).type(0)  # -0.0 is 0.0
             raw = [flat[ends[k] : ends[k + 1]].tobytes() if lists[k].is_valid else None for k in range(len(batch))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["i", "raw"])
 
     rows = written(marked.mapInArrow(pack, "i bigint, raw binary"), "vectors")
     classes = written(rows.filter("raw IS NOT NULL").groupBy("raw").agg(F.coalesce(F.min("i"), stand_in(F.col("raw"))).alias("rep"), F.count("*").alias("weight"), F.min("i").isNull().alias("nameless")), "vector-classes")
-    sizes = [r.n // 4 for r in classes.groupBy(F.length("raw").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()]
+    sizes = [r.n // np.dtype(kind).itemsize for r in classes.groupBy(F.length("raw").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()]
     if not sizes:
         return rows.select(F.col("i").alias(id_col), F.lit(0).cast("bigint").alias("n_links"), F.col("i").alias("component_id"), F.lit(True).alias("kept"))
-    axes = directions(classes, sizes[0])
-    blocks = written(_blocks(classes, axes, np.sqrt(2 - 2 * least)), "vector-blocks")
-    found = written(_joined(blocks, axes, least), "vector-links")
+    axes = directions(classes, sizes[0], kind)
+    blocks = written(_blocks(classes, axes, np.sqrt(2 - 2 * least), kind), "vector-blocks")
+    found = written(_joined(blocks, axes, least, kind), "vector-links")
 
     links = found.filter("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     parts = components(found.filter("b IS NOT NULL"))
@@ -128,25 +132,27 @@ def near_duplicates(df: DataFrame, least: float = 0.9, id_col: str = "vec_id", v
     )
 
 
-def _blocks(classes: DataFrame, axes: np.ndarray, epsilon: float) -> DataFrame:
+def _blocks(classes: DataFrame, axes: np.ndarray, epsilon: float, kind: str) -> DataFrame:
     """The classes in epsilon grid order, cut into blocks with the box of their projections."""
     size, k = axes.shape
+    nbytes_of_size = np.dtype(kind).itemsize * size
 
     @released
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = batch.column(2).to_pylist()
-            own = [len(r) == 4 * size for r in raw]
+            own = [len(r) == nbytes_of_size for r in raw]
             p = np.zeros((len(raw), k))
             if any(own):
-                p[own] = unit(np.frombuffer(b"".join(r for r, o in zip(raw, own, strict=True) if o), "<f4").reshape(-1, size)) @ axes
+                p[own] = unit(np.frombuffer(b"".join(r for r, o in zip(raw, own, strict=True) if o), kind).reshape(-1, size)) @ axes
             cells = np.floor(p / epsilon).astype(np.int32)
             lists = pa.FixedSizeListArray.from_arrays(pa.array(cells.ravel()), k).cast(pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(r) for r in raw], pa.int32()), lists], names=["rep", "weight", "raw", "bytes", "cells"])
 
     placed = classes.select("rep", "weight", "raw").mapInArrow(project, "rep bigint, weight bigint, raw binary, bytes int, cells array<int>")
     order = ["bytes", "cells", "rep"]
-    parts = max(1, int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # Pairs of blocks grow with the square of their number, so there are no more parts than full blocks.
+    parts = max(1, min(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-classes.count() // BLOCK)))
 
     @released
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +164,7 @@ def _blocks(classes: DataFrame, axes: np.ndarray, epsilon: float) -> DataFrame:
             nonlocal number
             reps, weights, raw = (np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), b"".join(r[2] for r in rows))
             nbytes = len(rows[0][2])
-            p = unit(np.frombuffer(raw, "<f4").reshape(len(rows), -1)) @ axes if nbytes == 4 * size else np.zeros((len(rows), k))
+            p = unit(np.frombuffer(raw, kind).reshape(len(rows), -1)) @ axes if nbytes == nbytes_of_size else np.zeros((len(rows), k))
             lo, hi = p.min(axis=0), p.max(axis=0)
             number += 1
             values = [base + number - 1, nbytes, int(np.floor(lo[0] / epsilon)), int(np.floor(hi[0] / epsilon)), lo.tolist(), hi.tolist(), reps.tobytes(), weights.tobytes(), raw]
@@ -177,7 +183,7 @@ def _blocks(classes: DataFrame, axes: np.ndarray, epsilon: float) -> DataFrame:
     return ordered.mapInArrow(cut, "block bigint, bytes int, first int, last int, lo array<double>, hi array<double>, reps binary, weights binary, raw binary")
 
 
-def _joined(blocks: DataFrame, axes: np.ndarray, least: float) -> DataFrame:
+def _joined(blocks: DataFrame, axes: np.ndarray, least: float, kind: str) -> DataFrame:
     """Rows ``(a, null, links of a)`` and forest links ``(a, b, null)`` of every pair of blocks that may hold links."""
     epsilon = float(np.sqrt(2 - 2 * least)) + 1e-9
     box = blocks.select("block", "bytes", "first", "last", "lo", "hi")
@@ -200,7 +206,7 @@ def _joined(blocks: DataFrame, axes: np.ndarray, least: float) -> DataFrame:
         for row in (rows[0], rows[-1]):
             reps.append(np.frombuffer(row["reps"], np.int64))
             weights.append(np.frombuffer(row["weights"], np.int64))
-            vectors.append(unit(np.frombuffer(row["raw"], "<f4").reshape(len(reps[-1]), -1)))
+            vectors.append(unit(np.frombuffer(row["raw"], kind).reshape(len(reps[-1]), -1)))
         project = axes if vectors[0].shape[1] == size else np.zeros((vectors[0].shape[1], 1))
         counts = [np.zeros(len(r), np.int64) for r in reps]
         a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)

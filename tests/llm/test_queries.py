@@ -41,7 +41,7 @@ def test_pipeline_stages(spark):
     single = {i: good[i] for i, (_, c) in brute_jaccard(list(good.items())).items() if c == i}
     cut = {i: v[4].decode("utf-8", "ignore") for i, v in brute_repeats(list(single.items())).items()}
     frame = spark.createDataFrame(list(cut.items()), "doc_id bigint, text string")
-    private = {r.doc_id: r.text for r in pii.pseudonymise(frame).collect()}
+    private = {r.doc_id: r.text for r in pii.pseudonymise(frame, pii.key_of(spark)).collect()}
 
     from parley.llm import packing
     import public_tokenizers

@@ -19,6 +19,7 @@ from tokenizers import Tokenizer
 from parley.llm import bpe, chat, html, packing, pii, quality, urls
 from parley.llm.textio import texts_of
 
+KEY = "a key of the tests"
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 ODD = [None, "", "   ", "'re it's 'restless 'll\n's", "a\u0085b \u00a0c\u2003d", "日本 ²½٣ é", "<|endoftext|> x", "x" * 5000, "same", "same"]
 
@@ -128,7 +129,7 @@ def test_pseudonyms_keep_format_and_links(spark):
         'token = "b44e15e09fd311c3cf3163b66d5a9875b883d8ce"',
         None, "", "version 3. CC BY-NC 4.0, 2-3 of 4", "x 4111111111111111",
     ]
-    out = [r.text for r in pii.pseudonymise(frame(spark, texts)).orderBy("doc_id").collect()]
+    out = [r.text for r in pii.pseudonymise(frame(spark, texts), KEY).orderBy("doc_id").collect()]
     assert out[4:7] == texts[4:7]
     for old, new in zip(texts, out, strict=True):
         assert old is None or len(old) == len(new) or "@" in old or "." in old
@@ -139,15 +140,15 @@ def test_pseudonyms_keep_format_and_links(spark):
     assert "mail7" not in out[1] and "10.0.0.1" not in out[1] and "999.1.1.1" in out[1]
     assert "555-7713" not in out[2] and "123-45-6789" not in out[2] and "1987" not in out[2].split("born")[1]
     assert "b44e15e09fd3" not in out[3]
-    assert pii.pseudonymise(frame(spark, []).limit(0)).columns == frame(spark, []).columns
+    assert pii.pseudonymise(frame(spark, []).limit(0), KEY).columns == frame(spark, []).columns
 
 
 def test_feistel_is_a_permutation(spark):
-    n = spark.range(0, 73049).select(pii.permute_index(F.col("id"), pii.CENTURIES).alias("x"))
+    n = spark.range(0, 73049).select(pii.permute_index(F.col("id"), pii.CENTURIES, KEY).alias("x"))
     assert n.distinct().count() == 73049 and tuple(n.agg(F.min("x"), F.max("x")).collect()[0]) == (0, 73048)
-    s = spark.range(0, 1000).select(F.lpad("id", 3, "0").alias("v")).select("v", pii.permute_text(F.col("v")).alias("p"))
+    s = spark.range(0, 1000).select(F.lpad("id", 3, "0").alias("v")).select("v", pii.permute_text(F.col("v"), KEY).alias("p"))
     assert s.select("p").distinct().count() == 1000
-    assert s.filter(pii.permute_text(F.col("p"), inverse=True) != F.col("v")).count() == 0
+    assert s.filter(pii.permute_text(F.col("p"), KEY, inverse=True) != F.col("v")).count() == 0
 
 
 def test_chat_round_trip(spark):
@@ -209,10 +210,10 @@ def test_url_cascade(spark):
 
 
 def test_cascade_is_exact_over_its_universe(spark):
-    universe = spark.range(20_000).select(F.col("id").cast("string").alias("key")).withColumn("h", F.xxhash64("key"))
+    universe = spark.range(20_000).select(F.col("id").cast("string").alias("key"))
     listed = [str(k) for k in range(0, 20_000, 97)]
     cascade = urls.build(universe, 20_000, listed)
-    rows = universe.collect()
+    rows = universe.withColumn("h", urls.hashed(F.col("key"), cascade.seed)).collect()
     found = cascade.has(np.array([r.h for r in rows], np.int64).view(np.uint64))
     assert {r.key for r, f in zip(rows, found, strict=True) if f} == set(listed)
     assert sum(level.bits for level in cascade.levels) < 40 * len(listed)
