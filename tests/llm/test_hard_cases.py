@@ -126,7 +126,7 @@ def test_null_ids_elsewhere(spark):
 def test_clash_in_repeats(spark):
     df = frame(spark, [(1, "x" * 300), (2, "y")]).withColumn("kept text", F.lit(5)).withColumn("a.b", F.lit(6))
     kept = repeats.kept_texts(df)
-    assert kept.columns == df.columns and {(r.doc_id, len(r.text), r["kept text"], r["a.b"]) for r in kept.collect()} == {(1, 100, 5, 6), (2, 1, 5, 6)}
+    assert kept.columns == df.columns and {(r.doc_id, len(r.text), r["kept text"], r["a.b"]) for r in kept.collect()} == {(1, 1, 5, 6), (2, 1, 5, 6)}
 
 
 def test_long_addresses(spark):
