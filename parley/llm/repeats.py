@@ -6,16 +6,19 @@ the same one. Texts are UTF-8 bytes; strings never cross documents and are judge
 1. Every string of ``LENGTH`` bytes picks an anchor in itself: the last of the least hashes of its ``GRAM``-byte parts.
    Equal strings pick the same anchor at the same place, so only strings whose anchor's bytes occur twice can repeat.
    Anchors' hashes are dealt out in packed blocks, and the repeated ones are sent back to their documents.
-2. Around each repeated anchor, the slice of its strings is dealt out by the anchor's hash to shards. A shard lays the
-   different slices end to end and orders their suffixes by external induced sorting (``suffixes``); strings that agree
-   in their common prefix over ``LENGTH`` bytes are one string, whose first occurrence stays.
+2. Around each repeated anchor, the slice of its strings is dealt out by the anchor's hash to shards, which are as many
+   as the slices' bytes ask for. A shard reads its slices in the order of their hashes; neighbours whose bytes are equal
+   are one form. Where an anchor has several forms, they are laid end to end in a file, and the file's suffixes are
+   ordered by external induced sorting (``suffixes``): strings that agree in their common prefix over ``LENGTH`` bytes
+   are one string, whose first occurrence stays. All this streams, so a shard may be far larger than memory.
 3. The spans to remove go back to their documents.
 
 Anchors decide only what is compared. Documents whose whole text is equal to a smaller one's are left out of all this:
 each of their strings starts earlier. Slices that repeat in a block of documents are reduced to the first before they are
 dealt out, so a shard gets each form at most once a block, however many documents share it. The slices of an anchor that
 over ``HOT`` documents have may still all differ (at the edges of a shared passage): their strings are dealt out one by
-one, by their own hashes, so no shard gets them all.
+one, by their own hashes, so no shard gets them all. In a block of documents and among the strings of hot anchors, what is
+equal is told by two 64-bit hashes (of the anchor and of the whole); between blocks it is told by the bytes.
 
 Defined cases: null and empty texts have no bytes; texts shorter than ``LENGTH`` lose none; texts of any length are used
 whole; rows with equal ids and equal texts are one document (ids are expected to be distinct); rows with null ids are
@@ -34,18 +37,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm.packed import bitmap, dealt, gathered, has, spot, stand_in, unpacked
-from parley.llm.scratch import settled, written
-from parley.llm.suffixes import equal_prefixes
-from parley.llm.textio import byte_values, mix64, powers, released, span_hashes, texts_of
+from parley.llm.scratch import written
+from parley.llm.suffixes import BUDGET, Disk, sorted_suffixes
+from parley.llm.textio import byte_values, equal_spans, mix64, powers, released, span_hashes, texts_of
 
 LENGTH = 100
 GRAM = 50
 HOT = 10_000
+BLOCK_BYTES = 64 << 20  # of texts that a block of documents has on average, at most
+SHARD_BYTES = 32 << 20  # of slices
+SLICES, SPANS = -2, -1  # what a row of the cut texts holds; from 0 on, it is a shard of hot strings
 ANCHOR = np.dtype([("h", "<u8"), ("doc", "<i8")])
 FLAGGED = np.dtype([("h", "<u8"), ("doc", "<i8"), ("hot", "u1")])
 FORM = np.dtype([("h", "<u8"), ("own", "<u8")])
 WINDOW = np.dtype([("h", "<u8"), ("own", "<u8"), ("doc", "<i8"), ("at", "<i8")])
-SLICE = np.dtype([("h", "<u8"), ("own", "<u8"), ("doc", "<i8"), ("at", "<i8"), ("anchor", "<u2"), ("size", "<u2")])
 SPAN = np.dtype([("doc", "<i8"), ("start", "<i8"), ("end", "<i8")])
 
 
@@ -107,49 +112,126 @@ def _spans(doc: np.ndarray, start: np.ndarray, size: np.ndarray | int) -> np.nda
     return out
 
 
-def repeated_windows(s: np.ndarray, data: np.ndarray) -> np.ndarray:
-    """Spans to remove, from the slices of a shard (``data`` holds their bytes in the order of ``s``)."""
-    if not len(s):
-        return np.zeros(0, SPAN)
-    size = s["size"].astype(np.int64)
-    place = np.cumsum(size) - size
-    by = np.lexsort((s["at"], s["doc"], s["size"], s["own"], s["h"]))
-    s, place, size = s[by], place[by], size[by]
-    new_h = np.append(True, s["h"][1:] != s["h"][:-1])
-    new_form = new_h | np.append(True, (s["own"][1:] != s["own"][:-1]) | (s["size"][1:] != s["size"][:-1]))
-    form = np.cumsum(new_form) - 1
-    head = np.flatnonzero(new_form)  # the first occurrence of each form: least document, then place
-    out = []
-    # Later occurrences of a form repeat its first one.
-    later = np.flatnonzero(~new_form)
-    whole = np.empty(len(later), SPAN)
-    whole["doc"], whole["start"], whole["end"] = s["doc"][later], s["at"][later], s["at"][later] + size[later]
-    out.append(whole)
-    # Anchors with several forms: suffix order tells which strings of different forms are equal.
-    forms_of = np.bincount(np.cumsum(new_h)[head] - 1)
-    several = head[forms_of[np.cumsum(new_h)[head] - 1] > 1]
-    if len(several):
-        n = size[several]
-        laid = np.zeros(int((n + 1).sum()), np.uint8)
-        base = np.cumsum(n + 1) - (n + 1)
-        spots = np.arange(int(n.sum())) + np.repeat(base - (np.cumsum(n) - n), n)
-        laid[spots] = gathered(data, place[several], n) + np.uint8(1)  # UTF-8 has no byte 255; 0 ends a slice
-        group = equal_prefixes(laid, LENGTH)
-        count = n - LENGTH + 1
-        window = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-        row = np.repeat(several, count)
-        g = group[np.repeat(base, count) + window]
-        doc, at = s["doc"][row], s["at"][row] + window
-        order = np.lexsort((at, doc, g))
-        first = np.append(True, g[order][1:] != g[order][:-1])
-        repeat = np.ones(len(order), bool)
-        repeat[order[first]] = False
-        # The first occurrence of a form whose strings start earlier in another form.
-        k = np.flatnonzero(repeat)
-        part = np.empty(len(k), SPAN)
-        part["doc"], part["start"], part["end"] = doc[k], at[k], at[k] + LENGTH
-        out.append(merged(part))
-    return np.concatenate(out)
+class Forms:
+    """The slices of a shard, in the order of their hashes: equal ones are told at once, the different forms of an anchor
+    that has several are laid end to end on the disk."""
+
+    def __init__(self, disk: Disk):
+        self.text, self.base, self.size, self.doc, self.at = disk.sink(np.uint8), *(disk.sink(np.int64) for _ in range(4))
+        self.previous: tuple | None = None  # the last slice
+        self.pending: tuple | None = None  # a form whose anchor has no other one yet
+        self.laid = None  # the anchor whose forms are being laid
+
+    def add(self, h: np.ndarray, own: np.ndarray, doc: np.ndarray, at: np.ndarray, size: np.ndarray, data: np.ndarray) -> np.ndarray:
+        """Take slices; those that repeat an earlier one whole are the spans that are given back."""
+        carried = [x for x in (self.previous, self.pending) if x is not None]
+        lead = len(carried)
+        h, own, doc, at = (np.concatenate([np.array([c[k] for c in carried], x.dtype), x]) for k, x in enumerate((h, own, doc, at)))
+        size = np.concatenate([np.array([len(c[4]) for c in carried], np.int64), size])
+        data = np.concatenate([*(c[4] for c in carried), data])
+        start = np.cumsum(size) - size
+        rows = np.arange(lead, len(h))
+        before = np.append(0 if self.previous is not None else lead, rows[:-1])
+        same = (h[rows] == h[before]) & (own[rows] == own[before]) & equal_spans(data, start[rows], size[rows], start[before], size[before])
+        if self.previous is None:
+            same[0] = False
+        again, heads = rows[same], rows[~same]
+        last = len(h) - 1
+        self.previous = (h[last], own[last], doc[last], at[last], data[start[last] : start[last] + size[last]].copy())
+        if len(heads):
+            if self.pending is not None:
+                heads = np.append(lead - 1, heads)
+            new = np.append(True, h[heads][1:] != h[heads][:-1])
+            count = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1]
+            lay = (count > 1) | (h[heads] == self.laid if self.laid is not None else False)
+            end = heads[-1]
+            if lay[-1]:
+                self.laid, self.pending = h[end], None
+            else:
+                self.pending = (h[end], own[end], doc[end], at[end], data[start[end] : start[end] + size[end]].copy())
+            self._lay(doc[heads[lay]], at[heads[lay]], start[heads[lay]], size[heads[lay]], data)
+        return _spans(doc[again], at[again], size[again])
+
+    def _lay(self, doc: np.ndarray, at: np.ndarray, start: np.ndarray, size: np.ndarray, data: np.ndarray) -> None:
+        if not len(doc):
+            return
+        base = np.cumsum(size + 1) - (size + 1)
+        laid = np.zeros(int((size + 1).sum()), np.uint8)
+        laid[np.arange(int(size.sum())) + np.repeat(base - (np.cumsum(size) - size), size)] = gathered(data, start, size) + np.uint8(1)  # UTF-8 has no byte 255; 0 ends a slice
+        self.base.add(base + self.text.size)
+        self.text.add(laid)
+        self.size.add(size)
+        self.doc.add(doc)
+        self.at.add(at)
+
+
+def repeated_strings(forms: Forms, disk: Disk, budget: int = BUDGET) -> Iterator[np.ndarray]:
+    """Spans to remove: of the strings of all forms that are equal, all but the first."""
+    base, size, docs, ats = (x.whole() for x in (forms.base, forms.size, forms.doc, forms.at))
+    best: tuple | None = None  # of the string that the last block ended with
+    for pos, lcp in sorted_suffixes(forms.text.whole(), LENGTH, budget, disk):
+        group = np.cumsum(lcp < LENGTH)
+        final = int(group[-1])
+        row = np.searchsorted(base, pos, "right") - 1
+        off = pos - base[row]
+        good = np.flatnonzero(off + LENGTH <= size[row])
+        group, doc, at = group[good], docs[row[good]], ats[row[good]] + off[good]
+        if best is not None and final >= 0:  # it stands first in its group, which this block goes on with
+            group, doc, at = np.append(0, group), np.append(best[0], doc), np.append(best[1], at)
+        by = np.lexsort((at, doc, group))
+        group, doc, at = group[by], doc[by], at[by]
+        first = np.append(True, group[1:] != group[:-1]) if len(group) else np.zeros(0, bool)
+        yield _spans(doc[~first], at[~first], LENGTH)
+        ends = np.flatnonzero(first & (group == final))
+        best = (int(doc[ends[0]]), int(at[ends[0]])) if len(ends) else None
+
+
+def shard_spans(blocks: int, budget: int = BUDGET, most: int = 500_000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Spans to remove from the slices of a shard, packed by the block of their document."""
+
+    @released
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal size
+            found = merged(np.concatenate(held)) if held else np.zeros(0, SPAN)
+            held.clear()
+            size = 0
+            yield from _with_docs(found, blocks).to_batches()
+
+        with Disk() as disk:
+            forms = Forms(disk)
+            for batch in batches:
+                if batch.num_rows:
+                    h, own, doc, at = (batch.column(k).to_numpy().copy() for k in range(4))
+                    offsets, data = _bytes_of(batch.column(4))
+                    held.append(forms.add(h, own, doc, at, np.diff(offsets), data))
+                    size += len(held[-1])
+                    if size >= most:
+                        yield from flush()
+            for found in repeated_strings(forms, disk, budget):
+                held.append(found)
+                size += len(found)
+                if size >= most:
+                    yield from flush()
+        yield from flush()
+
+    return run
+
+
+def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    column = column.cast(pa.large_binary())
+    _, where, data = column.buffers()
+    offsets = np.frombuffer(where, np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return offsets - offsets[0], data[offsets[0] : offsets[-1]]
+
+
+def _binaries(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Bytes laid end to end as an array of binary values."""
+    offsets = np.append(0, np.cumsum(sizes)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
 
 
 def merged(spans: np.ndarray) -> np.ndarray:
@@ -183,33 +265,21 @@ def _texts(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray
         yield ids[lo:hi], data, offsets
 
 
-def _pack_slices(s: np.ndarray, data: np.ndarray) -> bytes:
-    return len(s).to_bytes(8, "little") + s.tobytes() + data.tobytes()
-
-
-def _unpack_slices(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    rows, bytes_ = [], []
-    for blob in blobs:
-        n = int.from_bytes(blob[:8], "little")
-        rows.append(np.frombuffer(blob, SLICE, n, 8))
-        bytes_.append(np.frombuffer(blob, np.uint8, offset=8 + n * SLICE.itemsize))
-    return np.concatenate(rows), np.concatenate(bytes_)
-
-
-def deduplicate(df: DataFrame, finish: Callable[[bytes, np.ndarray], tuple], names: list[str], types: list[pa.DataType], ddl: str, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, hot: int = HOT) -> DataFrame:
+def deduplicate(df: DataFrame, finish: Callable[[bytes, np.ndarray], tuple], names: list[str], types: list[pa.DataType], ddl: str, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, hot: int = HOT, budget: int = BUDGET) -> DataFrame:
     """``(id, *carry, *names)`` of each row, with what ``finish(bytes, spans)`` makes of a text and its ``(start, end)`` to remove."""
     spark = df.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    blocks, shards = max(8, 2 * parts), max(8, parts)
+    shards = max(8, parts)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     doc = F.coalesce(F.col(id_col).cast("bigint"), stand_in(text))
     texts = df.select(doc.alias("doc"), text.alias("text"))
 
     # Equal texts: the least document stands for all.
     equal = texts.select("doc", F.md5("text").alias("digest"), F.octet_length("text").alias("n"))
-    classes = equal.groupBy("digest", "n").agg(F.min("doc").alias("rep"), F.count("*").alias("size"))
-    reps = settled(classes.select("rep"))
-    rep_bits = spark.sparkContext.broadcast(bitmap(reps, "rep"))
+    # They are a table of their own: then the large groups of a join with them can be split.
+    classes = written(equal.groupBy("digest", "n").agg(F.min("doc").alias("rep"), F.count("*").alias("size")), "text-classes")
+    blocks = max(8, 2 * parts, -(-(classes.agg(F.sum("n")).first()[0] or 0) // BLOCK_BYTES))
+    rep_bits = spark.sparkContext.broadcast(bitmap(classes, "rep"))
 
     @released
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,6 +333,10 @@ def deduplicate(df: DataFrame, finish: Callable[[bytes, np.ndarray], tuple], nam
             own = batch.filter(pa.array(keep))
             yield pa.RecordBatch.from_arrays([pa.array(_doc_block(own.column(0).to_numpy().copy(), blocks).astype(np.int32)), own.column(0), own.column(1)], names=["block", "doc", "text"])
 
+    numbers = [(name, pa.int64()) for name in ("h", "own", "doc", "at")]
+    cut_schema = pa.schema([("shard", pa.int32()), *numbers, ("slices", pa.binary()), ("spans", pa.binary())])
+    cut_ddl = "shard int, h bigint, own bigint, doc bigint, at bigint, slices binary, spans binary"
+
     def slices(left: pa.Table, right: pa.Table) -> pa.Table:
         wanted = unpacked(right.column("rows"), FLAGGED) if right.num_rows else np.zeros(0, FLAGGED)
         hot_anchors = np.unique(wanted["h"][wanted["hot"] > 0])
@@ -285,15 +359,10 @@ def deduplicate(df: DataFrame, finish: Callable[[bytes, np.ndarray], tuple], nam
                 new, seen = first_of_block(seen, h, form)
                 spans = [_spans(doc[~new], (first - offsets[of])[~new], size[~new])]
                 warm = new & ~np.isin(h, hot_anchors)
-                s = np.empty(int(warm.sum()), SLICE)
-                s["h"], s["own"], s["doc"], s["at"], s["anchor"], s["size"] = h[warm], form[warm], doc[warm], (first - offsets[of])[warm], (at - first)[warm], size[warm]
-                shard = (mix64(s["h"]) % np.uint64(shards)).astype(np.int64)
-                by = np.argsort(shard, kind="stable")
-                s, begin, length, shard = s[by], first[warm][by], size[warm][by], shard[by]
-                cut = np.searchsorted(shard, np.arange(shards + 1))
-                some = np.flatnonzero(np.diff(cut)).tolist()
-                packs = [_pack_slices(s[cut[k] : cut[k + 1]], gathered(data, begin[cut[k] : cut[k + 1]], length[cut[k] : cut[k + 1]])) for k in some]
-                out.append(pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(packs, pa.binary()), pa.nulls(len(some), pa.binary())], names=["shard", "slices", "spans"]))
+                some = int(warm.sum())
+                numbers = (h[warm].view(np.int64), form[warm].view(np.int64), doc[warm], (first - offsets[of])[warm])
+                bytes_ = _binaries(gathered(data, first[warm], size[warm]), size[warm])
+                out.append(pa.RecordBatch.from_arrays([pa.array(np.full(some, SLICES, np.int32)), *map(pa.array, numbers), bytes_, pa.nulls(some, pa.binary())], schema=cut_schema))
                 row = np.flatnonzero(new & ~warm)
                 if len(row):
                     count = size[row] - LENGTH + 1
@@ -305,25 +374,21 @@ def deduplicate(df: DataFrame, finish: Callable[[bytes, np.ndarray], tuple], nam
                     new, seen_windows = first_of_block(seen_windows, w["h"], w["own"])
                     spans.append(_spans(w["doc"][~new], w["at"][~new], LENGTH))
                     w = w[new]
-                    # Shards of their own, after those of the slices.
                     packed = dealt(w, (mix64(w["own"] ^ mix64(w["h"])) % np.uint64(shards)).astype(np.int64), shards)
-                    some = pa.array(packed.column(0).to_numpy() + np.int32(shards), pa.int32())
-                    out.append(pa.RecordBatch.from_arrays([some, packed.column(1), pa.nulls(len(some), pa.binary())], names=["shard", "slices", "spans"]))
+                    none = [pa.nulls(len(packed), pa.int64())] * 4
+                    out.append(pa.RecordBatch.from_arrays([packed.column(0), *none, packed.column(1), pa.nulls(len(packed), pa.binary())], schema=cut_schema))
                 spans = np.concatenate(spans)
                 if len(spans):
-                    out.append(pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.nulls(1, pa.binary()), pa.array([merged(spans).tobytes()], pa.binary())], names=["shard", "slices", "spans"]))
-        return pa.Table.from_batches(out, pa.schema([("shard", pa.int32()), ("slices", pa.binary()), ("spans", pa.binary())]))
+                    none = [pa.nulls(1, pa.int64())] * 4
+                    out.append(pa.RecordBatch.from_arrays([pa.array([SPANS], pa.int32()), *none, pa.nulls(1, pa.binary()), pa.array([merged(spans).tobytes()], pa.binary())], schema=cut_schema))
+        return pa.Table.from_batches(out, cut_schema)
 
     sifted = texts.select("doc", "text", spot("doc").alias("s")).mapInArrow(sift, "block int, doc bigint, text string")
-    cut = sifted.groupBy("block").cogroup(flagged.select("block", "rows").groupBy("block")).applyInArrow(slices, "shard int, slices binary, spans binary")
+    cut = sifted.groupBy("block").cogroup(flagged.select("block", "rows").groupBy("block")).applyInArrow(slices, cut_ddl)
     cut = written(cut, "repeated-slices")
 
-    def order(table: pa.Table) -> pa.Table:
-        if table.column("shard")[0].as_py() >= shards:
-            found = repeated_hashes(unpacked(table.column("slices"), WINDOW))
-        else:
-            found = repeated_windows(*_unpack_slices(table.column("slices").to_pylist()))
-        return _with_docs(merged(found), blocks)
+    def hot_strings(table: pa.Table) -> pa.Table:
+        return _with_docs(merged(repeated_hashes(unpacked(table.column("slices"), WINDOW))), blocks)
 
     @released
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,8 +397,12 @@ def deduplicate(df: DataFrame, finish: Callable[[bytes, np.ndarray], tuple], nam
                 yield from _with_docs(np.frombuffer(blob, SPAN), blocks).to_batches()
 
     schema = "block int, rows binary, docs array<bigint>"
-    between = cut.filter("shard >= 0").select("shard", "slices").groupBy("shard").applyInArrow(order, schema)
-    spans = written(between.unionAll(cut.filter("shard < 0").select("spans").mapInArrow(local, schema)), "repeated-spans")
+    size = cut.filter(F.col("shard") == SLICES).agg(F.sum(F.length("slices"))).first()[0] or 0
+    dealt_slices = cut.filter(F.col("shard") == SLICES).select("h", "own", "doc", "at", "slices").repartition(max(parts, -(-size // SHARD_BYTES)), "h")
+    between = dealt_slices.sortWithinPartitions("h", "own", "doc", "at").mapInArrow(shard_spans(blocks, budget), schema)
+    edges = cut.filter("shard >= 0").select("shard", "slices").groupBy("shard").applyInArrow(hot_strings, schema)
+    inner = cut.filter(F.col("shard") == SPANS).select("spans").mapInArrow(local, schema)
+    spans = written(between.unionAll(edges).unionAll(inner), "repeated-spans")
 
     # What a row carries along goes in one struct, with its own id, which may be null.
     along = F.struct(F.col(id_col).alias("_"), *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carry or [])))
@@ -342,8 +411,7 @@ def deduplicate(df: DataFrame, finish: Callable[[bytes, np.ndarray], tuple], nam
 
     # Copies of whole texts, and documents with spans, are dealt out; the rest is finished where it is read.
     span_bits = spark.sparkContext.broadcast(bitmap(spans.select(F.explode("docs").alias("doc")), "doc"))
-    # The classes are a table of their own: then the join's large groups can be split.
-    several = written(classes.filter("size > 1").select("digest", "n", "rep"), "equal-texts")
+    several = classes.filter("size > 1").select("digest", "n", "rep")
     copied = equal.join(several, ["digest", "n"]).filter("doc <> rep").select("doc", "n")
     copies = copied.select(F.col("doc"), F.col("n")).distinct()
     whole = written(copies.mapInArrow(_whole(blocks), schema), "repeated-texts")
@@ -425,11 +493,11 @@ def _digest(text: bytes, spans: np.ndarray) -> tuple:
     return len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()
 
 
-def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, budget: int = BUDGET) -> DataFrame:
     """``(id, n_bytes, n_removed, n_spans, kept_sha256)`` of each row."""
     return deduplicate(
         df, _digest, ["n_bytes", "n_removed", "n_spans", "kept_sha256"], [pa.int64(), pa.int64(), pa.int64(), pa.string()],
-        "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string", id_col, text_col, hot=hot,
+        "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string", id_col, text_col, hot=hot, budget=budget,
     )
 
 

@@ -124,24 +124,61 @@ def test_shared_passage_is_split(spark, monkeypatch):
     docs = shared_passage()
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
     assert {r.doc_id: tuple(r)[1:] for r in repeats.digests(df, hot=100).collect()} == {i: v[:4] for i, v in brute_repeats(docs).items()}
-    inner, edges = [], {}
+    edges = {}
     for shard, packed in kept["repeated-slices"].filter("shard >= 0").select("shard", "slices").collect():
-        if shard < 8:
-            inner += repeats._unpack_slices([bytes(packed)])[0].tolist()
-        else:
-            edges[shard] = edges.get(shard, 0) + len(packed) // repeats.WINDOW.itemsize
-    of_anchor = {}
-    for h, *_ in inner:
-        of_anchor[h] = of_anchor.get(h, 0) + 1
-    assert max(of_anchor.values(), default=0) <= 100
+        edges[shard] = edges.get(shard, 0) + len(packed) // repeats.WINDOW.itemsize
+    of_anchor = kept["repeated-slices"].filter(F.col("shard") == repeats.SLICES).groupBy("h").count().collect()
+    assert max((r["count"] for r in of_anchor), default=0) <= 100
     assert len(edges) == 8 and max(edges.values()) < 2 * sum(edges.values()) / len(edges)
     kept.clear()
     repeats.digests(df, hot=10**6).collect()
-    slices = [x for (packed,) in kept["repeated-slices"].filter("shard >= 0").select("slices").collect() for x in repeats._unpack_slices([bytes(packed)])[0].tolist()]
-    forms = {}
-    for h, own, *_ in slices:
-        forms[h, own] = forms.get((h, own), 0) + 1
-    assert max(forms.values()) <= 8  # once a block, before: 600
+    forms = kept["repeated-slices"].filter(F.col("shard") == repeats.SLICES).groupBy("h", "own").count().collect()
+    assert max(r["count"] for r in forms) <= 8  # once a block, before: 600
+
+
+def test_a_shard_may_exceed_its_budget(spark, tmp_path):
+    """Text of many times what is held in memory: S* suffixes are named and sorted recursively, queues go to the disk."""
+    docs = repeated_texts(8)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1)
+    assert sum(len((t or "").encode()) for _, t in docs) > 20 * 2000
+    assert {r.doc_id: tuple(r)[1:] for r in repeats.digests(df, budget=2000).collect()} == {i: v[:4] for i, v in brute_repeats(docs).items()}
+
+
+def test_recursion_names_substrings(monkeypatch):
+    levels = []
+    real = suffixes._names
+    monkeypatch.setattr(suffixes, "_names", lambda *a: levels.append(len(a[1])) or real(*a))
+    rng = np.random.default_rng(4)
+    text = np.concatenate([rng.integers(0, 3, 3000), *[rng.integers(0, 2, 50)] * 40, np.zeros(300)]).astype(np.uint8)
+    group = suffixes.equal_prefixes(text, 100, 60)
+    assert len(levels) > 1 and levels == sorted(levels, reverse=True)
+    known = {}
+    for i in range(len(text) - 100):
+        assert known.setdefault(text[i : i + 100].tobytes(), group[i]) == group[i]
+    assert len(set(known.values())) == len(known)
+
+
+@pytest.mark.parametrize("rows", [1, 2, 7])
+def test_forms_are_told_by_their_bytes(rows):
+    """All hashes equal: the bytes tell forms apart, whatever the batches are."""
+    rng = random.Random(rows)
+    texts = sorted((rng.choice("ab"), bytes(rng.choice(b"xyz") for _ in range(rng.choice([100, 101])))) for _ in range(40))
+    texts += [texts[k] for k in (3, 3, 9)]
+    with suffixes.Disk() as disk:
+        forms, spans = repeats.Forms(disk), []
+        for lo in range(0, len(texts), rows):
+            part = texts[lo : lo + rows]
+            numbers = (np.array([ord(a) for a, _ in part]), np.zeros(len(part), np.int64), np.arange(lo, lo + len(part)), np.zeros(len(part), np.int64))
+            spans.append(forms.add(*numbers, np.array([len(b) for _, b in part]), np.frombuffer(b"".join(b for _, b in part), np.uint8)))
+        spans += list(repeats.repeated_strings(forms, disk, 50))
+        found = {(int(s["doc"]), k) for part in spans for s in part for k in range(int(s["start"]), int(s["end"]) - 99)}
+    seen, expected = set(), set()
+    for i, (_, b) in enumerate(texts):
+        for k in range(len(b) - 99):
+            if b[k : k + 100] in seen:
+                expected.add((i, k))
+            seen.add(b[k : k + 100])
+    assert found == expected
 
 
 def test_repeats_repeated_and_no_rows(spark):
