@@ -12,8 +12,13 @@ from parley.sources.tables import DAY_US
 PRICES = {"claude": (0.003, 0.015), "anthropic": (0.003, 0.015), "openai": (0.005, 0.020), "gpt": (0.005, 0.020), "gemini": (0.001, 0.004), "deepseek": (0.0014, 0.0028), "mistral": (0.002, 0.006)}
 DEFAULT_PRICE = (0.003, 0.015)
 PERIODS = {"daily": 1, "weekly": 7, "monthly": 30}
-# Context windows in tokens by what a model's name contains.
-CONTEXTS = {"claude": 200_000, "gpt-4o": 128_000, "gemini-1.5": 1_000_000, "mistral": 32_000, "llama": 8_192}
+# Context windows in tokens by what a model's name contains; the longest such key counts.
+CONTEXTS = {
+    "claude-fable-5": 200_000, "claude-opus-4-8": 200_000, "claude-sonnet": 200_000, "claude-opus": 200_000, "claude-haiku": 200_000, "claude": 200_000,
+    "gpt-4.1": 1_000_000, "gpt-4o": 128_000, "gpt-4": 128_000, "gpt-3.5": 16_000, "gpt-5": 400_000, "o1": 200_000, "o3": 200_000, "o4": 200_000,
+    "gemini": 1_000_000, "deepseek": 128_000, "mistral": 128_000, "codestral": 256_000, "grok": 128_000, "command-r": 128_000,
+    "llama": 32_000, "qwen": 32_000, "mixtral": 32_000, "phi": 16_000,
+}
 DEFAULT_CONTEXT = 128_000
 
 

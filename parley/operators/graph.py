@@ -19,17 +19,17 @@ BOOSTS_AT = {"goal": 1.25, "decision": 1.20, "task": 1.0, "error": 0.90, "file":
 DECAY = {("task", "completed"): 0.15, ("error", "completed"): 0.20, ("decision", "superseded"): 0.30, ("decision", "archived"): 0.25, ("task", "failed"): 0.10, ("task", "in_progress"): 0.05}
 GRACE = {"task": 3, "error": 1}
 DECAY_FLOOR, DECAY_MOST, DECAY_LEAST_CHANGE = 0.10, 0.5, 0.005
-# Which statuses may follow one another.
+# Which statuses may follow one another ("modified" is another name for "superseded").
 STATUS_MOVES = {
-    "pending": ["in_progress", "completed", "failed", "archived", "invalidated"],
-    "in_progress": ["completed", "failed", "pending", "archived", "invalidated"],
-    "completed": ["archived", "superseded", "invalidated", "in_progress"],
-    "failed": ["pending", "in_progress", "archived", "invalidated"],
-    "contested": ["completed", "superseded", "invalidated", "archived"],
-    "superseded": ["archived"],
-    "modified": ["archived"],
-    "invalidated": ["archived"],
+    "pending": ["in_progress", "completed", "failed", "invalidated"],
+    "in_progress": ["completed", "failed", "pending", "invalidated"],
+    "completed": ["superseded", "modified", "invalidated", "in_progress", "contested"],
+    "failed": ["in_progress", "completed", "invalidated"],
+    "superseded": ["archived", "invalidated"],
+    "modified": ["archived", "invalidated"],
+    "invalidated": [],
     "archived": [],
+    "contested": ["completed", "superseded", "modified", "invalidated"],
 }
 # Types that an edge may start and end at.
 EDGE_ENDS = {"FIXES": (["task", "decision"], ["error"]), "PART_OF": (["task"], ["goal"]), "DEPENDS_ON": (["file", "task", "decision"], ["dependency", "file", "task"])}
@@ -80,28 +80,40 @@ def valid_at(nodes: DataFrame, at: int) -> DataFrame:
 
 
 def query_at_time(nodes: DataFrame, question: str, at: int, k: int = 12) -> DataFrame:
-    asked = sorted({w for w in question.lower().replace("?", " ").split() if w})
-    value = 0.7 * T.overlap(asked, T.words(F.col("label"), 1)) + 0.3 * F.col("importance") if asked else F.col("importance")
-    return valid_at(nodes, at).withColumn("score", F.round(value * _by_type(BOOSTS_AT), 6)).orderBy(F.desc("score"), "node_id").limit(k).select("node_id", "session_id", "type", "label", "score")
+    """What was in force at a time, best first: words and importance by type, above 0.05. Without a question, by importance."""
+    asked = sorted({w.strip(".,!?:;()[]") for w in question.lower().split() if len(w) > 2})
+    value = (0.7 * T.overlap(asked, T.words(F.col("label"), 1)) + 0.3 * F.col("importance")) * _by_type(BOOSTS_AT) if asked else F.col("importance")
+    scored = valid_at(nodes, at).withColumn("score", F.round(value, 6))
+    if asked:
+        scored = scored.filter("score > 0.05")
+    return scored.orderBy(F.desc("score"), "node_id").limit(k).select("node_id", "session_id", "type", "label", "score")
 
 
-def decay(nodes: DataFrame, now: int) -> DataFrame:
-    """New importance of the nodes that lose more than the least change."""
+def decay(nodes: DataFrame, now: int | Column) -> DataFrame:
+    """New importance of the nodes that lose more than the least change.
+
+    Whether a node decays is by its age, how much by the time since ``last_decayed_at`` (its ``valid_from`` where that is
+    null or no column), so a second run at the same time changes nothing if that is set to ``now`` for all nodes.
+    """
     rate = F.when(F.lit(False), F.lit(0.0))
     for (kind, status), r in DECAY.items():
         rate = rate.when((F.col("type") == kind) & (F.col("status") == status), F.lit(r))
     grace = F.when(F.lit(False), F.lit(0))
     for kind, days in GRACE.items():
         grace = grace.when(F.col("type") == kind, days)
-    days = (F.lit(now) - F.col("valid_from")) / DAY_US
-    factor = F.greatest(F.lit(DECAY_MOST), F.pow(1 - F.col("rate"), days))
-    out = nodes.withColumn("rate", rate).filter(F.col("rate").isNotNull() & (days > grace.otherwise(0)))
+    since = F.coalesce("last_decayed_at", "valid_from") if "last_decayed_at" in nodes.columns else F.col("valid_from")
+    clock = now if isinstance(now, Column) else F.lit(now)
+    age, elapsed = (clock - F.col("valid_from")) / DAY_US, F.greatest(F.lit(0.0), (clock - since) / DAY_US)
+    factor = F.greatest(F.lit(DECAY_MOST), F.pow(1 - F.col("rate"), elapsed))
+    out = nodes.withColumn("rate", rate).filter(F.col("rate").isNotNull() & (age > grace.otherwise(0)))
     out = out.withColumn("decayed", F.greatest(F.lit(DECAY_FLOOR), F.round(F.col("importance") * factor, 3)))
     return out.filter(F.abs(F.col("importance") - F.col("decayed")) > DECAY_LEAST_CHANGE).select("node_id", "importance", "decayed")
 
 
-def archive_superseded(nodes: DataFrame, now: int, days: int = 7) -> DataFrame:
-    old = (F.col("status") == "superseded") & (F.col("valid_from") < now - days * DAY_US)
+def archive_superseded(nodes: DataFrame, now: int | Column, days: int = 7) -> DataFrame:
+    """Decisions that were superseded so many days ago, by the end of their validity, are archived."""
+    clock = now if isinstance(now, Column) else F.lit(now)
+    old = (F.col("type") == "decision") & F.col("status").isin("superseded", "modified") & (clock - F.col("valid_until") >= days * DAY_US)
     return nodes.select("node_id", F.when(old, "archived").otherwise(F.col("status")).alias("status"))
 
 

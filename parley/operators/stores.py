@@ -49,11 +49,14 @@ def preference_context(observed: DataFrame, most: int = 4, longest: int = 60) ->
 
 
 def delta(written: DataFrame, current: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """What a write has to do: upserts of new or changed rows, deletes of those that are gone."""
-    a = written.select(key, F.xxhash64(*columns).alias("old"), F.lit(True).alias("had"))
-    b = current.select(key, F.xxhash64(*columns).alias("new"), F.lit(True).alias("has"))
+    """What a write has to do: upserts of new or changed rows (null is a value like others), deletes of those that are gone."""
+    a = written.select(key, F.struct(*columns).alias("old"))
+    b = current.select(key, F.struct(*columns).alias("new"))
     j = a.join(b, key, "full_outer")
-    action = F.when(F.col("had").isNull(), "insert").when(F.col("has").isNull(), "delete").when(F.col("old") != F.col("new"), "update")
+    same = F.lit(True)
+    for c in columns:
+        same = same & F.col(f"old.{c}").eqNullSafe(F.col(f"new.{c}"))
+    action = F.when(F.col("old").isNull(), "insert").when(F.col("new").isNull(), "delete").when(~same, "update")
     return j.withColumn("action", action).filter("action IS NOT NULL").select(key, "action")
 
 

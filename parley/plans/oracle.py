@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from parley.functions.text import FUNCTION_WORDS
 from parley.operators.analytics import PRICES
-from parley.operators.graph import STATUS_MOVES
 from parley.operators.relations import ALIASES
 from parley.operators.relations import TOPICS as NODE_TOPICS
 from parley.sources.tables import DAY_US, MODELS, NOUNS, STATUSES, TOPICS, TYPES, VERBS
@@ -125,7 +124,7 @@ SQL: dict[str, str] = {
     "usage_layers": _with(REQUESTS) + "SELECT layer, CAST(sum(tokens) AS BIGINT) AS tokens FROM (SELECT 'compression' AS layer, saved // 2 AS tokens FROM requests UNION ALL SELECT 'window', saved - saved // 2 FROM requests UNION ALL SELECT 'layer_' || event_type, request_id % 3 FROM requests) GROUP BY layer",
     "usage_providers": _with(REQUESTS) + "SELECT provider, count(*) AS requests, CAST(sum(saved) AS BIGINT) AS saved FROM requests GROUP BY provider",
     "usage_costs": _with(REQUESTS, PRICED) + "SELECT price_key, count(*) AS requests, round(sum(cost), 4) AS cost, round(sum(cost_saved), 4) AS cost_saved FROM priced GROUP BY price_key",
-    "usage_context_windows": _with(REQUESTS) + "SELECT DISTINCT model, CASE WHEN contains(model, 'gemini-1.5') THEN 1000000 WHEN contains(model, 'mistral') THEN 32000 WHEN contains(model, 'claude') THEN 200000 WHEN contains(model, 'gpt-4o') THEN 128000 WHEN contains(model, 'llama') THEN 8192 ELSE 128000 END::BIGINT AS context_window FROM requests",
+    "usage_context_windows": _with(REQUESTS) + "SELECT DISTINCT model, CASE model WHEN 'claude-3-haiku' THEN 200000 WHEN 'gpt-4o-mini' THEN 128000 WHEN 'gemini-1.5-pro' THEN 1000000 WHEN 'llama3' THEN 32000 WHEN 'mistral-large' THEN 128000 END::BIGINT AS context_window FROM requests",
     "usage_retained": _with(REQUESTS) + f"SELECT request_id, ts_us, saved FROM requests WHERE ts_us >= (SELECT max(ts_us) FROM requests) - {14 * DAY_US} ORDER BY ts_us DESC, request_id DESC LIMIT 2000",
     "usage_sliding": _with(REQUESTS, f"daily AS (SELECT ts_us // {DAY_US} AS day, count(*) AS n, sum(saved) AS saved FROM requests GROUP BY 1)") + "SELECT day, CAST(sum(n) OVER w AS BIGINT) AS requests, CAST(sum(saved) OVER w AS BIGINT) AS saved FROM daily WINDOW w AS (ORDER BY day RANGE BETWEEN 6 PRECEDING AND CURRENT ROW)",
     "usage_percentiles": _with(REQUESTS) + "SELECT provider, quantile_cont(output_tokens::DOUBLE, 0.5) AS p50, quantile_cont(output_tokens::DOUBLE, 0.95) AS p95, quantile_cont(output_tokens::DOUBLE, 0.99) AS p99 FROM requests GROUP BY provider",
@@ -137,11 +136,11 @@ SQL: dict[str, str] = {
     "rank_nodes_by_session": _with(NODES, _scored()) + "SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, node_id) AS rank, node_id, score FROM scored QUALIFY rank <= 3",
     "search_by_type": _with(NODES, _scored(), "pool AS (SELECT * FROM scored ORDER BY score DESC, node_id LIMIT 12)") + "SELECT node_id, type, score FROM pool WHERE type IN ('task', 'decision') ORDER BY score DESC, node_id LIMIT 6",
     "nodes_valid_at": _with(NODES) + f"SELECT session_id, type, count(*) AS n FROM nodes WHERE valid_from <= {AT} AND (valid_until IS NULL OR valid_until > {AT}) GROUP BY session_id, type",
-    "query_at_time": _with(NODES) + f"SELECT node_id, session_id, type, label, round((0.7::DOUBLE * len(list_intersect(['auth', 'token'], string_split(label, ' '))) / 2 + 0.3::DOUBLE * importance) * CASE type WHEN 'goal' THEN 1.25 WHEN 'decision' THEN 1.20 WHEN 'task' THEN 1.0 WHEN 'error' THEN 0.90 WHEN 'file' THEN 0.85 ELSE 1.0 END::DOUBLE, 6) AS score FROM nodes WHERE valid_from <= {AT} AND (valid_until IS NULL OR valid_until > {AT}) ORDER BY score DESC, node_id LIMIT 12",
-    "importance_decay": _with(NODES, f"""d0 AS (SELECT node_id, importance, type, ((SELECT max(valid_from) FROM nodes) - valid_from) / {DAY_US}.0::DOUBLE AS days,
+    "query_at_time": _with(NODES) + f"SELECT node_id, session_id, type, label, round((0.7::DOUBLE * len(list_intersect(['auth', 'token'], string_split(label, ' '))) / 2 + 0.3::DOUBLE * importance) * CASE type WHEN 'goal' THEN 1.25 WHEN 'decision' THEN 1.20 WHEN 'task' THEN 1.0 WHEN 'error' THEN 0.90 WHEN 'file' THEN 0.85 ELSE 1.0 END::DOUBLE, 6) AS score FROM nodes WHERE valid_from <= {AT} AND (valid_until IS NULL OR valid_until > {AT}) AND score > 0.05::DOUBLE ORDER BY score DESC, node_id LIMIT 12",
+    "importance_decay": _with(NODES, f"""d0 AS (SELECT node_id, importance, type, ((SELECT max(valid_from) FROM nodes) - valid_from) / {DAY_US}.0::DOUBLE AS days, greatest(0, ((SELECT max(valid_from) FROM nodes) - valid_from) / {DAY_US}.0::DOUBLE - node_id % 5) AS elapsed,
       CASE WHEN type = 'task' AND status = 'completed' THEN 0.15 WHEN type = 'error' AND status = 'completed' THEN 0.20 WHEN type = 'decision' AND status = 'superseded' THEN 0.30 WHEN type = 'decision' AND status = 'archived' THEN 0.25 WHEN type = 'task' AND status = 'failed' THEN 0.10 WHEN type = 'task' AND status = 'in_progress' THEN 0.05 END::DOUBLE AS rate FROM nodes),
-      d1 AS (SELECT *, greatest(0.10::DOUBLE, round(importance * greatest(0.5::DOUBLE, pow(1 - rate, days)), 3)) AS decayed FROM d0 WHERE rate IS NOT NULL AND days > CASE type WHEN 'task' THEN 3 WHEN 'error' THEN 1 ELSE 0 END)""") + "SELECT node_id, importance, decayed FROM d1 WHERE abs(importance - decayed) > 0.005::DOUBLE",
-    "archive_superseded": _with(NODES) + f"SELECT CASE WHEN status = 'superseded' AND valid_from < (SELECT max(valid_from) FROM nodes) - {7 * DAY_US} THEN 'archived' ELSE status END AS status, count(*) AS n FROM nodes GROUP BY 1",
+      d1 AS (SELECT *, greatest(0.10::DOUBLE, round(importance * greatest(0.5::DOUBLE, pow(1 - rate, elapsed)), 3)) AS decayed FROM d0 WHERE rate IS NOT NULL AND days > CASE type WHEN 'task' THEN 3 WHEN 'error' THEN 1 ELSE 0 END)""") + "SELECT node_id, importance, decayed FROM d1 WHERE abs(importance - decayed) > 0.005::DOUBLE",
+    "archive_superseded": _with(NODES) + f"SELECT CASE WHEN type = 'decision' AND status IN ('superseded', 'modified') AND (SELECT max(valid_from) FROM nodes) - valid_until >= {7 * DAY_US} THEN 'archived' ELSE status END AS status, count(*) AS n FROM nodes GROUP BY 1",
     "prune_selection": _with(NODES, f"p0 AS (SELECT *, count(*) OVER (PARTITION BY session_id) AS size, type <> 'goal' AND NOT (type = 'decision' AND status NOT IN {INACTIVE}) AS loose FROM nodes)") + f"SELECT session_id, node_id, importance FROM p0 WHERE loose QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY importance, CASE WHEN status IN {INACTIVE} THEN 0 ELSE 1 END, valid_from, node_id) <= size - 40",
     "graph_stats": _with(NODES, EDGES, "ec AS (SELECT session_id, count(*) AS n_edges FROM edges GROUP BY session_id)") + f"SELECT n.session_id, count(*) AS n_nodes, round(avg(confidence), 3) AS avg_confidence, " + ", ".join(f"count(*) FILTER (type = '{t}') AS n_{t}" for t in ("goal", "decision", "task", "error", "file")) + f", count(*) FILTER (status NOT IN {INACTIVE}) AS n_live, coalesce(any_value(n_edges), 0) AS n_edges FROM nodes n LEFT JOIN ec ON n.session_id = ec.session_id GROUP BY n.session_id",
     "session_summaries": _with(NODES) + "SELECT session_id, type, count(*) AS n, max(valid_from) AS updated_at FROM nodes GROUP BY session_id, type",
@@ -161,7 +160,7 @@ SQL: dict[str, str] = {
     "error_task_links": _with(NODES, f"w AS (SELECT *, {WORDS} AS ws FROM nodes)", "x AS (SELECT e.session_id, e.node_id AS error_id, t.node_id AS task_id, e.status AS es, t.status AS ts, len(e.ws) AS ne, len(t.ws) AS nt, len(list_intersect(e.ws, t.ws)) AS shared FROM w e JOIN w t ON e.session_id = t.session_id AND e.type = 'error' AND t.type = 'task')",
         f"y AS (SELECT *, CASE WHEN shared / least(ne, nt)::DOUBLE >= 0.6 AND ts = 'completed' THEN 'FIXES' WHEN shared >= 2 AND es IN {OPEN} AND ts IN {OPEN} THEN 'BLOCKS' END AS relation FROM x WHERE shared > 0)") + "SELECT session_id, error_id, task_id, relation, shared::BIGINT AS shared FROM y WHERE relation IS NOT NULL",
     "snapshot_diff": _with(NODES, "b AS (SELECT node_id, status FROM nodes WHERE node_id % 10 <> 3)", "a AS (SELECT node_id, CASE WHEN node_id % 5 = 0 THEN 'completed' ELSE status END AS status FROM nodes WHERE node_id % 7 <> 2)", "j AS (SELECT coalesce(b.node_id, a.node_id) AS node_id, b.status AS old_status, a.status AS new_status FROM b FULL JOIN a ON a.node_id = b.node_id)") + "SELECT node_id, CASE WHEN old_status IS NULL THEN 'added' WHEN new_status IS NULL THEN 'removed' ELSE 'status_changed' END AS change, old_status, new_status FROM j WHERE old_status IS NULL OR new_status IS NULL OR old_status <> new_status",
-    "status_moves": _with(NODES, "m AS (SELECT status, lag(status) OVER (PARTITION BY session_id, type, topic ORDER BY valid_from, node_id) AS before FROM nodes)", "ok(before, status) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, bs in STATUS_MOVES.items() for b in [a, *bs]) + ")") + "SELECT m.before, m.status, count(*) AS n, bool_or(ok.status IS NOT NULL) AS allowed FROM m LEFT JOIN ok ON ok.before = m.before AND ok.status = m.status WHERE m.before IS NOT NULL GROUP BY 1, 2",
+    "status_moves": _with(NODES, "m AS (SELECT status, lag(status) OVER (PARTITION BY session_id, type, topic ORDER BY valid_from, node_id) AS before FROM nodes)", "ok AS (SELECT DISTINCT status AS before, status FROM nodes UNION SELECT split_part(p, '>', 1), split_part(p, '>', 2) FROM (SELECT unnest(string_split('pending>in_progress pending>completed pending>failed pending>invalidated in_progress>completed in_progress>failed in_progress>pending in_progress>invalidated completed>superseded completed>modified completed>invalidated completed>in_progress completed>contested failed>in_progress failed>completed failed>invalidated superseded>archived superseded>invalidated modified>archived modified>invalidated contested>completed contested>superseded contested>modified contested>invalidated', ' ')) AS p))") + "SELECT m.before, m.status, count(*) AS n, bool_or(ok.status IS NOT NULL) AS allowed FROM m LEFT JOIN ok ON ok.before = m.before AND ok.status = m.status WHERE m.before IS NOT NULL GROUP BY 1, 2",
     "label_validation": _with(NODES, """v AS (SELECT node_id, 0.5::DOUBLE + CASE WHEN length(label) < 8 THEN -0.2 WHEN length(label) < 15 THEN -0.05 ELSE 0 END + CASE WHEN length(label) > 20 THEN 0.1 ELSE 0 END + 0.1
        + CASE type WHEN 'decision' THEN CASE WHEN regexp_matches(label, '^(use|adopt|drop|migrate)') THEN 0.15 ELSE -0.1 END WHEN 'task' THEN CASE WHEN regexp_matches(label, '^(fix|add|test|review|migrate)') THEN 0.12 ELSE -0.2 END WHEN 'error' THEN 0.15 WHEN 'goal' THEN CASE WHEN length(label) < 20 THEN -0.2 ELSE 0.15 END ELSE 0 END AS s FROM nodes)""") + "SELECT node_id, round(greatest(0, least(1, s))::DOUBLE, 4) AS score, round(greatest(0, least(1, s))::DOUBLE, 4) >= 0.65::DOUBLE AS accepted FROM v",
     "node_keys": _with(NODES) + "SELECT node_id, substr(sha1(type || ':' || label), 1, 12) AS node_key FROM nodes",

@@ -122,7 +122,7 @@ def query_at_time(spark, d):
 
 @query
 def importance_decay(spark, d):
-    n = S.nodes(spark, d)
+    n = S.nodes(spark, d).withColumn("last_decayed_at", F.col("valid_from") + F.col("node_id") % 5 * DAY_US)
     return graph.decay(n, S.latest(n, "valid_from"))
 
 
