@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 
 from parley.functions import text as T
 from parley.operators import analytics, cache, digest, extract, fold, graph, messages, profile, relations, stores
+from parley.plans import inferred
 from parley.plans.oracle import SQL
 from parley.sources import tables as S
 from parley.sources.tables import DAY_US
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLE_SQL = SQL
 FLAGSHIP = "rank_nodes"
 QUESTION = "which database schema and cache timeout should we fix"
 # Fixed point in time for queries that look back: the end of the events' period.
@@ -689,3 +689,7 @@ def content_texts(spark, d):
     block = F.to_json(F.array(F.struct(F.lit("text").alias("type"), F.col("text")), F.struct(F.lit("tool_use").alias("type"), F.lit("x").alias("text"))))
     content = F.when(F.col("turn") % 3 == 0, F.col("text")).when(F.col("turn") % 3 == 1, block)
     return m.select("session_id", "turn", F.md5(relations.flatten_content(content)).alias("text_md5"))
+
+
+QUERIES.update(inferred.QUERIES)
+ORACLE_SQL = {**SQL, **inferred.SQL}

@@ -107,3 +107,22 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def latest(df: DataFrame, column: str) -> int:
     """The log's own clock: its latest time."""
     return df.agg(F.max(column)).collect()[0][0]
+
+
+def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of six types whose labels have the shapes of their types: paths, routes, packages, work, choices, failures."""
+    e = read(spark, sf_dir, "events")
+    i = F.col("event_id")
+    verb, topic, noun = pick(VERBS, i % 7), pick(TOPICS, i % 5), pick(NOUNS, i % 11)
+    kind = pick(["file", "endpoint", "dependency", "task", "decision", "error"], i % 6)
+    label = (
+        F.when(i % 6 == 0, F.concat(F.lit("src/"), topic, F.lit("/"), noun, F.lit("_handler.py")))
+        .when(i % 6 == 1, F.concat(F.lit("POST /api/"), topic, F.lit("/"), noun))
+        .when(i % 6 == 2, topic)
+        .when((i % 6 == 3) & (i % 4 == 3), F.concat(F.lit("Ship POST /api/"), topic, F.lit("/"), noun, F.lit(" today")))
+        .when(i % 6 == 3, F.concat(verb, F.lit(" the "), noun, F.lit(" handlers")))
+        .when(i % 6 == 4, F.concat(F.lit("Use "), topic, F.lit(" for the "), noun, F.lit("-handler")))
+        .otherwise(F.concat(F.lit("TimeoutError in "), noun, F.lit("_handler.py"), F.when(i % 4 == 1, F.concat(F.lit(" of "), topic)).otherwise("")))
+    )
+    status = pick(["completed", "in_progress", "failed"], i % 7 % 3)
+    return e.select(i.alias("node_id"), F.col("user_id").alias("session_id"), kind.alias("type"), label.alias("label"), status.alias("status"), F.round(F.least(F.col("value"), F.lit(500.0)) / 500, 3).alias("importance"), micros("ts").alias("valid_from"))
