@@ -89,6 +89,11 @@ def query_at_time(nodes: DataFrame, question: str, at: int, k: int = 12) -> Data
     return scored.orderBy(F.desc("score"), "node_id").limit(k).select("node_id", "session_id", "type", "label", "score")
 
 
+def history(nodes: DataFrame, question: str, at: int, now: int, k: int = 12) -> DataFrame:
+    """What was in force at a time; at time 0, what is now."""
+    return query_at_time(nodes, question, at, k) if at else top_nodes(nodes, question, now, k)
+
+
 def decay(nodes: DataFrame, now: int | Column) -> DataFrame:
     """New importance of the nodes that lose more than the least change.
 

@@ -77,3 +77,13 @@ def without_session(df: DataFrame, session: int) -> DataFrame:
 
 def expired_sessions(df: DataFrame, now: int, ttl_us: int) -> DataFrame:
     return df.groupBy("session_id").agg(F.max("ts_us").alias("last_at")).filter(F.col("last_at") < now - ttl_us)
+
+
+def released(owners: DataFrame, sessions: DataFrame) -> DataFrame:
+    """The owners without sessions that are being deleted."""
+    return owners.join(sessions.select("session_id"), "session_id", "left_anti")
+
+
+def renamed(owners: DataFrame, old: int, new: int) -> DataFrame:
+    """Every session of one principal goes to another."""
+    return owners.withColumn("owner", F.when(F.col("owner") == old, new).otherwise(F.col("owner")))

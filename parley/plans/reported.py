@@ -1,0 +1,214 @@
+"""Queries of words, names and reports, each beside its DuckDB SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from parley.functions import text as T
+from parley.operators import analytics, reports, stores
+from parley.operators import graph as G
+from parley.operators import messages as M
+from parley.operators import vocabulary as V
+from parley.plans.inferred import ARTIFACTS, _with
+from parley.plans.oracle import ARCHIVE, CHECKPOINTS, CLAIMS, EDGES, MESSAGES, NODES, REQUESTS, SPLIT, TOKENS, TRANSITIONS, _scored
+from parley.sources import tables as S
+from parley.sources.tables import DAY_US
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+_STOPS = "['the', 'for', 'today']"
+
+
+@query(_with(ARTIFACTS, r"""t AS (SELECT node_id, unnest(string_split(label, ' ')) AS raw FROM artifacts), p AS (SELECT node_id, lower(raw) AS w FROM t
+  UNION SELECT node_id, lower(unnest(regexp_extract_all(raw, '[A-Z]?[a-z]+|\d+'))) FROM t WHERE regexp_matches(raw, '[_/.-]|[a-z][A-Z]')), o AS (SELECT * FROM p WHERE length(w) > 2 AND w NOT IN ('the', 'for', 'src')),
+  s AS (SELECT * FROM o UNION SELECT node_id, CASE WHEN length(w) > 4 AND ends_with(w, 'ies') THEN left(w, -3) || 'y' WHEN ends_with(w, 's') AND length(w) > 3 AND NOT ends_with(w, 'ss') THEN left(w, -1) ELSE w END FROM o)""") + "SELECT node_id, string_agg(w, ' ' ORDER BY w) AS words FROM s GROUP BY node_id")
+def search_words(spark, d):
+    return S.artifacts(spark, d).select("node_id", F.array_join(F.array_sort(V.query_words(F.col("label"))), " ").alias("words"))
+
+
+_QUESTIONS = {1: "which token handlers failed", 2: "where is the billing route?", 3: "what did we decide about the cache worker", 4: "is it still broken right now", 5: "what is left to do"}
+
+
+@query(_with(ARTIFACTS, "w AS (SELECT node_id, label, string_split_regex(lower(label), '[^a-z]+') AS ws FROM artifacts)", "q(question_id, own) AS (VALUES (1, ['token', 'handler', 'handlers', 'failed']), (2, ['billing', 'route']), (3, ['cache', 'worker']))", "s AS (SELECT question_id, node_id, len(list_intersect(own, CASE WHEN list_contains(ws, 'handlers') THEN list_append(ws, 'handler') ELSE ws END)) AS shared FROM q, w)") + "SELECT question_id::BIGINT AS question_id, node_id, shared FROM s WHERE shared > 0 QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY shared DESC, node_id) <= 10")
+def answers_by_words(spark, d):
+    asked = spark.createDataFrame([(k, q) for k, q in _QUESTIONS.items() if k < 4], "question_id bigint, question string")
+    return V.ranked_by_words(S.artifacts(spark, d), asked, 10)
+
+
+@query("SELECT * FROM (VALUES (1::BIGINT, 'error', false), (2, 'file', false), (3, 'decision', false), (4, 'error', true), (5, 'task', false)) t(question_id, intents, present)")
+def question_intents(spark, d):
+    asked = spark.createDataFrame(list(_QUESTIONS.items()), "question_id bigint, question string")
+    return asked.select("question_id", F.array_join(V.intents(F.col("question")), ",").alias("intents"), V.asks_about_now(F.col("question")).alias("present"))
+
+
+@query(_with(NODES) + "SELECT node_id, CASE node_id % 8 WHEN 0 THEN 'postgres' WHEN 1 THEN 'postgres' WHEN 2 THEN 'k8s' WHEN 3 THEN 'query' WHEN 4 THEN 'next' WHEN 5 THEN 'class' WHEN 6 THEN 'bus' ELSE 'index' END AS word FROM nodes")
+def canonical_words(spark, d):
+    said = S.pick(["PostgreSQL,", "pg", "(Kubernetes)", "Queries", "next.js", "class", "bus", "index"], F.col("node_id") % 8)
+    return S.nodes(spark, d).select("node_id", V.canonical(said).alias("word"))
+
+
+_HINDI = "['" + "', '".join(V.HINDI_WORDS) + "']"
+
+
+@query(f"""WITH x AS (SELECT doc_id, coalesce(text, '') || CASE WHEN doc_id % 7 = 0 THEN ' yeh abhi nahi hua hai, kya karna chahiye' ELSE '' END AS t FROM documents), y AS (SELECT doc_id, string_split_regex(lower(t), '[^a-z]+') AS w, string_split_regex(lower(t), '[^\\p{{L}}]+') AS v FROM x),
+  n AS (SELECT doc_id, len(list_filter(w, lambda a: list_contains({_HINDI}, a))) AS n_hindi, len(list_filter(v, lambda a: a IN ('the', 'and', 'of', 'to', 'is', 'that', 'it', 'for', 'with', 'was'))) AS en,
+    len(list_filter(v, lambda a: a IN ('der', 'die', 'und', 'das', 'nicht', 'mit', 'von', 'ist', 'ein', 'zu'))) AS de, len(list_filter(v, lambda a: a IN ('le', 'la', 'les', 'des', 'et', 'est', 'une', 'que', 'dans', 'pour'))) AS fr, len(list_filter(v, lambda a: a IN ('el', 'los', 'las', 'del', 'para', 'por', 'con', 'una', 'como', 'su'))) AS es FROM y)
+  SELECT doc_id, n_hindi, n_hindi >= 2 AND n_hindi > greatest(en, de, fr, es) AS hinglish FROM n""")
+def hinglish_texts(spark, d):
+    said = F.when(F.col("doc_id") % 7 == 0, " yeh abhi nahi hua hai, kya karna chahiye").otherwise("")
+    docs = S.read(spark, d, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), said).alias("t"))
+    return docs.select("doc_id", V.hindi_words(F.col("t")).alias("n_hindi"), V.looks_hinglish(F.col("t"), T.language_scores(F.col("t"))).alias("hinglish"))
+
+
+@query(r"""WITH x AS (SELECT page_id, trim(regexp_replace(regexp_replace(lower(coalesce(url, '') || repeat('-Part ' || page_id, page_id % 5)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) AS s FROM pages),
+  y AS (SELECT page_id, s, left(s, 48) AS c, length(regexp_extract(left(s, 48), '^(.*)-[^-]*$', 1)) AS b FROM x)
+  SELECT page_id, CASE WHEN length(s) <= 48 THEN s ELSE regexp_replace(CASE WHEN b >= 24 THEN left(c, b) ELSE c END, '^-+|-+$', '', 'g') END AS slug FROM y""")
+def slugs(spark, d):
+    name = F.concat(F.coalesce("url", F.lit("")), F.expr("repeat(concat('-Part ', page_id), cast(page_id % 5 AS int))"))
+    return S.read(spark, d, "pages").select("page_id", V.slug(name).alias("slug"))
+
+
+@query(_with(ARTIFACTS) + "SELECT node_id, CASE node_id % 4 WHEN 0 THEN '~/' || label WHEN 1 THEN '~/' || label WHEN 2 THEN '/srv/' || label ELSE '~/' || label END AS path, CASE node_id % 4 WHEN 3 THEN NULL WHEN 2 THEN 'srv-' || node_id ELSE 'my-app' END AS session FROM artifacts WHERE type = 'file'")
+def short_paths(spark, d):
+    home = S.pick(["/home/dev/", "/Users/ann/", "/srv/", "/root/"], F.col("node_id") % 4)
+    folder = F.when(F.col("node_id") % 4 == 3, "/tmp/").when(F.col("node_id") % 4 == 2, F.concat(F.lit("/x/SRV "), F.col("node_id"))).otherwise("/x/My App")
+    return S.artifacts(spark, d).filter("type = 'file'").select("node_id", V.short_path(F.concat(home, F.col("label"))).alias("path"), V.session_of_folder(folder).alias("session"))
+
+
+@query(_with(REQUESTS) + "SELECT request_id, CASE session_id % 7 WHEN 0 THEN '__dev__' WHEN 3 THEN 'n_ann' ELSE 'k_' || substr(sha256('key-' || session_id % 7), 1, 16) END AS principal FROM requests")
+def principals(spark, d):
+    key = F.when(F.col("session_id") % 7 != 0, F.concat(F.lit("key-"), F.col("session_id") % 7))
+    return S.requests(spark, d).select("request_id", V.principal(key, {"key-3": "ann"}).alias("principal"))
+
+
+@query(_with(NODES) + "SELECT node_id, CASE node_id % 4 WHEN 0 THEN ' (pooling under heavy load)' ELSE '' END AS reason FROM nodes WHERE type = 'decision'")
+def rationales(spark, d):
+    summary = F.when(F.col("node_id") % 4 == 0, "pooling under heavy load").when(F.col("node_id") % 4 == 1, F.concat(F.lit("so we "), F.col("label"))).when(F.col("node_id") % 4 == 2, "short")
+    return S.nodes(spark, d).filter("type = 'decision'").select("node_id", V.rationale(F.col("label"), summary).alias("reason"))
+
+
+_CUT = "m AS (SELECT t.*, split_turn FROM tok t JOIN split USING (session_id)), k AS (SELECT *, sum(CASE WHEN role = 'system' THEN 0 ELSE tokens END) OVER (PARTITION BY session_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) + sum(CASE WHEN role = 'system' THEN tokens ELSE 0 END) OVER (PARTITION BY session_id) AS kept, turn = split_turn OR (role = 'user' AND turn < split_turn) AS step FROM m)"
+
+
+@query(_with(MESSAGES, TOKENS, SPLIT, _CUT) + "SELECT session_id, coalesce(max(CASE WHEN step AND kept >= 700 THEN turn END), min(CASE WHEN step THEN turn END), max(split_turn)) AS split_turn FROM k GROUP BY session_id")
+def floored_splits(spark, d):
+    m = S.messages(spark, d)
+    return reports.respected_floor(m, M.split_point(m, 400), 700)
+
+
+@query(_with(MESSAGES, "n AS (SELECT session_id, turn, role, lead(role) OVER w AS next_role, CASE WHEN session_id % 3 = 0 THEN 'Sounds good, go on' ELSE lead(text) OVER w END AS next_text FROM messages WINDOW w AS (PARTITION BY session_id ORDER BY turn))") + r"SELECT session_id, turn FROM n WHERE role = 'user' AND next_role = 'assistant' AND regexp_matches(lower(trim(next_text)), '^(yes|yep|sure|ok(ay)?|agreed|sounds good|good idea|great|done)\b')")
+def accepted_proposals(spark, d):
+    m = S.messages(spark, d)
+    return M.accepted_proposals(m.withColumn("text", F.when((F.col("session_id") % 3 == 0) & (F.col("role") == "assistant"), "Sounds good, go on").otherwise(F.col("text"))))
+
+
+@query(_with(NODES) + "SELECT node_id, CASE node_id % 5 WHEN 0 THEN 4096 WHEN 1 THEN 2048 WHEN 2 THEN 1024 WHEN 3 THEN 1024 ELSE 512 END::BIGINT AS least FROM nodes")
+def cache_minimums(spark, d):
+    model = S.pick(["claude-opus-4-5-x", "claude-3-5-haiku", "Claude-Sonnet-4", "claude-opus-4-1", "gpt-4o"], F.col("node_id") % 5)
+    return S.nodes(spark, d).select("node_id", reports.cache_minimum(model).alias("least"))
+
+
+@query(_with(REQUESTS) + "SELECT provider AS source, count(*) FILTER (event_type = 'error') AS failures, count(*) FILTER (event_type <> 'error' AND output_tokens > 200) AS shed FROM requests GROUP BY provider")
+def incident_counts(spark, d):
+    kind = F.when(F.col("provider") == "google", "failure").when(F.col("output_tokens") > 200, "shed")
+    return reports.incidents(S.requests(spark, d).select(F.col("provider").alias("source"), kind.alias("kind")))
+
+
+@query(_with(REQUESTS, f"m AS (SELECT max(ts_us) AS t FROM requests), day AS (SELECT count(*) AS n, coalesce(sum(saved), 0) AS saved, coalesce(sum(input_sent + output_tokens), 0) AS used FROM requests, m WHERE ts_us >= t - {DAY_US})") + f"SELECT (SELECT count(*) FROM requests) AS total_requests, (SELECT sum(saved) FROM requests)::BIGINT AS total_saved, (SELECT count(*) FROM (SELECT 1 FROM requests, m WHERE ts_us >= t - {14 * DAY_US} LIMIT 2000)) AS retained_records, n AS daily_requests, saved::BIGINT AS daily_saved, round(round(CASE WHEN saved + used = 0 THEN 0 ELSE saved / (saved + used)::DOUBLE * 100 END, 4), 1) AS daily_pct, concat_ws(', ', CASE WHEN n = 0 THEN 'no requests' END, CASE WHEN n > 0 AND saved < 0 THEN 'requests grew' END, CASE WHEN n > 0 AND saved = 0 THEN 'enable compression' END, CASE WHEN n > 0 THEN 'no cache hits' END) AS suggestions FROM day")
+def usage_summary(spark, d):
+    r = S.requests(spark, d)
+    now = S.latest(r, "ts_us")
+    return reports.usage_summary(r, analytics.period_stats(r, now), analytics.retained(r, now, 14, 2000), analytics.layer_breakdown(r))
+
+
+@query(_with(NODES, EDGES, "deg AS (SELECT node_id, count(*) AS degree FROM (SELECT source_id AS node_id FROM edges UNION ALL SELECT target_id FROM edges) GROUP BY 1)", "o AS (SELECT n.session_id, CASE WHEN n.node_id % 10 = 0 THEN 100 + n.node_id ELSE n.node_id % 3 END AS community, n.node_id, label, importance, coalesce(degree, 0) AS degree FROM nodes n LEFT JOIN deg USING (node_id))") + "SELECT session_id, community, count(*) AS n, CASE WHEN count(*) > 1 THEN arg_max(label, (importance, degree, -node_id)) ELSE 'unclustered' END AS name FROM o GROUP BY 1, 2")
+def community_names(spark, d):
+    n = S.nodes(spark, d)
+    members = n.select("session_id", "node_id", F.when(F.col("node_id") % 10 == 0, F.col("node_id") + 100).otherwise(F.col("node_id") % 3).alias("community"))
+    return reports.community_names(members, n, S.edges(spark, d))
+
+
+@query(_with(NODES, TRANSITIONS, "r AS (SELECT session_id, count(*) AS recent FROM transitions WHERE (SELECT max(valid_from) FROM nodes) - ts_us <= " + str(7 * DAY_US) + " GROUP BY 1)") + "SELECT n.session_id, count(*) FILTER (status = 'completed') AS active, count(DISTINCT topic) AS topics, count(*) FILTER (status = 'superseded' AND node_id NOT IN (SELECT from_id FROM transitions)) AS missing, coalesce(any_value(recent), 0) AS recent FROM nodes n LEFT JOIN r ON r.session_id = n.session_id WHERE type = 'decision' GROUP BY n.session_id")
+def reasoning_summary(spark, d):
+    n = S.nodes(spark, d)
+    return reports.reasoning(n, S.transitions(spark, d), F.lit(S.latest(n, "valid_from")))
+
+
+@query(_with(NODES, "s AS (SELECT *, CASE WHEN type = 'error' AND status = 'failed' THEN 0 WHEN type = 'task' AND status = 'in_progress' AND importance >= 0.8 THEN 1 WHEN type = 'decision' AND status = 'completed' THEN 2 WHEN type = 'decision' AND status = 'invalidated' THEN 3 END AS section FROM nodes)", "t AS (SELECT *, row_number() OVER (PARTITION BY session_id, section ORDER BY importance DESC, node_id) AS rank FROM s WHERE section IS NOT NULL QUALIFY rank <= 3)", "l AS (SELECT session_id, section, ['OPEN BUGS', 'CRITICAL WIP', 'KEY DECISIONS', 'DO NOT REVISIT (explicitly rejected)'][section + 1] || ': ' || string_agg(label, ' | ' ORDER BY rank) AS line FROM t GROUP BY 1, 2)") + "SELECT session_id, string_agg(line, chr(10) ORDER BY section) AS block FROM l GROUP BY session_id")
+def critical_resumes(spark, d):
+    return reports.critical_resume(S.nodes(spark, d))
+
+
+@query(_with(NODES, REQUESTS, CHECKPOINTS, "g AS (SELECT session_id, max(valid_from) AS updated_at FROM nodes GROUP BY 1)", "c AS (SELECT session_id, max(ts_us) AS saved_at FROM checkpoints WHERE trigger = 'manual' AND session_id % 4 <> 0 GROUP BY 1)") + "SELECT g.session_id, CASE WHEN saved_at IS NULL OR updated_at > saved_at + 1000000 THEN 'graph' ELSE 'checkpoint' END AS source FROM g LEFT JOIN c USING (session_id)")
+def resume_sources(spark, d):
+    g = S.nodes(spark, d).groupBy("session_id").agg(F.max("valid_from").alias("updated_at"))
+    return reports.live_resume(g, S.requests(spark, d).filter("request_id % 6 = 0 AND session_id % 4 <> 0"))
+
+
+@query(_with(NODES) + "SELECT node_id, confidence FROM nodes WHERE confidence >= 0.9::DOUBLE")
+def confident_facts(spark, d):
+    return reports.confident(S.nodes(spark, d), 0.9).select("node_id", "confidence")
+
+
+@query(_with(MESSAGES, ARCHIVE, "x AS (SELECT *, list_filter(['and', 'eau', 'the', 'tion'], lambda t: contains(lower(content), t)) AS matched FROM archive)", "r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY len(matched) DESC, seq DESC, msg_hash) AS rank FROM x WHERE len(matched) > 0 QUALIFY rank <= 3)") + "SELECT session_id, arg_min(seq, rank) AS seq, arg_min(len(matched), rank)::BIGINT AS matched FROM r WHERE len(matched) >= 2 GROUP BY session_id")
+def archive_recall(spark, d):
+    return reports.recalled(M.archive_rows(S.messages(spark, d)), ["the", "and", "tion", "eau"])
+
+
+def _rounds(n: int, budget: int) -> str:
+    out = "r0 AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(text, '') AS t FROM documents)"
+    for k in range(n):
+        cost = "CASE WHEN length(t) = 0 THEN 0 ELSE greatest(1, length(t) // 4) END"
+        out += f", r{k + 1} AS (SELECT doc_id, text, CASE WHEN {cost} <= {budget} THEN t ELSE left(t, CAST(floor(length(t) * {budget} * 95 / (({cost}) * 100)::DOUBLE) AS INT)) END AS t FROM r{k})"
+    return out
+
+
+@query(f"WITH {_rounds(6, 300)} SELECT doc_id, md5(CASE WHEN t = text THEN text ELSE t || chr(10) || '[cut]' END) AS text_md5, length(t)::BIGINT AS n_chars FROM r6")
+def enforced_budgets(spark, d):
+    docs = S.read(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    fit = docs.select("doc_id", reports.within_budget(F.col("t"), 300).alias("fit"))
+    return fit.select("doc_id", F.md5("fit").alias("text_md5"), (F.length("fit") - F.when(F.col("fit").endswith("\n[cut]"), 6).otherwise(0)).cast("bigint").alias("n_chars"))
+
+
+@query(_with(NODES, "c AS (SELECT session_id, count(*) AS version FROM nodes GROUP BY 1)", "w AS (SELECT session_id, count(*) AS stored FROM nodes WHERE node_id % 50 <> 3 AND session_id % 6 <> 0 GROUP BY 1)") + "SELECT session_id, stored, version FROM c LEFT JOIN w USING (session_id) WHERE stored IS NULL OR stored < version")
+def stale_graphs(spark, d):
+    n = S.nodes(spark, d)
+    version = lambda df: df.groupBy("session_id").agg(F.count("*").alias("version"))
+    return reports.stale(version(n.filter("node_id % 50 <> 3 AND session_id % 6 <> 0")), version(n))
+
+
+@query(_with(REQUESTS) + "SELECT session_id, sum(input_sent + saved)::BIGINT AS original, sum(input_sent)::BIGINT AS sent, round(sum(input_sent) / sum(input_sent + saved)::DOUBLE, 4) AS ratio, round(100 - sum(input_sent) / sum(input_sent + saved)::DOUBLE * 100, 2) AS saved_pct FROM requests GROUP BY session_id")
+def session_savings(spark, d):
+    return reports.savings(S.requests(spark, d))
+
+
+@query(_with(MESSAGES) + "SELECT session_id, count(*) AS n, sha256(string_agg(sha256(role || ':' || text), '' ORDER BY turn)) AS fingerprint FROM messages GROUP BY session_id")
+def session_fingerprints(spark, d):
+    return reports.fingerprints(S.messages(spark, d))
+
+
+@query(_with(REQUESTS, CLAIMS) + "SELECT session_id, CASE owner WHEN 3 THEN 30 ELSE owner END AS owner, since FROM owners WHERE session_id % 10 <> 0")
+def renamed_owners(spark, d):
+    claims = S.requests(spark, d).select("session_id", "ts_us", F.col("request_id").alias("claim_id"), (F.col("request_id") % 9).alias("principal"))
+    return stores.renamed(stores.released(stores.first_claims(claims), spark.range(0, 1_000_000, 10).select(F.col("id").alias("session_id"))), 3, 30)
+
+
+@query(_with(NODES, _scored()) + "SELECT node_id, session_id, type, label, status, score FROM scored ORDER BY score DESC, node_id LIMIT 12")
+def history_now(spark, d):
+    n = S.nodes(spark, d)
+    return G.history(n, "which database schema and cache timeout should we fix", 0, S.latest(n, "valid_from"))
