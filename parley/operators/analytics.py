@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -102,20 +105,27 @@ def busiest_sessions(requests: DataFrame, k: int = 10) -> DataFrame:
 def token_buckets(requests: DataFrame, capacity: float = 4.0, per_second: float = 1 / 7200) -> DataFrame:
     """Admission of each request by its session's token bucket, replayed over the time-ordered log.
 
-    The bucket is a fold over a session's requests: a running state that no window frame expresses.
+    The bucket is a fold over a session's requests: a running state that no window frame expresses. Spark sorts the
+    requests (spilling where it must), and a task carries one bucket from row to row, however many a session has.
     """
-    ordered = F.sort_array(F.collect_list(F.struct("ts_us", "request_id")))
-    start = F.struct(F.lit(float(capacity)).alias("tokens"), F.lit(None).cast("bigint").alias("last"), F.array().cast("array<struct<request_id:bigint,allowed:boolean,tokens:double>>").alias("out"))
-
-    def step(acc: Column, r: Column) -> Column:
-        refilled = F.least(F.lit(float(capacity)), acc["tokens"] + F.coalesce(r["ts_us"] - acc["last"], F.lit(0)) / 1e6 * per_second)
-        allowed = refilled >= 1
-        left = F.when(allowed, refilled - 1).otherwise(refilled)
-        row = F.struct(r["request_id"].alias("request_id"), allowed.alias("allowed"), F.round(left, 6).alias("tokens"))
-        return F.struct(left.alias("tokens"), r["ts_us"].alias("last"), F.array_append(acc["out"], row).alias("out"))
-
-    folded = requests.groupBy("session_id").agg(F.aggregate(ordered, start, step, lambda acc: acc["out"]).alias("out"))
-    return folded.select("session_id", F.explode("out").alias("r")).select("session_id", "r.*")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        session, tokens, last = None, capacity, 0
+        for pdf in batches:
+            allowed, left = [], []
+            for own, at in zip(pdf["session_id"].tolist(), pdf["ts_us"].tolist(), strict=True):
+                if own != session:
+                    session, tokens, last = own, capacity, at
+                tokens, last = min(capacity, tokens + (at - last) / 1e6 * per_second), at
+                allowed.append(tokens >= 1)
+                tokens -= tokens >= 1
+                left.append(tokens)
+            yield pd.DataFrame({"session_id": pdf["session_id"], "request_id": pdf["request_id"], "allowed": allowed, "left": left})
+
+    kind = requests.schema["session_id"].dataType.simpleString()
+    ordered = requests.select("session_id", "ts_us", "request_id").repartition("session_id").sortWithinPartitions("session_id", "ts_us", "request_id")
+    out = ordered.mapInPandas(run, f"session_id {kind}, request_id bigint, allowed boolean, left double")
+    return out.select("session_id", "request_id", "allowed", F.round("left", 6).alias("tokens"))
 
 
 def with_rank(df: DataFrame, partition: list[str], order: list[Column], name: str = "rank") -> DataFrame:

@@ -19,8 +19,7 @@ def _lines(text: Column) -> Column:
 
 def _ends(lines: Column, head: int, tail: int, keep: Column) -> Column:
     """The first and last lines, those between that are kept, and a note of how many are left out."""
-    n = F.size(lines)
-    middle = F.slice(keep, 1, 100)
+    n, middle = F.size(lines), keep
     note = F.concat(F.lit("["), (n - head - tail - F.size(middle)).cast("string"), F.lit(" lines left out]"))
     return F.when(n <= head + tail, lines).otherwise(F.concat(F.slice(lines, 1, head), middle, F.array(note), F.slice(lines, F.greatest(n - tail + 1, F.lit(1)), tail)))
 
@@ -41,6 +40,22 @@ def summary(kind: Column, text: Column) -> Column:
     return F.array_join(chosen, "\n")
 
 
+def whole_lines(text: Column, budget: int) -> Column:
+    """Whole lines while they fit a budget of tokens, and a note of how many are left out; a text that fits as it is."""
+    lines = _lines(text)
+    kind = "struct<used:bigint,n:int,open:boolean>"
+    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.lit(0).alias("n"), F.lit(True).alias("open")).cast(kind)
+
+    def step(acc: Column, line: Column) -> Column:
+        cost = T.count_tokens(line) + 1
+        fits = acc["open"] & (acc["used"] + cost <= budget)
+        return F.struct(F.when(fits, acc["used"] + cost).otherwise(acc["used"]).alias("used"), F.when(fits, acc["n"] + 1).otherwise(acc["n"]).alias("n"), fits.alias("open")).cast(kind)
+
+    kept = F.aggregate(lines, start, step)["n"]
+    note = F.concat(F.lit("["), (F.size(lines) - kept).cast("string"), F.lit(" lines left out]"))
+    return F.when(T.count_tokens(text) <= budget, text).otherwise(F.array_join(F.concat(F.slice(lines, 1, kept), F.array(note)), "\n"))
+
+
 def analyze(files: DataFrame, budget: int = 2000) -> DataFrame:
     """``(name, kind, tokens, digest, digest_tokens, was_digested)`` of files ``(name, content)``.
 
@@ -50,7 +65,7 @@ def analyze(files: DataFrame, budget: int = 2000) -> DataFrame:
     out = files.select("name", detect_file_type(F.coalesce("name", F.lit("")), content).alias("kind"), T.count_tokens(content).alias("tokens"), content.alias("content"))
     out = out.withColumn("short", summary(F.col("kind"), F.col("content")))
     digested = (F.col("tokens") > budget) & (T.count_tokens(F.col("short")) <= 0.7 * F.col("tokens"))
-    out = out.withColumn("was_digested", digested).withColumn("digest", F.when(digested, F.substring("short", 1, budget * 4)).otherwise(F.col("content")))
+    out = out.withColumn("was_digested", digested).withColumn("digest", F.when(digested, whole_lines(F.col("short"), budget)).otherwise(F.col("content")))
     return out.select("name", "kind", "tokens", "digest", T.count_tokens(F.col("digest")).alias("digest_tokens"), "was_digested")
 
 

@@ -36,21 +36,37 @@ def _found(text: Column, pattern: str) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda x: F.regexp_replace(F.trim(x), r"[ .,;:!?]+$", "")))
 
 
-def facts(messages: DataFrame, packs: list[str] | None = None, longest: int = 200_000) -> DataFrame:
-    """Facts of every message; texts beyond ``longest`` count with their first and last halves."""
+#: What a text must have at all before a family of patterns is tried on it.
+NEEDS = {
+    "file": "[A-Za-z0-9_-]\\.[A-Za-z]", "endpoint": "/", "error": "Error|Exception|Timeout|Warning", "status": "[45][0-9][0-9]", "dependency": "(?i)install|add|get", "environment": "[0-9]",
+    "task_done": "(?i)(?:add|fix|implement|finish|complet|creat|updat|remov|migrat)e?d|wrote", "task_todo": "(?i)need|have to|todo|next|should|must|remember", "decision": "(?i)decided|will use|'ll use|let's use|going with|switch|chose|settled", "goal": "(?i)goal|want to|trying|help me",
+}
+
+
+def facts(messages: DataFrame, packs: list[str] | None = None, longest: int | None = None) -> DataFrame:
+    """Facts of every message; with ``longest``, longer texts count with their first and last halves only."""
     patterns = dict(PATTERNS)
     for pack in packs or []:
         patterns |= PACKS[pack]
-    half = longest // 2
-    text = F.when(F.length("text") <= longest, F.col("text")).otherwise(F.concat(F.substring("text", 1, half), F.lit("\n"), F.expr(f"right(text, {half})")))
-    # Clauses that negate or only suppose make no task or decision: they are dropped before those families look.
-    clauses = F.array_join(F.filter(F.split(text, r"(?<=[.!?\n])"), lambda c: ~c.rlike(r"(?i)\b(?:not|never|didn't|don't|won't|if we|would|could|might)\b") & ~c.rlike(r"\?\s*$")), "")
+    if longest is not None:
+        half = longest // 2
+        short = F.when(F.length("text") <= longest, F.col("text")).otherwise(F.concat(F.substring("text", 1, half), F.lit("\n"), F.expr(f"right(text, {half})")))
+        messages = messages.withColumn("text", short)
+    text = F.col("text")
+    # Clauses that negate or only suppose make no task or decision: they are dropped before those families look. They are
+    # cut once a text, and only if one of these families may find something.
+    cut = F.array_join(F.filter(F.split(text, r"(?<=[.!?\n])"), lambda c: ~c.rlike(r"(?i)\b(?:not|never|didn't|don't|won't|if we|would|could|might)\b") & ~c.rlike(r"\?\s*$")), "")
     prose = {"task_done", "task_todo", "decision", "goal"}
 
-    def rows_of(kind: str, pattern: str) -> Column:
-        return F.transform(_found(clauses if kind in prose else text, pattern), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("label")))
+    none = F.array().cast("array<struct<kind:string,label:string>>")
+
+    def rows_of(kind: str, source: Column) -> Column:
+        own = F.transform(_found(source, patterns[kind]), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("label")))
+        return F.when(source.rlike(NEEDS[kind]), own).otherwise(none) if kind in NEEDS else own
 
-    rows = F.flatten(F.array(*(rows_of(kind, pattern) for kind, pattern in patterns.items())))
+    maybe = text.rlike("|".join(NEEDS[k] for k in sorted(prose)))
+    said = F.transform(F.array(cut), lambda clauses: F.flatten(F.array(*(rows_of(k, clauses) for k in patterns if k in prose))))[0]
+    rows = F.concat(F.flatten(F.array(*(rows_of(k, text) for k in patterns if k not in prose))), F.when(maybe, said).otherwise(none))
     out = messages.select("session_id", "turn", "role", F.explode(rows).alias("f")).select("session_id", "turn", "role", "f.kind", "f.label").filter("label <> ''")
     return out.filter("kind <> 'goal' OR (role = 'user' AND turn <= 3)").drop("role")
 

@@ -2,13 +2,17 @@
 
 Merges depend on what came before and rename what they merge into, so no set operation gives the same graph: each
 session's facts are folded by one function, in batch (``fold_sessions``) and in a stream (``parley.streaming.sessions``).
-A session is the unit of state, and it is bounded by ``MOST_NODES``: beyond it the least important unprotected nodes go.
+A session is the unit of state. Beyond ``MOST_NODES`` active nodes the least important unprotected ones go to cold storage:
+their rows stay, marked ``evicted``, and come back when they are mentioned again.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
+import unicodedata
+from collections import defaultdict
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -26,18 +30,40 @@ SLOTS = {
 }
 INJECTION = re.compile(r"ignore (all |any )?(previous|prior|above) (instructions|rules)|reveal (your|the) (system )?prompt|</?(system|instructions?)>", re.I)
 SAME = 0.82
-NODE_FIELDS = ["node_id", "type", "label", "status", "importance", "first_turn", "last_turn", "mentions", "superseded_by"]
-SCHEMA = "session_id bigint, node_id string, type string, label string, status string, importance double, first_turn bigint, last_turn bigint, mentions bigint, superseded_by string"
+NODE_FIELDS = ["node_id", "type", "label", "status", "importance", "first_turn", "last_turn", "mentions", "superseded_by", "evicted"]
+SCHEMA = "session_id bigint, node_id string, type string, label string, status string, importance double, first_turn bigint, last_turn bigint, mentions bigint, superseded_by string, evicted boolean"
 
 
 @dataclass
 class Session:
+    """Nodes by id. ``at`` finds candidates for a merge: ids by what their labels must have in common."""
+
     nodes: dict[str, dict] = field(default_factory=dict)
+    at: dict[tuple, dict[str, None]] = field(default_factory=lambda: defaultdict(dict))
+    place: dict[str, int] = field(default_factory=dict)
+    active: int = 0
+
+    def __post_init__(self):
+        for node in self.nodes.values():
+            self._index(node)
+            self.active += not node["evicted"]
+
+    def _keys(self, kind: str, label: str) -> list[tuple]:
+        if kind == "file":
+            return [(kind, label.rsplit("/", 1)[-1])]
+        return [(kind, w) for w in set(label.lower().split())] if kind in ("decision", "error", "task") else []
+
+    def _index(self, node: dict) -> None:
+        self.place.setdefault(node["node_id"], len(self.place))
+        for key in self._keys(node["type"], node["label"]):
+            self.at[key][node["node_id"]] = None
+        if node["type"] == "decision" and node["superseded_by"] is None and (slot := slot_of(node["label"])):
+            self.at["slot", slot][node["node_id"]] = None
 
     def add(self, kind: str, label: str, status: str, turn: int) -> str | None:
         """Merge a fact into the graph; returns the node's id, or nothing if the text is refused."""
         label = " ".join(label.split())[:120]
-        if not label or INJECTION.search(label):
+        if not label or INJECTION.search(unicodedata.normalize("NFKC", label)):
             return None
         key = node_id(kind, label)
         node = self.nodes.get(key) or self._same(kind, label)
@@ -48,41 +74,43 @@ class Session:
                 node["status"] = status
             if len(label) > len(node["label"]) and kind in ("file", "task"):
                 node["label"] = label
+                self._index(node)
+            if node["evicted"]:  # it is talked about again
+                node["evicted"], self.active = False, self.active + 1
             return node["node_id"]
-        node = {"node_id": key, "type": kind, "label": label, "status": status, "importance": IMPORTANCE.get(kind, 0.5), "first_turn": turn, "last_turn": turn, "mentions": 1, "superseded_by": None}
-        if kind == "decision":
-            slot = slot_of(label)
-            for other in self.nodes.values():
-                if slot and other["type"] == "decision" and other["superseded_by"] is None and slot_of(other["label"]) == slot:
-                    other["status"], other["superseded_by"] = "superseded", key
-        self.nodes[key] = node
-        if len(self.nodes) > MOST_NODES:
+        node = {"node_id": key, "type": kind, "label": label, "status": status, "importance": IMPORTANCE.get(kind, 0.5), "first_turn": turn, "last_turn": turn, "mentions": 1, "superseded_by": None, "evicted": False}
+        if kind == "decision" and (slot := slot_of(label)):
+            for other in self.at.pop(("slot", slot), {}):
+                self.nodes[other]["status"], self.nodes[other]["superseded_by"] = "superseded", key
+        self.nodes[key], self.active = node, self.active + 1
+        self._index(node)
+        if self.active > MOST_NODES:
             self._prune()
         return key
 
     def _same(self, kind: str, label: str) -> dict | None:
         words = set(label.lower().split())
-        for node in self.nodes.values():
-            if node["type"] != kind:
-                continue
-            own = set(node["label"].lower().split())
+        found = {i for key in self._keys(kind, label) for i in self.at.get(key, ())}
+        for node in map(self.nodes.__getitem__, sorted(found, key=self.place.__getitem__)):
             if kind == "file":
                 a, b = node["label"], label
                 if a.endswith("/" + b) or b.endswith("/" + a):
                     return node
-            elif kind in ("decision", "error", "task"):
-                shared = len(words & own)
-                # Two technologies of one slot are two decisions, however alike the rest is.
-                if kind == "decision" and technologies(label) != technologies(node["label"]):
-                    continue
-                if (shared >= 2 and shared == min(len(words), len(own))) or shared >= SAME * max(len(words), len(own)):
-                    return node
+                continue
+            own = set(node["label"].lower().split())
+            shared = len(words & own)
+            # Two technologies of one slot are two decisions, however alike the rest is.
+            if kind == "decision" and technologies(label) != technologies(node["label"]):
+                continue
+            if (shared >= 2 and shared == min(len(words), len(own))) or shared >= SAME * max(len(words), len(own)):
+                return node
         return None
 
     def _prune(self) -> None:
-        loose = [n for n in self.nodes.values() if n["type"] != "goal" and not (n["type"] == "decision" and n["superseded_by"] is None)]
-        for node in sorted(loose, key=lambda n: (n["importance"], n["last_turn"], n["node_id"]))[: len(self.nodes) - MOST_NODES]:
-            del self.nodes[node["node_id"]]
+        """The least important unprotected nodes go to cold storage: they keep their rows, marked ``evicted``."""
+        loose = [n for n in self.nodes.values() if not n["evicted"] and n["type"] != "goal" and not (n["type"] == "decision" and n["superseded_by"] is None)]
+        for node in heapq.nsmallest(self.active - MOST_NODES, loose, key=lambda n: (n["importance"], n["last_turn"], n["node_id"])):
+            node["evicted"], self.active = True, self.active - 1
 
 
 def node_id(kind: str, label: str) -> str:

@@ -89,12 +89,12 @@ def accepted_proposals(messages: DataFrame) -> DataFrame:
     return m.filter((F.col("role") == "user") & (F.col("next_role") == "assistant") & F.lower(F.trim("next_text")).rlike(ASSENT)).select("session_id", "turn")
 
 
-def archive_rows(messages: DataFrame, longest: int = 200_000) -> DataFrame:
-    """What the archive stores: each text of a session once, at its first turn."""
+def archive_rows(messages: DataFrame, longest: int | None = None) -> DataFrame:
+    """What the archive stores: each text of a session once, at its first turn; whole, or its first ``longest`` characters."""
     key = F.substring(F.sha1(F.concat(F.col("role"), F.lit(":"), F.col("text"))), 1, 20)
     first = F.row_number().over(W.partitionBy("session_id", "msg_hash").orderBy("turn"))
     m = messages.withColumn("msg_hash", key).withColumn("place", first).filter("place = 1")
-    return m.select("session_id", "msg_hash", F.col("turn").alias("seq"), "role", F.substring("text", 1, longest).alias("content"))
+    return m.select("session_id", "msg_hash", F.col("turn").alias("seq"), "role", (F.col("text") if longest is None else F.substring("text", 1, longest)).alias("content"))
 
 
 def archive_search(archive: DataFrame, terms: list[str], k: int = 5, pool: int = 40) -> DataFrame:
