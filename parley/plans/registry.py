@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from parley.functions import text as T
 from parley.operators import analytics, cache, digest, extract, fold, graph, messages, profile, relations, stores
-from parley.plans import inferred, reported
+from parley.plans import compressed, inferred, reported
 from parley.plans.oracle import SQL
 from parley.sources import tables as S
 from parley.sources.tables import DAY_US
@@ -693,4 +693,5 @@ def content_texts(spark, d):
 
 QUERIES.update(inferred.QUERIES)
 QUERIES.update(reported.QUERIES)
-ORACLE_SQL = {**SQL, **inferred.SQL, **reported.SQL}
+QUERIES.update(compressed.QUERIES)
+ORACLE_SQL = {**SQL, **inferred.SQL, **reported.SQL, **compressed.SQL}
