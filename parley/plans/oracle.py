@@ -101,15 +101,12 @@ DOT = "list_sum(list_transform(list_zip(a.embedding, q.embedding), lambda x: x[1
 NORM = "sqrt(list_sum(list_transform({0}.embedding, lambda x: x::DOUBLE * x::DOUBLE)))"
 
 
-def _near(ids: str, k: int) -> str:
+def _near(k: int) -> str:
     return f"""near AS (SELECT q.vec_id AS query_id, a.vec_id AS vec_id, round({DOT} / ({NORM.format('a')} * {NORM.format('q')}), 6) AS similarity
-      FROM embeddings a, (SELECT * FROM embeddings WHERE vec_id IN ({ids})) q WHERE a.vec_id <> q.vec_id),
+      FROM embeddings a, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q WHERE a.vec_id <> q.vec_id),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM near QUALIFY rank <= {k})"""
 
 
-_QS = "0,1,2,3,5,8,13,21"
-
-
 def _with(*parts: str) -> str:
     return "WITH RECURSIVE " + ",".join(parts) + " "
 
@@ -201,9 +198,9 @@ SQL: dict[str, str] = {
     "stratified_sample": "WITH p AS (SELECT 'first' AS reason, min(o_orderkey) AS o_orderkey FROM orders UNION ALL SELECT 'last', max(o_orderkey) FROM orders UNION ALL SELECT 'o_totalprice_low', (SELECT o_orderkey FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 1) UNION ALL SELECT 'o_totalprice_high', (SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) UNION ALL SELECT 'rare', o_orderkey FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) <= 2)) SELECT o_orderkey, string_agg(DISTINCT reason, ',' ORDER BY reason) AS reasons FROM p GROUP BY o_orderkey",
     "ranked_groups": "SELECT p_brand AS value, round(avg(p_retailprice), 4) AS mean, count(*) AS n FROM part GROUP BY p_brand ORDER BY mean DESC, value LIMIT 5",
     "even_sample": "WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS p, greatest(1, (SELECT count(*) FROM orders) // 20) AS step FROM orders) SELECT o_orderkey FROM o WHERE p % step = 0",
-    "nearest_vectors": _with(_near(_QS, 5)) + "SELECT query_id, rank, vec_id, similarity FROM ranked",
-    "similar_hits": _with(_near(_QS, 1)) + "SELECT query_id, vec_id AS best_id, similarity, similarity >= 0.35 AS hit FROM ranked",
-    "blended_scores": _with(_near("7", 4)) + "SELECT e.vec_id, round((e.vec_id % 10) / 10.0::DOUBLE + coalesce(round(0.4::DOUBLE * r.similarity / (SELECT max(similarity) FROM ranked), 6), 0), 6) AS score FROM embeddings e LEFT JOIN ranked r ON r.vec_id = e.vec_id",
+    "nearest_vectors": _with(_near(5)) + "SELECT query_id, rank, vec_id, similarity FROM ranked",
+    "similar_hits": _with(_near(1)) + "SELECT query_id, vec_id AS best_id, similarity, similarity >= 0.92 AS hit FROM ranked",
+    "blended_scores": _with(_near(4), "q AS (SELECT vec_id AS query_id FROM embeddings WHERE vec_id % 20 = 0)") + "SELECT q.query_id, e.vec_id, round((e.vec_id % 10) / 10.0::DOUBLE + coalesce(round(0.4::DOUBLE * r.similarity / (SELECT max(similarity) FROM ranked WHERE query_id = q.query_id), 6), 0), 6) AS score FROM embeddings e CROSS JOIN q LEFT JOIN ranked r ON r.vec_id = e.vec_id AND r.query_id = q.query_id",
     "sniffed_files": """WITH s AS (SELECT html AS c FROM pages UNION ALL SELECT text FROM documents), n AS (SELECT regexp_extract(url, '([^/?#]*)(?:[?#].*)?$', 1) AS name FROM pages),
       t AS (SELECT CASE WHEN ends_with(name, '.html') THEN 'xml' ELSE 'xml' END AS kind FROM n UNION ALL SELECT CASE WHEN h[1] IN ('{', '[') THEN 'json' WHEN h[1] = '<' THEN 'xml' WHEN contains(h, chr(9)) AND contains(h, chr(10)) THEN 'tsv' WHEN contains(h, ',') AND contains(h, chr(10)) THEN 'csv' ELSE 'text' END FROM (SELECT substr(ltrim(coalesce(text, '')), 1, 512) AS h FROM documents))
       SELECT kind, count(*) AS n FROM t GROUP BY kind""",
