@@ -104,6 +104,8 @@ def evaluate(found: DataFrame, truth: DataFrame, least: float = 0.6) -> DataFram
     Candidates meet through shared words, so only pairs that can cover are formed.
     """
     split = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"\W+"), lambda w: w != ""))
+    # A label that is there twice is one label, else its words would count twice.
+    truth, found = (d.select("session_id", "kind", "label").distinct() for d in (truth, found))
     t = truth.withColumn("true_id", F.concat_ws("|", "session_id", "kind", "label")).withColumn("words", split("label"))
     f = found.withColumn("found_id", F.concat_ws("|", "session_id", "kind", "label")).withColumn("words", split("label"))
     tw = t.select("session_id", "kind", "true_id", F.size("words").alias("n"), F.explode("words").alias("word"))

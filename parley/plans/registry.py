@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from parley.functions import text as T
 from parley.operators import analytics, cache, digest, extract, fold, graph, messages, profile, relations, stores
-from parley.plans import compressed, decided, inferred, reported
+from parley.plans import compressed, decided, inferred, reported, requested
 from parley.plans.oracle import SQL
 from parley.sources import tables as S
 from parley.sources.tables import DAY_US
@@ -691,4 +691,5 @@ QUERIES.update(inferred.QUERIES)
 QUERIES.update(reported.QUERIES)
 QUERIES.update(compressed.QUERIES)
 QUERIES.update(decided.QUERIES)
-ORACLE_SQL = {**SQL, **inferred.SQL, **reported.SQL, **compressed.SQL, **decided.SQL}
+QUERIES.update(requested.QUERIES)
+ORACLE_SQL = {**SQL, **inferred.SQL, **reported.SQL, **compressed.SQL, **decided.SQL, **requested.SQL}
