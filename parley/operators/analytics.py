@@ -47,7 +47,7 @@ def priced(requests: DataFrame) -> DataFrame:
     return out.withColumn("cost", F.col("input_sent") / 1000 * rate(0) + F.col("output_tokens") / 1000 * rate(1)).withColumn("cost_saved", F.col("saved") / 1000 * rate(0))
 
 
-def period_stats(requests: DataFrame, now: int) -> DataFrame:
+def period_stats(requests: DataFrame, now: int | Column) -> DataFrame:
     """One row a period, all periods in one pass over the log."""
     p = priced(requests)
     inside = {name: F.col("ts_us") >= now - days * DAY_US for name, days in PERIODS.items()}
@@ -79,7 +79,7 @@ def context_windows(requests: DataFrame) -> DataFrame:
     return requests.select("model", out.otherwise(DEFAULT_CONTEXT).cast("bigint").alias("context_window")).distinct()
 
 
-def retained(requests: DataFrame, now: int, days: int = 31, newest: int = 50_000) -> DataFrame:
+def retained(requests: DataFrame, now: int | Column, days: int = 31, newest: int = 50_000) -> DataFrame:
     """The log after trimming: by age, then the newest; one global top-k, which Spark keeps per task before merging."""
     return requests.filter(F.col("ts_us") >= now - days * DAY_US).orderBy(F.desc("ts_us"), F.desc("request_id")).limit(newest)
 

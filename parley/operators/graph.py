@@ -46,7 +46,7 @@ def live(nodes: DataFrame) -> DataFrame:
     return nodes.filter(~F.col("status").isin(INACTIVE))
 
 
-def score_nodes(nodes: DataFrame, question: str, now: int, kinds: list[str] | None = None, present: bool = False) -> DataFrame:
+def score_nodes(nodes: DataFrame, question: str, now: int | Column, kinds: list[str] | None = None, present: bool = False) -> DataFrame:
     """``(0.6 overlap + 0.3 importance + 0.1 recency) * boost`` of live nodes, those above 0.05."""
     asked = sorted({w for w in question.lower().replace("?", " ").split() if len(w) > 2})
     recency = 1 / (1 + 0.1 * (F.lit(now) - F.col("valid_from")) / DAY_US)
@@ -59,17 +59,17 @@ def score_nodes(nodes: DataFrame, question: str, now: int, kinds: list[str] | No
     return live(nodes).withColumn("score", F.round(score, 6)).filter("score > 0.05")
 
 
-def top_nodes(nodes: DataFrame, question: str, now: int, k: int = 12, **how) -> DataFrame:
+def top_nodes(nodes: DataFrame, question: str, now: int | Column, k: int = 12, **how) -> DataFrame:
     return score_nodes(nodes, question, now, **how).orderBy(F.desc("score"), "node_id").limit(k).select("node_id", "session_id", "type", "label", "status", "score")
 
 
-def top_nodes_by_session(nodes: DataFrame, question: str, now: int, k: int = 3) -> DataFrame:
+def top_nodes_by_session(nodes: DataFrame, question: str, now: int | Column, k: int = 3) -> DataFrame:
     """The best of every session at once: a rank within the session, not a query a session."""
     w = W.partitionBy("session_id").orderBy(F.desc("score"), "node_id")
     return score_nodes(nodes, question, now).withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k).select("session_id", "rank", "node_id", "score")
 
 
-def search_pool(nodes: DataFrame, question: str, now: int, wanted: list[str], k: int = 6) -> DataFrame:
+def search_pool(nodes: DataFrame, question: str, now: int | Column, wanted: list[str], k: int = 6) -> DataFrame:
     """Of the best ``2 k``, those of the wanted types, at most ``k``: the pool is cut before the types are."""
     pool = score_nodes(nodes, question, now).orderBy(F.desc("score"), "node_id").limit(2 * k)
     return pool.filter(F.col("type").isin(wanted)).orderBy(F.desc("score"), "node_id").limit(k).select("node_id", "type", "score")
@@ -89,7 +89,7 @@ def query_at_time(nodes: DataFrame, question: str, at: int, k: int = 12) -> Data
     return scored.orderBy(F.desc("score"), "node_id").limit(k).select("node_id", "session_id", "type", "label", "score")
 
 
-def history(nodes: DataFrame, question: str, at: int, now: int, k: int = 12) -> DataFrame:
+def history(nodes: DataFrame, question: str, at: int, now: int | Column, k: int = 12) -> DataFrame:
     """What was in force at a time; at time 0, what is now."""
     return query_at_time(nodes, question, at, k) if at else top_nodes(nodes, question, now, k)
 
@@ -325,7 +325,7 @@ def export_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.join(e, "session_id", "left").select("session_id", F.to_json(F.struct("nodes", "edges")).alias("json"), F.size("nodes").cast("bigint").alias("n_nodes"), F.coalesce(F.size("edges"), F.lit(0)).cast("bigint").alias("n_edges"))
 
 
-def resume_lines(nodes: DataFrame, now: int, caps: dict[str, int]) -> DataFrame:
+def resume_lines(nodes: DataFrame, now: int | Column, caps: dict[str, int]) -> DataFrame:
     """The newest live nodes of each type of a session, as many as its cap, as numbered lines."""
     w = W.partitionBy("session_id", "type").orderBy(F.desc("valid_from"), F.desc("importance"), "node_id")
     ranked = live(nodes).filter(F.col("valid_from") <= now).withColumn("place", F.row_number().over(w).cast("bigint"))

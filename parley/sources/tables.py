@@ -104,9 +104,9 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def latest(df: DataFrame, column: str) -> int:
-    """The log's own clock: its latest time."""
-    return df.agg(F.max(column)).collect()[0][0]
+def latest(df: DataFrame, column: str) -> Column:
+    """The log's own clock: its latest time, as a scalar subquery of the plan that uses it."""
+    return df.agg(F.max(column)).scalar()
 
 
 def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
