@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -75,7 +75,7 @@ def without_session(df: DataFrame, session: int) -> DataFrame:
     return df.filter(F.col("session_id") != session)
 
 
-def expired_sessions(df: DataFrame, now: int, ttl_us: int) -> DataFrame:
+def expired_sessions(df: DataFrame, now: int | Column, ttl_us: int) -> DataFrame:
     return df.groupBy("session_id").agg(F.max("ts_us").alias("last_at")).filter(F.col("last_at") < now - ttl_us)
 
 

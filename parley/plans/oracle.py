@@ -161,7 +161,9 @@ SQL: dict[str, str] = {
     "label_validation": _with(NODES, """v AS (SELECT node_id, 0.5::DOUBLE + CASE WHEN length(label) < 8 THEN -0.2 WHEN length(label) < 15 THEN -0.05 ELSE 0 END + CASE WHEN length(label) > 20 THEN 0.1 ELSE 0 END + 0.1
        + CASE type WHEN 'decision' THEN CASE WHEN regexp_matches(label, '^(use|adopt|drop|migrate)') THEN 0.15 ELSE -0.1 END WHEN 'task' THEN CASE WHEN regexp_matches(label, '^(fix|add|test|review|migrate)') THEN 0.12 ELSE -0.2 END WHEN 'error' THEN 0.15 WHEN 'goal' THEN CASE WHEN length(label) < 20 THEN -0.2 ELSE 0.15 END ELSE 0 END AS s FROM nodes)""") + "SELECT node_id, round(greatest(0, least(1, s))::DOUBLE, 4) AS score, round(greatest(0, least(1, s))::DOUBLE, 4) >= 0.65::DOUBLE AS accepted FROM v",
     "node_keys": _with(NODES) + "SELECT node_id, substr(sha1(type || ':' || label), 1, 12) AS node_key FROM nodes",
-    "graph_export": _with(NODES, EDGES, f"l AS (SELECT * FROM nodes WHERE status NOT IN {INACTIVE})", "le AS (SELECT session_id, count(*) AS n_edges FROM edges WHERE source_id IN (SELECT node_id FROM l) AND target_id IN (SELECT node_id FROM l) GROUP BY 1)") + "SELECT l.session_id, count(*) AS n_nodes, coalesce(any_value(n_edges), 0) AS n_edges FROM l LEFT JOIN le ON l.session_id = le.session_id GROUP BY l.session_id",
+    "graph_export": _with(NODES, EDGES, f"l AS (SELECT * FROM nodes WHERE status NOT IN {INACTIVE})", """ne AS (SELECT session_id, count(*) AS n_nodes, string_agg('{"node_id":' || node_id || ',"type":"' || type || '","label":"' || label || '","status":"' || status || '"}', ',' ORDER BY node_id) AS j FROM l GROUP BY 1)""",
+      """le AS (SELECT session_id, count(*) AS n_edges, string_agg('{"source_id":' || source_id || ',"target_id":' || target_id || ',"type":"' || type || '"}', ',' ORDER BY source_id, target_id, type) AS j FROM edges WHERE source_id IN (SELECT node_id FROM l) AND target_id IN (SELECT node_id FROM l) GROUP BY 1)""")
+      + """SELECT ne.session_id, n_nodes, coalesce(n_edges, 0) AS n_edges, md5('{"nodes":[' || ne.j || ']' || CASE WHEN le.j IS NULL THEN '' ELSE ',"edges":[' || le.j || ']' END || '}') AS json_md5 FROM ne LEFT JOIN le ON ne.session_id = le.session_id""",
     "resume_lines": _with(NODES, f"r AS (SELECT *, row_number() OVER (PARTITION BY session_id, type ORDER BY valid_from DESC, importance DESC, node_id) AS place FROM nodes WHERE status NOT IN {INACTIVE})") + "SELECT session_id, type, place, type || ': ' || label AS line FROM r WHERE place <= CASE type WHEN 'goal' THEN 1 WHEN 'decision' THEN 3 WHEN 'error' THEN 2 WHEN 'task' THEN 3 WHEN 'file' THEN 2 END",
     "session_tokens": _with(MESSAGES, TOKENS) + "SELECT session_id, count(*) AS n_messages, CAST(sum(tokens) + 2 AS BIGINT) AS tokens, sum(tokens) + 2 > 600 AS needs_windowing FROM tok GROUP BY session_id",
     "window_split": _with(MESSAGES, TOKENS, SPLIT) + "SELECT session_id, split_turn FROM split",
@@ -219,7 +221,7 @@ SQL: dict[str, str] = {
     "delta_writes": _with(NODES, "w AS (SELECT node_id, status FROM nodes WHERE node_id % 8 <> 0)", "c AS (SELECT node_id, CASE WHEN node_id % 10 = 4 THEN 'archived' ELSE status END AS status FROM nodes WHERE node_id % 6 <> 1)", "j AS (SELECT coalesce(w.node_id, c.node_id) AS node_id, CASE WHEN w.node_id IS NULL THEN 'insert' WHEN c.node_id IS NULL THEN 'delete' WHEN w.status <> c.status THEN 'update' END AS action FROM w FULL JOIN c ON c.node_id = w.node_id)") + "SELECT node_id, action FROM j WHERE action IS NOT NULL",
     "gone_elsewhere": _with(NODES) + "SELECT node_id FROM nodes WHERE node_id % 13 = 0",
     "recall_across_sessions": _with(NODES, _scored(), REQUESTS, CLAIMS, "pool AS (SELECT session_id FROM (SELECT * FROM owners WHERE owner = 3 AND session_id <> 1 ORDER BY since DESC, session_id LIMIT 5) UNION ALL SELECT 1)") + "SELECT session_id, node_id, score FROM scored WHERE session_id IN (SELECT session_id FROM pool) ORDER BY score DESC, node_id LIMIT 10",
-    "expired_sessions": _with(REQUESTS) + f"SELECT session_id, max(ts_us) AS last_at FROM requests GROUP BY session_id HAVING max(ts_us) < {AT + 10 * DAY_US}",
+    "expired_sessions": _with(REQUESTS) + f"SELECT session_id, max(ts_us) AS last_at FROM requests GROUP BY session_id HAVING max(ts_us) < (SELECT max(ts_us) FROM requests) - {DAY_US}",
     "part_of_links": _with(NODES, "g AS (SELECT session_id, arg_max(node_id, (valid_from, node_id)) AS goal_id FROM nodes WHERE type = 'goal' GROUP BY session_id)") + "SELECT n.session_id, node_id AS task_id, goal_id FROM nodes n JOIN g ON n.session_id = g.session_id WHERE type = 'task'",
     "related_links": _with(NODES, f"al(w, s) AS (VALUES {', '.join(f"('{a}', '{s}')" for s, own in ALIASES.items() for a in own)})", "w0 AS (SELECT session_id, type, node_id, unnest(list_filter(string_split(label, ' '), lambda x: length(x) >= 4)) AS w FROM nodes WHERE type IN ('task', 'decision'))", "w1 AS (SELECT * FROM w0 UNION SELECT session_id, type, node_id, s FROM w0 JOIN al ON al.w = w0.w)") + "SELECT d.session_id, d.node_id AS decision_id, t.node_id AS task_id, count(DISTINCT d.w) AS shared FROM w1 d JOIN w1 t ON d.session_id = t.session_id AND d.w = t.w WHERE d.type = 'decision' AND t.type = 'task' GROUP BY 1, 2, 3",
     "current_decisions": _with(NODES) + f"SELECT session_id, topic, arg_max(node_id, (valid_from, node_id)) AS current_id, arg_max(label, (valid_from, node_id)) AS label, count(*) - 1 AS superseded FROM nodes WHERE type = 'decision' AND status NOT IN {INACTIVE} GROUP BY session_id, topic",

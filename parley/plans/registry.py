@@ -222,7 +222,7 @@ def node_keys(spark, d):
 
 @query
 def graph_export(spark, d):
-    return graph.export_json(S.nodes(spark, d), S.edges(spark, d)).select("session_id", "n_nodes", "n_edges")
+    return graph.export_json(S.nodes(spark, d), S.edges(spark, d)).select("session_id", "n_nodes", "n_edges", F.md5("json").alias("json_md5"))
 
 
 @query
@@ -588,7 +588,8 @@ def recall_across_sessions(spark, d):
 
 @query
 def expired_sessions(spark, d):
-    return stores.expired_sessions(S.requests(spark, d), AT + 13 * DAY_US, 3 * DAY_US)
+    r = S.requests(spark, d)
+    return stores.expired_sessions(r, S.latest(r, "ts_us"), DAY_US)
 
 
 # --- relations -------------------------------------------------------------------------------------------------------
