@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from parley.llm import bpe, chat, html, jaccard, packing, pii, quality, repeats, scratch, textio, urls, vectors
+from parley.llm import bpe, chat, fim, html, jaccard, merkle, packing, pii, quality, repeats, scratch, textio, topk, urls, vectors
 
 # Rules by host and path prefix, and sites whose pages are blocked where no rule fits.
 URL_RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "block", "example.net/de/8": "block", "org/es/": "block"}
@@ -66,6 +67,25 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), URL_RULES, BLOCKED_SITES)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, text = spark.read.parquet(f"{sf_dir}/documents.parquet"), F.col("text")
+    fields = ["doc_id", "source", "lang", "n_chars"]
+    tampered = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0) & text.contains("\n")
+    leaves = documents.select(
+        F.col("source").alias("grp"), F.col("doc_id").alias("id"), merkle.leaf(*map(F.col, fields), text).alias("leaf"),
+        F.when(tampered, merkle.leaf(*map(F.col, fields), F.translate(text, "\n", ""))).alias("claimed"),
+    )
+    return merkle.Manifest(leaves).audited().withColumnRenamed("id", "doc_id")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -77,6 +97,9 @@ QUERIES: dict[str, Query] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_url_filter": op10_url_filter,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_exact_top_k": op13_exact_top_k,
 }
 
 _RULES = ", ".join(f"('{r}', '{r[: r.index('/')]}', '{r[r.index('/') :]}', '{v}')" for r, v in URL_RULES.items())
@@ -85,6 +108,29 @@ _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _REACH = """links AS (SELECT a, b FROM half UNION ALL SELECT b, a FROM half),
 reach AS (SELECT a AS node, b AS other FROM links UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.other = l.a)"""
 
+_FIELDS = " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode({c}::VARCHAR)) || ':' || {c}::VARCHAR END" for c in ("doc_id", "source", "lang", "n_chars"))
+_TEXT = "CASE WHEN {0} IS NULL THEN '-' ELSE octet_length(encode({0})) || ':' || {0} END"
+_ODD = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))"  # a byte of CRC-32
+_CRC = f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i::INT, 1))::BIGINT)), lambda c, b: {_ODD}))"
+# Levels of the trees of sources, then of the tree over their roots, which has the number -1.
+_TREES = f"""WITH RECURSIVE d AS (SELECT doc_id, source, text, sha256({_FIELDS} || {_TEXT.format("text")}) AS leaf,
+        CASE WHEN {_CRC} % 2 = 0 THEN sha256({_FIELDS} || {_TEXT.format("replace(text, chr(10), '')")}) END AS claimed FROM documents),
+      ranked AS (SELECT *, dense_rank() OVER (ORDER BY source IS NOT NULL, encode(source)) - 1 AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d),
+      lower_ AS (SELECT t, 0 AS l, i, leaf AS h FROM ranked UNION ALL
+        SELECT t, l + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER (PARTITION BY t) AS n FROM lower_) WHERE n > 1 GROUP BY t, l, i // 3),
+      subs AS (SELECT t, arg_max(h, l) AS h, max(l) AS top FROM lower_ GROUP BY t),
+      upper_ AS (SELECT 0 AS l, t AS i, h FROM subs UNION ALL SELECT l + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER () AS n FROM upper_) WHERE n > 1 GROUP BY l, i // 3),
+      node AS (SELECT t, l, i, h FROM lower_ UNION ALL SELECT -1, l, i, h FROM upper_), root AS (SELECT arg_max(h, l) AS h, max(l) AS top FROM upper_),
+      steps AS (SELECT r.doc_id, r.t, r.i AS own, g.l AS step, r.t AS tree, g.l AS l, r.i // pow(3, g.l)::BIGINT AS i FROM ranked r JOIN subs s USING (t), LATERAL (SELECT unnest(range(s.top)) AS l) g
+        UNION ALL SELECT r.doc_id, r.t, r.i, 1000 + g.l, -1, g.l, r.t // pow(3, g.l)::BIGINT FROM ranked r, root, LATERAL (SELECT unnest(range(root.top)) AS l) g),
+      sibs AS (SELECT p.t, p.own, row_number() OVER (PARTITION BY p.t, p.own ORDER BY p.step) AS k, coalesce(string_agg(n.h, '' ORDER BY n.i) FILTER (n.i < p.i), '') AS a, coalesce(string_agg(n.h, '' ORDER BY n.i) FILTER (n.i > p.i), '') AS b
+        FROM steps p JOIN node n ON n.t = p.tree AND n.l = p.l AND n.i // 3 = p.i // 3 GROUP BY p.t, p.own, p.step),
+      proof AS (SELECT t, own, list(struct_pack(a := a, b := b) ORDER BY k) AS s FROM sibs GROUP BY t, own),
+      audit AS (SELECT r.doc_id, r.leaf, s.h AS subroot, root.h AS root, sha256(coalesce(array_to_string(list_transform(p.s, lambda x: x.a || x.b), ''), '')) AS proof_sha256,
+        list_reduce(list_prepend(struct_pack(a := coalesce(r.claimed, r.leaf), b := ''), coalesce(p.s, [])), lambda y, x: struct_pack(a := sha256(x.a || y.a || x.b), b := '')).a AS folded_root
+        FROM ranked r JOIN subs s USING (t) CROSS JOIN root LEFT JOIN proof p ON p.t = r.t AND p.own = r.i)
+      SELECT *, folded_root = root AS verified FROM audit"""
+
 # Where SQL can say it at all: tokenisers, page extraction, the learned verdict, ciphers, packing and suffix order are
 # tested against brute force instead.
 ORACLE_SQL: dict[str, str] = {
@@ -107,4 +153,16 @@ ORACLE_SQL: dict[str, str] = {
       rules(rule, h, p, v) AS (VALUES {_RULES}),
       best AS (SELECT u.*, rule, v FROM u LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC) = 1)
       SELECT page_id, host, path, rule, coalesce(v, CASE WHEN {_SITES} THEN 'block' ELSE 'allow' END) AS verdict FROM best""",
+    "op11_merkle_manifest": _TREES,
+    "op12_fill_in_middle": r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+      s AS (SELECT *, len(units)::BIGINT AS n, list_transform([0, 8, 16, 24], lambda k: ('0x' || substr(h, k + 1, 8))::BIGINT) AS d FROM t),
+      f AS (SELECT *, least(d[1] % (n + 1), d[2] % (n + 1)) AS a, greatest(d[1] % (n + 1), d[2] % (n + 1)) AS b,
+        CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR d[3] % 100 >= 50 THEN 'plain' WHEN d[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM s),
+      c AS (SELECT *, array_to_string(units[1:a], '') AS p, array_to_string(units[a + 1:b], '') AS m, array_to_string(units[b + 1:], '') AS z FROM f),
+      o AS (SELECT *, CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || z || '<M>' || m ELSE '<S>' || z || '<P>' || p || '<M>' || m END AS output FROM c)
+      SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars, sha256(output) AS output_sha256,
+        sha256(CASE form WHEN 'plain' THEN output WHEN 'psm' THEN regexp_replace(output, '(?s)^<P>(.*?)<S>(.*?)<M>(.*)$', '\1\3\2') ELSE regexp_replace(output, '(?s)^<S>(.*?)<P>(.*?)<M>(.*)$', '\2\3\1') END) AS restored_sha256 FROM o""",
+    "op13_exact_top_k": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+      s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.x, c.x)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id)
+      SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10""",
 }
