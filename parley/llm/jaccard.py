@@ -56,6 +56,7 @@ CELL = 200
 MU = 0.0085  # weight of the long lists in DivideSkip
 BLOCK_POSTINGS = 500_000  # postings that a block has on average, at most
 MANY_PAIRS = 4_000_000  # pairs that one task makes of one list; what is above is dealt out
+CHUNK = 2048  # postings of a long list that are dealt out together
 NAMELESS = 1 << 62  # stand-ins for null ids begin here
 _TOP = np.uint64(1 << 63)
 
@@ -285,7 +286,7 @@ def verified(df: DataFrame, cells: DataFrame, id_col: str, text_col: str) -> Dat
             yield batch.filter(pa.array(has(bits, batch.column(2).to_numpy())))
 
     texts = df.select(number_of(id_col, text_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
-    sifted = texts.withColumn("s", spot("doc")).mapInArrow(sift, "doc bigint, text string, s int").drop("s")
+    sifted = texts.withColumn("s", spot("doc")).mapInArrow(sift, "doc bigint, text string, s bigint").drop("s")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     shipped = cells.join(sifted, "doc").select("cell", "doc", "text").repartition(parts, "cell").sortWithinPartitions("cell", "doc")
 
@@ -365,9 +366,24 @@ class Lists:
         return cls(p, group_of, is_main, asks, runs[run_of[asks]], (ends - runs)[run_of[asks]])
 
 
-def list_pairs(lists: Lists, own: np.ndarray, percent: int = PERCENT, chunk: int = 1_000_000) -> Iterator[np.ndarray]:
+def paired(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Pairs of postings, row by row, whose sizes can link."""
+    n, m = x["n"].astype(np.int64), y["n"].astype(np.int64)
+    fit = PERCENT * np.maximum(n, m) <= 100 * np.minimum(n, m)
+    x, y = x[fit], y[fit]
+    swap = x["doc"] > y["doc"]
+    out = np.empty(len(x), PAIR)
+    out["c"] = 1
+    for name, of in (("a", "doc"), ("na", "n"), ("ea", "ends")):
+        out[name] = np.where(swap, y[of], x[of])
+    for name, of in (("b", "doc"), ("nb", "n"), ("eb", "ends")):
+        out[name] = np.where(swap, x[of], y[of])
+    return out
+
+
+def list_pairs(lists: Lists, own: np.ndarray, chunk: int = 1_000_000) -> Iterator[np.ndarray]:
     """Pairs of the ``own`` among the asking postings: different components, sizes that can link."""
-    p, done = lists.rows, 0
+    done = 0
     asks, start, width = lists.asks[own], lists.start[own], lists.width[own]
     total = np.cumsum(width)
     while done < len(asks):
@@ -377,37 +393,41 @@ def list_pairs(lists: Lists, own: np.ndarray, percent: int = PERCENT, chunk: int
         j = np.arange(len(i)) - np.repeat(np.cumsum(w) - w, w) + np.repeat(start[done:stop], w)
         # Two that both ask are taken once.
         once = (lists.group[i] != lists.group[j]) & (lists.is_main[j] | (i < j))
-        i, j = i[once], j[once]
-        n, m = p["n"][i].astype(np.int64), p["n"][j].astype(np.int64)
-        fit = percent * np.maximum(n, m) <= 100 * np.minimum(n, m)
-        x, y = p[i[fit]], p[j[fit]]
-        swap = x["doc"] > y["doc"]
-        out = np.empty(len(x), PAIR)
-        out["c"] = 1
-        for name, of in (("a", "doc"), ("na", "n"), ("ea", "ends")):
-            out[name] = np.where(swap, y[of], x[of])
-        for name, of in (("b", "doc"), ("nb", "n"), ("eb", "ends")):
-            out[name] = np.where(swap, x[of], y[of])
-        yield out
+        yield paired(lists.rows[i[once]], lists.rows[j[once]])
         done = stop
 
 
-def parcels(lists: Lists, many: int = MANY_PAIRS) -> tuple[np.ndarray, list[bytes]]:
-    """The asking postings to pair at once, and parcels of long lists: which of them ask, from where to where, and the list."""
-    here = lists.width * 0 == 0
-    out = []
+def apart(lists: Lists, many: int, size: int) -> tuple[np.ndarray, list[tuple[int, int, int, bytes]]]:
+    """The asking postings to pair at once, and chunks of the long lists: ``(key, number, chunks that it meets, postings)``.
+
+    Chunks of asking postings come first and meet each other and all the rest; the others meet only those. Each is written
+    once, however many it meets.
+    """
+    here, out = np.ones(len(lists.asks), bool), []
     if len(lists.asks):
         for a in np.flatnonzero(np.append(True, lists.start[1:] != lists.start[:-1])).tolist():
             start, width = int(lists.start[a]), int(lists.width[a])
             b = int(np.searchsorted(lists.start, start, "right"))
             if (b - a) * width > many:
                 here[a:b] = False
-                step = max(1, many // width)
-                rows = lists.rows[start : start + width].tobytes()
-                out += [np.array([k, min(b - a, k + step)], np.int64).tobytes() + rows for k in range(0, b - a, step)]
+                rows, main = lists.rows[start : start + width], lists.is_main[start : start + width]
+                asking, rest = ([own[k : k + size] for k in range(0, len(own), size)] for own in (rows[~main], rows[main]))
+                key, n = int(rows["key"][:1].view(np.int64)[0]), len(asking) + len(rest)
+                out += [(key, k, n if k < len(asking) else len(asking), x.tobytes()) for k, x in enumerate(asking + rest)]
     return np.flatnonzero(here), out
 
 
+def chunk_pairs(x: np.ndarray, y: np.ndarray | None, rows: int = 256) -> Iterator[np.ndarray]:
+    """Pairs of two chunks of a list, or of one with itself, across components."""
+    for a in range(0, len(x), rows):
+        own = x[a : a + rows]
+        other = x[a:] if y is None else y
+        i, j = np.nonzero(own["part"][:, None] != other["part"][None, :])
+        if y is None:
+            i, j = i[i < j], j[i < j]
+        yield paired(own[i], other[j])
+
+
 def summed(pairs: np.ndarray) -> np.ndarray:
     pairs = pairs[np.lexsort((pairs["b"], pairs["a"]))]
     starts = np.flatnonzero(np.append(True, (pairs["a"][1:] != pairs["a"][:-1]) | (pairs["b"][1:] != pairs["b"][:-1]))) if len(pairs) else np.zeros(0, int)
@@ -459,9 +479,9 @@ def candidates(prefixes: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    def packed_pairs(lists: Lists, own: np.ndarray) -> pa.RecordBatch:
+    def packed_pairs(found: Iterator[np.ndarray]) -> pa.RecordBatch:
         held, size = [], 0
-        for rows in list_pairs(lists, own):
+        for rows in found:
             held.append(rows)
             size += len(rows)
             if size >= 2_000_000:
@@ -470,31 +490,33 @@ def candidates(prefixes: DataFrame) -> DataFrame:
         rows = summed(np.concatenate(held)) if held else np.zeros(0, PAIR)
         return dealt(rows, (mix64(rows["a"].view(np.uint64) * np.uint64(31) + rows["b"].view(np.uint64)) % np.uint64(blocks)).astype(np.int64), blocks)
 
+    many, chunk = MANY_PAIRS, CHUNK
+
     def pair(table: pa.Table) -> pa.Table:
         lists = Lists.of(unpacked(table.column("rows"), POSTING))
-        own, long_ = parcels(lists)
-        # A parcel has block -1 - k; it goes to a task of its own.
-        sent = pa.RecordBatch.from_arrays([pa.array(-1 - np.arange(len(long_)), pa.int32()), pa.array(long_, pa.binary())], names=["block", "rows"])
-        return pa.Table.from_batches([packed_pairs(lists, own), sent])
-
-    @released
-    def unwrap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for parcel in batch.column(0):
-                parcel = parcel.as_py()
-                first, stop = np.frombuffer(parcel, np.int64, 2).tolist()
-                lists = Lists.of(np.frombuffer(parcel, POSTING, offset=16))
-                yield packed_pairs(lists, np.arange(first, stop))
+        own, long_ = apart(lists, many, chunk)
+        made = packed_pairs(list_pairs(lists, own))
+        columns = [pa.array([x[k] for x in long_], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.binary()))]
+        sent = pa.RecordBatch.from_arrays([pa.nulls(len(long_), pa.int32()), columns[3], *columns[:3]], schema=schema)
+        none = [pa.nulls(len(made), t) for t in (pa.int64(), pa.int32(), pa.int32())]
+        return pa.Table.from_batches([pa.RecordBatch.from_arrays([*made.columns, *none], schema=schema), sent])
+
+    def cross(table: pa.Table) -> pa.Table:
+        """Two chunks of a list that meet, or one that meets itself."""
+        chunks = [np.frombuffer(x, POSTING) for x in table.sort_by("chunk").column("rows").to_pylist()]
+        return pa.Table.from_batches([packed_pairs(chunk_pairs(chunks[0], chunks[1] if len(chunks) > 1 else None))])
 
     def decide(table: pa.Table) -> pa.Table:
         p = summed(unpacked(table.column("rows"), PAIR))
         p = p[reachable(p)]
         return pa.table({"a": pa.array(p["a"]), "b": pa.array(p["b"])})
 
+    schema = pa.schema([("block", pa.int32()), ("rows", pa.binary()), ("key", pa.int64()), ("chunk", pa.int32()), ("meets", pa.int32())])
     posted = prefixes.select("doc", "n", "prefix", "ends", "part").mapInArrow(post, "block int, rows binary")
-    paired = written(posted.groupBy("block").applyInArrow(pair, "block int, rows binary"), "shingle-pairs")
-    apart = paired.filter("block < 0").select("rows").repartition(4 * parts).mapInArrow(unwrap, "block int, rows binary")
-    return paired.filter("block >= 0").unionAll(apart).groupBy("block").applyInArrow(decide, "a bigint, b bigint")
+    short = written(posted.groupBy("block").applyInArrow(pair, "block int, rows binary, key bigint, chunk int, meets int"), "shingle-pairs")
+    met = short.filter("chunk IS NOT NULL").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("meets") - 1)))
+    met = met.groupBy("key", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high")).applyInArrow(cross, "block int, rows binary")
+    return short.filter("chunk IS NULL").select("block", "rows").unionAll(met).groupBy("block").applyInArrow(decide, "a bigint, b bigint")
 
 
 def _numbered(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FILTER_BITS = 24  # bitmaps of documents; a fixed size, false hits cost only work
+LEAST_BITS, MOST_BITS = 20, 29  # of bitmaps of documents; false hits cost only work
 
 
 def dealt(rows: np.ndarray, by: np.ndarray, blocks: int) -> pa.RecordBatch:
@@ -34,18 +34,23 @@ def stand_in(column: Column) -> Column:
     return F.lit(1 << 62) + F.pmod(F.xxhash64(column), F.lit(1 << 62))
 
 
-def spot(column: str):
-    """Where a bitmap has an id."""
-    return F.pmod(F.xxhash64(column), F.lit(1 << FILTER_BITS)).cast("int")
+def spot(column: str | Column) -> Column:
+    """The hash by which a bitmap has an id."""
+    return F.xxhash64(column)
 
 
 def bitmap(df: DataFrame, column: str) -> np.ndarray:
-    """A bitmap of hashed ids; at most 2**FILTER_BITS / 32 rows come to the driver, however many ids there are."""
-    found = df.select(spot(column).alias("s")).groupBy(F.shiftright("s", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, s & 31)")).alias("bits")).toArrow()
-    bits = np.zeros(1 << FILTER_BITS - 5, np.uint32)
-    bits[found.column("w").to_numpy()] = found.column("bits").to_numpy().astype(np.uint32)
-    return bits
-
-
-def has(bits: np.ndarray, spots: np.ndarray) -> np.ndarray:
-    return (bits[spots >> 5] >> (spots & 31).astype(np.uint32) & np.uint32(1)).astype(bool)
+    """A bitmap of hashed ids. It has 32 places an id, between ``LEAST_BITS`` and ``MOST_BITS`` bits of a place's number; at
+    most 2**MOST_BITS / 64 words come to the driver, however many ids there are."""
+    n = df.count()
+    bits = min(max(LEAST_BITS, (32 * n).bit_length()), MOST_BITS)
+    at = F.pmod(spot(column), F.lit(1 << bits))
+    found = df.select(at.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 AS int))")).alias("bits")).toArrow()
+    words = np.zeros(1 << bits - 6, np.uint64)
+    words[found.column("w").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return words
+
+
+def has(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes.view(np.uint64) & np.uint64(64 * len(words) - 1)
+    return (words[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)

@@ -269,7 +269,6 @@ def deduplicate(df: DataFrame, finish: Callable[[bytes, np.ndarray], tuple], nam
     """``(id, *carry, *names)`` of each row, with what ``finish(bytes, spans)`` makes of a text and its ``(start, end)`` to remove."""
     spark = df.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    shards = max(8, parts)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     doc = F.coalesce(F.col(id_col).cast("bigint"), stand_in(text))
     texts = df.select(doc.alias("doc"), text.alias("text"))
@@ -320,10 +319,15 @@ def deduplicate(df: DataFrame, finish: Callable[[bytes, np.ndarray], tuple], nam
         _, of, count = np.unique(rows["h"], return_inverse=True, return_counts=True)
         marked = np.empty(len(rows), FLAGGED)
         marked["h"], marked["doc"], marked["hot"] = rows["h"], rows["doc"], count[of] > hot
-        return _with_docs(marked, blocks)
+        out = _with_docs(marked, blocks)
+        some = [int(np.frombuffer(b, FLAGGED)["hot"].sum()) for b in out.column("rows").to_pylist()]
+        return out.append_column("hots", pa.array(some, pa.int64()))
 
     posted = texts.select("doc", "text", spot("doc").alias("s")).mapInArrow(post, "block int, rows binary")
-    flagged = written(posted.groupBy("block").applyInArrow(repeated, "block int, rows binary, docs array<bigint>"), "repeated-anchors")
+    flagged = written(posted.groupBy("block").applyInArrow(repeated, "block int, rows binary, docs array<bigint>, hots bigint"), "repeated-anchors")
+    # A hot anchor has at most as many strings in a document as fit around it, of 32 bytes each.
+    hots = flagged.agg(F.sum("hots")).first()[0] or 0
+    shards = max(8, parts, -(-hots * (LENGTH - GRAM + 1) * WINDOW.itemsize // SHARD_BYTES))
     bits = spark.sparkContext.broadcast(bitmap(flagged.select(F.explode("docs").alias("doc")), "doc"))
 
     @released

@@ -234,3 +234,20 @@ def test_components(spark):
     expected = smallest_reachable({x for p in pairs for x in p if p[0] != p[1]}, [p for p in pairs if p[0] != p[1]])
     found = components.components(spark.createDataFrame(pairs, "a bigint, b bigint").repartition(7))
     assert {r.node: r.component for r in found.collect()} == expected
+
+
+def test_long_lists_are_written_once():
+    """Chunks of a list of unlike documents hold each posting once, and their pairs are all pairs across components."""
+    n = 3000
+    p = np.zeros(n, jaccard.POSTING)
+    p["key"], p["doc"], p["part"], p["n"], p["ends"] = 9, np.arange(n), np.r_[np.full(500, -1), np.arange(n - 500)], 10, 1
+    lists = jaccard.Lists.of(p)
+    own, chunks = jaccard.apart(lists, 1000, 64)
+    assert not len(own) and sum(len(c[3]) for c in chunks) == n * jaccard.POSTING.itemsize
+    rows = [np.frombuffer(c[3], jaccard.POSTING) for c in chunks]
+    found = 0
+    for k, (_, number, meets, _) in enumerate(chunks):
+        assert number == k
+        for other in range(k, meets):
+            found += sum(len(x) for x in jaccard.chunk_pairs(rows[k], None if other == k else rows[other]))
+    assert found == n * (n - 1) // 2 - 500 * 499 // 2

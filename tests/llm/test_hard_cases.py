@@ -96,7 +96,7 @@ def test_long_lists_are_dealt_out(spark, monkeypatch):
     docs = [(k, " ".join(shared + rng.sample(words[100:], 25))) for k in range(60)]
     docs += [(100 + k, " ".join(docs[k][1].split()[:-1] + ["x"])) for k in range(20)]
     monkeypatch.setattr(jaccard, "MANY_PAIRS", 50)
-    monkeypatch.setattr(jaccard.parcels, "__defaults__", (50,))
+    monkeypatch.setattr(jaccard, "CHUNK", 7)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar(frame(spark, docs)).collect()} == brute_jaccard(docs)
 
 
