@@ -12,11 +12,13 @@ onto valid values only:
   day's number is permuted within these two centuries; a date with slashes whose second number is over 12 is read month
   first, and its month and day of the month (up to 28) are permuted among such dates, of later days the year;
 * phone numbers keep the country code (``+`` and 8 to 15 digits with or without separators) or are national
-  (``(ddd) ddd-dddd``, ``ddd-ddd-dddd``); mail addresses keep the top-level domain; hexadecimal secrets of 32 to 64
-  digits stay hexadecimal.
+  (``(ddd) ddd-dddd``, ``ddd-ddd-dddd``); their digits alone are permuted, so one number has one pseudonym in all spellings;
+* mail addresses keep the top-level domain, letters of other scripts move within their script's block (``SCRIPTS``; those
+  of scripts that are not listed stay); of a domain of more than 127 dots, which no server has, all is permuted but a last
+  label of letters; hexadecimal secrets of 32 to 64 digits stay hexadecimal.
 
-Other formats of numbers, names and postal addresses stay. Dots in a mail address's domain are at most 127 (the DNS bound).
-The key is the caller's: who knows it can take the pseudonyms back.
+Other formats of numbers, names and postal addresses stay. The key is the caller's: who knows it can take the pseudonyms
+back. It comes to the rows as the result of a subquery over a one-row table, so no plan or event log shows it.
 
 Defined cases: null texts stay null, empty ones empty; texts of any length are treated whole; other columns are kept,
 whatever their names, null ids too; repeated rows are treated alike; an empty table stays empty.
@@ -40,10 +42,19 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LATIN_LOWER = "ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
 LATIN_UPPER = "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"
 PLAIN = (DIGITS, LOWER, UPPER, LATIN_LOWER, LATIN_UPPER)
+# First and last code point of the blocks of letters of other scripts (of Latin with marks, Greek, Cyrillic,
+# Hebrew, Arabic, Devanagari, Thai, Kana, Han and Hangul).
+SCRIPTS = [
+    (0x0100, 0x017F), (0x0391, 0x03A1), (0x03A3, 0x03A9), (0x03AC, 0x03CE), (0x0400, 0x040F), (0x0410, 0x042F), (0x0430, 0x044F), (0x0450, 0x045F), (0x05D0, 0x05EA), (0x0621, 0x063A),
+    (0x0641, 0x064A), (0x0904, 0x0939), (0x0E01, 0x0E30), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3),
+]
+# Country codes of telephone numbers; all that do not begin like these have three digits.
+COUNTRY = "^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 HEX_LOWER = ("0123456789abcdef",)
 HEX_UPPER = ("0123456789ABCDEF",)
 
 # The formats looked for.
+LONG_MAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]++(?:\.[\p{L}\p{N}\-]++){127,}+"
 MAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]++(?:\.[\p{L}\p{N}\-]+){0,126}\.\p{L}{2,}"
 IPV4 = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)"
 PHONE = (
@@ -59,7 +70,7 @@ LATE_DAYS, YEARS, LEAP_YEARS = (2400, 16), (20, 10), (7, 7)  # days 13 to 28 of
 SSN_RADIX = (898 * 99, 9999)
 # The card number comes first: its separators are the first groups. All but mail addresses begin with few characters.
 NUMBERS = r"(?=[0-9+(A-Fa-f])(?:" + "|".join((CARD, SECRET, IPV4, PHONE, SSN, DATE)) + ")"
-ANY = f"{NUMBERS}|{MAIL}"
+ANY = f"{NUMBERS}|{LONG_MAIL}|{MAIL}"
 #: Every format but a mail address has two digits in a row or with a dot between, or is hexadecimal; this test is cheap.
 MAYBE = r"[0-9]\.?[0-9]|[A-F]{32}|[a-f]{32}"
 
@@ -78,9 +89,26 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _stream(key: str, label: Column, seed: Column) -> Column:
+Key = str | Column
+
+
+def _for(key: Key, kind: str) -> Column:
+    """The key of one kind of value."""
+    return F.concat(F.lit(key), F.lit(f"|{kind}"))
+
+
+def _stream(key: Key, label: Column, seed: Column) -> Column:
     """64 hexadecimal digits that depend on the key, the round and the other half."""
-    return F.sha2(F.concat(F.lit(f"{key}|"), label.cast("string"), F.lit("|"), seed), 256)
+    return F.sha2(F.concat(F.lit(key), F.lit("|"), label.cast("string"), F.lit("|"), seed), 256)
+
+
+def _in_script(c: Column, by: Column) -> Column:
+    """A letter moved within its script's block; any other character as it is."""
+    point = F.ascii(c)
+    blocks = F.array(*(F.struct(F.lit(a).alias("first"), F.lit(b - a + 1).alias("size")) for a, b in SCRIPTS))
+    own = F.filter(blocks, lambda b: (point >= b["first"]) & (point < b["first"] + b["size"]))
+    moved = F.transform(own, lambda b: b["first"] + F.pmod(point - b["first"] + by * 83, b["size"]))
+    return F.when(F.size(own) > 0, F.decode(F.unhex(F.lpad(F.hex(moved[0]), 4, "0")), "UTF-16BE")).otherwise(c)
 
 
 def _shifted(half: Column, stream: Column, alphabets: tuple[str, ...], sign: int) -> Column:
@@ -95,14 +123,15 @@ def _shifted(half: Column, stream: Column, alphabets: tuple[str, ...], sign: int
         def one(c: Column, i: Column) -> Column:
             at, by = F.instr(letters, c), F.conv(stream.substr(i % 32 * 2 + 1, F.lit(2)), 16, 10).cast("int")
             start = F.get(starts, at - 1)
-            return F.when(at > 0, letters.substr(start + F.pmod(at - 1 - start + by * sign, F.get(sizes, at - 1)) + 1, F.lit(1))).otherwise(c)
+            known = F.when(at > 0, letters.substr(start + F.pmod(at - 1 - start + by * sign, F.get(sizes, at - 1)) + 1, F.lit(1)))
+            return known.when(F.ascii(c) > 255, _in_script(c, by * sign)).otherwise(c)
 
         return F.array_join(F.transform(F.split(half, ""), one), "")
 
     return _let(stream, moved_by)
 
 
-def permute_text(value: Column, key: str, alphabets: tuple[str, ...] = PLAIN, inverse: bool = False) -> Column:
+def permute_text(value: Column, key: Key, alphabets: tuple[str, ...] = PLAIN, inverse: bool = False) -> Column:
     """A keyed bijection of strings onto strings of the same shape. Values of one character are only shifted by the key."""
     rounds = F.sequence(F.lit(0), F.lit(ROUNDS - 1))
     sign = -1 if inverse else 1
@@ -121,7 +150,7 @@ def permute_text(value: Column, key: str, alphabets: tuple[str, ...] = PLAIN, in
     return _let(value, permuted)
 
 
-def permute_index(value: Column, radix: tuple[int, int], key: str) -> Column:
+def permute_index(value: Column, radix: tuple[int, int], key: Key) -> Column:
     """A keyed permutation of ``0 .. a * b - 1``."""
     a, b = radix
     start = F.struct(F.pmod(value, F.lit(a)).cast("bigint").alias("a"), F.floor(value / a).cast("bigint").alias("b"))
@@ -159,28 +188,28 @@ def _luhn(digits: Column) -> Column:
     return F.call_function("luhn_check", digits)
 
 
-def _card(value: Column, key: str) -> Column:
+def _card(value: Column, key: Key) -> Column:
     def made(plain: Column) -> Column:
-        body = permute_text(plain.substr(F.lit(1), F.length(plain) - 1), f"{key}|card")
+        body = permute_text(plain.substr(F.lit(1), F.length(plain) - 1), _for(key, "card"))
         full = _let(body, lambda b: F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.concat(b, d.cast("string"))), _luhn)[0])
         return F.when(_luhn(plain), _refill(value, full)).otherwise(value)
 
     return _let(_digits(value), made)
 
 
-def _ipv4(value: Column, key: str) -> Column:
+def _ipv4(value: Column, key: Key) -> Column:
     parts = F.split(value, r"\.")
     packed = F.array_join(F.transform(parts, lambda p: F.lpad(F.lower(F.hex(p.cast("int").cast("bigint"))), 2, "0")), "")
-    moved = permute_text(packed, f"{key}|ipv4", HEX_LOWER)
+    moved = permute_text(packed, _for(key, "ipv4"), HEX_LOWER)
     shown = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.conv(moved.substr(k * 2 + 1, F.lit(2)), 16, 10)), ".")
     return F.when(F.forall(parts, lambda p: p.cast("int") <= 255), shown).otherwise(value)
 
 
-def _ssn(value: Column, key: str) -> Column:
+def _ssn(value: Column, key: Key) -> Column:
     area, group, serial = (value.substr(a, n).cast("int") for a, n in ((1, 3), (5, 2), (8, 4)))
     valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
     rank = area - 1 - F.when(area > 666, 1).otherwise(0)
-    moved = permute_index((rank * 99 + group - 1).cast("bigint") + (serial - 1).cast("bigint") * SSN_RADIX[0], SSN_RADIX, f"{key}|ssn")
+    moved = permute_index((rank * 99 + group - 1).cast("bigint") + (serial - 1).cast("bigint") * SSN_RADIX[0], SSN_RADIX, _for(key, "ssn"))
     head, tail = F.pmod(moved, F.lit(SSN_RADIX[0])), F.floor(moved / SSN_RADIX[0])
     new_rank = F.floor(head / 99)
     new_area = new_rank + 1 + F.when(new_rank >= 665, 1).otherwise(0)
@@ -188,10 +217,10 @@ def _ssn(value: Column, key: str) -> Column:
     return F.when(valid, shown).otherwise(value)
 
 
-def _day_first(value: Column, day: Column, key: str) -> Column:
+def _day_first(value: Column, day: Column, key: Key) -> Column:
     """The date permuted among all days, written as ``value`` is: order, separator, and two digits if it has them."""
     index = F.date_diff(day, F.lit(FIRST_DAY).cast("date"))
-    moved = F.date_add(F.lit(FIRST_DAY).cast("date"), permute_index(index.cast("bigint"), CENTURIES, f"{key}|date").cast("int"))
+    moved = F.date_add(F.lit(FIRST_DAY).cast("date"), permute_index(index.cast("bigint"), CENTURIES, _for(key, "date")).cast("int"))
     dots, full = value.contains("."), F.length(value) == 10
 
     def shown(day: Column) -> Column:
@@ -202,20 +231,20 @@ def _day_first(value: Column, day: Column, key: str) -> Column:
     return F.when(index.between(0, CENTURIES[0] * CENTURIES[1] - 1), _let(moved, shown)).otherwise(value)
 
 
-def _month_first(value: Column, day: Column, key: str) -> Column:
+def _month_first(value: Column, day: Column, key: Key) -> Column:
     """A date that can only be read month first, permuted among those."""
     year, month, of_month = F.year(day), F.month(day), F.dayofmonth(day)
     index = (year - 1900) * 12 + month - 1 + (of_month - 13) * LATE_DAYS[0]
-    moved = permute_index(index.cast("bigint"), LATE_DAYS, f"{key}|month first")
+    moved = permute_index(index.cast("bigint"), LATE_DAYS, _for(key, "month first"))
     usual = _let(moved, lambda m: F.make_date(1900 + F.floor(F.pmod(m, F.lit(LATE_DAYS[0])) / 12).cast("int"), (F.pmod(F.pmod(m, F.lit(LATE_DAYS[0])), F.lit(12)) + 1).cast("int"), (13 + F.floor(m / LATE_DAYS[0])).cast("int")))
-    leap = F.make_date((1904 + 4 * permute_index(((year - 1904) / 4).cast("bigint"), LEAP_YEARS, f"{key}|leap")).cast("int"), month, of_month)
-    late = F.make_date((1900 + permute_index((year - 1900).cast("bigint"), YEARS, f"{key}|year")).cast("int"), month, of_month)
+    leap = F.make_date((1904 + 4 * permute_index(((year - 1904) / 4).cast("bigint"), LEAP_YEARS, _for(key, "leap"))).cast("int"), month, of_month)
+    late = F.make_date((1900 + permute_index((year - 1900).cast("bigint"), YEARS, _for(key, "year"))).cast("int"), month, of_month)
     new = F.when(of_month <= 28, usual).when(month == 2, leap).otherwise(late)
     shown = _let(new, lambda d: F.when(F.length(value) == 10, F.date_format(d, "MM/dd/yyyy")).otherwise(F.date_format(d, "M/d/yyyy")))
     return F.when(year.between(1900, 2099), shown).otherwise(value)
 
 
-def _date(value: Column, key: str) -> Column:
+def _date(value: Column, key: Key) -> Column:
     parts = F.split(value, "[./-]")
     iso = value.substr(5, 1) == "-"
     day = F.try_to_date(F.when(iso, value).otherwise(F.concat_ws("-", parts[2], F.lpad(parts[1], 2, "0"), F.lpad(parts[0], 2, "0"))), "yyyy-MM-dd")
@@ -223,18 +252,20 @@ def _date(value: Column, key: str) -> Column:
     return F.when(day.isNotNull(), _let(day, lambda d: _day_first(value, d, key))).when(other.isNotNull(), _let(other, lambda d: _month_first(value, d, key))).otherwise(value)
 
 
-def _phone(value: Column, key: str) -> Column:
-    """The country code is what stands before the first separator, or the first two digits of an unbroken number."""
-    head = F.regexp_extract(value, r"^(?:\+\d{1,3}(?=[ .\-(])|\+\d\d)?", 0)
-    rest = value.substr(F.length(head) + 1, F.length(value))
-    return F.when(F.length(_digits(value)).between(8, 15), F.concat(head, permute_text(rest, f"{key}|phone"))).otherwise(value)
+def _phone(value: Column, key: Key) -> Column:
+    def made(digits: Column) -> Column:
+        head = F.when(value.startswith("+"), F.regexp_extract(digits, COUNTRY, 0)).otherwise("")
+        moved = F.concat(head, permute_text(digits.substr(F.length(head) + 1, F.length(digits)), _for(key, "phone")))
+        return F.when(F.length(digits).between(8, 15), _refill(value, moved)).otherwise(value)
+
+    return _let(_digits(value), made)
 
 
-def _mail(value: Column, key: str) -> Column:
-    return _let(F.regexp_extract(value, r"\.\p{L}+$", 0), lambda tld: F.concat(permute_text(value.substr(F.lit(1), F.length(value) - F.length(tld)), f"{key}|mail"), tld))
+def _mail(value: Column, key: Key) -> Column:
+    return _let(F.regexp_extract(value, r"\.\p{L}+$", 0), lambda tld: F.concat(permute_text(value.substr(F.lit(1), F.length(value) - F.length(tld)), _for(key, "mail")), tld))
 
 
-def pseudonym(value: Column, key: str) -> Column:
+def pseudonym(value: Column, key: Key) -> Column:
     """The pseudonym of one found value; values that turn out not to be valid stay."""
     return (
         F.when(value.contains("@"), _mail(value, key))
@@ -242,19 +273,24 @@ def pseudonym(value: Column, key: str) -> Column:
         .when(value.rlike(r"^\+|^\(|^\d{3}-\d{3}-"), _phone(value, key))
         .when(value.rlike(f"^(?:{DATE})$"), _date(value, key))
         .when(value.rlike(f"^(?:{IPV4})$"), _ipv4(value, key))
-        .when(value.rlike(r"^[0-9a-f]{32,64}$"), permute_text(value, f"{key}|secret", HEX_LOWER))
-        .when(value.rlike(r"^[0-9A-F]{32,64}$"), permute_text(value, f"{key}|secret", HEX_UPPER))
+        .when(value.rlike(r"^[0-9a-f]{32,64}$"), permute_text(value, _for(key, "secret"), HEX_LOWER))
+        .when(value.rlike(r"^[0-9A-F]{32,64}$"), permute_text(value, _for(key, "secret"), HEX_UPPER))
         .otherwise(_card(value, key))
     )
 
 
 def pseudonymise(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``df`` with the found values of ``text_col`` replaced; every other column as it was."""
-    text = df[f"`{text_col}`"]
+    own = "key"
+    while own.lower() in (c.lower() for c in df.columns):
+        own += "_"
+    # A literal would stand in every plan.
+    keyed = df.withColumn(own, df.sparkSession.createDataFrame([(key,)], "k string").scalar())
+    text, secret = keyed[f"`{text_col}`"], keyed[f"`{own}`"]
     mail = text.contains("@")
     between = F.when(mail, F.split(text, ANY, -1)).otherwise(F.split(text, NUMBERS, -1))
     found = F.when(mail, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.regexp_extract_all(text, F.lit(NUMBERS), F.lit(0)))
     # split() gives one piece more than there are matches.
-    woven = F.zip_with(between, found, lambda piece, hit: F.concat(piece, F.when(hit.isNull(), "").otherwise(pseudonym(hit, key))))
+    woven = F.zip_with(between, found, lambda piece, hit: F.concat(piece, F.when(hit.isNull(), "").otherwise(pseudonym(hit, secret))))
     some = F.when(mail, text.rlike(ANY)).otherwise(text.rlike(MAYBE) & text.rlike(NUMBERS))
-    return df.withColumn(text_col, F.when(some, F.array_join(woven, "")).otherwise(text))
+    return keyed.withColumn(text_col, F.when(some, F.array_join(woven, "")).otherwise(text)).select(*(F.col(f"`{c}`") for c in df.columns))

@@ -136,8 +136,12 @@ def pseudonym(v, key, alphabets):
         head, tail = moved % (898 * 99), moved // (898 * 99)
         return f"{head // 99 + 1 + (head // 99 >= 665):03d}-{head % 99 + 1:02d}-{tail + 1:04d}"
     if v[0] in "+(" or re.match(r"\d{3}-\d{3}-", v):
-        head = re.match(r"\+\d{1,3}(?=[ .\-(])|\+\d\d|", v)[0]
-        return head + permute_text(v[len(head) :], f"{key}|phone", plain) if 8 <= len(digits) <= 15 else v
+        if not 8 <= len(digits) <= 15:
+            return v
+        two = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+        head = "" if v[0] != "+" else digits[0] if digits[0] in "17" else digits[:2] if digits[:2] in two else digits[:3]
+        moved = iter(head + permute_text(digits[len(head) :], f"{key}|phone", plain))
+        return "".join(next(moved) if c.isdigit() else c for c in v)
     if m := re.fullmatch(r"(\d{4})-(\d\d)-(\d\d)|(\d\d?)([./])(\d\d?)[./](\d{4})", v):
         day = _read_date(m[3], m[2], m[1]) if m[1] else _read_date(m[4], m[6], m[7])
         if day is None or not 1900 <= day.year <= 2099:

@@ -60,3 +60,34 @@ def test_scores_of_all_documents(spark):
 def test_an_ipv4_beyond_255_stays(spark):
     out = spark.createDataFrame([("256.1.1.1 and 1.2.3.4.5",)], "text string")
     assert pii.pseudonymise(out, KEY).select(F.col("text")).collect()[0][0].startswith("256.1.1.1 ")
+
+
+def test_one_number_has_one_pseudonym_in_all_spellings(spark):
+    rows = ["+1 212 555 0123", "+12125550123", "+1 (212) 555-0123", "+49 30 1234567", "+49301234567", "+358 40 123 4567", "+358401234567"]
+    out = [r.text for r in pii.pseudonymise(spark.createDataFrame([(t,) for t in rows], "text string"), KEY).collect()]
+    digits = ["".join(c for c in t if c.isdigit()) for t in out]
+    assert len({*digits[:3]}) == 1 and digits[3] == digits[4] and digits[5] == digits[6] and len(set(digits)) == 3
+    assert all(a != b and [c for c in a if not c.isdigit()] == [c for c in b if not c.isdigit()] for a, b in zip(rows, out, strict=True))
+    assert out[0].startswith("+1 ") and out[3].startswith("+49 ") and out[5].startswith("+358 ")
+
+
+def test_letters_of_other_scripts_move(spark):
+    names = ["иван.петров@пример.рф", "łukasz@przykład.pl", "γιώργος@παράδειγμα.ελ", "用户@例子.公司", "x@" + "a." * 300 + "com", "x@" + "ab-c." * 200 + "7"]
+    out = [r.text for r in pii.pseudonymise(spark.createDataFrame([(t,) for t in names], "text string"), KEY).collect()]
+    assert out[0].endswith(".рф") and out[1].endswith(".pl") and out[3].endswith(".公司") and out[4].endswith(".com")
+    for a, b in zip(names, out, strict=True):
+        cut = a.rindex(".")
+        assert len(a) == len(b) and a.count(".") == b.count(".") and regex.fullmatch(r"[\p{L}\p{N}._%+@-]+", b)
+        letters = [(x, y) for x, y in zip(a[:cut], b, strict=False) if x.isalpha()]
+        assert sum(x == y for x, y in letters) < max(2, len(letters) // 4), (a, b)
+    there = pii.permute_text(F.lit("Ελληνικά и кириллица 漢字 ñ ł"), KEY)
+    assert spark.range(1).select(pii.permute_text(there, KEY, inverse=True)).collect()[0][0] == "Ελληνικά и кириллица 漢字 ñ ł"
+
+
+def test_no_plan_shows_the_key(spark, capsys):
+    out = pii.pseudonymise(spark.createDataFrame([("+1 212 555 0123", 1)], "text string, key int"), "key-of-this-very-test")
+    assert out.columns == ["text", "key"]
+    for how in ("extended", "formatted", "codegen"):
+        out.explain(how)
+    out.collect()
+    assert "key-of-this-very-test" not in capsys.readouterr().out
