@@ -8,8 +8,10 @@ stop words are enough, and open blocks look no further than its bounds.
 
 What is no text of the page at all is left out beforehand: menus, footers, forms and the like by their tags and roles, and
 containers whose class or id names an advert, a notice, reader comments and so on (``OUTSIDE_WORDS``; a word after "has",
-"no" or "with" names nothing). An article clears what only a wrapper's class or a form says; on headings, paragraphs and
-list items a class counts outside of articles only. Blocks left out this way are no neighbours in pass 2.
+"no" or "with", or before "enabled", "closed" and the like, names nothing). An article clears what only a wrapper's class or
+a form says; in it a class counts on paragraphs, list items and spans that it names outright ("advert", "comment-item"), on
+headings never. A form around the whole of a page without an article is none. Blocks left out this way are no neighbours in
+pass 2. List items that are links are no text, nor are short rows of names between slashes or bars outside of articles.
 
 Stop words are those of eleven languages; on a page where hardly any occurs, so in another language, length and links
 decide alone. A character of a script that is written without spaces counts as three.
@@ -52,6 +54,10 @@ RAW_TAGS = frozenset("script style textarea title xmp noembed noframes".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Words before which such a word names nothing.
 NEGATIONS = frozenset("has have no non not with without".split())
+# Words after which such a word tells a state, and words for the parts of what it names.
+STATES = frozenset("enabled disabled open closed allowed off on free ready aware hidden visible".split())
+OUTRIGHT = frozenset("ad ads adv advert adverts advertisement comment comments consent cookie cookies newsletter promo replies reply sponsor sponsored".split())
+PARTS = frozenset("item body text box block unit slot inner content entry row line".split())
 # Frequent function words of English, German, French, Spanish, Italian, Portuguese, Dutch, Swedish, Polish, Turkish and Russian.
 STOP_WORDS = frozenset(
     "the of and to in a is that it for on with as was are be this by at from or an have not but they you which we he she his her "
@@ -77,12 +83,15 @@ WORD = re.compile(r"[^\W\d_]+")
 NAME = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 SHORT, LONG = 70, 200  # characters
-LINKS_HIGH = 0.4
+LINKS_HIGH, LINKS_ONLY = 0.4, 0.9
 STOPS_LOW, STOPS_HIGH = 0.15, 0.3
 STOPS_FOREIGN = 0.03  # a page with a smaller share is in another language
 UNSPACED = re.compile(r"[\u0e00-\u0eff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7a3]")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 TEXT_TAGS = HEADINGS | frozenset("p li dt dd td th pre blockquote figcaption caption".split())
+CLASSED = frozenset("p li dt dd blockquote".split())  # whose class counts in articles, too
+SPANS = frozenset("span ins small".split())
+ROW_OF_NAMES = re.compile(r"(?:\w[\w&'-]*(?: [\w&'-]+){0,2}(?: ?[/|»›·•>] ?|\Z)){3,}")
 UNSTACKED = frozenset("p li dt dd tr td th option thead tbody tfoot".split())
 CLEAR, BY_NAME, BY_TAG = 0, 1, 2  # whether a container is left out, and by what
 GOOD, BAD, OPEN = 1, -1, 0
@@ -99,12 +108,26 @@ class Block:
 
 
 def _names_outside(value: str) -> bool:
-    words = [w.lower() for w in NAME.findall(value)]
-    return any(w in OUTSIDE_WORDS and (not k or words[k - 1] not in NEGATIONS) for k, w in enumerate(words))
+    for name in value.split():
+        words = [w.lower() for w in NAME.findall(name)]
+        for k, w in enumerate(words):
+            if w in OUTSIDE_WORDS and (not k or words[k - 1] not in NEGATIONS) and (k + 1 == len(words) or words[k + 1] not in STATES):
+                return True
+    return False
 
 
-def _outside(tag: str, attributes: str) -> int:
-    if tag in OUTSIDE_TAGS:
+def _outright(attributes: str) -> bool:
+    """Whether a class names an advert, a comment or a notice, or a part of one."""
+    for name, value in ATTRIBUTE.findall(attributes):
+        for own in value.strip("\"'").split() if name.lower() == "class" else ():
+            words = [w.lower() for w in NAME.findall(own)]
+            if words and words[0] in OUTRIGHT and all(w in PARTS for w in words[1:]):
+                return True
+    return False
+
+
+def _outside(tag: str, attributes: str, forms: bool = True) -> int:
+    if tag in OUTSIDE_TAGS and (forms or tag != "form"):
         return BY_NAME if tag == "form" else BY_TAG
     out = CLEAR
     if not attributes or tag in ("html", "body", "article", "main"):
@@ -128,7 +151,10 @@ def _outside(tag: str, attributes: str) -> int:
 class _Page:
     """Blocks of a page, made tag by tag."""
 
-    def __init__(self):
+    def __init__(self, forms: bool):
+        self.forms = forms  # whether forms are left out
+        self.spans: list[bool] = []  # open spans, and whether they are left out
+        self.muted = 0
         self.blocks: list[Block] = []
         self.stack: list[tuple[str, int, int]] = []  # tag, whether left out, article
         self.open: Counter = Counter()  # tags on the stack
@@ -136,6 +162,8 @@ class _Page:
         self.links, self.in_link, self.tag, self.own, self.articles = 0, False, "", CLEAR, 0
 
     def text(self, piece: str) -> None:
+        if self.muted:
+            return
         self.parts.append(piece)
         if self.in_link:
             self.links += len(piece)
@@ -147,7 +175,15 @@ class _Page:
                 _, out, article = self.stack[-1] if self.stack else ("", CLEAR, 0)
                 self.blocks.append(Block(text, self.links, self.tag, bool(max(out, self.own)), article))
             self.parts.clear()
-        self.links, self.in_link, self.own = 0, False, CLEAR
+        self.links, self.in_link, self.own, self.muted = 0, False, CLEAR, 0
+        self.spans.clear()
+
+    def span(self, closing: bool, attributes: str) -> None:
+        if not closing:
+            self.spans.append(_outright(attributes))
+            self.muted += self.spans[-1]
+        elif self.spans:
+            self.muted -= self.spans.pop()
 
     def opened(self, name: str, attributes: str) -> None:
         self.end()
@@ -155,8 +191,8 @@ class _Page:
         if name in VOID_TAGS:
             return
         _, out, article = self.stack[-1] if self.stack else ("", CLEAR, 0)
-        own = _outside(name, attributes)
-        if name in TEXT_TAGS and article and own == BY_NAME:
+        own = _outside(name, attributes, self.forms)
+        if name in TEXT_TAGS and article and own == BY_NAME and not (name in CLASSED and _outright(attributes)):
             own = CLEAR
         if name in UNSTACKED:
             self.own = own
@@ -181,8 +217,8 @@ class _Page:
                 break
 
 
-def blocks(page: str) -> list[Block]:
-    out, at = _Page(), 0
+def blocks(page: str, forms: bool = True) -> list[Block]:
+    out, at = _Page(forms), 0
     while at < len(page):
         m = TOKEN.search(page, at)
         stop = m.start() if m else len(page)
@@ -201,6 +237,8 @@ def blocks(page: str) -> list[Block]:
                 at = close.end() if close else len(page)
         elif name == "a":
             out.in_link = not closing
+        elif name in SPANS:
+            out.span(closing, (m.group(3) if m.group(2) else m.group(6)) or "")
         elif name == "br":
             out.parts.append(" ")
         elif name in BLOCK_TAGS or name in OUTSIDE_TAGS:
@@ -231,12 +269,12 @@ def first_pass(found: list[Block]) -> None:
         n, dense = _weight(b.text), b.links > LINKS_HIGH * len(b.text)
         share = STOPS_HIGH if foreign and n >= SHORT else stops / max(1, words)
         if b.article:
-            linked = b.tag == "li" and share < STOPS_LOW
+            linked = b.tag == "li" and (share < STOPS_LOW or b.links >= LINKS_ONLY * len(b.text))
             b.label = (BAD if linked else OPEN) if dense else GOOD if n >= SHORT or share >= STOPS_LOW else OPEN
         elif dense:
             b.label = BAD
         elif n < SHORT or b.tag in HEADINGS:
-            b.label = BAD if b.links else OPEN
+            b.label = BAD if b.links or ROW_OF_NAMES.fullmatch(b.text) else OPEN
         elif share >= STOPS_HIGH:
             b.label = GOOD if n >= LONG else OPEN
         elif share >= STOPS_LOW:
@@ -269,6 +307,8 @@ def second_pass(found: list[Block]) -> None:
 
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
+    if found and all(b.outside for b in found) and re.search("<form", page, re.I):
+        found = blocks(page, forms=False)
     first_pass(found)
     second_pass(found)
     return "\n".join(b.text for b in found if b.label == GOOD)

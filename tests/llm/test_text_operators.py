@@ -217,3 +217,50 @@ def test_cascade_is_exact_over_its_universe(spark):
     found = cascade.has(np.array([r.h for r in rows], np.int64).view(np.uint64))
     assert {r.key for r, f in zip(rows, found, strict=True) if f} == set(listed)
     assert sum(level.bits for level in cascade.levels) < 40 * len(listed)
+
+
+SAY = "This is a paragraph of the story that goes on for as long as it has to, and it is told in the words that people use. "
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<article><p>{SAY}</p><p class='advert'>{SAY}Buy now.</p><p>{SAY}</p></article>", [SAY, SAY]),
+        (f"<article><p>{SAY}<span class='ad'>Buy it now</span></p></article>", [SAY]),
+        (f"<article><p>{SAY}</p><ul><li class='comment'>{SAY}</li><li class='comment-item'>I think so, too, and that is what it is.</li></ul></article>", [SAY]),
+        (f"<article><p>{SAY}</p><h3>Related articles</h3><ul><li><a href='a'>What is to be done about it</a></li><li><a href='b'>The other story of the day</a></li></ul></article>", [SAY]),
+        (f"<div>Home / About / Contact</div><div>News | Sports | Weather today</div><div><p>{SAY * 2}</p></div>", [SAY * 2]),
+        (f"<body><div class='post-comments-enabled no-sidebar'><p>{SAY * 2}</p><p>{SAY * 3}</p></div></body>", [SAY * 2, SAY * 3]),
+        (f"<body><form action='x'><div><p>{SAY * 2}</p></div></form></body>", [SAY * 2]),
+        (f"<article><p class='ad-free'>{SAY}</p><p class='related-work'>{SAY}</p><h2 class='banner'>The title of it</h2><p>{SAY}</p><ul><li>TCP / IP / UDP</li><li>It is <a href='x'>the one</a> that we use</li></ul></article>", [SAY, SAY, "The title of it", SAY, "TCP / IP / UDP", "It is the one that we use"]),
+        (f"<article><p>a <span>b <span class='ad'>c <span>d</span></span> e</span> {SAY}</p><p><span class='ad'>open {SAY}</p><p>{SAY}</p></article>", [f"a b e {SAY}", SAY]),
+    ],
+)
+def test_adverts_comments_and_menus(page, text):
+    assert html.main_text(page).split("\n") == [" ".join(t.split()) for t in text]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_packing_is_the_plain_sum_of_squares_loop(seed):
+    """Each piece goes where the sum over gaps of squared numbers of open sequences becomes smallest, computed anew each time."""
+    draw, capacity = random.Random(seed), 97
+    lengths = [draw.choice((draw.randint(1, 97), draw.randint(1, 20), 97)) for _ in range(500)]
+    if seed % 2:
+        lengths.sort(reverse=True)
+    gaps, expected = [], []
+    for s in lengths:
+        best = None
+        for g in sorted({g for g in gaps if g >= s}):
+            after = list(gaps)
+            after.remove(g)
+            after.append(g - s)
+            total = sum(after.count(x) ** 2 for x in set(after) if x)
+            if best is None or total < best[0]:
+                best = (total, g)
+        g = capacity if best is None else best[1]
+        expected.append(capacity - g)
+        if best is not None:
+            gaps.remove(g)
+        gaps.append(g - s)
+    sequence, offset = packing.place(np.array(lengths), capacity)
+    assert offset.tolist() == expected and len(set(sequence.tolist())) == len(gaps)
