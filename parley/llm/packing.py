@@ -108,8 +108,8 @@ def place(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
             sequence[k], opened = opened, opened + 1
             continue
         gaps = count[s:capacity]
-        change = np.where(gaps > 0, count[: capacity - s] - gaps, np.iinfo(np.int64).max)
-        change[0] -= 1 if gaps[0] > 0 else 0  # a closed sequence leaves the sum
+        change = np.where(gaps > 0, 2 * (count[: capacity - s] - gaps), np.iinfo(np.int64).max)
+        change[0] -= 1 if gaps[0] > 0 else 0  # a closed sequence leaves the sum: 2 N - 1 less, not 2 N - 2
         g = int(change.argmin()) + s
         # A new sequence is opened only where no open one fits: it would cost a sequence, not just a larger sum.
         if gaps[g - s] == 0:
