@@ -37,13 +37,20 @@ def hits(vectors: DataFrame, queries: DataFrame, threshold: float = THRESHOLD) -
     return best.select("query_id", F.col("vec_id").alias("best_id"), "similarity", (F.col("similarity") >= threshold).alias("hit"))
 
 
-def blended(vectors: DataFrame, queries: DataFrame, labels: DataFrame, weight: float = 0.4, k: int = 4) -> DataFrame:
-    """Keyword scores, for each query, with its best ``k`` by similarity raised: ``weight * similarity / best``."""
+def blended(vectors: DataFrame, queries: DataFrame, labels: DataFrame, weight: float = 0.4, k: int = 4, top: int = 10) -> DataFrame:
+    """The ``top`` rows of each query by keyword score, its best ``k`` by similarity raised: ``weight * similarity / best``.
+
+    No row that is not raised can come before the ``top`` best by keywords, so only these and the raised ones meet a query.
+    """
     near = nearest(vectors, queries, k)
-    top = near.groupBy("query_id").agg(F.max("similarity").alias("best"))
-    raised = near.join(top, "query_id").select("query_id", "vec_id", F.round(weight * F.col("similarity") / F.col("best"), 6).alias("raise"))
-    pairs = labels.crossJoin(queries.select("query_id"))
-    return pairs.join(raised, ["query_id", "vec_id"], "left").select("query_id", "vec_id", F.round(F.col("score") + F.coalesce("raise", F.lit(0.0)), 6).alias("score"))
+    most = F.max("similarity").over(W.partitionBy("query_id"))
+    raised = near.select("query_id", "vec_id", F.round(weight * F.col("similarity") / most, 6).alias("raise")).join(labels, "vec_id")
+    first = labels.orderBy(F.desc("score"), "vec_id").limit(top + k)
+    known = first.agg(F.collect_list(F.struct("vec_id", "score")).alias("first")).scalar()
+    plain = queries.select("query_id", F.explode(known).alias("f")).select("query_id", "f.vec_id", "f.score").join(near.select("query_id", "vec_id"), ["query_id", "vec_id"], "left_anti")
+    both = raised.select("query_id", "vec_id", F.round(F.col("score") + F.col("raise"), 6).alias("score")).unionByName(plain)
+    by = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return both.withColumn("place", F.row_number().over(by)).filter(F.col("place") <= top)
 
 
 def decisive_profile(text: Column) -> list[Column]:

@@ -43,11 +43,12 @@ def _mapped(source: str, rule: str) -> str:
     return f"list_reduce(list_transform(list_zip(string_split_regex({source}, '{_CODE}'), list_append(regexp_extract_all({source}, '{_CODE}'), '')), lambda z: {rule.replace('@', 'z[1]')} || z[2]), lambda a, b: a || b)"
 
 
+# What these replies have of it.
+_FILLER = r"(?i)(^|\n|[.!?]\s)(?:(?:sure|certainly|absolutely|of course|(?:great|good|excellent) question|i hope (?:this|that) helps)[.!](?:\s+|$))+"
+
+
 def _without_filler(x: str) -> str:
-    for filler in C.FILLERS:
-        pattern = (C.START + filler).replace("'", "''")
-        x = f"regexp_replace({x}, '(?i){pattern}', '\\1', 'g')"
-    return f"regexp_replace({x}, '\\n{{3,}}', chr(10) || chr(10), 'g')"
+    return f"regexp_replace(regexp_replace({x}, '{_FILLER}', '\\1', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')"
 
 
 _SPACE = "regexp_replace(regexp_replace(@, '[ \\t]+\\n', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g')"
@@ -105,3 +106,16 @@ def csv_digests(spark, d):
     row = F.concat_ws(",", F.col("event_id").cast("string"), F.when(F.col("event_id") % 3 == 0, "").otherwise(F.concat(F.lit("$"), (F.col("event_id") % 90).cast("string"))), "event_type")
     files = S.read(spark, d, "events").groupBy(F.col("user_id").alias("session_id")).agg(F.concat(F.lit("id,price,kind\n"), F.array_join(F.collect_list(row), "\n")).alias("t"))
     return C.csv_digest(files, "session_id", "t")
+
+
+# Code around every document's text: comments, and strings that look like them.
+_SCRIPT = """SELECT doc_id, '# head' || chr(10) || 'u = "http://a/*b*/c"  # stays' || chr(10) || '/* gone' || chr(10) || '*/x = ' || chr(39) || '# no' || chr(39) || chr(10) || '  // gone' || chr(10)
+  || 'd = ' || repeat(chr(34), 3) || chr(10) || '# in a string' || chr(10) || replace(coalesce(text, ''), chr(34), '') || repeat(chr(34), 3) || chr(10) AS t FROM documents"""
+_PARTS = r"""(?sm)""\".*?""\"|"[^"\n]*"|''[^''\n]*''|`[^`]*`|^[ \t]*(?:#|//)[^\n]*\n?|/\*.*?\*/""".replace("\\\"", "\"")
+
+
+@query(f"""WITH s AS ({_SCRIPT}) SELECT doc_id, md5(list_reduce(list_transform(list_zip(string_split_regex(t, '{_PARTS}'), list_append(regexp_extract_all(t, '{_PARTS}'), '')), lambda z: z[1] || CASE WHEN left(z[2], 1) IN ('"', chr(39), '`') THEN z[2] ELSE '' END), lambda a, b: a || b)) AS code_md5 FROM s""")
+def stripped_comments(spark, d):
+    t = F.replace(F.coalesce("text", F.lit("")), F.lit('"'), F.lit(""))
+    code = F.concat(F.lit('# head\nu = "http://a/*b*/c"  # stays\n/* gone\n*/x = \'# no\'\n  // gone\nd = """\n# in a string\n'), t, F.lit('"""\n'))
+    return S.read(spark, d, "documents").select("doc_id", F.md5(C.without_comments(code)).alias("code_md5"))

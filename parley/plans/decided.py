@@ -56,22 +56,39 @@ def decision_verdicts(spark, d):
 
 
 def _told(spark, d) -> DataFrame:
+    """Whole messages, each with a statement behind its text."""
     i = F.col("turn") + F.col("conv_id")
     said = F.when(i % 5 == 0, " We switched from Moment.js to date-fns. And replaced Redis with redis, x with y2.").when(i % 5 == 1, " So use pg instead of mysql; migrating from A1 to B1.").when(i % 5 == 2, " It took 340 ms, then 12%, 7 apples.").otherwise(" login page fix kar diya, test suite update karna hai aur api nahi chal raha hai")
-    return S.read(spark, d, "conversations").select(F.col("conv_id").alias("session_id"), "turn", F.concat(F.lit("Note:"), said).alias("text"))
+    return S.read(spark, d, "conversations").select(F.col("conv_id").alias("session_id"), "turn", F.concat(F.coalesce("text", F.lit("")), said).alias("text"))
 
 
-@query("""SELECT conv_id AS session_id, turn, unnest(['Moment.js']) AS old, 'date-fns' AS new FROM conversations WHERE (turn + conv_id) % 5 = 0
-  UNION ALL SELECT conv_id, turn, unnest(['mysql', 'A1']), unnest(['pg', 'B1']) FROM conversations WHERE (turn + conv_id) % 5 = 1""")
+TOLD = """told AS (SELECT conv_id AS session_id, turn, coalesce(text, '') || CASE (turn + conv_id) % 5 WHEN 0 THEN ' We switched from Moment.js to date-fns. And replaced Redis with redis, x with y2.' WHEN 1 THEN ' So use pg instead of mysql; migrating from A1 to B1.'
+  WHEN 2 THEN ' It took 340 ms, then 12%, 7 apples.' ELSE ' login page fix kar diya, test suite update karna hai aur api nahi chal raha hai' END AS t FROM conversations)"""
+
+
+def _all(pattern: str, *groups: int) -> str:
+    return ", ".join(f"unnest(regexp_extract_all(t, '{pattern}', {g}))" for g in groups)
+
+
+_NAME = r"([\w.+#/-]+)"
+
+
+@query(f"""WITH {TOLD}, c(session_id, turn, old, new) AS (SELECT session_id, turn, {_all(rf"(?i)\b(?:switch|switched|switching|move|moved|moving|migrate|migrated|migrating) from {_NAME} to {_NAME}", 1, 2)} FROM told
+    UNION ALL SELECT session_id, turn, {_all(rf"(?i)\b(?:replace|replaced|replacing) {_NAME} with {_NAME}", 1, 2)} FROM told UNION ALL SELECT session_id, turn, {_all(rf"(?i)\b(?:use|using|chose|picked) {_NAME} instead of {_NAME}", 2, 1)} FROM told),
+  b AS (SELECT session_id, turn, rtrim(old, '.') AS old, rtrim(new, '.') AS new FROM c) SELECT DISTINCT * FROM b WHERE length(old) > 1 AND length(new) > 1 AND lower(old) <> lower(new)""")
 def stated_changes(spark, d):
     return D.stated_changes(_told(spark, d))
 
 
-@query("SELECT conv_id AS session_id, turn, unnest(['340 ms', '12%']) AS evidence FROM conversations WHERE (turn + conv_id) % 5 = 2")
+@query(rf"""WITH {TOLD} SELECT DISTINCT session_id, turn, {_all(r"(?i)(?:^|[^0-9.])([0-9]+(?:\.[0-9]+)?\s*(?:ms|second|seconds|minute|minutes|hour|hours|%|percent|mb|gb|tb|kb|rpm|rps|req/s))(?:[^A-Za-z0-9]|$)", 1)} AS evidence FROM told""")
 def measurements(spark, d):
     return D.measurements(_told(spark, d))
 
 
-@query("SELECT conv_id AS session_id, turn, unnest(['task_done', 'task_todo', 'error']) AS kind, unnest(['login page', 'test suite', 'api']) AS label FROM conversations WHERE (turn + conv_id) % 5 > 2")
+_WORK = r"([\w./-]+(?: [\w./-]+)?) (?:fix|add|test|deploy|update|merge)"
+
+
+@query(rf"""WITH {TOLD} SELECT DISTINCT * FROM (SELECT session_id, turn, 'task_done' AS kind, {_all(rf"(?i)\b{_WORK} kar (?:diya|di|liya)\b", 1)} AS label FROM told
+  UNION ALL SELECT session_id, turn, 'task_todo', {_all(rf"(?i)\b{_WORK} karna (?:hai|hoga|padega)\b", 1)} FROM told UNION ALL SELECT session_id, turn, 'error', {_all(r"(?i)\b([\w./-]+) (?:nahi|nahin|nhi) chal (?:raha|rahi|rahe)\b", 1)} FROM told)""")
 def hinglish_facts(spark, d):
     return D.hinglish_facts(_told(spark, d))

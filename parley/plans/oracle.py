@@ -101,6 +101,13 @@ DOT = "list_sum(list_transform(list_zip(a.embedding, q.embedding), lambda x: x[1
 NORM = "sqrt(list_sum(list_transform({0}.embedding, lambda x: x::DOUBLE * x::DOUBLE)))"
 
 
+def _blended(k: int, weight: float, top: int) -> str:
+    """Every pair's score, of which the best stay."""
+    return _with(_near(k), "q AS (SELECT vec_id AS query_id FROM embeddings WHERE vec_id % 20 = 0)") + f"""SELECT q.query_id, e.vec_id, round((e.vec_id % 10) / 10.0::DOUBLE + coalesce(round({weight}::DOUBLE * r.similarity / (SELECT max(similarity) FROM ranked WHERE query_id = q.query_id), 6), 0), 6) AS score,
+      row_number() OVER (PARTITION BY q.query_id ORDER BY round((e.vec_id % 10) / 10.0::DOUBLE + coalesce(round({weight}::DOUBLE * r.similarity / (SELECT max(similarity) FROM ranked WHERE query_id = q.query_id), 6), 0), 6) DESC, e.vec_id)::INT AS place
+      FROM embeddings e CROSS JOIN q LEFT JOIN ranked r ON r.vec_id = e.vec_id AND r.query_id = q.query_id QUALIFY place <= {top}"""
+
+
 def _near(k: int) -> str:
     return f"""near AS (SELECT q.vec_id AS query_id, a.vec_id AS vec_id, round({DOT} / ({NORM.format('a')} * {NORM.format('q')}), 6) AS similarity
       FROM embeddings a, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q WHERE a.vec_id <> q.vec_id),
@@ -202,7 +209,10 @@ SQL: dict[str, str] = {
     "even_sample": "WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS p, greatest(1, (SELECT count(*) FROM orders) // 20) AS step FROM orders) SELECT o_orderkey FROM o WHERE p % step = 0",
     "nearest_vectors": _with(_near(5)) + "SELECT query_id, rank, vec_id, similarity FROM ranked",
     "similar_hits": _with(_near(1)) + "SELECT query_id, vec_id AS best_id, similarity, similarity >= 0.92 AS hit FROM ranked",
-    "blended_scores": _with(_near(4), "q AS (SELECT vec_id AS query_id FROM embeddings WHERE vec_id % 20 = 0)") + "SELECT q.query_id, e.vec_id, round((e.vec_id % 10) / 10.0::DOUBLE + coalesce(round(0.4::DOUBLE * r.similarity / (SELECT max(similarity) FROM ranked WHERE query_id = q.query_id), 6), 0), 6) AS score FROM embeddings e CROSS JOIN q LEFT JOIN ranked r ON r.vec_id = e.vec_id AND r.query_id = q.query_id",
+    "blended_scores": _blended(4, 0.4, 10),
+    "blended_scores_all": _blended(10, 0.9, 25),
+    "nearest_vectors_all": _with(_near(10)) + "SELECT query_id, rank, vec_id, similarity FROM ranked",
+    "similar_hits_all": _with(_near(1)) + "SELECT query_id, vec_id AS best_id, similarity, similarity >= 0.8 AS hit FROM ranked",
     "sniffed_files": """WITH s AS (SELECT html AS c FROM pages UNION ALL SELECT text FROM documents), n AS (SELECT regexp_extract(url, '([^/?#]*)(?:[?#].*)?$', 1) AS name FROM pages),
       t AS (SELECT CASE WHEN ends_with(name, '.html') THEN 'xml' ELSE 'xml' END AS kind FROM n UNION ALL SELECT CASE WHEN h[1] IN ('{', '[') THEN 'json' WHEN h[1] = '<' THEN 'xml' WHEN contains(h, chr(9)) AND contains(h, chr(10)) THEN 'tsv' WHEN contains(h, ',') AND contains(h, chr(10)) THEN 'csv' ELSE 'text' END FROM (SELECT substr(ltrim(coalesce(text, '')), 1, 512) AS h FROM documents))
       SELECT kind, count(*) AS n FROM t GROUP BY kind""",

@@ -471,20 +471,23 @@ def blended_scores(spark, d):
 
 @query
 def nearest_vectors_all(spark, d):
+    """A longer list of neighbours."""
     v = _vectors(spark, d)
-    return cache.nearest(v, _every_twentieth(v))
+    return cache.nearest(v, _every_twentieth(v), 10)
 
 
 @query
 def similar_hits_all(spark, d):
+    """The same search under a looser threshold."""
     v = _vectors(spark, d)
-    return cache.hits(v, _every_twentieth(v))
+    return cache.hits(v, _every_twentieth(v), 0.8)
 
 
 @query
 def blended_scores_all(spark, d):
+    """A longer list, with similarity weighing more."""
     v = _vectors(spark, d)
-    return cache.blended(v, _every_twentieth(v), v.select("vec_id", (F.col("vec_id") % 10 / 10).alias("score")))
+    return cache.blended(v, _every_twentieth(v), v.select("vec_id", (F.col("vec_id") % 10 / 10).alias("score")), weight=0.9, k=10, top=25)
 
 
 @query

@@ -50,16 +50,33 @@ def answers_by_words(spark, d):
     return V.ranked_by_words(S.artifacts(spark, d), asked, 10)
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 'error', false), (2, 'file', false), (3, 'decision', false), (4, 'error', true), (5, 'task', false)) t(question_id, intents, present)")
+_ASKED = """asked AS (SELECT conv_id AS session_id, turn, coalesce(text, '') || ['. Which token handlers failed', ' Where is the billing route?', ' what did we decide about it', '. Is it still broken right now', '. What is left to do', ''][(conv_id + turn) % 6 + 1] AS t FROM conversations WHERE role = 'user'),
+  line AS (SELECT session_id, turn, ' ' || array_to_string(list_filter(string_split_regex(lower(t), '[^a-z0-9'']+'), lambda w: w <> ''), ' ') || ' ' AS t FROM asked)"""
+
+
+@query(f"""WITH {_ASKED} SELECT session_id, turn, concat_ws(',', CASE WHEN regexp_matches(t, ' (broke|broken|breaks?|breaking|fail|fails|failed|failing|failure|wrong|bugs?|errors?|issues?|problems?|unsafe|crash[^ ]*|slow[^ ]*|leak[^ ]*|regress[^ ]*|not safe) ') THEN 'error' END,
+  CASE WHEN regexp_matches(t, ' (chose|choose|chosen|pick|picked|decide[^ ]*|decision[^ ]*|went with|go with|going with|why do we use|why did we use|why are we using|which one do we|which one did we) ') THEN 'decision' END,
+  CASE WHEN regexp_matches(t, ' (left|remaining|todo|next|pending|done|finished|checking|progress|status|verify[^ ]*|to do|still need) ') THEN 'task' END, CASE WHEN regexp_matches(t, ' (files?|module|path|where is|where are|where does) ') THEN 'file' END) AS intents,
+  regexp_matches(t, ' (still|currently|right now|at the moment|so far|are we) ') AS present FROM line""")
 def question_intents(spark, d):
-    asked = spark.createDataFrame(list(_QUESTIONS.items()), "question_id bigint, question string")
-    return asked.select("question_id", F.array_join(V.intents(F.col("question")), ",").alias("intents"), V.asks_about_now(F.col("question")).alias("present"))
+    """What every user's message asks for."""
+    end = S.pick([". Which token handlers failed", " Where is the billing route?", " what did we decide about it", ". Is it still broken right now", ". What is left to do", ""], (F.col("session_id") + F.col("turn")) % 6)
+    asked = S.messages(spark, d).filter("role = 'user'").select("session_id", "turn", F.concat("text", end).alias("t"))
+    return asked.select("session_id", "turn", F.array_join(V.intents(F.col("t")), ",").alias("intents"), V.asks_about_now(F.col("t")).alias("present"))
+
 
+_OUTER = "'^[.,!?:;()\\[\\]]+|[.,!?:;()\\[\\]]+$'"
 
-@query(_with(NODES) + "SELECT node_id, CASE node_id % 8 WHEN 0 THEN 'postgres' WHEN 1 THEN 'postgres' WHEN 2 THEN 'k8s' WHEN 3 THEN 'query' WHEN 4 THEN 'next' WHEN 5 THEN 'class' WHEN 6 THEN 'bus' ELSE 'index' END AS word FROM nodes")
+
+@query(f"""WITH x AS (SELECT unnest(string_split(coalesce(text, '') || CASE doc_id % 3 WHEN 0 THEN ' PostgreSQL, pg (Kubernetes) Queries' WHEN 1 THEN ' next.js class bus' ELSE '' END, ' ')) AS x FROM documents), w AS (SELECT regexp_replace(lower(x), {_OUTER}, '', 'g') AS w FROM x),
+  o AS (SELECT w, CASE WHEN length(w) > 4 AND ends_with(w, 'ies') THEN left(w, -3) || 'y' WHEN length(w) > 3 AND ends_with(w, 's') AND NOT ends_with(w, 'ss') THEN left(w, -1) ELSE w END AS one FROM w),
+  names(a, b) AS (VALUES ('postgresql', 'postgres'), ('psql', 'postgres'), ('pg', 'postgres'), ('mongodb', 'mongo'), ('nextjs', 'next'), ('next.js', 'next'), ('nodejs', 'node'), ('node.js', 'node'), ('typescript', 'ts'), ('javascript', 'js'), ('kubernetes', 'k8s'), ('golang', 'go'), ('postgres', 'postgres'))
+  SELECT coalesce(p.b, q.b, one) AS word, count(*) AS n FROM o LEFT JOIN names p ON p.a = w LEFT JOIN names q ON q.a = one GROUP BY 1""")
 def canonical_words(spark, d):
-    said = S.pick(["PostgreSQL,", "pg", "(Kubernetes)", "Queries", "next.js", "class", "bus", "index"], F.col("node_id") % 8)
-    return S.nodes(spark, d).select("node_id", V.canonical(said).alias("word"))
+    """The words of all documents by their one spelling, with their number."""
+    end = F.when(F.col("doc_id") % 3 == 0, " PostgreSQL, pg (Kubernetes) Queries").when(F.col("doc_id") % 3 == 1, " next.js class bus").otherwise("")
+    words = S.read(spark, d, "documents").select(F.explode(F.split(F.concat(F.coalesce("text", F.lit("")), end), " ")).alias("w"))
+    return words.groupBy("w").agg(F.count("*").alias("n")).groupBy(V.canonical(F.col("w")).alias("word")).agg(F.sum("n").alias("n"))
 
 
 _HINDI = "['" + "', '".join(V.HINDI_WORDS) + "']"
@@ -96,10 +113,15 @@ def principals(spark, d):
     return S.requests(spark, d).select("request_id", V.principal(key, {"key-3": "ann"}).alias("principal"))
 
 
-@query(_with(NODES) + "SELECT node_id, CASE node_id % 4 WHEN 0 THEN ' (pooling under heavy load)' ELSE '' END AS reason FROM nodes WHERE type = 'decision'")
+@query(_with(MESSAGES, "n AS (SELECT session_id, turn, role, text AS label, trim(split_part(lead(text) OVER (PARTITION BY session_id ORDER BY turn), '.', 1)) AS reason FROM messages)",
+  "w AS (SELECT *, list_distinct(list_filter(string_split_regex(lower(reason), '[^a-z0-9]+'), lambda x: x <> '')) AS rs, list_distinct(list_filter(string_split_regex(lower(label), '[^a-z0-9]+'), lambda x: x <> '')) AS ls FROM n WHERE role = 'user')")
+  + "SELECT session_id, turn, CASE WHEN length(reason) BETWEEN 8 AND 60 AND NOT contains(reason, 'Superseded by') AND 2 * len(list_intersect(rs, ls)) < greatest(len(rs), 1) THEN ' (' || reason || ')' ELSE '' END AS reason FROM w")
 def rationales(spark, d):
-    summary = F.when(F.col("node_id") % 4 == 0, "pooling under heavy load").when(F.col("node_id") % 4 == 1, F.concat(F.lit("so we "), F.col("label"))).when(F.col("node_id") % 4 == 2, "short")
-    return S.nodes(spark, d).filter("type = 'decision'").select("node_id", V.rationale(F.col("label"), summary).alias("reason"))
+    """The first sentence of the next message as the reason of what a user said."""
+    from pyspark.sql import Window as W
+
+    m = S.messages(spark, d).withColumn("reply", F.lead("text").over(W.partitionBy("session_id").orderBy("turn")))
+    return m.filter("role = 'user'").select("session_id", "turn", V.rationale(F.col("text"), F.substring_index("reply", ".", 1)).alias("reason"))
 
 
 _CUT = "m AS (SELECT t.*, split_turn FROM tok t JOIN split USING (session_id)), k AS (SELECT *, sum(CASE WHEN role = 'system' THEN 0 ELSE tokens END) OVER (PARTITION BY session_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) + sum(CASE WHEN role = 'system' THEN tokens ELSE 0 END) OVER (PARTITION BY session_id) AS kept, turn = split_turn OR (role = 'user' AND turn < split_turn) AS step FROM m)"
@@ -117,10 +139,13 @@ def accepted_proposals(spark, d):
     return M.accepted_proposals(m.withColumn("text", F.when((F.col("session_id") % 3 == 0) & (F.col("role") == "assistant"), "Sounds good, go on").otherwise(F.col("text"))))
 
 
-@query(_with(NODES) + "SELECT node_id, CASE node_id % 5 WHEN 0 THEN 4096 WHEN 1 THEN 2048 WHEN 2 THEN 1024 WHEN 3 THEN 1024 ELSE 512 END::BIGINT AS least FROM nodes")
+@query("""SELECT event_id AS request_id, CASE event_type || event_id % 2 WHEN 'view0' THEN 4096 WHEN 'view1' THEN 2048 WHEN 'error0' THEN 1024 WHEN 'click1' THEN 1024 ELSE 512 END::BIGINT AS least FROM events""")
 def cache_minimums(spark, d):
-    model = S.pick(["claude-opus-4-5-x", "claude-3-5-haiku", "Claude-Sonnet-4", "claude-opus-4-1", "gpt-4o"], F.col("node_id") % 5)
-    return S.nodes(spark, d).select("node_id", reports.cache_minimum(model).alias("least"))
+    """The least cached prefix of every request's model; requests of three event types name newer models."""
+    second = F.col("event_id") % 2 == 1
+    model = F.when(F.col("event_type") == "view", F.when(second, "claude-3-5-haiku").otherwise("claude-opus-4-5-x")).when(F.col("event_type") == "error", F.when(second, "gemini-1.5-pro").otherwise("Claude-Sonnet-4"))
+    model = model.when(F.col("event_type") == "click", F.when(second, "claude-opus-4-1").otherwise("gpt-4o-mini")).otherwise("llama3")
+    return S.read(spark, d, "events").select(F.col("event_id").alias("request_id"), reports.cache_minimum(model).alias("least"))
 
 
 @query(_with(REQUESTS) + "SELECT provider AS source, count(*) FILTER (event_type = 'error') AS failures, count(*) FILTER (event_type <> 'error' AND output_tokens > 200) AS shed FROM requests GROUP BY provider")
@@ -205,7 +230,8 @@ def session_fingerprints(spark, d):
 @query(_with(REQUESTS, CLAIMS) + "SELECT session_id, CASE owner WHEN 3 THEN 30 ELSE owner END AS owner, since FROM owners WHERE session_id % 10 <> 0")
 def renamed_owners(spark, d):
     claims = S.requests(spark, d).select("session_id", "ts_us", F.col("request_id").alias("claim_id"), (F.col("request_id") % 9).alias("principal"))
-    return stores.renamed(stores.released(stores.first_claims(claims), spark.range(0, 1_000_000, 10).select(F.col("id").alias("session_id"))), 3, 30)
+    gone = claims.select("session_id").filter("session_id % 10 = 0").distinct()
+    return stores.renamed(stores.released(stores.first_claims(claims), gone), 3, 30)
 
 
 @query(_with(NODES, _scored()) + "SELECT node_id, session_id, type, label, status, score FROM scored ORDER BY score DESC, node_id LIMIT 12")

@@ -69,25 +69,40 @@ def transition_lines(spark, d):
     return S.transitions(spark, d).select("from_id", R.transition_line(F.col("from_label"), F.col("to_label"), F.col("confidence_delta")).alias("line"))
 
 
-@query(_with(NODES) + "SELECT node_id, ['coding', 'ops', 'coding', 'research', 'product'][node_id % 5 + 1] AS pack, ['performance', 'failure', 'cost', 'security', 'preference'][node_id % 5 + 1] AS trigger FROM nodes")
+_REASONS = """said AS (SELECT conv_id AS session_id, turn, coalesce(text, '') || ['. It was too slow. SRE', '. it crashed and leaked; nobody', '. For the price, ml', '. A leak, PM', '. Taste. Coding'][(conv_id + turn) % 5 + 1] AS t FROM conversations)"""
+
+
+@query(rf"""WITH {_REASONS} SELECT session_id, turn, CASE lower(regexp_extract(t, '([^ ]*)$', 1)) WHEN 'sre' THEN 'ops' WHEN 'ml' THEN 'research' WHEN 'pm' THEN 'product' ELSE 'coding' END AS pack,
+  CASE WHEN regexp_matches(t, '(?i)\b(slow|latency|timeout|timeouts|memory|throughput)\b') THEN 'performance' WHEN regexp_matches(t, '(?i)\b(bug|bugs|broke|crash\w*|error|errors|fail\w*)\b') THEN 'failure' WHEN regexp_matches(t, '(?i)\b(cost|price|expensive|budget)\b') THEN 'cost'
+  WHEN regexp_matches(t, '(?i)\b(security|leak\w*|vulnerab\w*)\b') THEN 'security' ELSE 'preference' END AS trigger FROM said""")
 def packs_and_triggers(spark, d):
-    i = F.col("node_id") % 5
-    name, reason = S.pick([" Dev ", "SRE", "unknown", "ml", "pm"], i), S.pick(["too slow", "it crashed and leaked", "the price", "a leak", "taste"], i)
-    return S.nodes(spark, d).select("node_id", R.domain_pack(name).alias("pack"), R.trigger(reason).alias("trigger"))
+    end = S.pick([". It was too slow. SRE", ". it crashed and leaked; nobody", ". For the price, ml", ". A leak, PM", ". Taste. Coding"], (F.col("session_id") + F.col("turn")) % 5)
+    m = S.messages(spark, d).select("session_id", "turn", F.concat("text", end).alias("t"))
+    return m.select("session_id", "turn", R.domain_pack(F.concat(F.lit(" "), F.substring_index("t", " ", -1))).alias("pack"), R.trigger(F.col("t")).alias("trigger"))
 
 
 def _notes(spark, d):
+    """Whole documents with notes behind some."""
     i = F.col("doc_id") % 3
-    note = F.when(i == 0, "Open issues:\n- login fails\n2) cache is slow\n\nFixed:\n* export\nNotes:\n- not one").when(i == 1, "src/a/b.py\nsrc/a/c.py\n- x\ntext\n- y\n- z").otherwise("plain")
-    return S.read(spark, d, "documents").select("doc_id", note.alias("t"))
+    note = F.when(i == 0, "\nOpen issues:\n- login fails\n2) cache is slow\n\nFixed:\n* export\nNotes:\n- not one").when(i == 1, "\nsrc/a/b.py\nsrc/a/c.py\n- x\ntext\n- y\n- z").otherwise("\nplain")
+    return S.read(spark, d, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), note).alias("t"))
+
+
+_NOTES = """lines AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS place FROM (SELECT doc_id, string_split(coalesce(text, '') || chr(10) || CASE doc_id % 3 WHEN 0 THEN 'Open issues:' || chr(10) || '- login fails' || chr(10) || '2) cache is slow' || chr(10) || chr(10) || 'Fixed:' || chr(10) || '* export' || chr(10) || 'Notes:' || chr(10) || '- not one'
+  WHEN 1 THEN 'src/a/b.py' || chr(10) || 'src/a/c.py' || chr(10) || '- x' || chr(10) || 'text' || chr(10) || '- y' || chr(10) || '- z' ELSE 'plain' END, chr(10)) AS ls FROM documents))"""
+_ITEM = r"^\s*(?:[-*+]|[0-9]+[.)])\s+"
 
 
-@query("SELECT doc_id, unnest([1, 2, 5]) AS place, unnest(['open', 'open', 'resolved']) AS under, unnest(['login fails', 'cache is slow', 'export']) AS item FROM documents WHERE doc_id % 3 = 0")
+@query(rf"""WITH {_NOTES}, kinds AS (SELECT *, CASE WHEN regexp_matches(line, '(?i)^\s*(?:#+\s*)?(?:known |open )?(?:issue|problem|bug|error|failure)s?\s*:?\s*$') THEN 'open' WHEN regexp_matches(line, '(?i)^\s*(?:#+\s*)?(?:fixed|resolved|done|completed)\s*:?\s*$') THEN 'resolved'
+    WHEN regexp_matches(line, '^\s*(?:#+\s*\S.*|[A-Za-z][\w ]{{0,40}}:)\s*$') AND NOT regexp_matches(line, '{_ITEM}.') THEN 'other' END AS kind FROM lines),
+  unders AS (SELECT *, last_value(kind IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY place) AS under FROM kinds)
+  SELECT doc_id, place, under, trim(regexp_extract(line, '{_ITEM}(.+)$', 1)) AS item FROM unders WHERE under IN ('open', 'resolved') AND trim(regexp_extract(line, '{_ITEM}(.+)$', 1)) <> ''""")
 def problem_items(spark, d):
     return R.problem_items(_notes(spark, d), "doc_id", "t")
 
 
-@query("SELECT doc_id, 0 AS first_line, 3 AS n_lines FROM documents WHERE doc_id % 3 = 1")
+@query(rf"""WITH {_NOTES}, listed AS (SELECT doc_id, place, place - row_number() OVER (PARTITION BY doc_id ORDER BY place) AS island FROM lines WHERE regexp_matches(line, '{_ITEM}|^\s*[\w./-]+/[\w.-]+\s*$'))
+  SELECT doc_id, min(place) AS first_line, count(*) AS n_lines FROM listed GROUP BY doc_id, island HAVING count(*) >= 3""")
 def listing_runs(spark, d):
     return R.listings(_notes(spark, d), "doc_id", "t")
 
@@ -105,8 +120,9 @@ def deleted_session(spark, d):
 
 @query(_with(REQUESTS) + "SELECT request_id, session_id FROM requests WHERE session_id % 10 <> 0")
 def deleted_checkpoints(spark, d):
-    gone = spark.range(0, 1_000_000, 10).select(F.col("id").alias("session_id"))
-    return S.requests(spark, d).join(gone, "session_id", "left_anti").select("request_id", "session_id")
+    r = S.requests(spark, d)
+    gone = r.select("session_id").filter("session_id % 10 = 0").distinct()
+    return stores.released(r, gone).select("request_id", "session_id")
 
 
 @query("SELECT doc_id, strlen(coalesce(text, '')) + strlen(left(coalesce(text, ''), 500)) + 700 AS nbytes FROM documents")
@@ -123,26 +139,34 @@ def migrated_blobs(spark, d):
     return R.from_blobs(broken, "node_id: bigint, label: string, importance: double")
 
 
-@query("""SELECT split_part(p, '>', 1) AS status, split_part(p, '>', 2) AS next FROM (SELECT unnest(string_split('pending>in_progress pending>completed pending>failed pending>invalidated in_progress>completed in_progress>failed in_progress>pending in_progress>invalidated completed>superseded completed>modified completed>invalidated completed>in_progress completed>contested failed>in_progress failed>completed failed>invalidated superseded>archived superseded>invalidated modified>archived modified>invalidated contested>completed contested>superseded contested>modified contested>invalidated', ' ')) AS p)""")
+@query(_with(NODES) + """SELECT status, split_part(m, '>', 2) AS next, count(*) AS n FROM nodes JOIN (SELECT unnest(string_split('pending>in_progress pending>completed pending>failed pending>invalidated in_progress>completed in_progress>failed in_progress>pending in_progress>invalidated completed>superseded completed>modified completed>invalidated completed>in_progress completed>contested '
+  || 'failed>in_progress failed>completed failed>invalidated superseded>archived superseded>invalidated modified>archived modified>invalidated contested>completed contested>superseded contested>modified contested>invalidated', ' ')) AS m) ON status = split_part(m, '>', 1) GROUP BY 1, 2""")
 def ontology(spark, d):
+    """The moves that are open to the graph's nodes, with how many stand before each."""
     from parley.operators.graph import STATUS_MOVES
 
-    return spark.createDataFrame([(a, b) for a, bs in STATUS_MOVES.items() for b in bs], "status string, next string")
+    moves = F.create_map(*(x for a, bs in STATUS_MOVES.items() for x in (F.lit(a), F.array(*map(F.lit, bs)))))
+    return S.nodes(spark, d).select("status", F.explode(F.try_element_at(moves, F.col("status"))).alias("next")).groupBy("status", "next").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH newest AS (SELECT * FROM embeddings ORDER BY vec_id DESC LIMIT 300), q AS (SELECT * FROM embeddings WHERE vec_id % 20 = 0),
+@query(f"""WITH newest AS (SELECT * FROM embeddings ORDER BY vec_id DESC LIMIT 2000), q AS (SELECT * FROM embeddings WHERE vec_id % 20 = 0),
   n AS (SELECT q.vec_id AS query_id, a.vec_id AS best_id, round({DOT} / ({NORM.format('a')} * {NORM.format('q')}), 6) AS similarity FROM newest a, q WHERE a.vec_id <> q.vec_id)
   SELECT query_id, best_id, similarity, similarity >= 0.92 AS hit FROM n QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, best_id) = 1""")
 def newest_similar(spark, d):
     v = S.read(spark, d, "embeddings").select("vec_id", "embedding")
     q = v.filter(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return cache.hits(v.orderBy(F.desc("vec_id")).limit(300), q)
+    return cache.hits(v.orderBy(F.desc("vec_id")).limit(2000), q)
+
 
+_PREFERENCES = """said AS (SELECT conv_id AS session_id, turn, CASE (conv_id + turn) % 3 WHEN 0 THEN 'Always use tabs, please. ' WHEN 1 THEN 'tabs: ' ELSE '' END || coalesce(text, '') AS t FROM conversations),
+  w AS (SELECT session_id, turn, list_filter(string_split_regex(lower(t), '[^a-z0-9]+'), lambda x: length(x) > 2 AND x NOT IN ('the', 'and', 'for', 'with', 'are', 'this', 'that', 'you', 'our', 'please', 'can', 'could', 'would', 'does')) AS ws FROM said)"""
 
-@query(_with(NODES) + "SELECT node_id, ['always-use-tabs', 'prefer-dark-mode', 'tabs'][node_id % 3 + 1] AS key, ['always-use-tabs', 'prefer-dark-mode', 'tabs'][node_id % 3 + 1] <> 'prefer-dark-mode' AS about_tabs FROM nodes")
+
+@query(f"WITH {_PREFERENCES} SELECT session_id, turn, array_to_string(ws[1:3], '-') AS key, coalesce(list_contains(ws, 'tabs'), false) AS about_tabs FROM w")
 def preference_keys(spark, d):
-    said = S.pick(["Always use tabs, please", "I prefer the dark mode of the editor", "tabs"], F.col("node_id") % 3)
-    return S.nodes(spark, d).select("node_id", R.preference_key(said).alias("key"), R.same_preference(said, F.lit("tabs")).alias("about_tabs"))
+    lead = S.pick(["Always use tabs, please. ", "tabs: ", ""], (F.col("session_id") + F.col("turn")) % 3)
+    m = S.messages(spark, d).select("session_id", "turn", F.concat(lead, "text").alias("t"))
+    return m.select("session_id", "turn", R.preference_key(F.col("t")).alias("key"), F.coalesce(R.same_preference(F.col("t"), F.lit("tabs")), F.lit(False)).alias("about_tabs"))
 
 
 @query(_with(ARTIFACTS, "e AS (SELECT session_id, node_id, noun, q, topic, CASE WHEN node_id % 5 = 2 THEN 'ValueError' ELSE 'TimeoutError' END AS class FROM artifacts JOIN a0 USING (node_id, session_id, noun, topic) WHERE type = 'error')") + "SELECT a.session_id, a.node_id AS first_id, b.node_id AS second_id FROM e a JOIN e b ON a.session_id = b.session_id AND a.node_id < b.node_id AND a.class <> b.class AND a.noun = b.noun")
@@ -176,10 +200,15 @@ def canvases(spark, d):
     return R.canvas(S.nodes(spark, d)).select("session_id", F.md5("json").alias("json_md5"))
 
 
-@query("""SELECT event_id, unnest(['$', '$.a', '$.a.b', '$.c', '$.c[0]']) AS path, unnest(['OBJECT<a: OBJECT<b: BIGINT>, c: ARRAY<STRING>>', 'OBJECT<b: BIGINT>', 'BIGINT', 'ARRAY<STRING>', 'STRING']) AS kind FROM events WHERE event_id % 4 <> 0""")
+@query("""WITH e AS (SELECT *, event_type = 'purchase' AS bought FROM events WHERE event_id % 4 <> 0)
+  SELECT event_id, '$' AS path, CASE WHEN bought THEN 'OBJECT<id: BIGINT, tags: ARRAY<STRING>, who: OBJECT<kind: STRING, user: BIGINT>>' ELSE 'OBJECT<id: BIGINT, who: STRING>' END AS kind FROM e
+  UNION ALL SELECT event_id, unnest(CASE WHEN bought THEN ['$.id', '$.tags', '$.tags[0]', '$.who', '$.who.kind', '$.who.user'] ELSE ['$.id', '$.who'] END), unnest(CASE WHEN bought THEN ['BIGINT', 'ARRAY<STRING>', 'STRING', 'OBJECT<kind: STRING, user: BIGINT>', 'STRING', 'BIGINT'] ELSE ['BIGINT', 'STRING'] END) FROM e""")
 def json_schemas(spark, d):
-    t = F.when(F.col("event_id") % 4 == 0, "{broken").otherwise('{"a": {"b": 1}, "c": ["x", "y"]}')
-    return digest.json_paths(S.read(spark, d, "events").select("event_id", t.alias("t")), "event_id", "t")
+    """Of every event as JSON, in two shapes; every fourth is cut off."""
+    i, kind = F.col("event_id"), F.col("event_type")
+    bought = F.to_json(F.struct(i.alias("id"), F.struct(F.col("user_id").alias("user"), kind.alias("kind")).alias("who"), F.array(kind).alias("tags")))
+    t = F.when(kind == "purchase", bought).otherwise(F.to_json(F.struct(i.alias("id"), kind.alias("who"))))
+    return digest.json_paths(S.read(spark, d, "events").select("event_id", F.when(i % 4 == 0, F.substring(t, 1, 9)).otherwise(t).alias("t")), "event_id", "t")
 
 
 @query(_with(NODES, "h AS (SELECT DISTINCT session_id, type AS kind, lower(label) AS norm FROM nodes WHERE node_id % 3 <> 0)", "m AS (SELECT DISTINCT session_id, type AS kind, lower(label) AS norm FROM nodes WHERE node_id % 3 <> 1)") + "SELECT coalesce(h.session_id, m.session_id) AS session_id, coalesce(h.kind, m.kind) AS kind, coalesce(m.norm, h.norm) AS label, CASE WHEN h.norm IS NOT NULL AND m.norm IS NOT NULL THEN 0.95 WHEN m.norm IS NOT NULL THEN 0.80 ELSE 0.65 END::DOUBLE AS confidence FROM h FULL JOIN m ON h.session_id = m.session_id AND h.kind = m.kind AND h.norm = m.norm")
@@ -194,6 +223,34 @@ def extraction_scores(spark, d):
     return extract.evaluate(n.filter("node_id % 3 = 0").drop("node_id"), n.filter("node_id % 2 = 0").drop("node_id"))
 
 
-@query("""SELECT event_id, '{"path":"a.py","token":"[REDACTED]","n":' || event_id || '}' AS arguments FROM events""")
+@query("""SELECT conv_id AS session_id, turn, '{"role":"' || role || '","apiToken":' || CASE WHEN length(to_json(coalesce(text, ''))) >= 8 THEN '"[REDACTED]"' ELSE to_json(coalesce(text, '')) END || ',"n":' || turn || '}' AS arguments FROM conversations""")
 def redacted_arguments(spark, d):
-    return S.read(spark, d, "events").select("event_id", redact_json(F.concat(F.lit('{"path":"a.py","token":"ab \\" cdefg","n":'), F.col("event_id").cast("string"), F.lit("}"))).alias("arguments"))
+    """Every message's text as the secret of a tool call."""
+    call = F.to_json(F.struct(F.col("role"), F.col("text").alias("apiToken"), F.col("turn").alias("n")))
+    return S.messages(spark, d).select("session_id", "turn", redact_json(call).alias("arguments"))
+
+
+_MAIL = r"[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+_CARD = r"[.-]?[0-9]+(?: [0-9]{4}){3}-?|[.-]?[0-9]+-?"
+
+
+def _weave(t: str, pattern: str, rule: str) -> str:
+    """A rule over the finds of a pattern, as SQL; ``@`` is a find."""
+    return f"list_reduce(list_transform(list_zip(string_split_regex({t}, '{pattern}'), list_append(regexp_extract_all({t}, '{pattern}'), '')), lambda z: z[1] || CASE WHEN z[2] = '' THEN '' ELSE {rule.replace('@', 'z[2]')} END), lambda a, b: a || b)"
+
+
+_DIGITS = "regexp_replace(@, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(range(0, length({_DIGITS})), lambda i: CASE WHEN i % 2 = 0 THEN substr({_DIGITS}, (length({_DIGITS}) - i)::INT, 1)::INT ELSE 2 * substr({_DIGITS}, (length({_DIGITS}) - i)::INT, 1)::INT // 10 + 2 * substr({_DIGITS}, (length({_DIGITS}) - i)::INT, 1)::INT % 10 END)) % 10 = 0"
+
+
+@query(rf"""WITH x AS (SELECT doc_id, coalesce(text, '') || CASE doc_id % 4 WHEN 0 THEN ' mail ann.b@corp.example.com or git@host.org, ssn 123-45-6789, card 4111 1111 1111 1111 not 4111111111111112' WHEN 1 THEN ' db postgres://ann:pw@host/db, clone git@hub.example.com:x/y' WHEN 2 THEN ' {{"dbPassword": "hunter22"}}' ELSE ' none' END AS t FROM documents),
+  k AS (SELECT doc_id, regexp_replace(regexp_replace(t, '(://)[^\s/:@]*:[^\s/@]+@', '\1[REDACTED]@', 'g'), '(?i)("dbPassword": "|\btoken = ")[^"\n]{{8,}}"', '\1[REDACTED]"', 'g') AS t FROM x),
+  m AS (SELECT doc_id, {_weave('t', _MAIL + '(?:[:/(]|)', "CASE WHEN right(@, 1) IN (':', '/', '(') OR lower(split_part(@, '@', 1)) IN ('git', 'hg', 'svn') THEN @ ELSE '[REDACTED]' END").replace("split_part(z[2], 'z[2]', 1)", "split_part(z[2], chr(64), 1)")} AS t FROM k),
+  c AS (SELECT doc_id, {_weave('t', _CARD, f"CASE WHEN left(@, 1) NOT IN ('.', '-') AND right(@, 1) <> '-' AND length({_DIGITS}) BETWEEN 13 AND 19 AND {_LUHN} THEN '[REDACTED]' ELSE @ END")} AS t FROM m)
+  SELECT doc_id, md5(regexp_replace(t, '(^|[^0-9-])[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}($|[^0-9-])', '\1[REDACTED]\2', 'g')) AS text_md5 FROM c""")
+def redacted_persons(spark, d):
+    """Credentials, addresses, card numbers and social security numbers of whole documents."""
+    from parley.functions.secrets import redact_all
+
+    said = S.pick([" mail ann.b@corp.example.com or git@host.org, ssn 123-45-6789, card 4111 1111 1111 1111 not 4111111111111112", " db postgres://ann:pw@host/db, clone git@hub.example.com:x/y", ' {"dbPassword": "hunter22"}', " none"], F.col("doc_id") % 4)
+    return S.read(spark, d, "documents").select("doc_id", F.md5(redact_all(F.concat(F.coalesce("text", F.lit("")), said))).alias("text_md5"))
