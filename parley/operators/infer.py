@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parley.functions import text as T
+from parley.operators import sets
 
 # Endings that a file's name may carry in a text that mentions it.
 INFLECTIONS = ["s", "es", "d", "ed", "r", "er", "ers", "ing", "ment", "ql"]
@@ -112,11 +113,14 @@ def overlapping_decisions(nodes: DataFrame, least: float = 0.6) -> DataFrame:
     topic is known."""
     words = F.array_distinct(F.filter(F.split(F.lower("label"), r"[^\p{L}\p{N}_]+"), lambda w: (F.length(w) > 2) & ~w.isin(DECISION_STOPS)))
     own = of_type(nodes, "decision").filter(F.col("status") == LIVE_DECISION).select("session_id", "node_id", "valid_from", "label", words.alias("words"))
-    one = own.select("session_id", F.col("node_id").alias("new_id"), F.col("valid_from").alias("new_from"), F.col("label").alias("new_label"), F.size("words").alias("n"), F.explode("words").alias("word"))
-    two = own.select("session_id", F.col("node_id").alias("old_id"), F.col("valid_from").alias("old_from"), F.col("label").alias("old_label"), F.size("words").alias("m"), F.explode("words").alias("word"))
-    later = F.struct("old_from", "old_id") < F.struct("new_from", "new_id")
-    pairs = one.join(two, ["session_id", "word"]).filter(later & (F.col("new_label") != F.col("old_label"))).groupBy("session_id", "new_id", "old_id", "n", "m").agg(F.count("*").alias("shared"))
-    return pairs.filter(F.col("shared") / F.greatest("n", "m") >= least).select("session_id", "new_id", "old_id", "shared")
+    met = sets.meeting(own, ["session_id"], lambda n: n - F.ceil(least * n).cast("int") + 1)
+    # Either may be the larger one; the smaller by number of words is looked up.
+    a, b = (F.struct(f"{side}.valid_from", f"{side}.node_id") for side in ("small", "large"))
+    shared = F.size(F.array_intersect("small.words", "large.words")).cast("bigint")
+    pairs = met.filter(F.col("small.label") != F.col("large.label")).withColumn("shared", shared)
+    pairs = pairs.filter(F.col("shared") / F.greatest(F.size("small.words"), F.size("large.words")) >= least)
+    pick = lambda later: F.when(a > b if later else a < b, F.col("small.node_id")).otherwise(F.col("large.node_id"))
+    return pairs.select("session_id", pick(True).alias("new_id"), pick(False).alias("old_id"), "shared").distinct()
 
 
 def resolved(names: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -161,22 +165,20 @@ def restated_errors(errors: DataFrame) -> DataFrame:
     """Errors of a session that another one of the same class says more exactly: its label has all their words and more."""
     kind = F.regexp_extract("label", r"\b([A-Z]\w*(?:Error|Exception|Timeout)|[45]\d\d)\b", 1)
     own = errors.select("session_id", "node_id", kind.alias("kind"), T.words(F.col("label"), 1).alias("words")).filter("kind <> ''")
-    less = own.select("session_id", "kind", F.col("node_id").alias("less_id"), F.size("words").alias("n"), F.explode("words").alias("word"))
-    more = own.select("session_id", "kind", F.col("node_id").alias("more_id"), F.size("words").alias("m"), F.explode("words").alias("word"))
-    shared = less.join(more, ["session_id", "kind", "word"]).filter("less_id <> more_id AND n < m").groupBy("session_id", "less_id", "more_id", "n").agg(F.count("*").alias("shared"))
-    return shared.filter("shared = n").groupBy("session_id", F.col("less_id").alias("node_id")).agg(F.min("more_id").alias("stated_by"))
+    met = sets.meeting(own, ["session_id", "kind"], lambda n: F.lit(1))
+    whole = (F.size("small.words") < F.size("large.words")) & (F.size(F.array_except("small.words", "large.words")) == 0)
+    return met.filter(whole).groupBy("session_id", F.col("small.node_id").alias("node_id")).agg(F.min("large.node_id").alias("stated_by"))
 
 
 def contained_tasks(tasks: DataFrame) -> DataFrame:
     """Tasks whose words, counted as often as they occur, are all in another task of the session with more words."""
-    word = tasks.select("session_id", "node_id", F.explode(F.filter(F.split(F.lower("label"), r"[^\p{L}\p{N}_]+"), lambda w: w != "")).alias("word"))
-    counted = word.groupBy("session_id", "node_id", "word").agg(F.count("*").alias("c"))
-    size = counted.groupBy("session_id", "node_id").agg(F.count("*").alias("kinds"), F.sum("c").alias("n"))
-    own = counted.join(size, ["session_id", "node_id"])
-    a = own.select("session_id", F.col("node_id").alias("small_id"), "word", F.col("c").alias("c1"), F.col("kinds").alias("k1"), F.col("n").alias("n1"))
-    b = own.select("session_id", F.col("node_id").alias("large_id"), "word", F.col("c").alias("c2"), F.col("n").alias("n2"))
-    met = a.join(b, ["session_id", "word"]).filter("small_id <> large_id AND c1 <= c2 AND n1 < n2").groupBy("session_id", "small_id", "large_id", "k1").agg(F.count("*").alias("met"))
-    return met.filter("met = k1").select("session_id", "small_id", "large_id")
+    every = F.filter(F.split(F.lower("label"), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
+    own = tasks.select("session_id", "node_id", every.alias("all"), F.array_distinct(every).alias("words"))
+    met = sets.meeting(own, ["session_id"], lambda n: F.lit(1))
+    times = lambda words, w: F.size(F.filter(words, lambda x: x == w))
+    inside = F.forall("small.words", lambda w: times(F.col("small.all"), w) <= times(F.col("large.all"), w))
+    found = met.filter((F.size("small.all") < F.size("large.all")) & inside)
+    return found.select("session_id", F.col("small.node_id").alias("small_id"), F.col("large.node_id").alias("large_id"))
 
 
 def merged_labels(first: DataFrame, second: DataFrame) -> DataFrame:

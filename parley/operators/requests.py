@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parley.functions import text as T
+from parley.operators import sets
 
 # Names under which a domain's pack is asked for; coding is the default.
 DOMAINS = {"coding": "coding", "code": "coding", "dev": "coding", "ops": "ops", "sre": "ops", "incident": "ops", "product": "product", "pm": "product", "research": "research", "ml": "research"}
@@ -121,12 +122,14 @@ def conflicting_errors(errors: DataFrame) -> DataFrame:
 
 
 def subsumed(facts: DataFrame, least: float = 0.75) -> DataFrame:
-    """Facts of a session whose words another, longer one has for the most part."""
+    """Facts of a session whose words another, longer one has for the most part; not those where a word between shared
+    ones is another."""
     own = facts.select("session_id", "node_id", T.words(F.col("label")).alias("words"))
-    a = own.select("session_id", F.col("node_id").alias("small_id"), F.size("words").alias("n"), F.explode("words").alias("word"))
-    b = own.select("session_id", F.col("node_id").alias("large_id"), F.size("words").alias("m"), F.explode("words").alias("word"))
-    met = a.join(b, ["session_id", "word"]).filter("small_id <> large_id AND n < m").groupBy("session_id", "small_id", "large_id", "n").agg(F.count("*").alias("shared"))
-    return met.filter(F.col("shared") >= least * F.col("n")).groupBy("session_id", F.col("small_id").alias("node_id")).agg(F.min("large_id").alias("by"))
+    met = sets.meeting(own, ["session_id"], lambda n: n - F.ceil(least * n).cast("int") + 1)
+    small, large = F.col("small.words"), F.col("large.words")
+    most = (F.size(small) < F.size(large)) & (F.size(F.array_intersect(small, large)) >= least * F.size(small))
+    found = met.filter(most & ~sets.swapped_inside(small, large))
+    return found.groupBy("session_id", F.col("small.node_id").alias("node_id")).agg(F.min("large.node_id").alias("by"))
 
 
 def latest_first(nodes: DataFrame) -> DataFrame:

@@ -176,7 +176,7 @@ def conflicting_errors(spark, d):
     return R.conflicting_errors(e.withColumn("label", F.when(F.col("node_id") % 5 == 2, F.replace(own, F.lit("TimeoutError"), F.lit("ValueError"))).otherwise(own)))
 
 
-@query(_with(ARTIFACTS, "t AS (SELECT session_id, node_id, list_distinct(list_filter(string_split_regex(lower(label || CASE WHEN node_id % 5 = 0 THEN ' once more' ELSE '' END), '[^a-z0-9_]+'), lambda w: length(w) >= 3)) AS ws FROM artifacts WHERE type = 'task')") + "SELECT a.session_id, a.node_id, min(b.node_id) AS by FROM t a JOIN t b ON a.session_id = b.session_id AND a.node_id <> b.node_id AND len(a.ws) < len(b.ws) AND len(list_intersect(a.ws, b.ws)) >= 0.75::DOUBLE * len(a.ws) GROUP BY 1, 2")
+@query(_with(ARTIFACTS, "t AS (SELECT session_id, node_id, list_filter(string_split_regex(lower(label || CASE WHEN node_id % 5 = 0 THEN ' once more' ELSE '' END), '[^a-z0-9_]+'), lambda w: length(w) >= 3) AS ws FROM artifacts WHERE type = 'task')") + "SELECT a.session_id, a.node_id, min(b.node_id) AS by FROM t a JOIN t b ON a.session_id = b.session_id AND a.node_id <> b.node_id AND len(a.ws) < len(b.ws) AND len(list_intersect(a.ws, b.ws)) >= 0.75::DOUBLE * len(a.ws) AND len(list_filter(range(1, len(list_filter(a.ws, lambda x: list_contains(b.ws, x)))), lambda k: list_position(a.ws, list_filter(a.ws, lambda x: list_contains(b.ws, x))[k + 1]) - list_position(a.ws, list_filter(a.ws, lambda x: list_contains(b.ws, x))[k]) > 1 AND list_position(b.ws, list_filter(a.ws, lambda x: list_contains(b.ws, x))[k + 1]) - list_position(b.ws, list_filter(a.ws, lambda x: list_contains(b.ws, x))[k]) > 1)) = 0 GROUP BY 1, 2")
 def subsumed_tasks(spark, d):
     t = S.artifacts(spark, d).filter("type = 'task'")
     return R.subsumed(t.withColumn("label", F.when(F.col("node_id") % 5 == 0, F.concat("label", F.lit(" once more"))).otherwise(F.col("label"))))
