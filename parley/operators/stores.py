@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from parley.operators.requests import FILLER
+
 
 def latest_checkpoints(checkpoints: DataFrame) -> DataFrame:
     return checkpoints.groupBy("session_id").agg(F.max(F.struct("ts_us", "checkpoint_id")).alias("m"), F.count("*").alias("n")).select("session_id", F.col("m.checkpoint_id").alias("checkpoint_id"), F.col("m.ts_us").alias("ts_us"), "n")
@@ -87,3 +92,40 @@ def released(owners: DataFrame, sessions: DataFrame) -> DataFrame:
 def renamed(owners: DataFrame, old: int, new: int) -> DataFrame:
     """Every session of one principal goes to another."""
     return owners.withColumn("owner", F.when(F.col("owner") == old, new).otherwise(F.col("owner")))
+
+
+def observed_preferences(said: DataFrame, most: int = 12) -> DataFrame:
+    """``(principal, key, text, ts_us, n)``: what each principal prefers after all statements ``(principal, ts_us, id, text)`` in
+    their order. A statement that restates a preference (``requests.same_preference``) takes its place and keeps its key; of
+    more than ``most`` the one longest not restated goes.
+
+    Spark sorts the statements, and a task carries one principal's preferences from row to row, however many there are.
+    """
+    significant = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: (F.length(w) >= 3) & ~w.isin(FILLER))
+    rows = said.select("principal", "ts_us", "id", "text", significant.alias("words")).filter(F.size("words") > 0)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        principal, held = None, {}
+
+        def out() -> pd.DataFrame:
+            return pd.DataFrame([(principal, key, text, at, n) for key, (text, _, _, at, n) in held.items()], columns=["principal", "key", "text", "ts_us", "n"])
+
+        for pdf in batches:
+            for own, at, text, words in zip(pdf["principal"].tolist(), pdf["ts_us"].tolist(), pdf["text"].tolist(), pdf["words"].tolist(), strict=True):
+                if own != principal:
+                    if held:
+                        yield out()
+                    principal, held = own, {}
+                head, mine = words[0], set(words)
+                key = next((k for k, (_, other, theirs, _, _) in held.items() if other == head or len(mine & theirs) >= 0.6 * min(len(mine), len(theirs))), None)
+                key = "-".join(words[:3]) if key is None else key
+                n = held.pop(key)[4] if key in held else 0  # it becomes the newest
+                held[key] = (text, head, mine, at, n + 1)
+                if len(held) > most:
+                    held.pop(next(iter(held)))
+        if held:
+            yield out()
+
+    kind = said.schema["principal"].dataType.simpleString()
+    ordered = rows.repartition("principal").sortWithinPartitions("principal", "ts_us", "id")
+    return ordered.mapInPandas(run, f"principal {kind}, key string, text string, ts_us bigint, n bigint")
