@@ -25,6 +25,7 @@ from parley.functions import text as T
 from parley.functions.weave import let
 from parley.operators import extract
 from parley.operators.mentions import finds, mask
+from parley.sources.settle import settled
 
 # What links another clause ends an object.
 LINKS = r"(?:and|but|so|because|since|which|that|when|while|if|then|although|though|after|before|until|unless)"
@@ -195,10 +196,13 @@ def normal(label: Column) -> Column:
 
 
 def conversation_facts(messages: DataFrame) -> DataFrame:
-    """``(session_id, kind, label, old, first_turn, n)``: the facts of every session, each once, at its first place."""
-    found = accepted(messages, message_facts(messages)).withColumn("norm", normal(F.col("label")))
+    """``(session_id, kind, label, old, first_turn, n)``: the facts of every session, each once, at its first place.
+
+    What messages give is settled first, in the shared folder: it is looked at several times, the texts only once.
+    """
+    found = accepted(messages, settled(message_facts(messages))).withColumn("norm", normal(F.col("label")))
     place = F.struct("turn", "start")
-    one = found.groupBy("session_id", "kind", "norm").agg(F.min_by("label", place).alias("label"), F.min_by("old", place).alias("old"), F.min("turn").alias("first_turn"), F.count("*").alias("n"))
+    one = settled(found.groupBy("session_id", "kind", "norm").agg(F.min_by("label", place).alias("label"), F.min_by("old", place).alias("old"), F.min("turn").alias("first_turn"), F.count("*").alias("n")))
     done = one.filter("kind = 'task_done'").select("session_id", "norm").distinct()
     open_ = one.filter("kind IN ('task_todo', 'task_wip')").join(done, ["session_id", "norm"], "left_anti")
     kept = one.filter("kind NOT IN ('task_todo', 'task_wip')").unionByName(open_).drop("norm")

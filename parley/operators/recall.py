@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parley.functions import text as T
+from parley.functions.weave import let
 from parley.operators.vocabulary import distinctive
 
 BUCKETS = 64
@@ -73,13 +74,16 @@ def searched(spark, path: str, questions: DataFrame, k: int = 5) -> DataFrame:
 def excerpt(content: Column, terms: Column, budget: int) -> Column:
     """The lines around the one with most terms, grown a line after and a line before in turn while the budget of tokens
     lasts. A text that fits is whole; of a first line that does not fit, what is around its first term."""
-    lines = F.split(content, "\n", -1)
-    hits = lambda line: F.size(F.filter(terms, lambda t: F.lower(line).contains(t)))
     kind = "struct<lo:int,hi:int,used:bigint>"
 
-    def grown(rows: Column) -> Column:
+    def grown(given: Column) -> Column:
+        rows, terms = given["rows"], given["terms"]
+        hits = lambda line: F.size(F.filter(terms, lambda t: F.lower(line).contains(t)))
         scores = F.transform(rows, hits)
-        best = (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
+        best = let(scores, lambda x: (F.array_position(x, F.array_max(x)) - 1).cast("int"))
+        return let(best, lambda at: around(rows, terms, at))
+
+    def around(rows: Column, terms: Column, best: Column) -> Column:
         first = T.count_tokens(F.get(rows, best))
 
         def step(s: Column, k: Column) -> Column:
@@ -95,7 +99,8 @@ def excerpt(content: Column, terms: Column, budget: int) -> Column:
         at = F.greatest(F.coalesce(F.array_min(places), F.lit(1)) - 1 - LEAD, F.lit(0))
         return F.when(first > budget, F.concat(F.lit("…"), line.substr(at + 1, F.lit(3 * budget)), F.lit("…"))).otherwise(shown)
 
-    return F.when(T.count_tokens(content) <= budget, content).otherwise(F.transform(F.array(lines), grown)[0])
+    given = F.struct(F.split(content, "\n", -1).alias("rows"), terms.alias("terms"))
+    return let(content, lambda c: F.when(T.count_tokens(c) <= budget, c).otherwise(let(given, grown)))
 
 
 def recalled(hits: DataFrame, archive: DataFrame, sent: DataFrame, budget: int) -> DataFrame:

@@ -36,6 +36,14 @@ def pick(values: list[str], index: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (index + 1).cast("int"))
 
 
+def pick_column(values: list[Column], index: Column) -> Column:
+    """One of several columns, of which only that one is computed."""
+    out = F.when(F.lit(False), values[0])
+    for k, value in enumerate(values):
+        out = out.when(index == k, value)
+    return out
+
+
 def lookup(values: dict[str, str], column: Column) -> Column:
     out = F.when(F.lit(False), F.lit(""))
     for key, value in values.items():
