@@ -14,8 +14,8 @@ onto valid values only:
 * phone numbers keep the country code (``+`` and 8 to 15 digits with or without separators) or are national
   (``(ddd) ddd-dddd``, ``ddd-ddd-dddd``); their digits alone are permuted, so one number has one pseudonym in all spellings;
 * mail addresses keep the top-level domain, letters of other scripts move within their script's block (``SCRIPTS``; those
-  of scripts that are not listed stay); of a domain of more than 127 dots, which no server has, all is permuted but a last
-  label of letters; hexadecimal secrets of 32 to 64 digits stay hexadecimal.
+  of scripts that are not listed stay); domains of any number of dots are permuted up to
+  their last label that begins with two letters; hexadecimal secrets of 32 to 64 digits stay hexadecimal.
 
 Other formats of numbers, names and postal addresses stay. The key is the caller's: who knows it can take the pseudonyms
 back. It comes to the rows as the result of a subquery over a one-row table, so no plan or event log shows it.
@@ -262,7 +262,14 @@ def _phone(value: Column, key: Key) -> Column:
 
 
 def _mail(value: Column, key: Key) -> Column:
-    return _let(F.regexp_extract(value, r"\.\p{L}+$", 0), lambda tld: F.concat(permute_text(value.substr(F.lit(1), F.length(value) - F.length(tld)), _for(key, "mail")), tld))
+    """An address up to its last label that begins with two letters; what follows that is none of it."""
+
+    def made(own: Column) -> Column:
+        tld = F.regexp_extract(own, r"\.\p{L}+$", 0)
+        moved = _let(tld, lambda t: F.concat(permute_text(own.substr(F.lit(1), F.length(own) - F.length(t)), _for(key, "mail")), t))
+        return F.when(own == "", value).otherwise(F.concat(moved, value.substr(F.length(own) + 1, F.length(value))))
+
+    return _let(F.regexp_extract(value, r"(?s)^.*\.\p{L}{2,}", 0), made)
 
 
 def pseudonym(value: Column, key: Key) -> Column:

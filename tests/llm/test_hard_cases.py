@@ -139,7 +139,7 @@ def test_long_addresses(spark):
 @pytest.mark.parametrize(
     ("value", "shape"),
     [
-        ("+12125550123", r"\+12\d{9}"), ("(212) 555-0123", r"\(\d{3}\) \d{3}-\d{4}"), ("212-555-0123", r"\d{3}-\d{3}-\d{4}"), ("+49 30 1234567", r"\+49 \d\d \d{7}"), ("3782 822463 10005", r"\d{4} \d{6} \d{5}"),
+        ("+12125550123", r"\+1\d{10}"), ("(212) 555-0123", r"\(\d{3}\) \d{3}-\d{4}"), ("212-555-0123", r"\d{3}-\d{3}-\d{4}"), ("+49 30 1234567", r"\+49 \d\d \d{7}"), ("3782 822463 10005", r"\d{4} \d{6} \d{5}"),
         ("03.04.1987", r"\d\d\.\d\d\.\d{4}"), ("4/3/1987", r"\d\d?/\d\d?/\d{4}"), ("12/25/1987", r"\d\d/\d\d/\d{4}"), ("12/30/1987", r"12/30/\d{4}"), ("02/29/1988", r"02/29/\d{4}"), ("2/14/1990", r"\d\d?/\d\d?/\d{4}"),
     ],
 )
