@@ -63,17 +63,19 @@ def _capitals(name: Column) -> Column:
 
 
 def _marked(hit: Column) -> Column:
-    """A named value with its value marked, if the name is a secret's and the value reads like one."""
+    """A named value with its value marked, if the name is a secret's and the value reads like one. Quotes stay but for
+    those of variables in capitals."""
     group = lambda k: F.regexp_extract(hit, NAMED, k)
     quote, name, value = group(1), group(2), group(4)
     first = F.substring(value, 1, 1)
     quoted = first.isin('"', "'")
     n = F.length(value) - F.when(quoted, 2).otherwise(0)
-    loose = (quote != "") | (_capitals(name) & group(3).contains("="))
+    variable = _capitals(name) & group(3).contains("=")
+    loose = (quote != "") | variable
     # A bare value of another name has a digit and no dot, unlike a word, a call or an attribute.
     good = F.when(quoted | loose, n >= F.when(loose, 6).otherwise(8)).otherwise((n >= 8) & value.rlike("[0-9]") & ~value.contains("."))
     kept = F.concat(quote, name, quote, group(3))
-    return F.when(good & secret_name(name), F.concat(kept, F.when(quoted, F.concat(first, F.lit(MARK), first)).otherwise(MARK))).otherwise(hit)
+    return F.when(good & secret_name(name), F.concat(kept, F.when(quoted & ~variable, F.concat(first, F.lit(MARK), first)).otherwise(MARK))).otherwise(hit)
 
 
 def redact_secrets(text: Column) -> Column:

@@ -126,7 +126,3 @@ def token_buckets(requests: DataFrame, capacity: float = 4.0, per_second: float
     ordered = requests.select("session_id", "ts_us", "request_id").repartition("session_id").sortWithinPartitions("session_id", "ts_us", "request_id")
     out = ordered.mapInPandas(run, f"session_id {kind}, request_id bigint, allowed boolean, left double")
     return out.select("session_id", "request_id", "allowed", F.round("left", 6).alias("tokens"))
-
-
-def with_rank(df: DataFrame, partition: list[str], order: list[Column], name: str = "rank") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(W.partitionBy(*partition).orderBy(*order)).cast("bigint"))

@@ -6,6 +6,7 @@ text. Everything stays in the JVM.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -128,13 +129,30 @@ def jsonl_digest(df: DataFrame, key: str, text: str, head: int = 3) -> DataFrame
     return df.select(key, F.size(lines).cast("bigint").alias("n_lines"), F.size(good).cast("bigint").alias("n_good"), F.array_join(members, ",").alias("members"), F.array_join(F.slice(lines, 1, head), "\n").alias("head"))
 
 
-def csv_digest(df: DataFrame, key: str, text: str) -> DataFrame:
+def csv_records(text: Column, separator: str = ",") -> Column:
+    """``array<array<string>>``: the records of a table in a text and their cells. A cell that begins with a quotation mark
+    goes on to the next single one, line ends and separators included; doubled marks in it are one."""
+    sep = re.escape(separator)
+    quoted = rf'(?:(?<=[{sep}\n])|(?<![\s\S]))"[^"]*+(?:""[^"]*+)*+"(?=[{sep}\n]|\r\n|(?![\s\S]))'
+    # Line ends inside cells are put aside while records are cut.
+    aside = rewritten(text, quoted, lambda cell: F.replace(cell, F.lit("\n"), F.lit("\x01")))
+    lines = F.filter(F.split(aside, r"\r?\n"), lambda x: F.trim(x) != "")
+
+    def cell(raw: Column) -> Column:
+        bare = F.trim(raw)
+        inner = F.replace(F.substring(bare, F.lit(2), F.length(bare) - 2), F.lit('""'), F.lit('"'))
+        return F.replace(F.when((F.length(bare) >= 2) & bare.startswith('"') & bare.endswith('"'), inner).otherwise(bare), F.lit("\x01"), F.lit("\n"))
+
+    cells = lambda line: F.transform(F.regexp_extract_all(F.concat(line, F.lit(separator)), F.lit(rf'("[^"]*+(?:""[^"]*+)*+"|[^{sep}]*+){sep}'), F.lit(1)), cell)
+    return F.transform(lines, cells)
+
+
+def csv_digest(df: DataFrame, key: str, text: str, separator: str = ",") -> DataFrame:
     """Of small tables in texts, by column: how many cells have a value, how many are numbers, and their range. The header is
-    the first line; a text without rows gives no columns."""
-    lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.trim(x) != "")
-    rows = df.select(key, lines.alias("lines")).filter(F.size("lines") > 1)
-    cells = rows.select(key, F.split(F.col("lines")[0], ",").alias("names"), F.explode(F.slice("lines", 2, F.size("lines"))).alias("line"))
-    cells = cells.select(key, F.posexplode(F.arrays_zip("names", F.split("line", ",").alias("cells"))).alias("place", "c")).select(key, "place", F.trim("c.names").alias("name"), F.trim("c.cells").alias("cell"))
+    the first record; a text without rows gives no columns."""
+    rows = df.select(key, csv_records(F.coalesce(F.col(text), F.lit("")), separator).alias("records")).filter(F.size("records") > 1)
+    cells = rows.select(key, F.col("records")[0].alias("names"), F.explode(F.slice("records", 2, F.size("records"))).alias("cells"))
+    cells = cells.select(key, F.posexplode(F.arrays_zip("names", "cells")).alias("place", "c")).select(key, "place", F.col("c.names").alias("name"), F.col("c.cells").alias("cell"))
     value = F.expr("try_cast(regexp_replace(cell, '[$%]', '') AS double)")
     out = cells.filter("name IS NOT NULL").withColumn("value", value).groupBy(key, "place", "name")
     filled = F.coalesce(F.col("cell"), F.lit("")) != ""

@@ -6,10 +6,7 @@ the JVM, a message at a time, and only what they find is shuffled.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Patterns by kind; the first group is the label.
@@ -131,13 +128,3 @@ def validate(candidates: DataFrame, least: float = 0.65) -> DataFrame:
     kind = kind.when(F.col("kind") == "error", 0.15).when(F.col("kind") == "goal", F.when(n < 20, -0.2).otherwise(0.15)).otherwise(0.0)
     total = F.greatest(F.lit(0.0), F.least(F.lit(1.0), score + kind))
     return candidates.withColumn("score", F.round(total, 4)).withColumn("accepted", F.col("score") >= least)
-
-
-def latest_status(facts_: DataFrame) -> DataFrame:
-    """A label's kind at its last mention in the session, for tasks that move from todo to done."""
-    w = W.partitionBy("session_id", "label").orderBy(F.desc("turn"), "kind")
-    return facts_.withColumn("place", F.row_number().over(w)).filter("place = 1").drop("place")
-
-
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)

@@ -103,11 +103,24 @@ def jsonl_digests(spark, d):
   UNION ALL SELECT session_id, 1, 'price', count(*), count(*) FILTER (NOT gap), count(*) FILTER (NOT gap), min(CASE WHEN NOT gap THEN event_id % 90 END)::DOUBLE, max(CASE WHEN NOT gap THEN event_id % 90 END)::DOUBLE FROM v GROUP BY 1
   UNION ALL SELECT session_id, 2, 'kind', count(*), count(*), 0, NULL, NULL FROM v GROUP BY 1""")
 def csv_digests(spark, d):
-    row = F.concat_ws(",", F.col("event_id").cast("string"), F.when(F.col("event_id") % 3 == 0, "").otherwise(F.concat(F.lit("$"), (F.col("event_id") % 90).cast("string"))), "event_type")
-    files = S.read(spark, d, "events").groupBy(F.col("user_id").alias("session_id")).agg(F.concat(F.lit("id,price,kind\n"), F.array_join(F.collect_list(row), "\n")).alias("t"))
+    """Every user's events as a table whose last cells have separators, quotation marks and line ends in them."""
+    kind = F.concat(F.lit('"a ""b"", '), "event_type", F.lit('\n, 7"'))
+    row = F.concat_ws(",", F.col("event_id").cast("string"), F.when(F.col("event_id") % 3 == 0, "").otherwise(F.concat(F.lit("$"), (F.col("event_id") % 90).cast("string"))), kind)
+    files = S.read(spark, d, "events").groupBy(F.col("user_id").alias("session_id")).agg(F.concat(F.lit('id,"price",kind\n'), F.array_join(F.collect_list(row), "\n")).alias("t"))
     return C.csv_digest(files, "session_id", "t")
 
 
+@query("""WITH v AS (SELECT user_id AS session_id, event_id, event_id % 3 = 0 AS gap FROM events)
+  SELECT session_id, 0::BIGINT AS place, 'id' AS name, count(*) AS n, count(*) AS n_filled, count(*) AS n_numbers, min(event_id)::DOUBLE AS lowest, max(event_id)::DOUBLE AS highest FROM v GROUP BY 1
+  UNION ALL SELECT session_id, 1, 'price', count(*), count(*) FILTER (NOT gap), count(*) FILTER (NOT gap), min(CASE WHEN NOT gap THEN event_id % 90 END)::DOUBLE, max(CASE WHEN NOT gap THEN event_id % 90 END)::DOUBLE FROM v GROUP BY 1
+  UNION ALL SELECT session_id, 2, 'kind', count(*), count(*), 0, NULL, NULL FROM v GROUP BY 1""")
+def tsv_digests(spark, d):
+    """The same with tabs between the cells; commas are text."""
+    row = F.concat_ws("\t", F.col("event_id").cast("string"), F.when(F.col("event_id") % 3 == 0, "").otherwise(F.concat(F.lit("$"), (F.col("event_id") % 90).cast("string"))), F.concat("event_type", F.lit(', 5" wide')))
+    files = S.read(spark, d, "events").groupBy(F.col("user_id").alias("session_id")).agg(F.concat(F.lit("id\tprice\tkind\n"), F.array_join(F.collect_list(row), "\n")).alias("t"))
+    return C.csv_digest(files, "session_id", "t", "\t")
+
+
 # Code around every document's text: comments, and strings that look like them.
 _SCRIPT = """SELECT doc_id, '# head' || chr(10) || 'u = "http://a/*b*/c"  # stays' || chr(10) || '/* gone' || chr(10) || '*/x = ' || chr(39) || '# no' || chr(39) || chr(10) || '  // gone' || chr(10)
   || 'd = ' || repeat(chr(34), 3) || chr(10) || '# in a string' || chr(10) || replace(coalesce(text, ''), chr(34), '') || repeat(chr(34), 3) || chr(10) AS t FROM documents"""

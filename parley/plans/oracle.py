@@ -250,3 +250,5 @@ SQL: dict[str, str] = {
     "table_lines": "WITH x AS (SELECT doc_id, list_transform(string_split(coalesce(text, ''), chr(10)), lambda l: len(string_split(l, '|')) >= 3) AS w FROM documents) SELECT doc_id, len(list_filter(w, lambda b: b))::BIGINT AS n_table_lines, coalesce(list_position(w[1:4], true), 0)::BIGINT AS table_start FROM x",
     "content_texts": _with(MESSAGES) + "SELECT session_id, turn, md5(CASE WHEN turn % 3 IN (0, 1) THEN text ELSE '' END) AS text_md5 FROM messages",
 }
+
+SQL["history_at"] = SQL["query_at_time"]

@@ -120,6 +120,12 @@ def query_at_time(spark, d):
     return graph.query_at_time(S.nodes(spark, d), "auth token", AT)
 
 
+@query
+def history_at(spark, d):
+    n = S.nodes(spark, d)
+    return graph.history(n, "auth token", AT, S.latest(n, "valid_from"))
+
+
 @query
 def importance_decay(spark, d):
     n = S.nodes(spark, d).withColumn("last_decayed_at", F.col("valid_from") + F.col("node_id") % 5 * DAY_US)

@@ -28,7 +28,7 @@ def one(spark, column):
         ("token_count = 123456789", "token_count = 123456789"),
         ("max_tokens: 100000000", "max_tokens: 100000000"),
         ("DB_PASS=s3cret", "DB_PASS=[REDACTED]"),
-        ("AWS_SECRET_ACCESS_KEY_ID='abc/def+ghi'", "AWS_SECRET_ACCESS_KEY_ID='[REDACTED]'"),
+        ("AWS_SECRET_ACCESS_KEY_ID='abc/def+ghi'", "AWS_SECRET_ACCESS_KEY_ID=[REDACTED]"),
         ("see postgres://ann:pw@host/db and https://host/a@b", "see postgres://[REDACTED]@host/db and https://host/a@b"),
         ("-----BEGIN RSA PRIVATE KEY-----\nMIIE\n-----END RSA PRIVATE KEY----- x", "[REDACTED PRIVATE KEY] x"),
         ("AKIA" + "A" * 16, "[REDACTED]"),
@@ -116,3 +116,10 @@ def test_questions(spark):
     assert {q: one(spark, V.intents(F.lit(q))) for q in asked} == asked
     assert one(spark, V.asks_about_now(F.lit("Is it still red?"))) and not one(spark, V.asks_about_now(F.lit("distill it")))
     assert sorted(one(spark, V.query_words(F.lit("parseHTTPReply in src/old_code.py2")))) == sorted(["parsehttpreply", "parse", "http", "reply", "src/old_code.py2", "old", "code"])
+
+
+def test_csv_records(spark):
+    text = 'id,"a ""b""",note\r\n1,"x, y",plain\n\n2,"two\nlines",5" wide\n3,,"open'
+    assert one(spark, C.csv_records(F.lit(text))) == [["id", 'a "b"', "note"], ["1", "x, y", "plain"], ["2", "two\nlines", '5" wide'], ["3", "", '"open']]
+    assert one(spark, C.csv_records(F.lit('a\tb\n"1\t2"\t3'), "\t")) == [["a", "b"], ["1\t2", "3"]]
+    assert one(spark, C.csv_records(F.lit(""))) == []
