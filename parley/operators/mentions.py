@@ -12,14 +12,41 @@ from pyspark.sql import functions as F
 from parley.functions.weave import let, rewritten
 
 BLOCK = r"(?s)```[^\n]*+\n(?:.*?```|.*+)|~~~[^\n]*+\n(?:.*?~~~|.*+)"
-ERROR_LINE = r"^\s*(?:Traceback|FAILED|ERROR|FATAL|panic:|fatal:|npm ERR|Uncaught)|^\s*[\w.]*(?:Error|Exception)\s*:|^\s*error(?:\[\w+\])?:"
-ERROR_NAME = r"[A-Z][A-Za-z0-9_]*(?:Error|Exception)|(?<![0-9])[45][0-9]{2}(?![0-9])|E[A-Z]{4,}"
-QUOTATION = r'"[^"\n]++"|“[^”\n]++”'
-NUMBERED = r"^[ \t]*[0-9]{1,6}(?::|\t| [|] )"
-TABLE_ROW = r"^[ \t]*[|].*[|][ \t]*$"
+# What lines of logs begin with where they report an error, and how an exception's name ends.
+REPORTS = ["Traceback", "FAILED", "ERROR", "FATAL", "panic:", "fatal:", "error:", "Error:", "error[", "npm ERR", "Uncaught"]
+NAMES = ["Error", "Exception"]
+QUOTATION = '["“][^"“”\n]++["”]'
 LONGEST_QUOTATION, LEAST_LISTING = 300, 3
 
 
+def reports_error(line: Column) -> Column:
+    """Whether a line of a log tells of an error: by what it begins with, or as an exception's name and a colon."""
+    own = F.ltrim(F.regexp_replace(line, r"^\s+", ""))
+    named = F.substring_index(F.substring_index(own, ":", 1), " ", 1)
+    starts = F.exists(F.array(*map(F.lit, REPORTS)), lambda r: F.startswith(own, r))
+    return starts | (own.contains(":") & (F.length(named) == F.length(F.substring_index(own, ":", 1))) & F.exists(F.array(*map(F.lit, NAMES)), lambda n: F.endswith(named, n)))
+
+
+def names_error(text: Column) -> Column:
+    """Whether a text has an exception's name, a status of 400 to 599, or a code such as ECONNREFUSED."""
+    words = F.split(text, "[^A-Za-z0-9_]+")
+    status = lambda w: (F.length(w) == 3) & (w >= "400") & (w <= "599")
+    return F.exists(words, lambda w: F.exists(F.array(*map(F.lit, NAMES)), lambda n: F.endswith(w, n)) | status(w) | ((F.length(w) > 4) & w.startswith("E") & (w == F.upper(w)) & ~w.rlike("[0-9_]")))
+
+
+def table_row(line: Column) -> Column:
+    own = F.btrim(line, F.lit(" \t"))
+    return (F.length(own) > 1) & own.startswith("|") & own.endswith("|")
+
+
+def numbered(line: Column) -> Column:
+    """Whether a line is shown with its number: up to six digits, then a colon, a tab or a bar."""
+    own = F.ltrim(line, F.lit(" \t"))
+    n = F.length(own) - F.length(F.ltrim(own, F.lit("0123456789")))
+    rest = own.substr(n + 1, F.lit(3))
+    return n.between(1, 6) & (rest.startswith(":") | rest.startswith("\t") | (rest == " | "))
+
+
 def finds(text: Column, pattern: str) -> Column:
     """``array<struct<start, stop, text>>`` of what a pattern finds, places counted from 0."""
 
@@ -46,21 +73,21 @@ def _by_lines(text: Column) -> Column:
     """Rows of tables, and numbered lines where three or more follow each other."""
 
     def masked(lines: Column) -> Column:
-        numbered = F.transform(lines, lambda x: x.rlike(NUMBERED))
+        marks = F.transform(lines, numbered)
 
         def in_run(marks: Column, i: Column) -> Column:
             at = lambda k: F.coalesce(F.get(marks, i + k), F.lit(False))
             return at(0) & ((at(1) & at(2)) | (at(-1) & at(1)) | (at(-1) & at(-2)))
 
-        return let(numbered, lambda marks: F.array_join(F.transform(lines, lambda x, i: F.when(x.rlike(TABLE_ROW) | in_run(marks, i), F.repeat(F.lit(" "), F.length(x))).otherwise(x)), "\n"))
+        return let(marks, lambda marks: F.array_join(F.transform(lines, lambda x, i: F.when(table_row(x) | in_run(marks, i), F.repeat(F.lit(" "), F.length(x))).otherwise(x)), "\n"))
 
     return let(F.split(text, "\n", -1), masked)
 
 
 def mask(text: Column) -> Column:
     """``text`` at equal length with its mentions blanked; null stays null."""
-    block = lambda hit: F.array_join(F.transform(F.split(hit, "\n", -1), lambda x: F.when(x.rlike(ERROR_LINE), x).otherwise(F.repeat(F.lit(" "), F.length(x)))), "\n")
-    quotation = lambda hit: F.when((F.length(hit) - 2 > LONGEST_QUOTATION) | hit.rlike(ERROR_NAME), hit).otherwise(F.repeat(F.lit(" "), F.length(hit)))
+    block = lambda hit: F.array_join(F.transform(F.split(hit, "\n", -1), lambda x: F.when(reports_error(x), x).otherwise(F.repeat(F.lit(" "), F.length(x)))), "\n")
+    quotation = lambda hit: F.when((F.length(hit) - 2 > LONGEST_QUOTATION) | names_error(hit), hit).otherwise(F.repeat(F.lit(" "), F.length(hit)))
     out = let(text, lambda t: F.when(t.rlike("```|~~~"), rewritten(t, BLOCK, block)).otherwise(t))
     out = let(out, lambda t: F.when(t.rlike(r"(?m)^[ \t]*(?:[|]|[0-9])"), _by_lines(t)).otherwise(t))
     return let(out, lambda t: F.when(t.rlike('["“]'), rewritten(t, QUOTATION, quotation)).otherwise(t))

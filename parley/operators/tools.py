@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.operators.mentions import ERROR_LINE
+from parley.operators.mentions import reports_error
 
 # Members whose value is a path, words of tools that only read.
 PATH_KEYS = ["path", "file", "file_path", "filepath", "filename", "target_file", "notebook_path"]
@@ -62,7 +62,7 @@ def _texts(v: Column) -> Column:
 def error_label(text: Column) -> Column:
     """The first line that reads like an error, else the first that is not empty."""
     lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
-    return F.substring(F.trim(F.coalesce(F.get(F.filter(lines, lambda x: x.rlike(ERROR_LINE)), F.lit(0)), F.get(lines, F.lit(0)))), 1, LONGEST)
+    return F.substring(F.trim(F.coalesce(F.get(F.filter(lines, reports_error), F.lit(0)), F.get(lines, F.lit(0)))), 1, LONGEST)
 
 
 def tool_errors(messages: DataFrame, keys: list[str]) -> DataFrame:
@@ -72,7 +72,7 @@ def tool_errors(messages: DataFrame, keys: list[str]) -> DataFrame:
     marked = marked.select(*keys, error_label(_texts(_get(F.col("value"), "$.content", "variant"))).alias("label"))
     said = messages.filter(_get(F.col("message"), "$.role", "string") == "tool").select(*keys, _texts(_get(F.col("message"), "$.content", "variant")).alias("t"))
     first = F.get(F.filter(F.split("t", "\n"), lambda x: F.trim(x) != ""), F.lit(0))
-    plain = said.filter(first.rlike(ERROR_LINE)).select(*keys, error_label(F.col("t")).alias("label"))
+    plain = said.filter(reports_error(first)).select(*keys, error_label(F.col("t")).alias("label"))
     return marked.unionByName(plain).filter("label <> ''").distinct()
 
 

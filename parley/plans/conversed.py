@@ -33,10 +33,10 @@ def query(sql: str | None = None):
 # --- mentions and passes
 
 _SHOWN = '\n| a | b |\nHe said "we use oracle" and "a 404 came".\n```py\nx = "y"\nKeyError: k\n```\n1: one\n2: two\n3: three\n4 no\n“quoted” end'
-_ERROR = r"^\s*(?:Traceback|FAILED|ERROR|FATAL|panic:|fatal:|npm ERR|Uncaught)|^\s*[\w.]*(?:Error|Exception)\s*:|^\s*error(?:\[\w+\])?:"
+_ERROR = r"^\s*(?:Traceback|FAILED|ERROR|FATAL|panic:|fatal:|error:|Error:|error\[|npm ERR|Uncaught|[^:\s]*(?:Error|Exception):)"
 _BLANK = "repeat(' ', length({0}))"
 _LINES = f"array_to_string(list_transform(string_split(@, chr(10)), lambda x: CASE WHEN regexp_matches(x, '{_ERROR}') THEN x ELSE {_BLANK.format('x')} END), chr(10))"
-_QUOTED = f"CASE WHEN length(@) > 302 OR regexp_matches(@, '[A-Z][A-Za-z0-9_]*(Error|Exception)|(^|[^0-9])[45][0-9][0-9]($|[^0-9])|E[A-Z]{{4,}}') THEN @ ELSE {_BLANK.format('@')} END"
+_QUOTED = f"CASE WHEN length(@) > 302 OR len(list_filter(string_split_regex(@, '[^A-Za-z0-9_]+'), lambda w: regexp_full_match(w, '.*(Error|Exception)|[45][0-9][0-9]|E[A-Z]{{4,}}'))) > 0 THEN @ ELSE {_BLANK.format('@')} END"
 _RUN = "coalesce(ns[i] AND ((coalesce(ns[i + 1], false) AND coalesce(ns[i + 2], false)) OR (i > 1 AND coalesce(ns[i - 1], false) AND coalesce(ns[i + 1], false)) OR (i > 2 AND coalesce(ns[i - 1], false) AND coalesce(ns[i - 2], false))), false)"
 
 
@@ -44,7 +44,7 @@ _RUN = "coalesce(ns[i] AND ((coalesce(ns[i + 1], false) AND coalesce(ns[i + 2],
     f"""WITH x AS (SELECT doc_id, coalesce(text, '') || '{_SHOWN}' AS t FROM documents), a AS (SELECT doc_id, {_weave("t", "(?s)```[^\\n]*\\n.*?```", _LINES)} AS t FROM x),
   b AS (SELECT doc_id, string_split(t, chr(10)) AS ls, list_transform(string_split(t, chr(10)), lambda x: regexp_matches(x, '^[ \\t]*[0-9]{{1,6}}(:|\\t| [|] )')) AS ns FROM a),
   c AS (SELECT doc_id, array_to_string(list_transform(range(1, len(ls) + 1), lambda i: CASE WHEN regexp_matches(ls[i], '^[ \\t]*[|].*[|][ \\t]*$') OR {_RUN} THEN {_BLANK.format('ls[i]')} ELSE ls[i] END), chr(10)) AS t FROM b)
-  SELECT doc_id, length(t)::BIGINT AS n_chars, md5({_weave("t", '"[^"\\n]+"|“[^”\\n]+”', _QUOTED)}) AS masked_md5 FROM c"""
+  SELECT doc_id, length(t)::BIGINT AS n_chars, md5({_weave("t", '["“][^"“”\\n]+["”]', _QUOTED)}) AS masked_md5 FROM c"""
 )
 def masked_mentions(spark, d):
     t = F.concat(F.coalesce("text", F.lit("")), F.lit(_SHOWN))

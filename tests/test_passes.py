@@ -13,6 +13,11 @@ from parley.operators import extract, mentions, passes
 MESSAGES = "session_id bigint, turn bigint, role string, text string"
 
 
+def plain_error(line):
+    line = line.lstrip()
+    return line.startswith(tuple(mentions.REPORTS)) or bool(re.match(r"[^:\s]*(Error|Exception):", line))
+
+
 def plain_mask(text):
     """Spans first, all of them united, then one pass over the characters."""
     spans = []
@@ -20,14 +25,17 @@ def plain_mask(text):
     for a, b in blocks:
         at = a
         for line in text[a:b].split("\n"):
-            if not re.search(mentions.ERROR_LINE, line):
+            if not plain_error(line):
                 spans.append((at, at + len(line)))
             at += len(line) + 1
     shown = list(text)
-    for a, b in spans:
-        for k in range(a, b):
-            if shown[k] != "\n":
-                shown[k] = " "
+
+    def wipe():
+        for a, b in spans:
+            for k in range(a, b):
+                shown[k] = "\n" if shown[k] == "\n" else " "
+
+    wipe()
     lines, at = "".join(shown).split("\n"), 0
     numbered = [bool(re.match(r"[ \t]*\d{1,6}(:|\t| \| )", x)) for x in lines]
     for k, line in enumerate(lines):
@@ -35,12 +43,10 @@ def plain_mask(text):
         if re.fullmatch(r"[ \t]*\|.*\|[ \t]*", line) or run:
             spans.append((at, at + len(line)))
         at += len(line) + 1
-    for a, b in spans:
-        for k in range(a, b):
-            if shown[k] != "\n":
-                shown[k] = " "
-    for m in re.finditer(r'"[^"\n]+"|“[^”\n]+”', "".join(shown)):
-        if len(m[0]) <= 302 and not re.search(r"[A-Z][A-Za-z0-9_]*(Error|Exception)|(?<!\d)[45]\d\d(?!\d)|E[A-Z]{4,}", m[0]):
+    wipe()
+    for m in re.finditer(r'["“][^"“”\n]+["”]', "".join(shown)):
+        words = re.split("[^A-Za-z0-9_]+", m[0])
+        if len(m[0]) <= 302 and not any(re.fullmatch(r".*(Error|Exception)|[45]\d\d|E[A-Z]{4,}", w) for w in words):
             shown[m.start() : m.end()] = " " * len(m[0])
     return "".join(shown)
 
