@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from parley.functions import text as T
 from parley.operators import analytics, cache, digest, extract, fold, graph, messages, profile, relations, stores
-from parley.plans import compressed, conversed, decided, inferred, reported, requested
+from parley.plans import blocked, compressed, conversed, decided, inferred, reported, requested
 from parley.plans.oracle import SQL
 from parley.sources import tables as S
 from parley.sources.tables import DAY_US
@@ -703,4 +703,5 @@ QUERIES.update(compressed.QUERIES)
 QUERIES.update(decided.QUERIES)
 QUERIES.update(requested.QUERIES)
 QUERIES.update(conversed.QUERIES)
-ORACLE_SQL = {**SQL, **inferred.SQL, **reported.SQL, **compressed.SQL, **decided.SQL, **requested.SQL, **conversed.SQL}
+QUERIES.update(blocked.QUERIES)
+ORACLE_SQL = {**SQL, **inferred.SQL, **reported.SQL, **compressed.SQL, **decided.SQL, **requested.SQL, **conversed.SQL, **blocked.SQL}
