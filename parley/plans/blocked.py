@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.operators import blocks
-from parley.plans.oracle import NODES, TRANSITIONS
+from parley.operators import blocks, ranking
+from parley.operators.vocabulary import CANONICAL, FUNCTION_WORDS, SCAFFOLD_PARTS
+from parley.plans.inferred import ARTIFACTS
+from parley.plans.oracle import INACTIVE, NODES, OPEN, TRANSITIONS, _case, _in
 from parley.sources import tables as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +99,48 @@ SELECT session_id, len(kept) AS n_items, CASE WHEN block = '' THEN 0 ELSE greate
 def context_blocks(spark, d):
     """What a resumed session is told: its block under the budget."""
     return blocks.pack(blocks.items(*_told(spark, d)), BUDGET)
+
+
+# --- answers to many questions
+
+_ENDS = [". Which token handlers failed", " Where is the billing route?", " what did we decide about it", ". Is timeout_handler still broken right now", ". What is left to do in authConfig", ""]
+_ONE = "CASE WHEN length({0}) > 4 AND {0} LIKE '%ies' THEN left({0}, length({0}) - 3) || 'y' WHEN length({0}) > 3 AND {0} LIKE '%s' AND {0} NOT LIKE '%ss' THEN left({0}, length({0}) - 1) END"
+_HUMPS = "x"
+for _pattern in ("([a-z])([A-Z0-9])", "([A-Z])([A-Z][a-z])", "([A-Z])([0-9])", "([0-9])([A-Za-z])"):
+    _HUMPS = f"regexp_replace({_HUMPS}, '{_pattern}', '\\1 \\2', 'g')"
+_ASKS = {
+    "error": "broke|broken|break|breaks|breaking|fail|fails|failed|failing|failure|wrong|bug|bugs|error|errors|issue|issues|problem|problems|unsafe|crash[^ ]*|slow[^ ]*|leak[^ ]*|regress[^ ]*|not safe",
+    "decision": "chose|choose|chosen|pick|picked|decide[^ ]*|decision[^ ]*|went with|go with|going with|why do we use|why did we use|why are we using|which one do we|which one did we",
+    "task": "left|remaining|todo|next|pending|done|finished|checking|progress|status|verify[^ ]*|to do|still need",
+    "file": "file|files|module|path|where is|where are|where does",
+}
+
+
+@query(rf"""WITH {ARTIFACTS},
+weights AS (SELECT event_id AS node_id, round(least(value, 500.0) / 500, 3) AS importance FROM events),
+asked AS (SELECT conv_id * 1000 + turn AS id, coalesce(text, '') || ['{"', '".join(_ENDS)}'][(conv_id // 20 + turn) % 6 + 1] AS t FROM conversations WHERE role = 'user' AND conv_id % 20 = 0),
+texts AS (SELECT 'q' AS src, id, t FROM asked UNION ALL SELECT 'n', node_id, label FROM artifacts WHERE status NOT IN {INACTIVE}),
+raw AS (SELECT src, id, regexp_replace(x, '^[.,!?:;()\[\]"''`]+|[.,!?:;()\[\]"''`]+$', '', 'g') AS x FROM (SELECT src, id, unnest(string_split_regex(t, '\s+')) AS x FROM texts) WHERE x <> ''),
+parts AS (SELECT src, id, unnest(string_split_regex(lower(regexp_replace({_HUMPS}, '[^A-Za-z0-9]+', ' ', 'g')), ' ')) AS w FROM raw WHERE regexp_matches(x, '[a-z][A-Z]|[_/.-]')),
+own AS (SELECT DISTINCT * FROM (SELECT src, id, lower(x) AS w FROM raw UNION ALL SELECT * FROM parts WHERE w NOT IN {_in(SCAFFOLD_PARTS)}) WHERE length(w) > 2 AND w NOT IN {_in(FUNCTION_WORDS)}),
+forms AS (SELECT * FROM own UNION SELECT src, id, {_ONE.format('w')} FROM own WHERE {_ONE.format('w')} IS NOT NULL),
+bare AS (SELECT src, id, regexp_replace(w, '^[.,!?:;()\[\]]+|[.,!?:;()\[\]]+$', '', 'g') AS w FROM forms),
+known AS (SELECT src, id, coalesce({_case('w', CANONICAL)}, {_case(f"coalesce({_ONE.format('w')}, w)", CANONICAL)}, {_ONE.format('w')}, w) AS w FROM bare),
+words AS (FROM forms UNION FROM known),
+sizes AS (SELECT id, greatest((SELECT count(*) FROM words WHERE src = 'q' AND words.id = asked.id), 1) AS n_words,
+  ' ' || array_to_string(list_filter(string_split_regex(lower(t), '[^a-z0-9'']+'), lambda w: w <> ''), ' ') || ' ' AS line FROM asked),
+aims AS (SELECT id, n_words, {', '.join(f"regexp_matches(line, ' ({p}) ') AS {k}" for k, p in _ASKS.items())}, regexp_matches(line, ' (still|currently|right now|at the moment|so far|are we) ') AS now FROM sizes),
+met AS (SELECT q.id AS question_id, n.id AS node_id, count(*) AS shared FROM words q JOIN words n ON q.w = n.w WHERE q.src = 'q' AND n.src = 'n' GROUP BY 1, 2),
+clock AS (SELECT max(valid_from) AS now_us FROM artifacts),
+every AS (SELECT a.id AS question_id, n.node_id, coalesce(m.shared, 0) AS shared, n_words, n.status IN {OPEN} AND now AS lifted, importance, valid_from, type,
+  CASE type WHEN 'goal' THEN 1.25 WHEN 'decision' THEN 1.2 WHEN 'task' THEN 1.0 WHEN 'error' THEN 0.95 WHEN 'dependency' THEN 0.7 ELSE 0.9 END::DOUBLE AS base, CASE type WHEN 'error' THEN error WHEN 'decision' THEN decision WHEN 'task' THEN task WHEN 'file' THEN file ELSE false END AS hit, error OR decision OR task OR file AS aimed
+  FROM aims a CROSS JOIN artifacts n JOIN weights USING (node_id) LEFT JOIN met m ON m.question_id = a.id AND m.node_id = n.node_id WHERE n.status NOT IN {INACTIVE}),
+scored AS (SELECT question_id, node_id, round((0.6::DOUBLE * shared / n_words + (0.3::DOUBLE * importance + 0.1::DOUBLE / (1 + 0.1::DOUBLE * ((now_us - valid_from) / 86400000000.0::DOUBLE))))
+  * CASE WHEN hit THEN base * 1.5::DOUBLE WHEN aimed THEN base / 1.25::DOUBLE ELSE base END * CASE WHEN lifted THEN 1.3::DOUBLE ELSE 1.0::DOUBLE END, 6) AS score FROM every, clock)
+SELECT question_id, rank, node_id, score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, node_id) AS rank FROM scored WHERE score > 0.05) WHERE rank <= 12""")
+def answered_questions(spark, d):
+    """The twelve best nodes for every question of conversations whose id 20 divides, against all nodes."""
+    end = S.pick(_ENDS, (F.floor(F.col("session_id") / 20).cast("bigint") + F.col("turn")) % 6)
+    asked = S.messages(spark, d).filter("role = 'user' AND session_id % 20 = 0").select((F.col("session_id") * 1000 + F.col("turn")).alias("question_id"), F.concat("text", end).alias("question"))
+    n = S.artifacts(spark, d)
+    return ranking.rank(n, asked, S.latest(n, "valid_from"))
