@@ -60,8 +60,19 @@ class Session:
         if node["type"] == "decision" and node["superseded_by"] is None and (slot := slot_of(node["label"])):
             self.at["slot", slot][node["node_id"]] = None
 
-    def add(self, kind: str, label: str, status: str, turn: int) -> str | None:
-        """Merge a fact into the graph; returns the node's id, or nothing if the text is refused."""
+    def add(self, kind: str, label: str, status: str, turn: int, old: str = "") -> str | None:
+        """Merge a fact into the graph; returns the node's id, or nothing if the text is refused.
+
+        ``old`` is what a decision says that it replaces: decisions in force that name it are superseded by this one.
+        """
+        key = self._merged(kind, label, status, turn)
+        if key and old and kind == "decision":
+            for other in [i for i in self.at.get((kind, old.lower()), ()) if i != key and self.nodes[i]["superseded_by"] is None]:
+                self.nodes[other]["status"], self.nodes[other]["superseded_by"] = "superseded", key
+                self.at["slot", slot_of(self.nodes[other]["label"])].pop(other, None)
+        return key
+
+    def _merged(self, kind: str, label: str, status: str, turn: int) -> str | None:
         label = " ".join(label.split())[:120]
         if not label or INJECTION.search(unicodedata.normalize("NFKC", label)):
             return None
@@ -129,15 +140,17 @@ def slot_of(label: str) -> str | None:
 
 #: Kind and status of a node by the kind of fact.
 FACTS = {
-    "goal": ("goal", "in_progress"), "task_done": ("task", "completed"), "task_todo": ("task", "pending"), "decision": ("decision", "completed"), "file": ("file", "completed"),
+    "goal": ("goal", "in_progress"), "task_done": ("task", "completed"), "task_wip": ("task", "in_progress"), "task_todo": ("task", "pending"), "decision": ("decision", "completed"), "file": ("file", "completed"),
     "error": ("error", "failed"), "status": ("error", "failed"), "dependency": ("dependency", "completed"), "environment": ("environment", "completed"), "endpoint": ("endpoint", "completed"),
 }
 
 
 def fold(session: Session, facts: pd.DataFrame) -> Session:
-    for kind, label, turn in facts.sort_values(["turn", "kind", "label"])[["kind", "label", "turn"]].itertuples(index=False):
+    """Facts in order of turn, kind and label."""
+    old = facts["old"].fillna("") if "old" in facts else ""
+    for kind, label, turn, replaced in facts.assign(old=old).sort_values(["turn", "kind", "label"])[["kind", "label", "turn", "old"]].itertuples(index=False):
         if kind in FACTS:
-            session.add(FACTS[kind][0], label, FACTS[kind][1], int(turn))
+            session.add(FACTS[kind][0], label, FACTS[kind][1], int(turn), replaced)
     return session
 
 
@@ -148,9 +161,9 @@ def rows(session_id: int, session: Session) -> pd.DataFrame:
 
 
 def fold_sessions(facts: DataFrame) -> DataFrame:
-    """Nodes of every session from its facts ``(session_id, turn, kind, label)``."""
+    """Nodes of every session from its facts ``(session_id, turn, kind, label)`` and perhaps ``old``, what a decision replaces."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         return rows(int(pdf["session_id"].iloc[0]), fold(Session(), pdf))
 
-    return facts.select("session_id", "turn", "kind", "label").groupBy("session_id").applyInPandas(one, SCHEMA)
+    return facts.select("session_id", "turn", "kind", "label", *[c for c in ["old"] if c in facts.columns]).groupBy("session_id").applyInPandas(one, SCHEMA)

@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.operators import blocks, ranking
+from parley.operators import blocks, connect, fold, passes, ranking
 from parley.operators.vocabulary import CANONICAL, FUNCTION_WORDS, SCAFFOLD_PARTS
+from parley.plans.conversed import _TALK
 from parley.plans.inferred import ARTIFACTS
 from parley.plans.oracle import INACTIVE, NODES, OPEN, TRANSITIONS, _case, _in
 from parley.sources import tables as S
+from parley.sources.settle import settled
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -144,3 +146,37 @@ def answered_questions(spark, d):
     asked = S.messages(spark, d).filter("role = 'user' AND session_id % 20 = 0").select((F.col("session_id") * 1000 + F.col("turn")).alias("question_id"), F.concat("text", end).alias("question"))
     n = S.artifacts(spark, d)
     return ranking.rank(n, asked, S.latest(n, "valid_from"))
+
+
+# --- folded conversations with their edges
+
+_WORK = [
+    " The goal is to speed up the checkout. We decided to use celery for the queue.", " I added a session store in src/auth/session.py.\n- [ ] write load tests for session.py", " TimeoutError in session.py again. We switched from celery to kafka.",
+    " POST /api/session fails. We decided to use redis for the session cache.\n- [x] fix the timeout of the session store",
+]
+
+
+def _folded(spark, d) -> DataFrame:
+    """Nodes of every conversation, with a statement behind each message; settled, as every relation looks at them."""
+    m = S.messages(spark, d)
+    told = m.withColumn("text", F.concat("text", S.pick(_WORK, F.col("turn") % 4), S.pick(_TALK, (F.col("session_id") + F.col("turn")) % 4)))
+    facts = passes.conversation_facts(told).withColumnRenamed("first_turn", "turn")
+    return settled(fold.fold_sessions(facts))
+
+
+@query()
+def folded_conversations(spark, d):
+    """The graph of every conversation; tested by hand."""
+    return _folded(spark, d)
+
+
+@query()
+def folded_edges(spark, d):
+    """The edges of every conversation's graph; tested against loops over all pairs."""
+    return connect.edges(_folded(spark, d))
+
+
+@query()
+def folded_changes(spark, d):
+    """Which decision replaced which, in every conversation; tested by hand."""
+    return connect.changes(_folded(spark, d))
