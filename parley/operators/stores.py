@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -80,6 +81,23 @@ def without_session(df: DataFrame, session: int) -> DataFrame:
     return df.filter(F.col("session_id") != session)
 
 
+def deletion_counts(stores: dict[str, DataFrame], sessions: DataFrame) -> DataFrame:
+    """``(session_id, store, removed)``: how many rows of each store the deletion of ``sessions`` takes, 0 included.
+
+    Rows are counted by store before they meet the sessions; a null session is deleted with none.
+    """
+    doomed = sessions.select("session_id").filter("session_id IS NOT NULL").distinct()
+    counts = reduce(DataFrame.unionByName, (df.groupBy("session_id").agg(F.count("*").alias("removed")).withColumn("store", F.lit(name)) for name, df in stores.items()))
+    asked = doomed.withColumn("store", F.explode(F.array(*map(F.lit, stores))))
+    return asked.join(counts, ["session_id", "store"], "left").select("session_id", "store", F.coalesce("removed", F.lit(0)).alias("removed"))
+
+
+def without_sessions(stores: dict[str, DataFrame], sessions: DataFrame) -> dict[str, DataFrame]:
+    """Every store without the rows of ``sessions``; rows without a session stay."""
+    doomed = sessions.select("session_id").filter("session_id IS NOT NULL").distinct()
+    return {name: df.join(doomed, "session_id", "left_anti") for name, df in stores.items()}
+
+
 def expired_sessions(df: DataFrame, now: int | Column, ttl_us: int) -> DataFrame:
     return df.groupBy("session_id").agg(F.max("ts_us").alias("last_at")).filter(F.col("last_at") < now - ttl_us)
 

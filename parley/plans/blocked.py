@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.operators import blocks, connect, fold, passes, ranking
+from parley.operators import blocks, connect, fold, passes, ranking, stores, windows
+from parley.operators.compress import RECORD_CLOSE, RECORD_OPEN
 from parley.operators.vocabulary import CANONICAL, FUNCTION_WORDS, SCAFFOLD_PARTS
 from parley.plans.conversed import _TALK
 from parley.plans.inferred import ARTIFACTS
-from parley.plans.oracle import INACTIVE, NODES, OPEN, TRANSITIONS, _case, _in
+from parley.plans.oracle import EDGES, INACTIVE, MESSAGES, NODES, OPEN, TOK, TRANSITIONS, _case, _in
 from parley.sources import tables as S
 from parley.sources.settle import settled
 
@@ -180,3 +181,66 @@ def folded_edges(spark, d):
 def folded_changes(spark, d):
     """Which decision replaced which, in every conversation; tested by hand."""
     return connect.changes(_folded(spark, d))
+
+
+# --- windows with tools
+
+_STEPS = f"""{MESSAGES},
+m0 AS (SELECT session_id, turn, CASE WHEN role = 'assistant' AND (session_id + turn) % 4 = 3 THEN 'tool' ELSE role END AS role, CASE WHEN role = 'assistant' AND (session_id + turn) % 4 = 3 THEN text || ' src/lib' || turn % 3 || '/mod' || turn || '.py, (./setup.cfg) 3/4 http://x.y/z' ELSE text END AS text,
+  CASE WHEN role = 'assistant' AND (session_id + turn) % 4 = 1 THEN 'src/app/main' || turn || '.py' END AS arg FROM messages),
+tok AS (SELECT *, {TOK.format('text')} + {TOK.format('role')} + 4 AS tokens FROM m0),
+total AS (SELECT session_id, sum(tokens) + 2 AS total, coalesce(sum(tokens) FILTER (role = 'system'), 0) AS base FROM tok GROUP BY 1),
+conv AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn) - 1 AS pos, count(*) OVER (PARTITION BY session_id) AS n, sum(tokens) OVER (PARTITION BY session_id ORDER BY turn DESC) + 2 AS tail, bool_or(role = 'tool') OVER (PARTITION BY session_id) AS tools FROM tok WHERE role <> 'system'),
+step AS (SELECT *, max(pos) OVER (PARTITION BY session_id) AS newest FROM conv JOIN total USING (session_id) WHERE (role = 'user' OR role = 'assistant' AND arg IS NOT NULL) AND total > 300 AND n > 3),
+early AS (SELECT session_id, coalesce(min(pos) FILTER (pos >= n - 3 AND (NOT tools OR tail <= 200)), max(newest)) AS pos FROM step GROUP BY 1),
+held AS (SELECT s.session_id, coalesce(max(s.pos) FILTER (base + 2 + tail >= 150), min(s.pos)) AS pos FROM step s JOIN early e ON s.session_id = e.session_id AND s.pos <= e.pos GROUP BY 1),
+cut AS (SELECT s.session_id, s.pos AS split, s.turn AS split_turn, s.role AS opens_with FROM step s JOIN held h ON h.session_id = s.session_id AND h.pos = s.pos WHERE s.pos > 0)"""
+
+
+def _agent_turns(spark, d):
+    """Conversations with some turns of tools, and calls of others."""
+    place = (F.col("session_id") + F.col("turn")) % 4
+    tool, caller = (F.col("role") == "assistant") & (place == 3), (F.col("role") == "assistant") & (place == 1)
+    shown = F.concat("text", F.lit(" src/lib"), (F.col("turn") % 3).cast("string"), F.lit("/mod"), F.col("turn").cast("string"), F.lit(".py, (./setup.cfg) 3/4 http://x.y/z"))
+    call = F.array(F.struct(F.lit("read").alias("name"), F.concat(F.lit("src/app/main"), F.col("turn").cast("string"), F.lit(".py")).alias("arguments")))
+    return S.messages(spark, d).select("session_id", "turn", F.when(tool, "tool").otherwise(F.col("role")).alias("role"), F.when(tool, shown).otherwise(F.col("text")).alias("text"), F.when(caller, call).alias("calls"))
+
+
+@query(f"WITH {_STEPS} SELECT session_id, split, split_turn, opens_with FROM cut")
+def agent_cuts(spark, d):
+    """Where sessions with tools are cut."""
+    return windows.cuts(_agent_turns(spark, d), 300, 3, 400, 150)
+
+
+@query(rf"""WITH {_STEPS},
+gone AS (SELECT c.session_id, c.turn, CASE WHEN c.role = 'tool' THEN c.text ELSE '' END || chr(10) || coalesce(c.arg, '') AS t FROM conv c JOIN cut USING (session_id) WHERE c.turn < split_turn),
+words AS (SELECT session_id, turn, generate_subscripts(ws, 1) AS k, unnest(ws) AS w FROM (SELECT session_id, turn, string_split_regex(t, '\s+') AS ws FROM gone)),
+bare AS (SELECT session_id, turn, k, regexp_replace(regexp_replace(w, '^["''`()\[\]{{}}<>,;:!?]+|["''`()\[\]{{}}<>,;:!?]+$', '', 'g'), '\.+$', '') AS w FROM words),
+path AS (SELECT session_id, min((turn, k)) AS place, p FROM (SELECT *, regexp_replace(w, '^\./', '') AS p FROM bare WHERE length(w) BETWEEN 4 AND 300 AND regexp_full_match(w, '[\w./@+~][\w./@+~-]*'))
+  WHERE CASE WHEN contains(p, '/') THEN regexp_matches(p, '[A-Za-z]') ELSE regexp_full_match(p, '.*[^.].*\.[A-Za-z0-9]+') AND lower(regexp_extract(p, '([^.]*)$', 1)) IN {tuple(windows.ENDINGS)} END GROUP BY session_id, p),
+named AS (SELECT session_id, place, CASE WHEN contains(p, '/') THEN regexp_extract(p, '^(.*/)[^/]*$', 1) ELSE '(no directory)' END AS folder, regexp_extract(p, '([^/]*)$', 1) AS name FROM path),
+lines AS (SELECT session_id, folder, min(place) AS first, folder || ': ' || string_agg(name, ' ' ORDER BY place) AS line FROM named GROUP BY 1, 2),
+fits AS (SELECT *, sum(greatest(1, length(line) // 4) + 1) OVER (PARTITION BY session_id ORDER BY first DESC, folder ROWS UNBOUNDED PRECEDING) AS used FROM lines),
+index AS (SELECT session_id, '{windows.HEAD}' || chr(10) || string_agg(line, chr(10) ORDER BY first, folder) AS index FROM fits WHERE used + {len(windows.HEAD) // 4} <= 40 GROUP BY 1),
+sent AS (SELECT m.session_id, CASE WHEN split IS NOT NULL AND role = 'system' THEN 0 ELSE 3 END AS part, turn, role, text FROM tok m LEFT JOIN cut USING (session_id) WHERE split IS NULL OR role = 'system' OR turn >= split_turn
+  UNION ALL SELECT c.session_id, 1, NULL, 'system', '@OPEN' || chr(10) || 'Session ' || c.session_id || chr(10) || '@CLOSE' || chr(10) || chr(10) || CASE WHEN index IS NULL THEN '' ELSE '@OPEN' || chr(10) || index || chr(10) || '@CLOSE' || chr(10) || chr(10) END || '[' || split || ' earlier messages omitted]' FROM cut c LEFT JOIN index USING (session_id)
+  UNION ALL SELECT session_id, 2, NULL, 'user', '{windows.LEAD}' FROM cut WHERE opens_with <> 'user')
+SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY part, turn NULLS FIRST) - 1 AS place, role, md5(text) AS text_md5 FROM sent""".replace("@OPEN", RECORD_OPEN).replace("@CLOSE", RECORD_CLOSE))
+def agent_windows(spark, d):
+    """What is sent of sessions with tools: the bridge in place of what went, and the tail."""
+    m = _agent_turns(spark, d)
+    contexts = m.select("session_id").distinct().select("session_id", F.concat(F.lit("Session "), F.col("session_id").cast("string")).alias("block"))
+    return windows.applied(m, contexts, 300, 3, 400, 150, 40).select("session_id", "place", "role", F.md5("text").alias("text_md5"))
+
+
+# --- deletion
+
+
+@query(f"""WITH {MESSAGES}, {NODES}, {EDGES}, {TRANSITIONS},
+store AS (SELECT session_id, 'archive' AS store FROM messages UNION ALL SELECT session_id, 'edges' FROM edges UNION ALL SELECT session_id, 'nodes' FROM nodes UNION ALL SELECT session_id, 'transitions' FROM transitions),
+doomed AS (SELECT DISTINCT session_id FROM nodes WHERE session_id % 10 = 0), names AS (SELECT DISTINCT store FROM store)
+SELECT d.session_id, n.store, count(s.session_id) AS removed FROM doomed d CROSS JOIN names n LEFT JOIN store s ON s.session_id = d.session_id AND s.store = n.store GROUP BY 1, 2""")
+def deletion_counts(spark, d):
+    """What the deletion of every tenth session takes from each store."""
+    kept = {"archive": S.messages(spark, d), "edges": S.edges(spark, d), "nodes": S.nodes(spark, d), "transitions": S.transitions(spark, d)}
+    return stores.deletion_counts(kept, S.nodes(spark, d).filter("session_id % 10 = 0").select("session_id"))
