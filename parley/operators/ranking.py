@@ -71,16 +71,21 @@ def rank(nodes: DataFrame, questions: DataFrame, now: int | Column, k: int = 12)
     text = F.coalesce("question", F.lit(""))
     q = own.select("question_id", search_words(text).alias("asked_words"), F.struct(intents(text).alias("kinds"), asks_about_now(text).alias("now")).alias("asks"))
     q = q.withColumn("n_words", F.greatest(F.size("asked_words"), F.lit(1)))
-    terms = of_class.select("kind", "open", "words").distinct().withColumn("word", F.explode("words"))
+    first = F.min_by("node_id", F.struct(-F.col("static"), F.col("node_id"))).alias("first_id")
+    terms = of_class.groupBy("kind", "open", "words").agg(F.max("static").alias("static"), first).withColumn("word", F.explode("words"))
     met = q.select("question_id", "n_words", "asks", F.explode("asked_words").alias("word")).join(terms, "word")
-    met = met.groupBy("question_id", "n_words", "asks", "kind", "open", "words").agg(F.count("*").alias("shared"))
+    met = met.groupBy("question_id", "n_words", "asks", "kind", "open", "words", "static", "first_id").agg(F.count("*").alias("shared"))
+    value = (0.6 * F.col("shared") / F.col("n_words") + F.col("static")) * boost(F.col("kind"), F.col("open"), F.col("asks.kinds"), F.col("asks.now"))
+    # Of the classes a question meets only the k whose first node scores best can hold one of its k best.
+    ahead = F.row_number().over(W.partitionBy("question_id").orderBy(F.desc("value"), "first_id"))
+    met = met.withColumn("value", value).withColumn("ahead", ahead).filter(F.col("ahead") <= k).drop("static", "first_id", "value", "ahead")
     by_word = met.join(of_class, ["kind", "open", "words"])
     every = F.explode(F.array(*(F.struct(F.lit(n).alias("kind"), F.lit(o).alias("open")) for n in [*KINDS, OTHER] for o in (True, False))))
     by_kind = q.withColumn("shared", F.lit(0).cast("bigint")).withColumn("at", every).select("question_id", "shared", "n_words", "asks", "at.*").join(F.broadcast(of_kind), ["kind", "open"])
     by_kind = by_kind.withColumn("o", F.explode("own")).select("*", "o.*")
     names = ["question_id", "node_id", "kind", "open", "shared", "n_words", "asks", "static"]
     both = by_word.select(*names).unionByName(by_kind.select(*names))
-    value = (0.6 * F.col("shared") / F.col("n_words") + F.col("static")) * boost(F.col("kind"), F.col("open"), F.col("asks.kinds"), F.col("asks.now"))
-    scored = both.select("question_id", "node_id", F.round(value, 6).alias("score")).filter(F.col("score") > FLOOR).groupBy("question_id", "node_id").agg(F.max("score").alias("score"))
-    place = F.row_number().over(W.partitionBy("question_id").orderBy(F.desc("score"), "node_id"))
+    scored = both.select("question_id", "node_id", value.alias("value")).groupBy("question_id", "node_id").agg(F.max("value").alias("value"))
+    scored = scored.withColumn("score", F.round("value", 6)).filter(F.col("score") > FLOOR)
+    place = F.row_number().over(W.partitionBy("question_id").orderBy(F.desc("value"), "node_id"))
     return scored.withColumn("rank", place.cast("bigint")).filter(F.col("rank") <= k).select("question_id", "rank", "node_id", "score")

@@ -138,9 +138,9 @@ clock AS (SELECT max(valid_from) AS now_us FROM artifacts),
 every AS (SELECT a.id AS question_id, n.node_id, coalesce(m.shared, 0) AS shared, n_words, n.status IN {OPEN} AND now AS lifted, importance, valid_from, type,
   CASE type WHEN 'goal' THEN 1.25 WHEN 'decision' THEN 1.2 WHEN 'task' THEN 1.0 WHEN 'error' THEN 0.95 WHEN 'dependency' THEN 0.7 ELSE 0.9 END::DOUBLE AS base, CASE type WHEN 'error' THEN error WHEN 'decision' THEN decision WHEN 'task' THEN task WHEN 'file' THEN file ELSE false END AS hit, error OR decision OR task OR file AS aimed
   FROM aims a CROSS JOIN artifacts n JOIN weights USING (node_id) LEFT JOIN met m ON m.question_id = a.id AND m.node_id = n.node_id WHERE n.status NOT IN {INACTIVE}),
-scored AS (SELECT question_id, node_id, round((0.6::DOUBLE * shared / n_words + (0.3::DOUBLE * importance + 0.1::DOUBLE / (1 + 0.1::DOUBLE * ((now_us - valid_from) / 86400000000.0::DOUBLE))))
-  * CASE WHEN hit THEN base * 1.5::DOUBLE WHEN aimed THEN base / 1.25::DOUBLE ELSE base END * CASE WHEN lifted THEN 1.3::DOUBLE ELSE 1.0::DOUBLE END, 6) AS score FROM every, clock)
-SELECT question_id, rank, node_id, score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, node_id) AS rank FROM scored WHERE score > 0.05) WHERE rank <= 12""")
+scored AS (SELECT question_id, node_id, (0.6::DOUBLE * shared / n_words + (0.3::DOUBLE * importance + 0.1::DOUBLE / (1 + 0.1::DOUBLE * ((now_us - valid_from) / 86400000000.0::DOUBLE))))
+  * (CASE WHEN hit THEN base * 1.5::DOUBLE WHEN aimed THEN base / 1.25::DOUBLE ELSE base END * CASE WHEN lifted THEN 1.3::DOUBLE ELSE 1.0::DOUBLE END) AS value FROM every, clock)
+SELECT question_id, rank, node_id, round(value, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY value DESC, node_id) AS rank FROM scored WHERE round(value, 6) > 0.05) WHERE rank <= 12""")
 def answered_questions(spark, d):
     """The twelve best nodes for every question of conversations whose id 20 divides, against all nodes."""
     end = S.pick(_ENDS, (F.floor(F.col("session_id") / 20).cast("bigint") + F.col("turn")) % 6)
