@@ -129,7 +129,7 @@ def within_budget(text: Column, budget: int, rounds: int = 6, marker: str = "\n[
 
     def shorter(t: Column, _: Column) -> Column:
         n = T.count_tokens(t)
-        return F.when(n <= budget, t).otherwise(t.substr(F.lit(1), F.floor(F.length(t) * budget * 95 / (n * 100)).cast("int")))
+        return F.when(n <= budget, t).otherwise(t.substr(F.lit(1), F.floor(F.length(t).cast("bigint") * budget * 95 / (n * 100)).cast("int")))
 
     cut = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), text, shorter)
     return F.when(cut == text, text).otherwise(F.concat(cut, F.lit(marker)))

@@ -206,8 +206,8 @@ def _rounds(n: int, budget: int) -> str:
 @query(f"WITH {_rounds(6, 300)} SELECT doc_id, md5(CASE WHEN t = text THEN text ELSE t || chr(10) || '[cut]' END) AS text_md5, length(t)::BIGINT AS n_chars FROM r6")
 def enforced_budgets(spark, d):
     docs = S.read(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
-    fit = docs.select("doc_id", reports.within_budget(F.col("t"), 300).alias("fit"))
-    return fit.select("doc_id", F.md5("fit").alias("text_md5"), (F.length("fit") - F.when(F.col("fit").endswith("\n[cut]"), 6).otherwise(0)).cast("bigint").alias("n_chars"))
+    fit = docs.select("doc_id", "t", reports.within_budget(F.col("t"), 300).alias("fit"))
+    return fit.select("doc_id", F.md5("fit").alias("text_md5"), (F.length("fit") - F.when(F.col("fit") != F.col("t"), 6).otherwise(0)).cast("bigint").alias("n_chars"))
 
 
 @query(_with(NODES, "c AS (SELECT session_id, count(*) AS version FROM nodes GROUP BY 1)", "w AS (SELECT session_id, count(*) AS stored FROM nodes WHERE node_id % 50 <> 3 AND session_id % 6 <> 0 GROUP BY 1)") + "SELECT session_id, stored, version FROM c LEFT JOIN w USING (session_id) WHERE stored IS NULL OR stored < version")
