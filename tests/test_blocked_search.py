@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from parley.operators import cache
 from parley.plans import registry
 
-NAMES = ["nearest_vectors", "similar_hits"]
+NAMES = ["nearest_vectors", "similar_hits", "similar_hits_all"]
 
 
 @pytest.mark.parametrize("threshold", ["-1", "10MB"])
