@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from parley.operators import cache
 from parley.plans import registry
 
-NAMES = ["nearest_vectors", "nearest_vectors_all", "similar_hits", "similar_hits_all", "blended_scores"]
+NAMES = ["nearest_vectors", "nearest_vectors_all", "similar_hits", "similar_hits_all", "blended_scores", "blended_scores_all"]
 
 
 @pytest.mark.parametrize("threshold", ["-1", "10MB"])
