@@ -141,7 +141,12 @@ def with_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
     """The edges with new ones; of one source, target and type the first weight stays, and no node is linked to itself."""
     key = ["session_id", "source_id", "target_id", "type"]
     all_ = edges.select(*key, "weight", F.lit(0).alias("later")).unionAll(new.select(*key, "weight", F.lit(1).alias("later"))).filter("source_id <> target_id")
-    return all_.groupBy(*key).agg(F.min(F.struct("later", "weight")).alias("m")).select(*key, F.col("m.weight").alias("weight"))
+    # Plain numbers are aggregated in place; a smallest pair would have to be sorted for.
+    of = lambda k: F.min(F.when(F.col("later") == k, F.col("weight"))).alias(f"w{k}")
+    missing = F.min(F.when(F.col("weight").isNull(), F.col("later"))).alias("missing")
+    one = all_.groupBy(*key).agg(F.min("later").alias("first"), missing, of(0), of(1))
+    weight = F.when(F.col("missing") == F.col("first"), F.lit(None)).when(F.col("first") == 0, F.col("w0")).otherwise(F.col("w1"))
+    return one.select(*key, weight.alias("weight"))
 
 
 def invalidated(nodes: DataFrame, label: str | None = None, node_id: int | None = None, reason: str = "", now: int | Column = 0) -> DataFrame:
