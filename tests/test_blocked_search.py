@@ -56,3 +56,8 @@ def test_zero_vectors(spark):
     v = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, [1.0, 1.0])], "vec_id bigint, embedding array<double>")
     found = cache.nearest(v, v.filter("vec_id = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 2).collect()
     assert [(r.rank, r.vec_id, repr(r.similarity)) for r in sorted(found)] == [(1, 1, "nan"), (2, 2, "0.707107")]
+
+
+def test_no_more_tasks_than_pairs_of_blocks(spark):
+    v = spark.range(100).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("embedding")).repartition(9)
+    assert cache._blocks(v, ["vec_id", "embedding"], 50, "vectors").rdd.getNumPartitions() <= 2
