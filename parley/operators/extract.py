@@ -40,8 +40,10 @@ NEEDS = {
 }
 
 
-def facts(messages: DataFrame, packs: list[str] | None = None, longest: int | None = None) -> DataFrame:
-    """Facts of every message; with ``longest``, longer texts count with their first and last halves only."""
+def facts(messages: DataFrame, packs: list[str] | None = None, longest: int | None = None, recurring: bool = False) -> DataFrame:
+    """Facts of every message; with ``longest``, longer texts count with their first and last halves only. Where texts
+    are ``recurring``, patterns run on each text once, and messages meet what it gave by an equi-join on the text.
+    """
     patterns = dict(PATTERNS)
     for pack in packs or []:
         patterns |= PACKS[pack]
@@ -64,7 +66,12 @@ def facts(messages: DataFrame, packs: list[str] | None = None, longest: int | No
     maybe = text.rlike("|".join(NEEDS[k] for k in sorted(prose)))
     said = F.transform(F.array(cut), lambda clauses: F.flatten(F.array(*(rows_of(k, clauses) for k in patterns if k in prose))))[0]
     rows = F.concat(F.flatten(F.array(*(rows_of(k, text) for k in patterns if k not in prose))), F.when(maybe, said).otherwise(none))
-    out = messages.select("session_id", "turn", "role", F.explode(rows).alias("f")).select("session_id", "turn", "role", "f.kind", "f.label").filter("label <> ''")
+    if recurring:
+        # By an aggregate, as what only uses a grouping key is computed below it, on every message.
+        known = messages.groupBy("text").agg(F.first("text").alias("said")).select(F.col("text").alias("key"), F.col("said").alias("text")).select("key", rows.alias("rows")).withColumnRenamed("key", "text")
+        messages, rows = messages.select("session_id", "turn", "role", "text").join(known, "text"), F.col("rows")
+    # Spark looks for empty arrays before it explodes one, which computes them twice; explode_outer does not.
+    out = messages.select("session_id", "turn", "role", F.explode_outer(rows).alias("f")).select("session_id", "turn", "role", "f.kind", "f.label").filter("label <> ''")
     return out.filter("kind <> 'goal' OR (role = 'user' AND turn <= 3)").drop("role")
 
 

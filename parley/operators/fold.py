@@ -13,10 +13,14 @@ import heapq
 import re
 import unicodedata
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 MOST_NODES = 500
 # Rank of statuses, importance of kinds, reinforcement.
@@ -31,6 +35,7 @@ SLOTS = {
 INJECTION = re.compile(r"ignore (all |any )?(previous|prior|above) (instructions|rules)|reveal (your|the) (system )?prompt|</?(system|instructions?)>", re.I)
 SAME = 0.82
 NODE_FIELDS = ["node_id", "type", "label", "status", "importance", "first_turn", "last_turn", "mentions", "superseded_by", "evicted"]
+TYPES = {"importance": pa.float64(), "first_turn": pa.int64(), "last_turn": pa.int64(), "mentions": pa.int64(), "evicted": pa.bool_()}
 SCHEMA = "session_id bigint, node_id string, type string, label string, status string, importance double, first_turn bigint, last_turn bigint, mentions bigint, superseded_by string, evicted boolean"
 
 
@@ -51,7 +56,7 @@ class Session:
     def _keys(self, kind: str, label: str) -> list[tuple]:
         if kind == "file":
             return [(kind, label.rsplit("/", 1)[-1])]
-        return [(kind, w) for w in set(label.lower().split())] if kind in ("decision", "error", "task") else []
+        return [(kind, w) for w in words_of(label)] if kind in ("decision", "error", "task") else []
 
     def _index(self, node: dict) -> None:
         self.place.setdefault(node["node_id"], len(self.place))
@@ -73,8 +78,8 @@ class Session:
         return key
 
     def _merged(self, kind: str, label: str, status: str, turn: int) -> str | None:
-        label = " ".join(label.split())[:120]
-        if not label or INJECTION.search(unicodedata.normalize("NFKC", label)):
+        label = plain(label)
+        if not label:
             return None
         key = node_id(kind, label)
         node = self.nodes.get(key) or self._same(kind, label)
@@ -100,7 +105,7 @@ class Session:
         return key
 
     def _same(self, kind: str, label: str) -> dict | None:
-        words = set(label.lower().split())
+        words = words_of(label)
         found = {i for key in self._keys(kind, label) for i in self.at.get(key, ())}
         for node in map(self.nodes.__getitem__, sorted(found, key=self.place.__getitem__)):
             if kind == "file":
@@ -108,7 +113,7 @@ class Session:
                 if a.endswith("/" + b) or b.endswith("/" + a):
                     return node
                 continue
-            own = set(node["label"].lower().split())
+            own = words_of(node["label"])
             shared = len(words & own)
             # Two technologies of one slot are two decisions, however alike the rest is.
             if kind == "decision" and technologies(label) != technologies(node["label"]):
@@ -124,15 +129,31 @@ class Session:
             node["evicted"], self.active = True, self.active - 1
 
 
+# Sessions say much alike, so what only depends on a label is kept for the last labels that a task has met.
+@lru_cache(50_000)
+def plain(label: str) -> str:
+    """A label in one line of at most 120 characters; empty if the text is refused."""
+    label = " ".join(label.split())[:120]
+    return "" if INJECTION.search(unicodedata.normalize("NFKC", label)) else label
+
+
+@lru_cache(50_000)
+def words_of(label: str) -> frozenset[str]:
+    return frozenset(label.lower().split())
+
+
+@lru_cache(50_000)
 def node_id(kind: str, label: str) -> str:
     return hashlib.sha1(f"{kind}:{label.lower().strip().rstrip('.,!?')}".encode()).hexdigest()[:12]
 
 
+@lru_cache(50_000)
 def technologies(label: str) -> frozenset[str]:
     words = set(re.findall(r"[a-z]+", label.lower()))
     return frozenset(w for own in SLOTS.values() for w in own if w in words)
 
 
+@lru_cache(50_000)
 def slot_of(label: str) -> str | None:
     found = technologies(label)
     return next((slot for slot, own in SLOTS.items() if found & set(own)), None)
@@ -161,9 +182,36 @@ def rows(session_id: int, session: Session) -> pd.DataFrame:
 
 
 def fold_sessions(facts: DataFrame) -> DataFrame:
-    """Nodes of every session from its facts ``(session_id, turn, kind, label)`` and perhaps ``old``, what a decision replaces."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        return rows(int(pdf["session_id"].iloc[0]), fold(Session(), pdf))
-
-    return facts.select("session_id", "turn", "kind", "label", *[c for c in ["old"] if c in facts.columns]).groupBy("session_id").applyInPandas(one, SCHEMA)
+    """Nodes of every session from its facts ``(session_id, turn, kind, label)`` and perhaps ``old``, what a decision replaces.
+
+    Facts are sorted by session and in the order of ``fold`` and stream through it, so of a task's sessions one at a time is
+    held, without its facts, and a session costs nothing beside its facts and nodes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        session, own, done = Session(), None, []
+        for batch in batches:
+            for session_id, turn, kind, label, old in zip(*map(_values, batch.columns), strict=True):
+                if session_id != own:
+                    done.append((own, session))
+                    session, own = Session(), session_id
+                if kind in FACTS:
+                    session.add(FACTS[kind][0], label, FACTS[kind][1], turn, old)
+            yield _batch(done)
+            done = []
+        yield _batch([(own, session)])
+
+    old = F.coalesce("old", F.lit("")) if "old" in facts.columns else F.lit("")
+    own = facts.select("session_id", "turn", "kind", "label", old.alias("old")).repartition("session_id")
+    return own.sortWithinPartitions("session_id", "turn", "kind", "label", "old").mapInArrow(run, SCHEMA)
+
+
+def _values(column: pa.Array) -> list:
+    return column.to_pylist() if column.null_count else column.to_numpy(zero_copy_only=False).tolist()
+
+
+def _batch(done: list[tuple[int | None, Session]]) -> pa.RecordBatch:
+    """``rows`` of sessions."""
+    nodes = [(session_id, node) for session_id, session in done for node in session.nodes.values()]
+    columns = [pa.array([session_id for session_id, _ in nodes], pa.int64()), *(pa.array([node[f] for _, node in nodes], TYPES.get(f, pa.string())) for f in NODE_FIELDS)]
+    return pa.RecordBatch.from_arrays(columns, names=["session_id", *NODE_FIELDS])
