@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parley.sources.settle import settled
+
 # Patterns by kind; the first group is the label.
 PATTERNS = {
     "file": r"(?i)\b((?:[\w.-]+/)*[\w-]+\.(?:py|js|ts|tsx|go|rs|java|sql|md|json|yaml|yml|toml|sh|css|html))\b",
@@ -75,11 +77,17 @@ def facts(messages: DataFrame, packs: list[str] | None = None, longest: int | No
     return out.filter("kind <> 'goal' OR (role = 'user' AND turn <= 3)").drop("role")
 
 
-def session_facts(messages: DataFrame, packs: list[str] | None = None) -> DataFrame:
-    """Facts of a session once each, with the first and the last turn, and how often; TODOs that were done are gone."""
+def session_facts(messages: DataFrame, packs: list[str] | None = None, more: DataFrame | None = None) -> DataFrame:
+    """Facts of a session once each, with the first and the last turn, and how often; TODOs that were done are gone.
+
+    ``more`` are messages whose texts recur. Facts are settled in the shared folder: they are looked at several times, and
+    patterns would run on every message each time.
+    """
     key = F.lower(F.regexp_replace("label", r"^(?:the|a|an) ", ""))
-    f = facts(messages, packs).withColumn("norm", F.substring(key, 1, 60))
+    f = facts(messages, packs) if more is None else facts(messages, packs).unionByName(facts(more, packs, recurring=True))
+    f = f.withColumn("norm", F.substring(key, 1, 60))
     one = f.groupBy("session_id", "kind", "norm").agg(F.min_by("label", "turn").alias("label"), F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.count("*").alias("n"))
+    one = settled(one)
     stem = lambda c: F.regexp_replace(c, r"^\w+ (?:the |a |an )?", "")
     done = one.filter("kind = 'task_done'").select("session_id", F.col("norm").alias("what")).distinct()
     todo = one.filter("kind = 'task_todo'").withColumn("what", stem(F.col("norm"))).join(done, ["session_id", "what"], "left_anti").drop("what")

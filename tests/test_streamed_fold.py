@@ -37,3 +37,12 @@ def test_patterns_run_once(spark):
     for recurring in (False, True):
         plan = extract.facts(m, recurring=recurring)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("decided (?:to use") == 1
+
+
+def test_facts_of_sessions_are_settled(spark):
+    said = ["We need to fix the login page. See src/a/x.py", "I fixed the login page in x.py", "We decided to use redis"]
+    m = spark.createDataFrame([(s, t, "user", said[(s + t) % 3]) for s in range(5) for t in range(4)], "session_id bigint, turn bigint, role string, text string")
+    plain, more = extract.session_facts(m), extract.session_facts(m.filter("turn < 2"), more=m.filter("turn >= 2"))
+    assert sorted(map(tuple, more.collect())) == sorted(map(tuple, plain.collect())) != []
+    # Patterns do not run again for each use of the facts.
+    assert "regexp_extract_all" not in extract.drop_shadowed_paths(plain)._jdf.queryExecution().optimizedPlan().toString()
