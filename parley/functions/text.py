@@ -55,7 +55,15 @@ def redaction_counts(text: Column) -> list[Column]:
 
 
 def language_scores(text: Column) -> list[Column]:
-    parts = F.split(F.lower(text), r"[^\p{L}]+")
+    return scores_of_words(language_words(text))
+
+
+def language_words(text: Column) -> Column:
+    return F.split(F.lower(text), r"[^\p{L}]+")
+
+
+def scores_of_words(parts: Column) -> list[Column]:
+    """Of a text's words, how many are function words of each language."""
 
     def count(own: list[str]) -> Column:
         return F.size(F.filter(parts, lambda w: w.isin(*own))).cast("bigint")

@@ -181,11 +181,11 @@ def rows(session_id: int, session: Session) -> pd.DataFrame:
     return out
 
 
-def fold_sessions(facts: DataFrame) -> DataFrame:
+def fold_sessions(facts: DataFrame, parts: int | None = None) -> DataFrame:
     """Nodes of every session from its facts ``(session_id, turn, kind, label)`` and perhaps ``old``, what a decision replaces.
 
     Facts are sorted by session and in the order of ``fold`` and stream through it, so of a task's sessions one at a time is
-    held, without its facts, and a session costs nothing beside its facts and nodes.
+    held, without its facts, and a session costs nothing beside its facts and nodes. Without ``parts`` Spark fits tasks by bytes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +202,8 @@ def fold_sessions(facts: DataFrame) -> DataFrame:
         yield _batch([(own, session)])
 
     old = F.coalesce("old", F.lit("")) if "old" in facts.columns else F.lit("")
-    own = facts.select("session_id", "turn", "kind", "label", old.alias("old")).repartition("session_id")
+    own = facts.select("session_id", "turn", "kind", "label", old.alias("old"))
+    own = own.repartition(parts, "session_id") if parts else own.repartition("session_id")
     return own.sortWithinPartitions("session_id", "turn", "kind", "label", "old").mapInArrow(run, SCHEMA)
 
 

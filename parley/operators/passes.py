@@ -17,7 +17,7 @@ built-in expressions; what a message gives is all that is shuffled.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -74,15 +74,22 @@ INNER_NEGATION = r"(?i)\b(?:not|never|no longer)\b"
 YES = r"(?i)^\W*(?:yes|yeah|yep|sure|ok|okay|agreed|sounds good|good idea|great idea|makes sense|absolutely|of course|done|let's do (?:it|that)|go ahead|works for me|that works|perfect)\b"
 NO = r"(?i)\b(?:but|however|instead|rather|not|don't|no)\b"
 KINDS_OF_FORM = ["file", "endpoint", "error", "status", "dependency", "environment"]
+PER_PART = 50_000  # messages or facts that one task takes
 SCHEMA = "array<struct<pass:int,start:int,stop:int,kind:string,label:string,other:string>>"
 
 
 def looks_english(text: Column, least: int = 2) -> Column:
     """Unless two function words at least are another language's and no fewer are English, or most letters are not Latin."""
-    counts = dict(zip(T.FUNCTION_WORDS, T.language_scores(text), strict=True))
-    english, others = counts.pop("en"), F.greatest(*counts.values())
-    letters, latin = F.length(F.regexp_replace(text, r"[^\p{L}]", "")), F.length(F.regexp_replace(text, r"[^\p{IsLatin}]", ""))
-    return ~((others >= least) & (2 * others >= english)) & ((letters == 0) | (latin >= 0.7 * letters))
+
+    def told(parts: Column) -> Column:
+        counts = dict(zip(T.FUNCTION_WORDS, T.scores_of_words(parts), strict=True))
+        english, others = counts.pop("en"), F.greatest(*counts.values())
+        return let(F.struct(english.alias("english"), others.alias("others")), lambda n: ~((n["others"] >= least) & (2 * n["others"] >= n["english"])))
+
+    # A text is cut once, and each language looks only at what is a function word of any.
+    known = sorted({w for own in T.FUNCTION_WORDS.values() for w in own})
+    letters, latin = F.length(F.regexp_replace(text, r"[^\p{L}]+", "")), F.length(F.regexp_replace(text, r"[^\p{IsLatin}]+", ""))
+    return let(F.filter(T.language_words(text), lambda w: w.isin(*known)), told) & let(letters, lambda n: (n == 0) | (latin >= 0.7 * n))
 
 
 def base_verb(verb: Column) -> Column:
@@ -121,8 +128,10 @@ def _pass(number: int) -> str:
       (acc, p) -> named_struct('at', acc.at + p.gap + length(p.text), 'out', concat(acc.out, array(named_struct('start', acc.at + p.gap, 'stop', acc.at + p.gap + length(p.text), 'text', p.text)))), acc -> acc.out)"""
     rows = f"transform({found}, h -> named_struct('pass', {number}, 'start', h.start, 'stop', h.stop, 'kind', '{kind}', 'label', {value(group)}, 'other', {value(other)}))"
     early = "role = 'user' AND turn < 4 AND " if kind == "goal" else ""
-    # Most passes find nothing in a message: one look is cheaper than taking it apart.
-    return f'CASE WHEN {early}masked RLIKE r"{pattern}" THEN {rows} ELSE cast(array() AS {SCHEMA}) END'
+    # Most passes find nothing in a message: one look is cheaper than taking it apart. Subjects are walked from every word, so
+    # the look is for what follows them.
+    look = pattern.replace(rf"\b{SUBJECT}", "")
+    return f'CASE WHEN {early}masked RLIKE r"{look}" THEN {rows} ELSE cast(array() AS {SCHEMA}) END'
 
 
 def candidates() -> Column:
@@ -142,9 +151,15 @@ def claimed(candidates: Column) -> Column:
 
 def _judged(masked: Column, c: Column, role: Column) -> Column:
     """A candidate with its kind after a look at its clause; kind null where it makes no fact."""
-    lead = F.regexp_extract(F.substring(masked, F.greatest(c["start"] - 160, F.lit(0)) + 1, F.least(c["start"], F.lit(160))), r"([^.!?;\n]*)$", 1)
+    # A clause begins where none goes on: tried from each of its places, its end would be looked for again and again.
+    lead = F.regexp_extract(F.substring(masked, F.greatest(c["start"] - 160, F.lit(0)) + 1, F.least(c["start"], F.lit(160))), r"(?<![^.!?;\n])([^.!?;\n]*)$", 1)
     tail = F.regexp_extract(masked.substr(c["stop"] + 1, F.lit(240)), r"^([^.!?\n]*[.!?]?)", 1)
     hit = masked.substr(c["start"] + 1, c["stop"] - c["start"])
+    return let(F.struct(lead.alias("lead"), tail.alias("tail"), hit.alias("hit")), lambda around: _weighed(around, c, role))
+
+
+def _weighed(around: Column, c: Column, role: Column) -> Column:
+    lead, tail, hit = around["lead"], around["tail"], around["hit"]
     kind, question = c["kind"], tail.endswith("?")
     heading = c["pass"].isin([n for n, (_, pattern, *_) in enumerate(PASSES) if "(?im)^" in pattern])
     off = lead.rlike(NEGATED) | lead.rlike(CONDITION) | hit.rlike(CONDITION) | (kind.isin("task_done", "error") & hit.rlike(INNER_NEGATION))
@@ -156,11 +171,14 @@ def _judged(masked: Column, c: Column, role: Column) -> Column:
     subject = passive | (c["pass"] == len(PASSES) - 2)
     plain = F.when(subject, clause_subject(c["label"])).otherwise(c["label"])
     verb = F.when((kind == "task_done") & (c["other"] != ""), F.concat(F.initcap(base_verb(c["other"])), F.lit(" "))).otherwise("")
-    body = tidy(plain)
-    label = F.when(kind == "change", F.concat(F.lit("Use "), c["label"])).otherwise(F.concat(verb, body))
     old = F.when(kind == "change", c["other"]).otherwise("")
-    good = F.length(F.when(kind == "change", c["label"]).otherwise(body)) >= 2
-    return F.struct(c["start"].alias("start"), c["stop"].alias("stop"), F.when(good, F.when(sound == "change", "decision").otherwise(sound)).alias("kind"), label.alias("label"), old.alias("old"))
+
+    def said(v: Column) -> Column:
+        label = F.when(kind == "change", F.concat(F.lit("Use "), c["label"])).otherwise(F.concat(verb, v["body"]))
+        good = F.length(F.when(kind == "change", c["label"]).otherwise(v["body"])) >= 2
+        return F.struct(c["start"].alias("start"), c["stop"].alias("stop"), F.when(good, F.when(v["sound"] == "change", "decision").otherwise(v["sound"])).alias("kind"), label.alias("label"), old.alias("old"))
+
+    return let(F.struct(sound.alias("sound"), tidy(plain).alias("body")), said)
 
 
 def message_facts(messages: DataFrame) -> DataFrame:
@@ -195,13 +213,20 @@ def normal(label: Column) -> Column:
     return F.substring(F.regexp_replace(F.lower(label), r"[^\p{L}\p{N}./_-]+", " "), 1, 80)
 
 
+def parts(spark: SparkSession, rows: int) -> int:
+    """As many as the rows ask for: facts are short and costly, so by their bytes Spark would leave all to one task or two."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // PER_PART))
+
+
 def conversation_facts(messages: DataFrame) -> DataFrame:
     """``(session_id, kind, label, old, first_turn, n)``: the facts of every session, each once, at its first place.
 
     What messages give is settled first, in the shared folder: it is looked at several times, the texts only once.
     """
-    found = accepted(messages, settled(message_facts(messages))).withColumn("norm", normal(F.col("label")))
+    given = settled(message_facts(messages))
+    found = accepted(messages, given).withColumn("norm", normal(F.col("label")))
     place = F.struct("turn", "start")
+    found = found.repartition(parts(messages.sparkSession, given.count()), "session_id")
     one = settled(found.groupBy("session_id", "kind", "norm").agg(F.min_by("label", place).alias("label"), F.min_by("old", place).alias("old"), F.min("turn").alias("first_turn"), F.count("*").alias("n")))
     done = one.filter("kind = 'task_done'").select("session_id", "norm").distinct()
     open_ = one.filter("kind IN ('task_todo', 'task_wip')").join(done, ["session_id", "norm"], "left_anti")

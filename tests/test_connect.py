@@ -114,3 +114,10 @@ def test_no_nodes_and_null_labels(spark):
     assert connect.edges(spark.createDataFrame([], fold.SCHEMA)).count() == 0
     rows = [(1, "a", "task", None, "pending", 0.5, 1, 1, 1, None, False), (1, "b", "goal", "Ship", "in_progress", 0.5, 1, 1, 1, None, False)]
     assert connect.edges(spark.createDataFrame(rows, fold.SCHEMA)).count() == 0
+
+
+def test_a_fold_is_dealt_out(spark):
+    # By their bytes, all facts of a small input would be folded in one task.
+    nodes = blocked._folded(spark, DATA)
+    assert nodes.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert fold.fold_sessions(nodes.select("session_id", "first_turn", "type", "label").toDF("session_id", "turn", "kind", "label"), 3).rdd.getNumPartitions() == 3

@@ -138,3 +138,19 @@ def test_vaguer_decisions_go(spark):
     frame = spark.createDataFrame(rows, "session_id bigint, kind string, label string")
     found = sorted(map(tuple, passes.drop_vaguer(frame).collect()))
     assert found == [(1, "decision", "Redis cache"), (1, "decision", "bcrypt for password hashing"), (1, "decision", "kafka"), (1, "decision", "postgres for orders"), (1, "task_done", "redis"), (2, "decision", "bcrypt")]
+
+
+def test_a_clause_is_cut_once(spark):
+    m = spark.createDataFrame([(1, 0, "user", "We decided to use redis.")], "session_id bigint, turn bigint, role string, text string")
+    plan = passes.message_facts(m)._jdf.queryExecution().optimizedPlan().toString()
+    # What is around a candidate, and the words of a text, are each computed in one place of the plan.
+    assert plan.count(r"([^.!?;\n]*)$") == plan.count(r"^([^.!?\n]*[.!?]?)") == 1
+    assert plan.count("split(lower(text") == 1
+
+
+def test_what_precedes_a_candidate(spark):
+    ends = ["We decided to use redis for jobs.", "not sure.\r\nWe decided to use redis for jobs", "We never\r\n decided to use redis for jobs", "It is not so; we decided to use redis for jobs?", "if a.b\nwe decided to use redis for jobs", "maybe" + " so" * 70 + " we decided to use redis for jobs", "x. " * 80 + "we decided to use redis for jobs"]
+    m = spark.createDataFrame([(k, 0, "user", t) for k, t in enumerate(ends)], "session_id bigint, turn bigint, role string, text string")
+    found = {r.session_id: r.kind for r in passes.message_facts(m).filter("label LIKE 'redis%'").collect()}
+    # A line's end ends a clause, and no more than 160 characters are looked at.
+    assert found == {k: "proposal" if k == 3 else "decision" for k in range(len(ends))}
