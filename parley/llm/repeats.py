@@ -39,13 +39,14 @@ from pyspark.sql import functions as F
 from parley.llm.packed import bitmap, dealt, gathered, has, spot, stand_in, unpacked
 from parley.llm.scratch import written
 from parley.llm.suffixes import BUDGET, Disk, sorted_suffixes
-from parley.llm.textio import byte_values, equal_spans, mix64, powers, released, span_hashes, texts_of
+from parley.llm.textio import byte_values, equal_spans, give_back, mix64, powers, released, span_hashes, texts_of
 
 LENGTH = 100
 GRAM = 50
 HOT = 10_000
-BLOCK_BYTES = 64 << 20  # of texts that a block of documents has on average, at most
-SHARD_BYTES = 32 << 20  # of slices
+BLOCK_BYTES = 16 << 20  # of texts that a block of documents has on average, at most: a task holds a block several times over
+SHARD_BYTES = 8 << 20  # of slices; even if all are laid, their S* suffixes (every other byte at most) are within BUDGET
+POSTED = 1 << 19  # anchors that are dealt out at once
 SLICES, SPANS = -2, -1  # what a row of the cut texts holds; from 0 on, it is a shard of hot strings
 ANCHOR = np.dtype([("h", "<u8"), ("doc", "<i8")])
 FLAGGED = np.dtype([("h", "<u8"), ("doc", "<i8"), ("hot", "u1")])
@@ -302,13 +303,14 @@ def deduplicate(df: DataFrame, finish: Callable[[bytes, np.ndarray], tuple], nam
                 third[2:] = (rows["h"][2:] == rows["h"][:-2]) & (rows["doc"][2:] == rows["doc"][:-2])
                 held.append(rows[~third])
                 size += len(held[-1])
-                if size >= 1_000_000:
+                if size >= POSTED:
                     yield flush()
                     held, size = [], 0
         if held:
             yield flush()
 
     def repeated(table: pa.Table) -> pa.Table:
+        give_back()
         rows = unpacked(table.column("rows"), ANCHOR)
         rows = rows[np.argsort(rows["h"], kind="stable")]
         same = rows["h"][1:] == rows["h"][:-1]
@@ -342,6 +344,7 @@ def deduplicate(df: DataFrame, finish: Callable[[bytes, np.ndarray], tuple], nam
     cut_ddl = "shard int, h bigint, own bigint, doc bigint, at bigint, slices binary, spans binary"
 
     def slices(left: pa.Table, right: pa.Table) -> pa.Table:
+        give_back()
         wanted = unpacked(right.column("rows"), FLAGGED) if right.num_rows else np.zeros(0, FLAGGED)
         hot_anchors = np.unique(wanted["h"][wanted["hot"] > 0])
         seen, seen_windows = np.zeros(0, FORM), np.zeros(0, FORM)
@@ -392,6 +395,7 @@ def deduplicate(df: DataFrame, finish: Callable[[bytes, np.ndarray], tuple], nam
     cut = written(cut, "repeated-slices")
 
     def hot_strings(table: pa.Table) -> pa.Table:
+        give_back()
         return _with_docs(merged(repeated_hashes(unpacked(table.column("slices"), WINDOW))), blocks)
 
     @released
@@ -440,6 +444,7 @@ def deduplicate(df: DataFrame, finish: Callable[[bytes, np.ndarray], tuple], nam
             yield pa.RecordBatch.from_arrays([pa.array(_doc_block(own.column(0).to_numpy().copy(), blocks).astype(np.int32)), own.column(0), own.column(1), own.column(3)], names=["block", "doc", "text", "along"])
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
+        give_back()
         found = merged(unpacked(right.column("rows"), SPAN)) if right.num_rows else np.zeros(0, SPAN)
         out: list[pa.RecordBatch] = []
         if left.num_rows:

@@ -26,7 +26,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
-BLOCK = 1 << 20  # symbols or tuples that are worked on at once
+BLOCK = 1 << 18  # symbols or tuples that are worked on at once
+WINDOWS = 1 << 16  # suffixes whose first symbols are laid out side by side to be sorted
 BUDGET = 4_000_000  # tuples held by a queue, and S* suffixes sorted directly
 UNSEEN = -1
 
@@ -97,9 +98,11 @@ class Queue:
 
     def __init__(self, weights: np.ndarray, budget: int, disk: Disk, ascending: bool):
         share = max(1, budget // 4)
-        total = np.cumsum(weights) - weights
+        total = np.cumsum(weights)
+        total -= weights
+        total //= share
         heavy = weights > share
-        cut = np.append(True, (total[1:] // share != total[:-1] // share) | heavy[1:] | heavy[:-1])
+        cut = np.append(True, (total[1:] != total[:-1]) | heavy[1:] | heavy[:-1])
         self.starts = np.flatnonzero(cut)
         self.ends = np.append(self.starts[1:], len(weights))
         self.parts: dict[int, deque] = {}
@@ -124,7 +127,7 @@ class Queue:
             if r not in self.parts:
                 self.parts[r] = deque()
                 heapq.heappush(self.waiting, self.sign * r)
-            self.parts[r].append((symbol[a:b], pos[a:b], common[a:b]))
+            self.parts[r].append((symbol[a:b].copy(), pos[a:b].copy(), common[a:b].copy()))  # a view would hold all of its block
             self.held += b - a
         if self.held > self.budget:
             self._spill()
@@ -136,7 +139,7 @@ class Queue:
             if s not in self.own:
                 self.own[s] = deque()
                 heapq.heappush(self.symbols, self.sign * s)
-            self.own[s].append((pos[a:b], common[a:b]))
+            self.own[s].append((pos[a:b].copy(), common[a:b].copy()))
             self.held += b - a
 
     def _spill(self) -> None:
@@ -266,18 +269,26 @@ def stars_of(s_type: np.ndarray, disk: Disk) -> np.ndarray:
     return out
 
 
-def windows(text: np.ndarray, pos: np.ndarray, size: np.ndarray, depth: int, pad: np.ndarray) -> np.ndarray:
+def windows(text: np.ndarray, pos: np.ndarray, size: np.ndarray | int, depth: int, pad: np.ndarray | int, kind: np.dtype) -> np.ndarray:
     """Symbols plus one of ``text[pos:pos + size]`` in ``depth`` columns, then ``pad``; the end of the text is 0."""
-    at = pos[:, None] + np.arange(depth)
-    inside = (np.arange(depth) < size[:, None]) & (at < len(text))
-    out = np.where(inside, text[np.minimum(at, len(text) - 1)].astype(np.int64) + 1, pad[:, None])
-    return np.where((at >= len(text)) & (np.arange(depth) <= size[:, None]), 0, out)
+    out = np.empty((len(pos), depth), kind)
+    for k in range(depth):
+        at = pos + k
+        own = np.where(k < size, text[np.minimum(at, len(text) - 1)].astype(np.int64) + 1, pad)
+        own[(at >= len(text)) & (k <= size)] = 0
+        out[:, k] = own
+    return out
+
+
+def top_of(text: np.ndarray) -> tuple[int, np.dtype]:
+    """A number above all symbols plus one, and the smallest kind that sorts as bytes and holds it."""
+    top = int(max(text[lo : lo + BLOCK].max() for lo in range(0, len(text), BLOCK))) + 2
+    return top, np.dtype(next(k for k in ("u1", ">u2", ">u4", ">u8") if top >> 8 * np.dtype(k).itemsize == 0))
 
 
-def ordered(keys: np.ndarray) -> np.ndarray:
-    """Ascending order of rows of numbers."""
-    raw = np.ascontiguousarray(keys.astype(">u8" if keys.max(initial=0) >> 32 else ">u4" if keys.max(initial=0) >> 8 else np.uint8))
-    return np.argsort(raw.view(f"S{raw.shape[1] * raw.itemsize}").ravel(), kind="stable")
+def as_bytes(keys: np.ndarray) -> np.ndarray:
+    """Rows of numbers as one string each, in the same order."""
+    return keys.view(f"S{keys.shape[1] * keys.itemsize}").ravel()
 
 
 def common(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
@@ -296,7 +307,7 @@ def sorted_stars(text: np.ndarray, stars: np.ndarray, depth: int, budget: int, d
     """The S* positions in ascending order of their suffixes, with common prefixes."""
     order = disk.mapped(len(stars), np.int64)
     if len(stars) <= budget:
-        _sort_directly(text, stars, depth, order)
+        _sort_directly(text, stars, depth, order, min(budget, WINDOWS))
     else:
         names, count = _names(text, stars, depth, budget, disk)
         at = len(stars)
@@ -311,27 +322,39 @@ def sorted_stars(text: np.ndarray, stars: np.ndarray, depth: int, budget: int, d
     return order, lcp
 
 
-def _sort_directly(text: np.ndarray, pos: np.ndarray, depth: int, out: np.ndarray, batch: int = 100_000) -> None:
-    """By two symbols first, then part by part by whole windows."""
+def _sort_directly(text: np.ndarray, pos: np.ndarray, depth: int, out: np.ndarray, batch: int) -> None:
+    """By two symbols at a time, as long as more than ``batch`` agree in them, then part by part by whole windows."""
+    top, kind = top_of(text)
     pos = np.array(pos)
-    after = np.where(pos + 1 < len(text), text[np.minimum(pos + 1, len(text) - 1)].astype(np.int64) + 1, 0)
-    by = np.lexsort((after, text[pos]))
-    pos, lead = pos[by], text[pos[by]].astype(np.int64)
-    new = np.append(True, (lead[1:] != lead[:-1]) | (after[by][1:] != after[by][:-1])) if len(pos) else np.zeros(0, bool)
-    cuts = np.append(np.flatnonzero(new), len(pos))
-    at = 0
-    while at < len(pos):
-        stop = int(cuts[max(np.searchsorted(cuts, at + batch, "right") - 1, np.searchsorted(cuts, at, "right"))])
-        part = pos[at:stop]
-        whole = np.full(len(part), depth)
-        out[at:stop] = part[ordered(windows(text, part, whole, depth, np.zeros(len(part), np.int64)))]
-        at = stop
+    todo = [(0, len(pos), 0)]  # ranges that agree in their first symbols
+    while todo:
+        lo, hi, d = todo.pop()
+        part = pos[lo:hi]
+        if hi - lo <= batch or d >= depth:
+            rest = max(0, depth - d)
+            out[lo:hi] = part[np.argsort(as_bytes(windows(text, part + d, rest, rest, 0, kind)), kind="stable")] if rest and hi - lo > 1 else part
+            continue
+        lead = np.empty(hi - lo, np.uint16 if top < 256 else np.int64)
+        for at in range(0, hi - lo, BLOCK):
+            two = windows(text, part[at : at + BLOCK] + d, 2, 2, 0, np.int64)
+            lead[at : at + BLOCK] = two[:, 0] * top + two[:, 1]
+        by = np.argsort(lead, kind="stable")
+        part[:] = part[by]
+        lead = lead[by]
+        cuts = np.append(np.flatnonzero(np.append(True, lead[1:] != lead[:-1])), hi - lo)
+        at = 0
+        while at < hi - lo:
+            stop = int(cuts[np.searchsorted(cuts, at + batch, "right") - 1])
+            alone = stop <= at
+            stop = int(cuts[np.searchsorted(cuts, at, "right")]) if alone else stop
+            todo.append((lo + at, lo + stop, d + 2 * alone))
+            at = stop
 
 
 def _names(text: np.ndarray, stars: np.ndarray, depth: int, budget: int, disk: Disk) -> tuple[np.ndarray, int]:
     """A text of names: the rank of each S* substring (up to the next S*, its symbol included, at most ``depth``)."""
     m, names, count = len(stars), disk.mapped(len(stars), np.int64), 0
-    top = int(max(text[lo : lo + BLOCK].max() for lo in range(0, len(text), BLOCK))) + 2
+    top, kind = top_of(text)
 
     def sized(k: np.ndarray) -> Tuples:
         last = k + 1 == m
@@ -341,16 +364,18 @@ def _names(text: np.ndarray, stars: np.ndarray, depth: int, budget: int, disk: D
 
     def column(k: np.ndarray, d: int) -> np.ndarray:
         size, pad = sized(k)
-        return windows(text, stars[k] + d, size - d, 1, pad)[:, 0]
+        return windows(text, stars[k] + d, size - d, 1, pad, kind)[:, 0].astype(np.int64)
 
     todo = [([disk.put(np.arange(lo, min(m, lo + BLOCK))) for lo in range(0, m, BLOCK)], m, 0)]
     while todo:
         parts, size, d = todo.pop()
-        if size <= budget:
+        if size <= min(budget, WINDOWS):
             k = np.concatenate([disk.get(p)[0] for p in parts])
-            keys = windows(text, stars[k], *(lambda s: (s[0], depth, s[1]))(sized(k)))
-            by = ordered(keys)
-            new = np.append(True, (keys[by][1:] != keys[by][:-1]).any(axis=1))
+            length, pad = sized(k)
+            keys = as_bytes(windows(text, stars[k], length, depth, pad, kind))
+            by = np.argsort(keys, kind="stable")
+            keys = keys[by]
+            new = np.append(True, keys[1:] != keys[:-1])
             names[k[by]] = count + np.cumsum(new) - 1
             count += int(new.sum())
             continue
